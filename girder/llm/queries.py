@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from girder.llm.decontam import OP7_SQL, op7_decontamination
 from girder.llm.pieces import op8_sentencepiece
+from girder.llm.simhash import op3_simhash
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op7_decontamination": op7_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontamination": OP7_SQL,
+}
