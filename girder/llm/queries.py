@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from girder.llm.decontam import OP7_SQL, op7_decontamination
+from girder.llm.langid import op1_language_id
 from girder.llm.pieces import op8_sentencepiece
+from girder.llm.secret_scan import OP5_SQL, op5_secret_scan
 from girder.llm.simhash import op3_simhash
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_simhash": op3_simhash,
+    "op5_secret_scan": op5_secret_scan,
     "op7_decontamination": op7_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_secret_scan": OP5_SQL,
     "op7_decontamination": OP7_SQL,
 }
