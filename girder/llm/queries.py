@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from girder.llm.decontam import OP7_SQL, op7_decontamination
 from girder.llm.langid import op1_language_id
+from girder.llm.pii import op2_personal_data
 from girder.llm.pieces import op8_sentencepiece
 from girder.llm.secret_scan import OP5_SQL, op5_secret_scan
 from girder.llm.simhash import op3_simhash
+from girder.llm.url_filter import op4_url_filter
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_personal_data": op2_personal_data,
     "op3_simhash": op3_simhash,
+    "op4_url_filter": op4_url_filter,
     "op5_secret_scan": op5_secret_scan,
     "op7_decontamination": op7_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
