@@ -8,6 +8,7 @@ from girder.llm.pii import op2_personal_data
 from girder.llm.pieces import op8_sentencepiece
 from girder.llm.secret_scan import OP5_SQL, op5_secret_scan
 from girder.llm.simhash import op3_simhash
+from girder.llm.substring import OP6_SQL, op6_substring_dedup
 from girder.llm.url_filter import op4_url_filter
 
 QUERIES = {
@@ -16,11 +17,13 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_url_filter": op4_url_filter,
     "op5_secret_scan": op5_secret_scan,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
     "op5_secret_scan": OP5_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op7_decontamination": OP7_SQL,
 }
