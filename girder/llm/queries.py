@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from girder.llm.decontam import OP7_SQL, op7_decontamination
+from girder.llm.fingerprint import op10_fingerprints
 from girder.llm.langid import op1_language_id
 from girder.llm.pii import op2_personal_data
 from girder.llm.pieces import op8_sentencepiece
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
