@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.shared import fresh, table
+from girder.llm.shared import fresh, partitions, table
 from girder.llm.spans import joined, matches, placed
 
 #: Kinds, their patterns and the tests that a match must pass.
@@ -71,8 +71,11 @@ def scan_unseen(history: DataFrame, ledger: DataFrame | None = None, path: str =
     todo = paths.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         todo = todo.join(ledger.filter(F.col("rule_version") == version), "blob", "left_anti")
-    todo = todo.select(F.col("blob").alias("b"), F.col("path").alias("p"))
-    copies = named.join(todo, (F.col("path").eqNullSafe(F.col("p"))) & (F.col("blob") == F.col("b")), "left_semi")
+    # dealt by path, as the copies of one blob would all meet if dealt by blob
+    key = F.xxhash64(F.col("path")).alias("key")
+    todo = todo.select(key, "blob").repartition(partitions(history.sparkSession), "key")
+    dealt = named.select(key, "blob", "text").repartition(partitions(history.sparkSession), "key")
+    copies = dealt.join(todo, ["key", "blob"], "left_semi")
     new = found_in(copies.select("blob", "text"), "text", rules).dropDuplicates(["blob"])
     return paths, new.select("blob", F.lit(version).alias("rule_version"), "found")
 
