@@ -46,12 +46,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from girder.llm.flat import BYTE_VALUES, NOT_SPACE, SEQ_BASE, U64, covered, mix, ragged, span_hashes, text_slices, window_hashes, words
-from girder.llm.shared import partitions, table
+from girder.llm.shared import checkpointed, partitions, table
 
 WINDOW = 20
 SEED = 6
 #: Runs or windows that a task holds to drop its own repeats; more are sent in several portions.
-PORTION = 2_000_000
+PORTION = 400_000
 NULL_ID = -(1 << 63)
 
 
@@ -260,11 +260,14 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     runs = plain.mapInArrow(_runs(window, seed, False), KEYED)
     by_anchor = Window.partitionBy("k0")
     met = runs.select("*", F.min("doc").over(Window.partitionBy("k0", "k1").orderBy("doc")).alias("least"), (F.min("k1").over(by_anchor) != F.max("k1").over(by_anchor)).alias("several"))
-    repeated = met.filter(F.col("doc") > F.col("least")).select("doc", "start", "n")
+    again = F.col("doc") > F.col("least")
+    # most anchors stand once in the corpus; the rest is kept, as it is needed twice
+    met = checkpointed(met.filter(again | F.col("several")).select("doc", "start", "n", again.alias("again")))
+    repeated = met.filter("again").select("doc", "start", "n")
     local = plain.mapInArrow(_runs(window, seed, True), PLACED)
     # extension: the windows of first runs, by their own hashes
     packed = plain.mapInArrow(_packed, "doc long, packed binary").repartition(partitions(spark), "doc")
-    open_runs = met.filter((F.col("doc") == F.col("least")) & F.col("several"))
+    open_runs = met.filter("NOT again")
     wanted = open_runs.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
     extended = packed.join(wanted, F.col("doc") == F.col("d")).select("doc", "packed", "at")
     windows = extended.mapInArrow(_windows(window, seed, False), "k0 long, doc long, start int, n int")
