@@ -10,6 +10,7 @@ from girder.llm.pieces import op8_sentencepiece
 from girder.llm.secret_scan import OP5_SQL, op5_secret_scan
 from girder.llm.simhash import op3_simhash
 from girder.llm.substring import OP6_SQL, op6_substring_dedup
+from girder.llm.token_count import op9_token_counts
 from girder.llm.url_filter import op4_url_filter
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
 }
 
