@@ -7,7 +7,7 @@ host's labels, each split into dictionary words by a unigram Viterbi search
 ("cheappillsonline" gives three), and from the path's parts.
 
 The dictionary is counted over all pages (the words of titles and the parts of
-urls) and keeps its DICTIONARY most frequent words.  Naive Bayes counts go to
+urls) and keeps its most frequent words, DICTIONARY at most.  Naive Bayes counts go to
 FEATURES hashed buckets.  So both models have a size that does not grow with the
 pages, and one pass over the urls applies them.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from girder.llm.flat import BYTE_VALUES, span_hashes
-from girder.llm.shared import table
+from girder.llm.shared import checkpointed, table
 
 #: Verdict, host and path prefix of the rules.
 RULES = (
@@ -68,8 +68,16 @@ def dictionary(pages: DataFrame, url: str = "url", html: str | None = "html", si
     """Counts of the most frequent words of titles and urls over all pages."""
     text = F.col(url) if html is None else F.concat_ws(" ", F.regexp_extract(F.col(html), r"(?is)<title[^>]*>(.{0,2000}?)</title>", 1), F.col(url))
     words = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).filter(F.length("word").between(2, LONGEST_WORD))
-    counts = words.groupBy("word").count()
-    return {r[0]: r[1] for r in counts.orderBy(F.desc("count"), "word").limit(size).collect()}
+    counts = checkpointed(words.groupBy("word").count())
+    # the lowest frequency class (an eighth of a power of two) down to which the words still fit
+    kind = F.floor(8 * F.log2("count"))
+    fits, least = 0, None
+    for r in counts.groupBy(kind.alias("kind")).agg(F.count("word").alias("n")).orderBy(F.desc("kind")).collect():
+        fits += r.n
+        if fits > size:
+            break
+        least = r.kind
+    return {r[0]: r[1] for r in counts.filter(kind >= least).collect()} if least is not None else {}
 
 
 class Segmenter:
