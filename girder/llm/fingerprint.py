@@ -44,6 +44,7 @@ WIDTH = 64
 EMPTY = np.uint32(0xFFFFFFFF)
 ROUNDS = 3
 SLICE_CHARS = 1 << 19
+RANGES = 6
 NULL_ID = -(1 << 63)
 
 
@@ -149,7 +150,7 @@ def edited(text: str, following: str) -> str:
 
 
 def _cuts(docs: DataFrame, parts: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Borders of id ranges (one a partition), and the range where each range's largest id is also
+    """Borders of so many id ranges, and the range where each range's largest id is also
     needed: the one before it, by descending ids."""
     ids = docs.select("doc")
     shares = [i / parts for i in range(1, parts)]
@@ -179,7 +180,8 @@ def with_following(docs: DataFrame) -> DataFrame:
     """(part, guest, doc, n, fp, packed, tie): the documents dealt by ranges of ids, where each range
     also gets, as a guest, the first document of the range after it (the last one that of the first)."""
     spark = docs.sparkSession
-    cuts, guests = _cuts(docs, partitions(spark))
+    # several ranges a partition even out what the hash of ranges deals to each
+    cuts, guests = _cuts(docs, RANGES * partitions(spark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
