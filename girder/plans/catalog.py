@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from girder.plans import evaluation, lookups, pricing, quantities, relational, textual  # noqa: F401  each notes its queries down
+from girder.plans import drawings, evaluation, lookups, pricing, quantities, relational, textual  # noqa: F401  each notes its queries down
 from girder.plans.registry import ORACLES, QUERIES  # noqa: F401
