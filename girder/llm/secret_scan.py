@@ -87,13 +87,17 @@ def findings_by_path(paths: DataFrame, ledger: DataFrame, version: str = VERSION
     return paths.join(hits, "blob", "left").withColumn("found", F.coalesce("found", none))
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, path: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced by a mark; a text without any is left as it is."""
-    blob, found = fresh(docs, "blob", "found")
-    hashed = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    _, new = scan_unseen(docs.select(F.xxhash64(text).alias("doc_id"), F.col(text).alias("text")))
+    parts = partitions(docs.sparkSession)
+    key, blob, found = fresh(docs, "key", "blob", "found")
+    content = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
+    _, new = scan_unseen(docs, None, path, text)
     hits = new.filter(F.size("found") > 0).select(F.col("blob").alias(blob), F.col("found").alias(found))
-    out = hashed.join(hits, blob, "left")
+    # findings go to the paths first, which are small, and with these to the texts
+    own = docs.select(F.xxhash64(path).alias(key), content.alias(blob)).join(hits, blob).dropDuplicates([key, blob])
+    dealt = docs.withColumns({key: F.xxhash64(path), blob: content}).repartition(parts, key)
+    out = dealt.join(own.repartition(parts, key), [key, blob], "left")
 
     def cut(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
