@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.shared import fresh, partitions, table
+from girder.llm.shared import checkpointed, fresh, table
 from girder.llm.spans import joined, matches, placed
 
 #: Kinds, their patterns and the tests that a match must pass.
@@ -71,13 +71,11 @@ def scan_unseen(history: DataFrame, ledger: DataFrame | None = None, path: str =
     todo = paths.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         todo = todo.join(ledger.filter(F.col("rule_version") == version), "blob", "left_anti")
-    # dealt by path, as the copies of one blob would all meet if dealt by blob
-    key = F.xxhash64(F.col("path")).alias("key")
-    todo = todo.select(key, "blob").repartition(partitions(history.sparkSession), "key")
-    dealt = named.select(key, "blob", "text").repartition(partitions(history.sparkSession), "key")
-    copies = dealt.join(todo, ["key", "blob"], "left_semi")
+    todo = todo.select(F.col("blob").alias("b"), F.col("path").alias("p"))
+    copies = named.join(todo, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")), "left_semi")
     new = found_in(copies.select("blob", "text"), "text", rules).dropDuplicates(["blob"])
-    return paths, new.select("blob", F.lit(version).alias("rule_version"), "found")
+    # the ledger is a table of its own: paths then meet it in a join whose hot blobs Spark can split
+    return paths, checkpointed(new.select("blob", F.lit(version).alias("rule_version"), "found"))
 
 
 def findings_by_path(paths: DataFrame, ledger: DataFrame, version: str = VERSION) -> DataFrame:
@@ -89,15 +87,15 @@ def findings_by_path(paths: DataFrame, ledger: DataFrame, version: str = VERSION
 
 def redact(docs: DataFrame, path: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced by a mark; a text without any is left as it is."""
-    parts = partitions(docs.sparkSession)
-    key, blob, found = fresh(docs, "key", "blob", "found")
+    row, found = fresh(docs, "row", "found")
+    # one key for id and content, so that texts move once
     content = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
-    _, new = scan_unseen(docs, None, path, text)
-    hits = new.filter(F.size("found") > 0).select(F.col("blob").alias(blob), F.col("found").alias(found))
+    key = F.concat_ws(":", F.col(path).cast("string"), content)
+    paths, new = scan_unseen(docs, None, path, text)
+    hits = new.filter(F.size("found") > 0).select("blob", F.col("found").alias(found))
     # findings go to the paths first, which are small, and with these to the texts
-    own = docs.select(F.xxhash64(path).alias(key), content.alias(blob)).join(hits, blob).dropDuplicates([key, blob])
-    dealt = docs.withColumns({key: F.xxhash64(path), blob: content}).repartition(parts, key)
-    out = dealt.join(own.repartition(parts, key), [key, blob], "left")
+    own = paths.join(hits, "blob").select(F.concat_ws(":", F.col("path").cast("string"), "blob").alias(row), found).dropDuplicates([row])
+    out = docs.withColumn(row, key).join(own, row, "left")
 
     def cut(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
