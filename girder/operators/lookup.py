@@ -56,24 +56,25 @@ def overlap(lo: Column, hi: Column, lo2: Column, hi2: Column) -> Column:
 def near_pairs(points: DataFrame, keys: list[str], x: str, y: str, row: str, radius: float) -> DataFrame:
     """(a, b) of points with equal keys whose coordinates differ by radius at most on both axes, a < b.
 
-    Points meet in square cells twice as wide as the radius: one side stands in its own
+    Points meet in square cells wider than twice the radius: one side stands in its own
     cell, the other in those that its square reaches (at most four).
     """
-    size = 2.0 * radius
+    # the reach is a trifle wider than the radius, so that rounding can't part two points; the filter decides
+    size, reach_by = 2.5 * radius, radius * (1 + 1e-6)
     cell = lambda c: F.floor(c / size)
     own = points.select(*keys, F.col(row).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), cell(F.col(x)).alias("cx"), cell(F.col(y)).alias("cy"))
     reach = points.select(
         *keys, F.col(row).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"),
-        F.explode(F.array_distinct(F.array(cell(F.col(x) - radius), cell(F.col(x) + radius)))).alias("cx"), F.col(y).alias("__y"),
+        F.explode(F.array_distinct(F.array(cell(F.col(x) - reach_by), cell(F.col(x) + reach_by)))).alias("cx"), F.col(y).alias("__y"),
     )
-    reach = reach.withColumn("cy", F.explode(F.array_distinct(F.array(cell(F.col("__y") - radius), cell(F.col("__y") + radius))))).drop("__y")
+    reach = reach.withColumn("cy", F.explode(F.array_distinct(F.array(cell(F.col("__y") - reach_by), cell(F.col("__y") + reach_by))))).drop("__y")
     near = (F.abs(F.col("ax") - F.col("bx")) <= radius) & (F.abs(F.col("ay") - F.col("by")) <= radius) & (F.col("a") < F.col("b"))
     return own.join(reach, [*keys, "cx", "cy"]).filter(near).select("a", "b")
 
 
 def overlapping_runs(runs: DataFrame, keys: list[str], row: str, offset: str, lo: str, hi: str, tolerance: float) -> DataFrame:
     """(a, b, shared) of runs on nearly the same line (offsets within tolerance) that share more than tolerance of their extents, a < b."""
-    cell = lambda c: F.floor(c / tolerance)
+    cell = lambda c: F.floor(c / (tolerance * (1 + 1e-6)))
     own = runs.select(*keys, F.col(row).alias("a"), F.col(offset).alias("ao"), F.col(lo).alias("al"), F.col(hi).alias("ah"), cell(F.col(offset)).alias("cell"))
     other = runs.select(*keys, F.col(row).alias("b"), F.col(offset).alias("bo"), F.col(lo).alias("bl"), F.col(hi).alias("bh"), F.explode(F.array(*[cell(F.col(offset)) + d for d in (-1, 0, 1)])).alias("cell"))
     shared = F.least("ah", "bh") - F.greatest("al", "bl")
