@@ -208,12 +208,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """docs without those that have an earlier document in their component; of rows with one id and text one stays."""
     found = groups(docs, doc_id, text, shingle, radius)
-    parts, (key,) = partitions(docs.sparkSession), fresh(docs, "key")
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.xxhash64("doc_id").alias(key), F.col("doc_id").alias("__keep")).distinct()
-    # dealt once, by a hash of the id, for the join and for repeated rows
-    dealt = docs.withColumn(key, F.xxhash64(doc_id)).repartition(parts, key)
-    kept = dealt.join(first.repartition(parts, key), (dealt[key] == first[key]) & F.col(doc_id).eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates([key, doc_id]).select(*docs.columns)
+    # one key that is never null, so that the join and the search for repeated rows move the texts once
+    (key,) = fresh(docs, "key")
+    ident = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ident("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, ident(doc_id)).join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
