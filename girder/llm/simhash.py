@@ -7,7 +7,7 @@ Linking works on distinct fingerprints, so exact copies cost nothing more.
 Fingerprints are dealt to buckets by bit blocks: `radius` differing bits spoil
 at most `radius` of 2 * radius blocks, so two near fingerprints agree on some
 choice of `radius` whole blocks, and every choice is one bucket key of about 32
-bits.  (Distances to random pivots are concentrated around 32 and could not deal
+bits (more blocks, and longer keys, beyond 2**32 distinct fingerprints).  (Distances to random pivots are concentrated around 32 and could not deal
 the work out by themselves.)  In a bucket the pivot table does the work: the
 Hamming distances to PIVOTS reference fingerprints are computed once, pairs whose
 largest coordinate difference exceeds the radius are discarded by the triangle
@@ -136,9 +136,8 @@ def _link_runs(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = pivots()
         key, fp = np.zeros(0, np.int64), np.zeros(0, U64)
-        pending: list[pa.RecordBatch] = []
 
-        def links(k, f):
+        def linked(k, f):
             for a, b in bucket_links(k, f, radius, refs):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
@@ -150,22 +149,34 @@ def _link_runs(radius: int):
                 continue
             cut = int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
             if cut:
-                yield from links(key[:cut], fp[:cut])
+                yield from linked(key[:cut], fp[:cut])
                 key, fp = key[cut:], fp[cut:]
         if len(key):
-            yield from links(key, fp)
-        del pending
+            yield from linked(key, fp)
 
     return run
 
 
-def links(prints: DataFrame, radius: int = 3) -> DataFrame:
+def block_masks(radius: int, blocks: int) -> list[int]:
+    """Masks of every choice of the blocks that `radius` differing bits can leave whole, as signed integers."""
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    parts = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
+    masks = [sum(c) for c in combinations(parts, blocks - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def blocks_for(n: int, radius: int) -> int:
+    """Blocks enough for keys with a bit for each doubling of n, so that buckets stay small whatever n is."""
+    blocks = 2 * radius
+    while blocks < 64 and 64 * (blocks - radius) / blocks < n.bit_length():
+        blocks += 1
+    return blocks
+
+
+def links(prints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """(a, b) links between the distinct fingerprints in column fp that connect all near ones."""
     spark = prints.sparkSession
-    edges = [round(64 * i / (2 * radius)) for i in range(2 * radius + 1)]
-    blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
-    masks = [sum(c) for c in combinations(blocks, radius)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    masks = block_masks(radius, blocks or blocks_for(prints.count(), radius))
     keyed = prints.select(F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("key"), "fp")
     dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(_link_runs(radius), "a long, b long").distinct()

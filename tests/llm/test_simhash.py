@@ -79,6 +79,9 @@ def test_links_connect_dense_and_chained_groups(spark):
     df = spark.createDataFrame(signed, "fp long")
     edges = simhash.links(df)
     assert edges.count() <= 20 * len(prints)
+    longer = {tuple(r) for r in simhash.components(simhash.links(df, 3, 8)).collect()}
+    assert longer == {tuple(r) for r in simhash.components(edges).collect()}
+    assert [simhash.blocks_for(n, 3) for n in (0, 1000, 1 << 31, 1 << 40)] == [6, 6, 6, 9]
     roots = {r.node % (1 << 64): r.root for r in simhash.components(edges).collect()}
     label = [roots.get(p, int(np.uint64(p).view(np.int64))) for p in prints]
     groups, expect = {}, {}
