@@ -28,9 +28,9 @@ group sends one row a task and not one a document.  Texts travel compressed.
 Sequences are compared by 64-bit hashes of their words.
 
 Cases: null, empty and blank texts have no words; texts of fewer words than a
-window are kept; rows with equal ids are neither earlier than the other; rows
-with a null id stand before all others, on the same terms; a text of any length
-is one unit; an empty table gives an empty result.
+window are kept; rows with equal ids are judged each by itself, neither being
+earlier than the other; rows with a null id stand before all others, on the same
+terms; a text of any length is one unit; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -116,37 +116,44 @@ class Slice:
         return self.whole[again]
 
 
-def ids_of(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(0).cast(pa.int64()).fill_null(NULL_ID).to_numpy()
+def ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of rows, and what tells rows with one id apart."""
+    return batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
 
 
-def first_of_task(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def first_of_task(keys: list[np.ndarray], doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows to send on, those with the smallest document of equal keys; and rows that repeat a smaller document's."""
-    order = np.lexsort([start, doc, *keys[::-1]])
-    same = np.ones(len(order) - 1, bool) if len(order) else np.zeros(0, bool)
+    order = np.lexsort([start, tie, doc, *keys[::-1]])
+    if not len(order):
+        return order, order
+    same = np.ones(len(order) - 1, bool)
     for k in keys:
         same &= k[order[1:]] == k[order[:-1]]
-    new = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
+    new = np.concatenate([[True], ~same])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    later = doc[order] > doc[order][lead]
-    return order[new], order[later]
+    least = doc[order][lead]
+    later = doc[order] > least
+    # of one row's own occurrences the first is enough: the others repeat it anyway
+    other = np.concatenate([[True], (tie[order[1:]] != tie[order[:-1]]) | ~same])
+    return order[~later & other], order[later]
 
 
 Rows = tuple[np.ndarray, ...]
+PLACE = ("doc", "tie", "start", "n")
 
 
 def _portions(batches: Iterator[pa.RecordBatch], rows_of: Callable[[pa.RecordBatch], Iterator[Rows]], repeats: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, ..., doc, start, n) of a task without its own repeats, or those repeats."""
+    """Rows (key, ..., doc, tie, start, n) of a task without its own repeats, or those repeats."""
 
     def send(held: list[Rows]) -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate(c) for c in zip(*held)]
-        *keys, doc, start, n = columns
-        send_on, again = first_of_task(keys, doc, start)
+        *keys, doc, tie, start, n = (np.concatenate(c) for c in zip(*held))
+        send_on, again = first_of_task(keys, doc, tie, start)
         if repeats:
             if len(again):
-                yield _merged(doc[again], start[again], n[again])
+                yield _merged(doc[again], tie[again], start[again], n[again])
         elif len(send_on):
-            yield pa.RecordBatch.from_arrays([pa.array(k[send_on].view(np.int64)) for k in keys] + [pa.array(doc[send_on]), pa.array(start[send_on].astype(np.int32)), pa.array(n[send_on].astype(np.int32))], names=[*[f"k{i}" for i in range(len(keys))], "doc", "start", "n"])
+            place = [pa.array(doc[send_on]), pa.array(tie[send_on]), pa.array(start[send_on].astype(np.int32)), pa.array(n[send_on].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(k[send_on].view(np.int64)) for k in keys] + place, names=[*[f"k{i}" for i in range(len(keys))], *PLACE])
 
     held, size = [], 0
     for batch in batches:
@@ -160,22 +167,22 @@ def _portions(batches: Iterator[pa.RecordBatch], rows_of: Callable[[pa.RecordBat
         yield from send(held)
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _merged(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Intervals of windows, adjoining ones of a document in one row."""
-    order = np.lexsort([start, doc])
-    doc, start, stop = doc[order], start[order], (start + n)[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])])
+    order = np.lexsort([start, tie, doc])
+    doc, tie, start, stop = doc[order], tie[order], start[order], (start + n)[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] > stop[:-1])])
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(doc)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(start[at].astype(np.int32)), pa.array((stop[last] - start[at]).astype(np.int32))], names=["doc", "start", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(tie[at]), pa.array(start[at].astype(np.int32)), pa.array((stop[last] - start[at]).astype(np.int32))], names=list(PLACE))
 
 
 def _runs(window: int, seed: int, repeats: bool):
     def rows_of(batch: pa.RecordBatch) -> Iterator[Rows]:
-        ids = ids_of(batch)
+        ids, ties = ids_of(batch)
         for lo, _, data, offsets in text_slices(batch, "text"):
             doc, start, size, anchor, context = Slice(data, offsets, window, seed).runs()
-            yield anchor, context, ids[lo + doc], start, size
+            yield anchor, context, ids[lo + doc], ties[lo + doc], start, size
 
     return lambda batches: _portions(batches, rows_of, repeats)
 
@@ -185,13 +192,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         texts = batch.column("text").cast(pa.large_binary()).fill_null(b"")
-        yield pa.RecordBatch.from_arrays([pa.array(ids_of(batch)), pa.array([pack.compress(t.as_buffer()) for t in texts], pa.binary())], names=["doc", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tie"), pa.array([pack.compress(t.as_buffer()) for t in texts], pa.binary())], names=["doc", "tie", "packed"])
 
 
 def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
     unpack = zstandard.ZstdDecompressor()
     texts = pa.array([unpack.decompress(x.as_buffer()) for x in batch.column("packed")], pa.large_binary()).cast(pa.large_utf8())
-    return pa.RecordBatch.from_arrays([batch.column("doc"), texts, batch.column("at")], names=["doc", "text", "at"])
+    return pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tie"), texts, batch.column("at")], names=["doc", "tie", "text", "at"])
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -213,14 +220,14 @@ def _windows(window: int, seed: int, repeats: bool):
     """The windows of the runs that are to be extended."""
 
     def rows_of(batch: pa.RecordBatch) -> Iterator[Rows]:
-        ids = ids_of(batch)
+        ids, ties = ids_of(batch)
         for lo, hi, data, offsets in text_slices(batch, "text"):
             s = Slice(data, offsets, window, seed)
             doc, start, n = _intervals(batch, lo, hi)
             at = np.repeat(doc, n)
             start = ragged(start, n)
             h = window_hashes(s.hashes, window)[s.bound[at] + start]
-            yield h, ids[lo + at], start, np.ones(len(start), np.int64)
+            yield h, ids[lo + at], ties[lo + at], start, np.ones(len(start), np.int64)
 
     return lambda batches: _portions(_small(batches), rows_of, repeats)
 
@@ -248,35 +255,36 @@ def _removed(window: int, seed: int):
     return run
 
 
-KEYED = "k0 long, k1 long, doc long, start int, n int"
-PLACED = "doc long, start int, n int"
+PLACED = "doc long, tie long, start int, n int"
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of each document."""
-    spark = docs.sparkSession
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    parts = partitions(docs.sparkSession)
+    plain = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text).cast("string").alias("text"))
+    # where ids repeat, a hash of the text tells their rows apart; else nothing has to be sent for that
+    repeated_ids = plain.groupBy("doc").count().filter("count > 1").limit(1).count() > 0
+    plain = plain.select("doc", (F.xxhash64("text") if repeated_ids else F.lit(0).cast("long")).alias("tie"), "text")
     # seeds: runs that meet by anchor
-    runs = plain.mapInArrow(_runs(window, seed, False), KEYED)
+    runs = plain.mapInArrow(_runs(window, seed, False), f"k0 long, k1 long, {PLACED}")
     by_anchor = Window.partitionBy("k0")
     met = runs.select("*", F.min("doc").over(Window.partitionBy("k0", "k1").orderBy("doc")).alias("least"), (F.min("k1").over(by_anchor) != F.max("k1").over(by_anchor)).alias("several"))
     again = F.col("doc") > F.col("least")
     # most anchors stand once in the corpus; the rest is kept, as it is needed twice
-    met = checkpointed(met.filter(again | F.col("several")).select("doc", "start", "n", again.alias("again")))
-    repeated = met.filter("again").select("doc", "start", "n")
+    met = checkpointed(met.filter(again | F.col("several")).select(*PLACE, again.alias("again")))
+    repeated = met.filter("again").select(*PLACE)
     local = plain.mapInArrow(_runs(window, seed, True), PLACED)
     # extension: the windows of first runs, by their own hashes
-    packed = plain.mapInArrow(_packed, "doc long, packed binary").repartition(partitions(spark), "doc")
-    open_runs = met.filter("NOT again")
-    wanted = open_runs.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
-    extended = packed.join(wanted, F.col("doc") == F.col("d")).select("doc", "packed", "at")
-    windows = extended.mapInArrow(_windows(window, seed, False), "k0 long, doc long, start int, n int")
-    again = windows.select("doc", "start", "n", F.min("doc").over(Window.partitionBy("k0").orderBy("doc")).alias("least")).filter("doc > least").select("doc", "start", "n")
+    packed = plain.mapInArrow(_packed, "doc long, tie long, packed binary").repartition(parts, "doc", "tie")
+    spans = F.collect_list(F.struct("start", "n")).alias("at")
+    extended = packed.join(met.filter("NOT again").groupBy("doc", "tie").agg(spans), ["doc", "tie"])
+    windows = extended.mapInArrow(_windows(window, seed, False), f"k0 long, {PLACED}")
+    again = windows.select(*PLACE, F.min("doc").over(Window.partitionBy("k0").orderBy("doc")).alias("least")).filter("doc > least").select(*PLACE)
     local_again = extended.mapInArrow(_windows(window, seed, True), PLACED)
     # all repeats of a document, in one list
-    gone = local.union(repeated).union(again).union(local_again).groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
+    gone = local.union(repeated).union(again).union(local_again).groupBy("doc", "tie").agg(spans)
     none = F.array().cast(gone.schema["at"].dataType)
-    with_gone = packed.join(gone, F.col("doc") == F.col("d"), "left").select("doc", "packed", F.coalesce("at", none).alias("at"))
+    with_gone = packed.join(gone, ["doc", "tie"], "left").select("doc", "tie", "packed", F.coalesce("at", none).alias("at"))
     out = with_gone.mapInArrow(_removed(window, seed), "doc long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
 

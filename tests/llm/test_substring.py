@@ -79,3 +79,8 @@ def test_equal_and_null_ids_and_empty_table(spark):
     rows = sorted((r.doc_id if r.doc_id is not None else -1, r.n_removed) for r in S.deduplicated(df).collect())
     assert rows == [(-1, 0), (1, 30), (1, 30), (2, 30)]
     assert S.deduplicated(df.limit(0)).count() == 0
+    # rows that share an id but not the text keep their own places
+    other = " ".join(f"v{i}" for i in range(200))
+    df = spark.createDataFrame([(0, text), (1, other), (1, text + " " + other), (1, "short"), (3, " ".join(other.split()[:100]) + " x")], "doc_id long, text string").repartition(3)
+    rows = sorted((r.doc_id, r.n_words, r.n_removed) for r in S.deduplicated(df).collect())
+    assert rows == [(0, 30, 0), (1, 1, 0), (1, 200, 0), (1, 230, 30), (3, 101, 100)]
