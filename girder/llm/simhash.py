@@ -205,25 +205,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of each document."""
-    prints = checkpointed(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle))
+    """(doc_id, content, fp, root, component_id) of each document; content is a hash of the text, root the smallest
+    fingerprint of the component."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
+    prints = checkpointed(fingerprints(rows, "text", shingle))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(distinct.select("fp"), radius))
     linked = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
     member = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    label = member.join(smallest, "root").select("fp", "component_id")
+    label = member.join(smallest, "root").select("fp", "root", "component_id")
     return prints.join(label, "fp")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """docs without those that have an earlier document in their component; of rows with one id and text one stays."""
+    """docs without those that have an earlier document in their component; of several rows with its first id one stays."""
     found = groups(docs, doc_id, text, shingle, radius)
-    # one key that is never null, so that the join and the search for repeated rows move the texts once
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("component_id").alias("doc_id"), F.min("content").alias("content"))
+    # one key of id and text, so that the join and the search for repeated rows move the texts once
     (key,) = fresh(docs, "key")
-    ident = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ident("doc_id").alias(key)).distinct()
-    return docs.withColumn(key, ident(doc_id)).join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    of = lambda ident, content: F.concat_ws(":", F.col(ident).cast("string"), content.cast("string"))
+    first = first.select(of("doc_id", F.col("content")).alias(key)).distinct()
+    return docs.withColumn(key, of(doc_id, F.xxhash64(text))).join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

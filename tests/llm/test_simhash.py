@@ -98,3 +98,8 @@ def test_keep_first_and_edges(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
     assert simhash.groups(df.limit(0)).count() == 0
+    # rows that share an id but not the text belong to groups of their own
+    rows = [(0, "a b c d"), (1, "a b c d"), (1, "totally other words here"), (1, "Totally other words here"), (None, "z z z z"), (None, "q r s t u v")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.text.lower()) for r in kept if r.doc_id is not None) == [(False, 0, "a b c d"), (False, 1, "totally other words here")]
+    assert sorted(r.text for r in kept if r.doc_id is None) == ["q r s t u v", "z z z z"]
