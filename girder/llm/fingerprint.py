@@ -44,7 +44,7 @@ WIDTH = 64
 EMPTY = np.uint32(0xFFFFFFFF)
 ROUNDS = 3
 SLICE_CHARS = 1 << 19
-RANGES = 6
+RANGES = 32
 NULL_ID = -(1 << 63)
 
 
