@@ -16,6 +16,49 @@ def clauses(lines: DataFrame, document: str, order: str, text: str) -> DataFrame
     return rows.groupBy(document, "clause").agg(F.max("__number").alias("number"), F.array_join(F.transform(parts, lambda p: p["t"]), "\n").alias("text"))
 
 
+def numbered_clauses(paragraphs: DataFrame, document: str, order: str, style: str, text: str) -> DataFrame:
+    """(document, ordinal, number, heading, text): clauses of text files, by their numbers and styles.
+
+    A numbered paragraph in a heading style starts a clause.  One in another style does so
+    if its number has several parts and an earlier clause is its parent or a sibling (or
+    there is none yet), so that quantities ("50 mm pipes") start none.  Other paragraphs go to the
+    last clause; those before the first are left out.
+    """
+    pattern = r"^\s*(\d{1,3}(?:\.\d{1,3}){0,5})\.?\s+(\S.*)$"
+    number, rest = (F.nullif(F.regexp_extract(text, pattern, g), F.lit("")) for g in (1, 2))
+    heading = F.coalesce(F.lower(style).startswith("heading"), F.lit(False))
+    rows = paragraphs.filter(F.col(text).isNotNull()).select(document, F.col(order).alias("__order"), number.alias("__number"), rest.alias("__rest"), heading.alias("__heading"), F.col(text).alias("__text"))
+    column = rows.schema[document].dataType
+
+    def starts(pdf):
+        import pandas as pd
+
+        pdf, known, begins = pdf.sort_values("__order", kind="stable"), set(), []
+        for n, head in zip(pdf["__number"], pdf["__heading"]):
+            parent = n.rpartition(".")[0] if n else ""
+            ok = bool(n) and (head or (bool(parent) and (not known or parent in known)))
+            if ok:
+                # a clause stands for itself and for the parent of its siblings
+                known |= {n, parent or n}
+            begins.append(ok)
+        return pd.DataFrame({document: pdf[document], "__order": pdf["__order"], "__starts": begins})
+
+    # of each paragraph only its number and style go to Python
+    marks = rows.select(document, "__order", "__number", "__heading")
+    fields = f"`{document}` {column.simpleString()}, __order {rows.schema['__order'].dataType.simpleString()}, __starts boolean"
+    found = marks.groupBy(document).applyInPandas(starts, fields)
+    w = Window.partitionBy(document).orderBy("__order").rowsBetween(Window.unboundedPreceding, 0)
+    lines = rows.join(found, [document, "__order"]).withColumn("ordinal", F.count_if("__starts").over(w) - 1).filter("ordinal >= 0")
+    said = F.when(~F.col("__starts"), F.col("__text")).when(~F.col("__heading"), F.col("__rest"))
+    parts = F.array_sort(F.collect_list(F.when(said.isNotNull(), F.struct(F.col("__order").alias("o"), said.alias("t")))))
+    first = lambda c: F.max(F.when(F.col("__starts"), c))
+    return lines.groupBy(document, "ordinal").agg(
+        first(F.col("__number")).alias("number"),
+        F.coalesce(first(F.when(F.col("__heading"), F.col("__rest"))), F.lit("")).alias("heading"),
+        F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("text"),
+    )
+
+
 def validated(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """rows with problems, the messages of all checks that fail (a null check fails)."""
     found = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(message)) for message, ok in checks.items()]))

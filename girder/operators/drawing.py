@@ -7,6 +7,8 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from girder.operators.lookup import components
+
 
 def segments(polylines: DataFrame, points: str, closed: str) -> DataFrame:
     """One row a segment of polylines given as x0, y0, x1, y1, ..; a closed one gets the segment back to its start."""
@@ -107,6 +109,74 @@ def heads(rooms: DataFrame, width: str, depth: str, spacing: int, area: float) -
     return out.withColumn("rows", F.greatest("rows", F.ceil(more / F.col("columns")).cast("long"))).withColumn("heads", F.col("columns") * F.col("rows"))
 
 
+def on_side(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column, side: Column) -> Column:
+    """Whether a point is on the given side (1 or -1) of the line from a to b, or on it."""
+    return ((bx - ax) * (y - ay) - (by - ay) * (x - ax)) * side >= 0
+
+
+def in_scope(points: DataFrame, match_lines: DataFrame, sheet: str) -> DataFrame:
+    """Points (sheet, x, y) that are on the kept side of every match line (sheet, ax, ay, bx, by, side) of their sheet."""
+    names = ("ax", "ay", "bx", "by", "side")
+    by_sheet = match_lines.groupBy(sheet).agg(F.collect_list(F.struct(*names)).alias("__lines"))
+    fits = F.forall("__lines", lambda m: on_side(F.col("x"), F.col("y"), *(m[c] for c in names)))
+    return points.join(by_sheet, sheet, "left").filter(F.coalesce(fits, F.lit(True))).drop("__lines")
+
+
+def rooms(walls: DataFrame, sheets: DataFrame, sheet: str, cell: float, checkpoint, least: int = 2) -> DataFrame:
+    """(sheet, room, cells, minx, miny, maxx, maxy): enclosed spaces of sheets, in cells of a raster.
+
+    walls: sheet, x0, y0, x1, y1.  sheets: sheet, minx, miny, maxx, maxy.  A wall blocks the
+    cells that it passes.  Free cells next to each other in a row form stretches, stretches
+    that touch in neighbouring rows connect, and a connected space that doesn't reach the
+    sheet's edge and has at least `least` cells is a room.  All sheets are filled at once,
+    by joins.
+    """
+    at = lambda v: F.floor(v / cell).cast("long")
+    grid = sheets.select(sheet, *(at(F.col(c)).alias(c) for c in ("minx", "miny", "maxx", "maxy")))
+    # points along a wall, half a cell apart at most
+    steps = F.greatest(F.lit(1), F.ceil(2 * F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))) / cell)).cast("long")
+    along = walls.withColumn("__n", steps).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n"))))
+    part = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("__k") / F.col("__n")
+    blocked = along.select(sheet, at(part("x0", "x1")).alias("cx"), at(part("y0", "y1")).alias("cy")).distinct()
+    inside = blocked.join(grid, sheet).filter("cx BETWEEN minx AND maxx AND cy BETWEEN miny AND maxy").groupBy(sheet, "cy").agg(F.array_sort(F.collect_set("cx")).alias("walls"))
+    lines = grid.withColumn("cy", F.explode(F.sequence("miny", "maxy"))).join(inside, [sheet, "cy"], "left")
+    ends = F.coalesce("walls", F.array().cast("array<bigint>"))
+    gaps = F.zip_with(F.concat(F.array(F.col("minx") - 1), ends), F.concat(ends, F.array(F.col("maxx") + 1)), lambda a, b: F.struct((a + 1).alias("lo"), (b - 1).alias("hi")))
+    free = lines.select(sheet, "minx", "miny", "maxx", "maxy", "cy", F.explode(F.filter(gaps, lambda g: g["lo"] <= g["hi"])).alias("g"))
+    free = free.select(sheet, "cy", "g.lo", "g.hi", ((F.col("g.lo") == F.col("minx")) | (F.col("g.hi") == F.col("maxx")) | (F.col("cy") == F.col("miny")) | (F.col("cy") == F.col("maxy"))).alias("open"))
+    free = checkpoint(free.withColumn("node", F.concat_ws(":", F.col(sheet).cast("string"), "cy", "lo")))
+    below = free.select(sheet, (F.col("cy") - 1).alias("cy"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("node").alias("b"))
+    touch = free.join(below, [sheet, "cy"]).filter("lo <= hi2 AND lo2 <= hi").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    spaces = free.join(components(touch, checkpoint), "node", "left").withColumn("room", F.coalesce("root", "node"))
+    found = spaces.groupBy(sheet, "room").agg(F.max("open").alias("open"), F.sum(F.col("hi") - F.col("lo") + 1).alias("cells"), F.min("lo").alias("minx"), F.min("cy").alias("miny"), F.max("hi").alias("maxx"), F.max("cy").alias("maxy"))
+    return found.filter((~F.col("open")) & (F.col("cells") >= least)).drop("open")
+
+
+#: What a note states about the heads of a sheet.
+CRITERIA = {
+    "spacing": r"(?i)max(?:imum)?\.?\s+spacing\s*[:-]?\s*\(?\s*(\d+(?:\.\d+)?)\s*m\s*[x\u00d7]\s*(\d+(?:\.\d+)?)\s*m",
+    "area": r"(?i)max(?:imum)?\.?\s+area\s+(?:of\s+)?coverage\s+per\s+(?:sprinkler|head)\s*[:-]?\s*(\d+(?:\.\d+)?)\s*m",
+    "heading": r"(?i)criteria|layer|hazard|ceiling height|area of\b(?!\s+operation)",
+}
+
+
+def note_criteria(notes: DataFrame, sheet: str, order: str, text: str) -> DataFrame:
+    """(sheet, title, long_mm, short_mm, area_m2) under each heading of a sheet's notes that states a spacing and an area.
+
+    The first of each under a heading counts; notes above the first heading come under none.
+    """
+    w = Window.partitionBy(sheet).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # a line with a value is no heading, though it may have a heading's words
+    value = F.col(text).rlike(CRITERIA["spacing"]) | F.col(text).rlike(CRITERIA["area"])
+    head = F.when(F.col(text).rlike(CRITERIA["heading"]) & ~value, F.struct(F.col(order).alias("o"), F.regexp_replace(F.trim(text), ":$", "").alias("t")))
+    rows = notes.withColumn("__head", F.last(head, ignorenulls=True).over(w))
+    number = lambda name, g: F.regexp_extract(text, CRITERIA[name], g).try_cast("double")
+    first = lambda c: F.min(F.when(c.isNotNull(), F.struct(F.col(order).alias("o"), c.alias("v"))))["v"]
+    a, b = (first(number("spacing", g)) for g in (1, 2))
+    found = rows.groupBy(sheet, "__head").agg(a.alias("a"), b.alias("b"), first(number("area", 1)).alias("area_m2")).filter("a IS NOT NULL AND area_m2 IS NOT NULL")
+    return found.select(sheet, F.col("__head.t").alias("title"), F.rint(F.greatest("a", "b") * 1000).cast("int").alias("long_mm"), F.rint(F.least("a", "b") * 1000).cast("int").alias("short_mm"), "area_m2")
+
+
 def symbol_score(match: Column, on_network: Column, kept: float = 0.6) -> Column:
     """How sure a symbol is: its match, less where it is on no pipe."""
     return F.round(match * F.when(on_network, 1.0).otherwise(kept), 4)

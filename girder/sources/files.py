@@ -83,7 +83,8 @@ def expand_archives(files: DataFrame, most: int = 2000, total: int = 1 << 30, ra
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
-def _sheet_rows(payload: bytes) -> Iterator[tuple[int, int, list[str]]]:
+def sheet_rows(payload: bytes) -> Iterator[tuple[int, str, int, list[str]]]:
+    """Number and title of the sheet, row and cells of a workbook."""
     with zipfile.ZipFile(io.BytesIO(payload)) as book:
         names = book.namelist()
         shared = []
@@ -91,6 +92,7 @@ def _sheet_rows(payload: bytes) -> Iterator[tuple[int, int, list[str]]]:
             root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in root.findall("m:si", _NS)]
         sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
+        titles = _titles(book)
         for number, sheet in enumerate(sheets, 1):
             for row in ElementTree.fromstring(book.read(sheet)).iter(f"{{{_NS['m']}}}row"):
                 cells: list[str] = []
@@ -107,24 +109,33 @@ def _sheet_rows(payload: bytes) -> Iterator[tuple[int, int, list[str]]]:
                         text = "".join(t.text or "" for t in cell.iter(f"{{{_NS['m']}}}t"))
                     cells += [""] * (column - len(cells))
                     cells[column - 1] = text
-                yield number, int(row.get("r", "0")), cells
+                yield number, titles.get(sheet, ""), int(row.get("r", "0")), cells
+
+
+def _titles(book: zipfile.ZipFile) -> dict[str, str]:
+    """Titles of sheets by their file."""
+    if not {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(book.namelist()):
+        return {}
+    files = {r.get("Id"): r.get("Target", "").removeprefix("/xl/") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    place = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    return {f"xl/{files[s.get(place)]}": s.get("name", "") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{{{_NS['m']}}}sheet") if s.get(place) in files}
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, row, cells) of the workbooks under a path."""
+    """(path, sheet, title, row, cells) of the workbooks under a path."""
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
             for name, payload in zip(batch["path"], batch["content"]):
-                rows = [(name, s, r, c) for s, r, c in _sheet_rows(payload)]
-                yield pd.DataFrame(rows, columns=["path", "sheet", "row", "cells"])
+                rows = [(name, *row) for row in sheet_rows(payload)]
+                yield pd.DataFrame(rows, columns=["path", "sheet", "title", "row", "cells"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sheet int, row int, cells array<string>")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sheet int, title string, row int, cells array<string>")
 
 
-def write_workbook(rows: list[list], path: str) -> None:
+def write_workbook(rows: list[list], path: str, title: str = "Sheet1") -> None:
     """A one-sheet workbook of text cells, for registers of a page or so."""
     from xml.sax.saxutils import escape
 
@@ -141,7 +152,7 @@ def write_workbook(rows: list[list], path: str) -> None:
         book.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
         book.writestr("_rels/.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{escape(title, {chr(34): '&quot;'})}" sheetId="1" r:id="r1"/></sheets></workbook>')
         book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
 
 

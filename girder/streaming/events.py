@@ -93,3 +93,11 @@ def stalled(jobs: DataFrame, workers: DataFrame, now, silent_seconds: int = 300,
     beat = F.col("beat").cast("timestamp") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {silent_seconds} SECONDS")
     doing = jobs.filter("status = 'doing'").join(workers.select("worker", "beat"), "worker", "left").filter(F.col("beat").isNull() | beat)
     return doing.select("job", F.when(F.col("attempts") >= most, "fail").otherwise("retry").alias("action"))
+
+
+def queued_once(jobs: DataFrame, queued: DataFrame, lock: str, order: str) -> DataFrame:
+    """New jobs to queue: of those with one lock the earliest, and none whose lock is queued already.  Jobs without a lock all are."""
+    from girder.operators.lookup import latest
+
+    free = jobs.filter(F.col(lock).isNotNull()).join(queued.filter("status = 'todo'").select(lock).distinct(), lock, "left_anti")
+    return latest(free, [lock], F.asc(order)).unionByName(jobs.filter(F.col(lock).isNull()))
