@@ -36,10 +36,10 @@ def bill_sections(spark, sf_dir) -> DataFrame:
     return D.filled_down(e, "user_id", "o", F.when(F.col("event_type") == "signup", F.col("event_id"))).select("event_id", "section")
 
 
-@query("""WITH r AS (SELECT DISTINCT l_suppkey AS system, l_returnflag AS item FROM lineitem WHERE l_linenumber = 1), p AS (SELECT DISTINCT l_suppkey AS system, l_returnflag AS item FROM lineitem WHERE l_linenumber = 2 AND l_quantity > 25)
+@query("""WITH r AS (SELECT DISTINCT l_partkey AS system, l_returnflag AS item FROM lineitem WHERE l_linenumber = 1), p AS (SELECT DISTINCT l_partkey AS system, l_returnflag AS item FROM lineitem WHERE l_linenumber = 2 AND l_quantity > 25)
 SELECT *, 'required' AS side FROM (SELECT * FROM r EXCEPT SELECT * FROM p) UNION ALL SELECT *, 'present' FROM (SELECT * FROM p EXCEPT SELECT * FROM r)""")
 def missing_items(spark, sf_dir) -> DataFrame:
-    item = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("system"), F.col("l_returnflag").alias("item"), "l_linenumber", "l_quantity")
+    item = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("system"), F.col("l_returnflag").alias("item"), "l_linenumber", "l_quantity")
     return D.missing_both_ways(item.filter("l_linenumber = 1"), item.filter("l_linenumber = 2 AND l_quantity > 25"), ["system", "item"])
 
 

@@ -196,10 +196,10 @@ def neighbour_spacings(spark, sf_dir) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("line"), "spacing")
 
 
-@query("""WITH s AS (SELECT l_partkey AS pair, CAST(l_quantity AS DOUBLE) AS d FROM lineitem) SELECT pair, avg(d) AS spacing FROM s GROUP BY pair HAVING max(d) - min(d) <= 0.3 * max(d)""")
+@query("""WITH s AS (SELECT l_orderkey AS pair, CAST(l_quantity AS DOUBLE) AS d FROM lineitem) SELECT pair, avg(d) AS spacing FROM s GROUP BY pair HAVING max(d) - min(d) <= 0.3 * max(d)""")
 def agreed_spacings(spark, sf_dir) -> DataFrame:
     """Pairs of lines whose known distances agree; disputed pairs drop out."""
-    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pair")).agg(F.avg("l_quantity").alias("spacing"), F.max("l_quantity").alias("hi"), F.min("l_quantity").alias("lo"))
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pair")).agg(F.avg("l_quantity").alias("spacing"), F.max("l_quantity").alias("hi"), F.min("l_quantity").alias("lo"))
     return s.filter("hi - lo <= 0.3 * hi").select("pair", "spacing")
 
 
