@@ -10,24 +10,24 @@ from girder.plans.registry import query
 from girder.sources.tables import table
 
 
-@query("""WITH p AS (SELECT vec_id, embedding, label % 2 = 0 AS closed FROM embeddings WHERE vec_id < 60), s AS (SELECT vec_id, unnest(generate_series(0, CASE WHEN closed THEN 31 ELSE 30 END)) AS part, embedding FROM p)
+@query("""WITH p AS (SELECT vec_id, embedding, label % 2 = 0 AS closed FROM embeddings), s AS (SELECT vec_id, unnest(generate_series(0, CASE WHEN closed THEN 31 ELSE 30 END)) AS part, embedding FROM p)
 SELECT vec_id, CAST(part AS INTEGER) AS part, embedding[2 * part + 1]::DOUBLE AS x0, embedding[2 * part + 2]::DOUBLE AS y0, embedding[2 * ((part + 1) % 32) + 1]::DOUBLE AS x1, embedding[2 * ((part + 1) % 32) + 2]::DOUBLE AS y1 FROM s""")
 def polyline_segments(spark, sf_dir) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").filter("vec_id < 60").select("vec_id", F.col("embedding").cast("array<double>").alias("points"), (F.col("label") % 2 == 0).alias("closed"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("points"), (F.col("label") % 2 == 0).alias("closed"))
     return drawing.segments(v, "points", "closed")
 
 
-_POINTS = "SELECT vec_id AS point, label AS sheet, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE vec_id % 2 = 0"
-_LINES = "SELECT vec_id AS segment, label AS sheet, embedding[3]::DOUBLE AS x0, embedding[4]::DOUBLE AS y0, embedding[5]::DOUBLE AS x1, embedding[6]::DOUBLE AS y1 FROM embeddings WHERE vec_id % 20 = 1"
+_POINTS = "SELECT vec_id AS point, vec_id // 50 AS sheet, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings"
+_LINES = "SELECT vec_id AS segment, vec_id // 50 AS sheet, embedding[3]::DOUBLE AS x0, embedding[4]::DOUBLE AS y0, embedding[5]::DOUBLE AS x1, embedding[6]::DOUBLE AS y1 FROM embeddings"
 
 
 @query(f"""WITH p AS ({_POINTS}), l AS ({_LINES}), j AS (SELECT *, greatest(0.0, least(1.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))) AS t FROM p JOIN l USING (sheet))
 SELECT sheet, point, segment, round(sqrt((x - (x0 + t * (x1 - x0))) ** 2 + (y - (y0 + t * (y1 - y0))) ** 2), 9) AS gap FROM j QUALIFY row_number() OVER (PARTITION BY sheet, point ORDER BY round(sqrt((x - (x0 + t * (x1 - x0))) ** 2 + (y - (y0 + t * (y1 - y0))) ** 2), 9), segment) = 1""")
 def nearest_segments(spark, sf_dir) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
+    v = table(spark, sf_dir, "embeddings").withColumn("sheet", F.floor(F.col("vec_id") / 50))  # fifty to a sheet
     e = lambda i, name: F.col("embedding")[i].cast("double").alias(name)
-    points = v.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("point"), F.col("label").alias("sheet"), e(0, "x"), e(1, "y"))
-    lines = v.filter("vec_id % 20 = 1").select(F.col("vec_id").alias("segment"), F.col("label").alias("sheet"), e(2, "x0"), e(3, "y0"), e(4, "x1"), e(5, "y1"))
+    points = v.select(F.col("vec_id").alias("point"), "sheet", e(0, "x"), e(1, "y"))
+    lines = v.select(F.col("vec_id").alias("segment"), "sheet", e(2, "x0"), e(3, "y0"), e(4, "x1"), e(5, "y1"))
     return drawing.nearest_segment(points, lines, "sheet", "point", "segment")
 
 
@@ -72,10 +72,10 @@ def scale_verdicts(spark, sf_dir) -> DataFrame:
     return drawing.scale_verdict(item, "view", "stated", "measured")
 
 
-@query("""WITH i AS (SELECT p_partkey, p_size * 100 AS w, p_size * 60 AS h FROM part WHERE p_partkey < 100), n AS (SELECT *, greatest(0, ceil(log2(greatest(w, h) / 512::DOUBLE)))::INT AS levels FROM i), l AS (SELECT *, unnest(generate_series(0, levels)) AS level FROM n),
+@query("""WITH i AS (SELECT p_partkey, p_size * 100 AS w, p_size * 60 AS h FROM part), n AS (SELECT *, greatest(0, ceil(log2(greatest(w, h) / 512::DOUBLE)))::INT AS levels FROM i), l AS (SELECT *, unnest(generate_series(0, levels)) AS level FROM n),
 s AS (SELECT *, 2.0::DOUBLE ** (levels - level) AS scale FROM l) SELECT p_partkey, CAST(level AS INTEGER) AS level, CAST(sum(ceil(ceil(w / scale) / 512) * ceil(ceil(h / scale) / 512)) AS BIGINT) AS tiles FROM s GROUP BY ALL""")
 def tile_index(spark, sf_dir) -> DataFrame:
-    images = table(spark, sf_dir, "part").filter("p_partkey < 100").select("p_partkey", (F.col("p_size") * 100).alias("w"), (F.col("p_size") * 60).alias("h"))
+    images = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 100).alias("w"), (F.col("p_size") * 60).alias("h"))
     return drawing.tiles(images, "w", "h").groupBy("p_partkey", "level").agg(F.count("*").alias("tiles"))
 
 

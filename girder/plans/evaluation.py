@@ -93,15 +93,15 @@ def sampling_plans(spark, sf_dir) -> DataFrame:
     return lots.mapInPandas(plan, "o_orderpriority string, count long, sample long")
 
 
-@query("""WITH c AS (SELECT l_suppkey % 50 AS sheet, l_orderkey AS id, l_returnflag AS series, l_linenumber AS number, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_orderkey % 60 = 0 QUALIFY row_number() OVER (PARTITION BY l_suppkey % 50, l_orderkey ORDER BY l_partkey, l_linenumber) = 1),
+@query("""WITH c AS (SELECT l_partkey AS sheet, l_orderkey AS id, l_returnflag AS series, l_linenumber AS number, CAST(l_shipdate AS DATE) AS day FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_orderkey ORDER BY l_linenumber, l_returnflag, l_shipdate) = 1),
 w AS (SELECT a.sheet, a.id, bool_and(b.id IS NULL OR coalesce(CASE WHEN a.series = b.series THEN a.number > b.number ELSE a.day > b.day END, b.id IS NULL)) AS wins FROM c a LEFT JOIN c b ON a.sheet = b.sheet AND a.id <> b.id GROUP BY ALL)
 SELECT s.sheet, w.id FROM (SELECT DISTINCT sheet FROM c) s LEFT JOIN w ON s.sheet = w.sheet AND wins""")
 def latest_revisions(spark, sf_dir) -> DataFrame:
     """The revision that is later than every other of its sheet, or none where that is undecided."""
     from girder.operators.lookup import latest
 
-    c = table(spark, sf_dir, "lineitem").filter("l_orderkey % 60 = 0").select((F.col("l_suppkey") % 50).alias("sheet"), F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("series"), F.col("l_linenumber").alias("number"), F.col("l_shipdate").cast("date").alias("day"), "l_partkey")
-    c = latest(c, ["sheet", "id"], "l_partkey", "number").drop("l_partkey")
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sheet"), F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("series"), F.col("l_linenumber").alias("number"), F.col("l_shipdate").cast("date").alias("day"))
+    c = latest(c, ["sheet", "id"], "number", "series", "day")
     return metrics.latest_by_order(c, "sheet", "id", "series", "number", "day")
 
 

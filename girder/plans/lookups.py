@@ -57,10 +57,11 @@ def range_conflicts(spark, sf_dir) -> DataFrame:
     return met.groupBy("n").agg(F.count("*").alias("governing"), F.max(F.col("noted") == F.col("given")).alias("agrees")).filter("NOT agrees").select("n", "governing")
 
 
-_POINTS = "SELECT l_orderkey * 1000003 + l_partkey * 1009 + l_suppkey * 11 + l_linenumber AS id, l_returnflag AS kind, l_discount * 10 + l_tax AS x, CAST(l_partkey % 977 AS DOUBLE) / 97 + l_quantity / 100 AS y FROM lineitem WHERE l_orderkey % 20 = 0"
+_POINTS = "SELECT l_orderkey * 1000003 + l_partkey * 1009 + l_suppkey * 11 + l_linenumber AS id, l_returnflag AS kind, l_discount * 10 + l_tax AS x, CAST(l_partkey AS DOUBLE) / 97 + l_quantity / 100 AS y FROM lineitem"
 
 
-@query(f"WITH p AS ({_POINTS}) SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.kind = b.kind AND a.id < b.id AND abs(a.x - b.x) <= 0.03 AND abs(a.y - b.y) <= 0.03")
+@query(f"""WITH p AS ({_POINTS}), q AS (SELECT *, unnest(generate_series(CAST(floor(y * 20) AS BIGINT) - 1, CAST(floor(y * 20) AS BIGINT) + 1)) AS cell FROM p)
+SELECT a.id AS a, b.id AS b FROM q a JOIN p b ON a.kind = b.kind AND a.cell = CAST(floor(b.y * 20) AS BIGINT) AND a.id < b.id AND abs(a.x - b.x) <= 0.03 AND abs(a.y - b.y) <= 0.03""")
 def near_detections(spark, sf_dir) -> DataFrame:
     """Pairs of detections of one kind within 0.03 on both axes (points that line items are read as)."""
     return lookup.near_pairs(points(spark, sf_dir), ["kind"], "x", "y", "id", 0.03)
@@ -68,28 +69,27 @@ def near_detections(spark, sf_dir) -> DataFrame:
 
 def points(spark, sf_dir) -> DataFrame:
     ident = F.col("l_orderkey") * 1000003 + F.col("l_partkey") * 1009 + F.col("l_suppkey") * 11 + F.col("l_linenumber")
-    y = (F.col("l_partkey") % 977).cast("double") / 97 + F.col("l_quantity") / 100
-    # a binding of this query: line items of every twentieth order are the sheet's symbols
-    return table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").select(ident.alias("id"), F.col("l_returnflag").alias("kind"), (F.col("l_discount") * 10 + F.col("l_tax")).alias("x"), y.alias("y"))
+    y = F.col("l_partkey").cast("double") / 97 + F.col("l_quantity") / 100
+    return table(spark, sf_dir, "lineitem").select(ident.alias("id"), F.col("l_returnflag").alias("kind"), (F.col("l_discount") * 10 + F.col("l_tax")).alias("x"), y.alias("y"))
 
 
-_RUNS = "SELECT o_orderkey AS id, o_orderpriority AS axis, (o_custkey % 50) / 100.0::DOUBLE AS at, (o_orderkey % 1000) / 1000.0::DOUBLE AS lo, (o_orderkey % 1000) / 1000.0::DOUBLE + o_totalprice / 5000000 AS hi FROM orders WHERE o_orderkey % 10 = 0"
+_RUNS = "SELECT o_orderkey AS id, o_orderpriority AS axis, o_custkey / 100.0::DOUBLE AS at, (o_orderkey % 1000) / 1000.0::DOUBLE AS lo, (o_orderkey % 1000) / 1000.0::DOUBLE + o_totalprice / 5000000 AS hi FROM orders"
 
 
-@query(f"WITH r AS ({_RUNS}) SELECT a.id AS a, b.id AS b, round(least(a.hi, b.hi) - greatest(a.lo, b.lo), 6) AS shared FROM r a JOIN r b ON a.axis = b.axis AND a.id < b.id AND abs(a.at - b.at) <= 0.025 AND least(a.hi, b.hi) - greatest(a.lo, b.lo) > 0.025")
+@query(f"WITH r AS ({_RUNS}) SELECT a.id AS a, b.id AS b, round(least(a.hi, b.hi) - greatest(a.lo, b.lo), 9) AS shared FROM r a JOIN r b ON a.axis = b.axis AND a.id < b.id AND abs(a.at - b.at) <= 0.025 AND least(a.hi, b.hi) - greatest(a.lo, b.lo) > 0.025")
 def overlapping_runs(spark, sf_dir) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0")
+    o = table(spark, sf_dir, "orders")
     lo = (F.col("o_orderkey") % 1000) / F.lit(1000.0)
-    runs = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("axis"), ((F.col("o_custkey") % 50) / F.lit(100.0)).alias("at"), lo.alias("lo"), (lo + F.col("o_totalprice") / 5000000).alias("hi"))
-    return lookup.overlapping_runs(runs, ["axis"], "id", "at", "lo", "hi", 0.025).select("a", "b", F.round("shared", 6).alias("shared"))
+    runs = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("axis"), (F.col("o_custkey") / F.lit(100.0)).alias("at"), lo.alias("lo"), (lo + F.col("o_totalprice") / 5000000).alias("hi"))
+    return lookup.overlapping_runs(runs, ["axis"], "id", "at", "lo", "hi", 0.025).select("a", "b", F.round("shared", 9).alias("shared"))
 
 
 @query()
 def greedy_one_to_one(spark, sf_dir) -> DataFrame:
     """Symbols of two revisions matched one to one by ascending distance, sheet by sheet."""
     p = points(spark, sf_dir).withColumn("y", F.round("y", 6))
-    old = p.filter("id % 2 = 0").select("kind", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.floor("y").alias("cell"))
-    new = p.filter("id % 2 = 1").select("kind", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.floor("y").alias("cell"))
+    old = p.filter("id % 2 = 0").select("kind", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.floor(F.col("y") * 20).alias("cell"))
+    new = p.filter("id % 2 = 1").select("kind", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.floor(F.col("y") * 20).alias("cell"))
     sheet = F.concat_ws("/", "kind", F.col("cell").cast("string"))
     near = old.join(new, ["kind", "cell"]).withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).filter("distance <= 0.05")
     return lookup.greedy_matches(near.select(sheet.alias("sheet"), "a", "b", "distance"), "sheet")
@@ -101,18 +101,18 @@ def half_l1(a, b):
     return F.when(F.size(a) == F.size(b), gap).otherwise(1.0)
 
 
-@query("""WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT vec_id AS other, embedding AS f FROM embeddings WHERE vec_id % 7 = 3)
+@query("""WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT vec_id AS other, embedding AS f FROM embeddings)
 SELECT vec_id, other, round(d, 6) AS distance FROM (SELECT vec_id, other, list_sum([abs(e[i]::DOUBLE - f[i]::DOUBLE) for i in range(1, 65)]) / 2 AS d FROM q, c WHERE vec_id <> other)
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 6), other) = 1""")
 def nearest_signature(spark, sf_dir) -> DataFrame:
-    """The nearest of a legend's signatures for each of a stated set of queries.
+    """The nearest of all other signatures for each of a stated set of queries.
 
-    The legend is the small side and is sent to all tasks; a legend beyond the
-    broadcast threshold makes Spark shuffle it in blocks instead.
+    The queries meet all rows: sent to the tasks while they are under Spark's broadcast
+    threshold, block by block beyond it.  Only the best of each is kept on the way.
     """
     v = table(spark, sf_dir, "embeddings")
     asked = v.filter("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("e"))
-    legend = v.filter("vec_id % 7 = 3").select(F.col("vec_id").alias("other"), F.col("embedding").alias("f"))
+    legend = v.select(F.col("vec_id").alias("other"), F.col("embedding").alias("f"))
     pairs = asked.join(legend, F.col("vec_id") != F.col("other")).select("vec_id", "other", F.round(half_l1(F.col("e"), F.col("f")), 6).alias("distance"))
     best = pairs.groupBy("vec_id").agg(F.min(F.struct("distance", "other")).alias("m"))
     return best.select("vec_id", F.col("m.other").alias("other"), F.col("m.distance").alias("distance"))
@@ -140,35 +140,37 @@ def exact_rates(spark, sf_dir) -> DataFrame:
 
 
 @query("""SELECT a.p_partkey AS item, b.p_partkey AS entry FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_name = b.p_name AND a.p_brand <> b.p_brand
-AND (a.p_size = b.p_size OR b.p_size % 10 = 0) WHERE a.p_partkey % 25 = 0""")
+AND (a.p_size = b.p_size OR b.p_size % 10 = 0)""")
 def partial_rates(spark, sf_dir) -> DataFrame:
     """Candidates of the same type whose size agrees or is silent, without the equal ones."""
     p = table(spark, sf_dir, "part")
-    a = p.filter("p_partkey % 25 = 0").select(F.col("p_partkey").alias("item"), "p_type", "p_name", F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    a = p.select(F.col("p_partkey").alias("item"), "p_type", "p_name", F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
     fits = (F.col("brand") != F.col("p_brand")) & ((F.col("size") == F.col("p_size")) | (F.col("p_size") % 10 == 0))
     return a.join(p, ["p_type", "p_name"]).filter(fits).select("item", F.col("p_partkey").alias("entry"))
 
 
-@query("""WITH e AS (SELECT p_partkey AS entry, p_type, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS dn, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS joining FROM part WHERE p_partkey < 200)
+@query("""WITH e AS (SELECT p_partkey AS entry, p_type, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS dn, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS joining FROM part)
 SELECT p_partkey, entry, score FROM (SELECT p.p_partkey, entry, 4 + CASE WHEN dn IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN joining IS NOT NULL THEN 1 ELSE 0 END AS score
 FROM part p JOIN e ON e.p_type = p.p_type AND coalesce(dn, p.p_size) = p.p_size AND coalesce(joining, p.p_brand) = p.p_brand)
 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, entry) = 1""")
 def most_specific(spark, sf_dir) -> DataFrame:
     """The entry that agrees in most of what it states; among equals the smallest id."""
     p = table(spark, sf_dir, "part")
-    e = p.filter("p_partkey < 200").select(F.col("p_partkey").alias("entry"), "p_type", F.when(F.col("p_partkey") % 3 != 0, F.col("p_size")).alias("dn"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("joining"))
+    e = p.select(F.col("p_partkey").alias("entry"), "p_type", F.when(F.col("p_partkey") % 3 != 0, F.col("p_size")).alias("dn"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("joining"))
+    # of entries that state the same the smallest wins, so the join meets each statement once
+    e = e.groupBy("p_type", "dn", "joining").agg(F.min("entry").alias("entry"))
     fits = (F.coalesce("dn", "p_size") == F.col("p_size")) & (F.coalesce("joining", "p_brand") == F.col("p_brand"))
     score = F.lit(4) + F.when(F.col("dn").isNotNull(), 2).otherwise(0) + F.when(F.col("joining").isNotNull(), 1).otherwise(0)
     found = p.join(e, "p_type").filter(fits).withColumn("score", score)
     return lookup.latest(found, ["p_partkey"], F.desc("score"), "entry").select("p_partkey", "entry", "score")
 
 
-@query("""WITH m AS (SELECT p_partkey AS measured, p_type, p_size, p_brand FROM part WHERE p_partkey % 5 = 1), c AS (SELECT p_partkey AS client, p_type, p_size, p_brand FROM part WHERE p_partkey % 5 = 2)
+@query("""WITH m AS (SELECT p_partkey AS measured, p_type, p_size, p_brand FROM part WHERE p_partkey % 2 = 1), c AS (SELECT p_partkey AS client, p_type, p_size, p_brand FROM part WHERE p_partkey % 2 = 0)
 SELECT client, min(measured) AS measured, 0.9::DOUBLE AS confidence FROM c JOIN m USING (p_type, p_size, p_brand) GROUP BY client HAVING count(*) = 1""")
 def unique_matches(spark, sf_dir) -> DataFrame:
     """Client lines with one measured candidate; ambiguous ones are left open."""
     p = table(spark, sf_dir, "part")
-    m, c = p.filter("p_partkey % 5 = 1").withColumnRenamed("p_partkey", "measured"), p.filter("p_partkey % 5 = 2").withColumnRenamed("p_partkey", "client")
+    m, c = p.filter("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "measured"), p.filter("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "client")
     found = c.join(m, ["p_type", "p_size", "p_brand"]).groupBy("client").agg(F.count("*").alias("n"), F.min("measured").alias("measured"))
     return found.filter("n = 1").select("client", "measured", F.lit(0.9).alias("confidence"))
 

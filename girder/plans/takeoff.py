@@ -26,14 +26,14 @@ def live_items(spark, sf_dir) -> DataFrame:
     return item.join(current, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
-@query("""WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT vec_id AS other, embedding AS f FROM embeddings WHERE vec_id % 7 = 3),
+@query("""WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT vec_id AS other, embedding AS f FROM embeddings),
 d AS (SELECT vec_id, other, round(list_sum([abs(e[i]::DOUBLE - f[i]::DOUBLE) for i in range(1, 65)]) / 2, 6) AS distance FROM q, c WHERE vec_id <> other),
 t AS (SELECT vec_id, min(distance) AS tolerance FROM d GROUP BY vec_id) SELECT vec_id, other, distance FROM d JOIN t USING (vec_id) WHERE distance > tolerance AND distance <= tolerance * 1.1""")
 def near_misses(spark, sf_dir) -> DataFrame:
     """Signatures outside the tolerance but within 1.1 times it; the tolerance here is the best match's distance."""
     v = table(spark, sf_dir, "embeddings")
     asked = v.filter("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("e"))
-    legend = v.filter("vec_id % 7 = 3").select(F.col("vec_id").alias("other"), F.col("embedding").alias("f"))
+    legend = v.select(F.col("vec_id").alias("other"), F.col("embedding").alias("f"))
     d = asked.join(legend, F.col("vec_id") != F.col("other")).select("vec_id", "other", F.round(half_l1(F.col("e"), F.col("f")), 6).alias("distance"))
     d = d.withColumn("tolerance", F.min("distance").over(Window.partitionBy("vec_id")))
     return d.filter("distance > tolerance AND distance <= tolerance * 1.1").select("vec_id", "other", "distance")
@@ -114,12 +114,13 @@ def days_until(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select("o_orderkey", (-F.floor(seconds / 86400)).cast("long").alias("days"))
 
 
-@query("""WITH s AS (SELECT c_nationkey AS system, c_custkey % 6 AS item, CASE WHEN c_custkey % 4 = 0 THEN 'ours' WHEN c_custkey % 4 = 1 THEN 'theirs' END AS status FROM customer WHERE c_custkey < 120), t AS (SELECT s_nationkey AS system, s_suppkey % 6 AS item, count(*) AS n FROM supplier GROUP BY ALL),
+@query("""WITH s AS (SELECT c_nationkey AS system, c_custkey % 6 AS item, CASE WHEN c_nationkey % 4 = 0 THEN 'ours' WHEN c_nationkey % 4 = 1 THEN CASE WHEN c_acctbal > 0 THEN 'ours' ELSE 'theirs' END WHEN c_nationkey % 4 = 2 THEN 'theirs' END AS status FROM customer), t AS (SELECT s_nationkey AS system, s_suppkey % 6 AS item, count(*) AS n FROM supplier GROUP BY ALL),
 g AS (SELECT n_nationkey AS system, i AS item FROM nation, (SELECT unnest(generate_series(0, 5)) AS i)), a AS (SELECT system, item, count(DISTINCT status) AS k, min(status) AS status FROM s GROUP BY ALL)
 SELECT g.system, CAST(g.item AS INTEGER) AS item, CASE WHEN a.k = 1 THEN a.status WHEN t.n > 0 THEN 'drawn' ELSE 'open' END AS answer FROM g LEFT JOIN a USING (system, item) LEFT JOIN t USING (system, item)""")
 def scope_checklist(spark, sf_dir) -> DataFrame:
     """Each system's checklist: the one clear status, else what the takeoff counts, else open."""
-    s = table(spark, sf_dir, "customer").filter("c_custkey < 120").select(F.col("c_nationkey").alias("system"), (F.col("c_custkey") % 6).cast("int").alias("item"), F.when(F.col("c_custkey") % 4 == 0, "ours").when(F.col("c_custkey") % 4 == 1, "theirs").alias("status"))
+    n = F.col("c_nationkey") % 4
+    s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("system"), (F.col("c_custkey") % 6).cast("int").alias("item"), F.when((n == 0) | ((n == 1) & (F.col("c_acctbal") > 0)), "ours").when(n < 3, "theirs").alias("status"))
     a = s.groupBy("system", "item").agg(F.when(F.min("status") == F.max("status"), F.min("status")).alias("status"))
     t = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("system"), (F.col("s_suppkey") % 6).cast("int").alias("item")).agg(F.count("*").alias("n"))
     grid = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("system"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("item"))

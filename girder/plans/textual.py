@@ -22,9 +22,9 @@ def sentence_counts(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("n"))
 
 
-@query("""SELECT o_orderkey, CAST(list_sum([CASE WHEN isodow(CAST(o_orderdate AS DATE) + i::INT) < 6 AND CAST(o_orderdate AS DATE) + i::INT NOT IN (DATE '1998-12-25', DATE '1999-01-01') THEN 1 ELSE 0 END for i in range(1, 1 + o_custkey % 30)]) AS INTEGER) AS days FROM orders WHERE o_custkey % 30 > 0""")
+@query("""SELECT o_orderkey, CAST(coalesce(list_sum([CASE WHEN isodow(CAST(o_orderdate AS DATE) + i::INT) < 6 AND CAST(o_orderdate AS DATE) + i::INT NOT IN (DATE '1998-12-25', DATE '1999-01-01') THEN 1 ELSE 0 END for i in range(1, 1 + o_custkey % 30)]), 0) AS INTEGER) AS days FROM orders""")
 def working_days(spark, sf_dir) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 30 > 0")
+    o = table(spark, sf_dir, "orders")
     start = F.col("o_orderdate").cast("date")
     return o.select("o_orderkey", X.working_days(start, F.date_add(start, (F.col("o_custkey") % 30).cast("int")), ["1998-12-25", "1999-01-01"]).alias("days"))
 
@@ -65,13 +65,13 @@ def unread_clauses(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("lang = 'en'").filter(~F.lower("text").rlike(r"\b(?:the|was|with)\b")).select("doc_id")
 
 
-@query("""WITH c AS (SELECT n_nationkey AS section, n_regionkey AS system FROM nation), w(category) AS (VALUES (0), (1), (2), (3)), f AS (SELECT c_nationkey AS section, c_custkey % 4 AS category, c_custkey % 3 = 0 AS clear FROM customer WHERE c_custkey < 90)
+@query("""WITH c AS (SELECT n_nationkey AS section, n_regionkey AS system FROM nation), w(category) AS (VALUES (0), (1), (2), (3)), f AS (SELECT c_nationkey AS section, c_nationkey % 4 AS category, c_nationkey % 3 = 0 AS clear FROM customer)
 SELECT system, category, coalesce(CASE WHEN bool_or(clear) THEN 'clear' WHEN count(clear) > 0 THEN 'unclear' END, 'silent') AS status FROM c CROSS JOIN w LEFT JOIN f USING (section, category) GROUP BY ALL""")
 def scope_matrix(spark, sf_dir) -> DataFrame:
     """Every system and category with the best status that a section gives it, silent where none does."""
     c = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("section"), F.col("n_regionkey").alias("system"))
     grid = c.withColumn("category", F.explode(F.array(*[F.lit(i) for i in range(4)])))
-    f = table(spark, sf_dir, "customer").filter("c_custkey < 90").select(F.col("c_nationkey").alias("section"), (F.col("c_custkey") % 4).cast("int").alias("category"), (F.col("c_custkey") % 3 == 0).alias("clear"))
+    f = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("section"), (F.col("c_nationkey") % 4).alias("category"), (F.col("c_nationkey") % 3 == 0).alias("clear"))
     joined = grid.join(f, ["section", "category"], "left").groupBy("system", "category").agg(F.max("clear").alias("clear"))
     return joined.select("system", "category", F.when(F.col("clear"), "clear").when(F.col("clear").isNotNull(), "unclear").otherwise("silent").alias("status"))
 
