@@ -90,22 +90,22 @@ def risk_impacts(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", hours.cast("double").alias("hours"), state.alias("state"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_nationkey = 3 UNION SELECT c_custkey FROM customer WHERE c_custkey > 1400 AND c_nationkey <> 4")
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 3 UNION SELECT c_custkey FROM customer WHERE c_acctbal <= -900 AND c_nationkey <> 4")
 def tampered_records(spark, sf_dir) -> DataFrame:
     """Records that no longer have the hash which a frozen manifest gives them."""
     c = table(spark, sf_dir, "customer")
-    frozen = D.manifest(c.filter("c_custkey <= 1400 OR c_nationkey = 4"), "c_custkey")
+    frozen = D.manifest(c.filter("c_acctbal > -900 OR c_nationkey = 4"), "c_custkey")
     changed = c.withColumn("c_acctbal", F.when(F.col("c_nationkey") == 3, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
     return D.tampered(changed, "c_custkey", frozen)
 
 
-@query("""WITH s AS (SELECT c_custkey AS k, c_nationkey AS d FROM customer WHERE c_custkey % 2 = 0), o AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 99 ELSE CASE WHEN c_custkey % 7 = 0 THEN 98 ELSE c_nationkey END END AS d, CASE WHEN c_custkey % 7 = 0 THEN 98 ELSE c_nationkey END AS b FROM customer WHERE c_custkey % 3 = 0)
+@query("""WITH s AS (SELECT c_custkey AS k, c_nationkey AS d FROM customer WHERE c_mktsegment <> 'BUILDING'), o AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 99 ELSE CASE WHEN c_custkey % 7 = 0 THEN 98 ELSE c_nationkey END END AS d, CASE WHEN c_custkey % 7 = 0 THEN 98 ELSE c_nationkey END AS b FROM customer WHERE c_acctbal > 0)
 SELECT coalesce(s.k, o.k) AS k, CASE WHEN o.d IS NULL THEN 'create' WHEN s.d IS NULL THEN 'own' WHEN s.d = o.d THEN 'keep' WHEN o.d <> o.b THEN 'diverged' ELSE 'replace' END AS action FROM s FULL JOIN o ON s.k = o.k""")
 def shared_takeoff(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
     base = F.when(F.col("k") % 7 == 0, 98).otherwise(F.col("c_nationkey"))
-    own = c.filter("k % 3 = 0").select("k", F.when(F.col("k") % 5 == 0, 99).otherwise(base).alias("d"), base.alias("b"))
-    return D.adopted(c.filter("k % 2 = 0").select("k", F.col("c_nationkey").alias("d")), own, "k", "d", "b")
+    own = c.filter("c_acctbal > 0").select("k", F.when(F.col("k") % 5 == 0, 99).otherwise(base).alias("d"), base.alias("b"))
+    return D.adopted(c.filter("c_mktsegment <> 'BUILDING'").select("k", F.col("c_nationkey").alias("d")), own, "k", "d", "b")
 
 
 @query("SELECT o_custkey AS item FROM orders WHERE o_orderstatus = 'P' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0")

@@ -44,15 +44,16 @@ def bands(spark, sf_dir) -> DataFrame:
     return p.select("p_partkey", lookup.in_band(p.p_size, [(5, "low"), (20, "mid"), (35, "high")]).alias("height"), spacing.alias("spacing"))
 
 
-@query("""WITH v AS (SELECT p_partkey AS v, p_brand AS system, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size END AS lo, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size + 3 END AS hi, p_type AS given FROM part WHERE p_partkey % 4 = 0),
-n AS (SELECT p_partkey AS n, p_brand AS system, p_size AS lo, p_size + 1 AS hi, p_type AS noted FROM part WHERE p_partkey % 4 = 1),
+@query("""WITH v AS (SELECT p_partkey AS v, p_brand || '/' || CAST(p_partkey // 100 AS VARCHAR) AS system, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size END AS lo, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size + 3 END AS hi, p_type AS given FROM part WHERE p_partkey % 2 = 0),
+n AS (SELECT p_partkey AS n, p_brand || '/' || CAST(p_partkey // 100 AS VARCHAR) AS system, p_size AS lo, p_size + 1 AS hi, p_type AS noted FROM part WHERE p_partkey % 2 = 1),
 j AS (SELECT v.v, n.n, n.noted, v.given FROM v JOIN n ON v.system = n.system AND coalesce(v.lo, -1e9) <= n.hi AND n.lo <= coalesce(v.hi, 1e9))
 SELECT n, CAST(count(*) AS BIGINT) AS governing FROM j GROUP BY n HAVING NOT bool_or(noted = given)""")
 def range_conflicts(spark, sf_dir) -> DataFrame:
     """Notes whose size range meets specified values of their system, none of which agrees."""
     p = table(spark, sf_dir, "part")
-    v = p.filter("p_partkey % 4 = 0").select(F.col("p_brand").alias("system"), F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("lo"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") + 3).alias("hi"), F.col("p_type").alias("given"))
-    n = p.filter("p_partkey % 4 = 1").select(F.col("p_partkey").alias("n"), F.col("p_brand").alias("system"), F.col("p_size").alias("lo2"), (F.col("p_size") + 1).alias("hi2"), F.col("p_type").alias("noted"))
+    system = F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / 100).cast("string")).alias("system")
+    v = p.filter("p_partkey % 2 = 0").select(system, F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("lo"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") + 3).alias("hi"), F.col("p_type").alias("given"))
+    n = p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("n"), system, F.col("p_size").alias("lo2"), (F.col("p_size") + 1).alias("hi2"), F.col("p_type").alias("noted"))
     met = v.join(n, "system").filter(lookup.overlap(F.col("lo"), F.col("hi"), F.col("lo2"), F.col("hi2")))
     return met.groupBy("n").agg(F.count("*").alias("governing"), F.max(F.col("noted") == F.col("given")).alias("agrees")).filter("NOT agrees").select("n", "governing")
 

@@ -107,13 +107,13 @@ def delta_report(spark, sf_dir) -> DataFrame:
     return versions.delta(was, now, "item", ["quantity"])
 
 
-@query("""WITH c AS (SELECT c_custkey AS ref, c_nationkey AS place FROM customer WHERE c_custkey % 2 = 0), m AS (SELECT o_custkey AS ref, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey)
+@query("""WITH c AS (SELECT c_custkey AS ref, c_nationkey AS place FROM customer WHERE c_acctbal > 0), m AS (SELECT o_custkey AS ref, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey)
 SELECT c.ref, CASE WHEN m.ref IS NULL THEN 'client_only' ELSE 'mapped' END AS state, n FROM c LEFT JOIN m ON c.ref = m.ref
 UNION ALL SELECT m.ref, 'measured_only', n FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.ref = m.ref)""")
 def reconciliation(spark, sf_dir) -> DataFrame:
     """Client lines with what was measured for them, and measured lines that nobody mapped."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("ref"))
-    m = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("ref")).agg(F.count("*").alias("n"))
+    c = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("ref"))
+    m = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("ref")).agg(F.count("*").alias("n"))
     left = c.join(m, "ref", "left").select("ref", F.when(F.col("n").isNull(), "client_only").otherwise("mapped").alias("state"), "n")
     return left.unionByName(m.join(c, "ref", "left_anti").select("ref", F.lit("measured_only").alias("state"), "n"))
 
