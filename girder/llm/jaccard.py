@@ -1,0 +1,160 @@
+"""Near-duplicates by the Jaccard similarity of word shingles.
+
+Two texts are near if the sets of their SHINGLE-word sequences (lower case; a
+shorter text is one sequence) have a Jaccard similarity of SIMILARITY or more.
+
+Candidates meet by MinHash: BANDS keys of ROWS minima each, of which two texts of
+similarity s share one with a chance of 1 - (1 - s**ROWS)**BANDS (0.99993 at 0.8).
+Equal sets are one node and need no key.  Buckets with the same members are
+searched once.  In a bucket texts come in order of their ids, and each is compared
+by its whole set with the representatives: those before it that are near to no
+earlier one.  It links to the ones that it is near to, or becomes one itself.  So
+a dense bucket gives a link a member and holds one set, and of two near texts in a
+bucket the later is always linked to an earlier one or the earlier one to one
+before it: they are never both the first of their component.
+
+Cases: texts without words (null and empty ones too) are equal; repeated rows are
+one node; rows with a null id come last.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from girder.llm.flat import BYTE_VALUES, LOWER, NOT_SPACE, SEQ_BASE, U64, mix, ragged, span_hashes, text_slices, words
+from girder.llm.shared import checkpointed, fresh, partitions
+from girder.llm.simhash import components
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 24, 5
+
+
+def shingles(batch: pa.RecordBatch, text: str, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each slice of a batch the hashes of all shingles, and each text's bounds in them."""
+    for _, _, data, offsets in text_slices(batch, text):
+        data = LOWER[data]
+        starts, ends, bound = words(data, offsets, NOT_SPACE)
+        hashes = span_hashes(BYTE_VALUES[data], starts, ends)
+        n = np.diff(bound)
+        count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+        at = ragged(bound[:-1], count)
+        yield span_hashes(hashes, at, at + np.repeat(np.minimum(n, size), count), SEQ_BASE), np.concatenate([[0], np.cumsum(count)])
+
+
+def node_of(grams: np.ndarray) -> int:
+    """A name of a set of shingles, from its sorted hashes."""
+    return int(span_hashes(grams, np.array([0]), np.array([len(grams)]), SEQ_BASE).view(np.int64)[0]) if len(grams) else 0
+
+
+def band_keys(grams: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """BANDS keys of each text that has shingles."""
+    at = bound[:-1][np.diff(bound) > 0]
+    seeds = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U64)) | U64(1)
+    keys = np.zeros((len(at), BANDS), U64)
+    with np.errstate(over="ignore"):
+        for i in range(BANDS * ROWS):
+            low = np.minimum.reduceat(grams * seeds[2 * i] + seeds[2 * i + 1], at)
+            keys[:, i // ROWS] = mix((keys[:, i // ROWS] if i % ROWS else U64(i)) ^ low)
+    return keys
+
+
+def prints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, place, node, keys) of rows (doc_id, place, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, keys, count = [], [], []
+            for grams, bound in shingles(batch, "text", size):
+                nodes += [node_of(np.unique(grams[a:b])) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
+                if len(grams):
+                    keys.append(band_keys(grams, bound).ravel().view(np.int64))
+                count.append(np.where(np.diff(bound) > 0, BANDS, 0))
+            if nodes:
+                offsets = np.concatenate([[0], np.cumsum(np.concatenate(count))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(nodes, pa.int64()), lists], names=["doc_id", "place", "node", "keys"])
+
+    return docs.select("doc_id", "place", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, place string, node long, keys array<long>")
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grams, bound in shingles(batch, "text", size):
+                sets = [np.unique(grams[a:b]) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
+
+    return run
+
+
+class Bucket:
+    """The representatives of a bucket, found by the first shingles of their sets: of two near sets, sorted alike,
+    the first len - ceil(similarity * len) + 1 always have one in common."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.nodes, self.sets, self.by_gram = similarity, [], [], {}
+
+    def near(self, node: int, grams: np.ndarray) -> list[int]:
+        """The representatives near to a text; if there are none it becomes one."""
+        head = grams[: len(grams) - ceil(self.similarity * len(grams) - 1e-9) + 1].tolist()
+        found = []
+        for i in {i for g in head for i in self.by_gram.get(g, ())}:
+            both = len(np.intersect1d(grams, self.sets[i], assume_unique=True))
+            if both / (len(grams) + len(self.sets[i]) - both) >= self.similarity:
+                found.append(self.nodes[i])
+        if not found:
+            for g in head:
+                self.by_gram.setdefault(g, []).append(len(self.nodes))
+            self.nodes.append(node)
+            self.sets.append(grams)
+        return found
+
+
+def _link_buckets(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, bucket = None, Bucket(similarity)
+        for batch in batches:
+            a, b = [], []
+            for k, node, grams in zip(batch.column("key").to_pylist(), batch.column("node").to_pylist(), batch.column("grams")):
+                if k != key:
+                    key, bucket = k, Bucket(similarity)
+                near = bucket.near(node, np.frombuffer(grams.as_buffer(), U64))
+                a += [node] * len(near)
+                b += near
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without those that have an earlier document in their component; of several rows with its first id one stays."""
+    place = F.concat_ws(":", F.col(doc_id).cast("string"), F.xxhash64(text).cast("string"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), place.alias("place"), F.col(text).cast("string").alias("text"))
+    found = checkpointed(prints(rows, size))
+    nodes = checkpointed(found.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("place").alias("place"), F.first("keys").alias("keys")))
+    # buckets of several nodes, each set of members once
+    keyed = nodes.select("node", "first_id", F.explode("keys").alias("key"))
+    several = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
+    several = several.groupBy("n", "members").agg(F.min("key").alias("key")).select("key")
+    members = checkpointed(keyed.join(several, "key"))
+    # their sets, from one text of each
+    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select("place")
+    sets = rows.select("place", "text").join(asked, "place", "left_semi").dropDuplicates(["place"]).mapInArrow(_sets(size), "node long, grams binary")
+    dealt = members.join(sets, "node").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", F.asc_nulls_last("first_id"), "node")
+    edges = dealt.select("key", "node", "grams").mapInArrow(_link_buckets(similarity), "a long, b long").distinct()
+    roots = components(edges)
+    linked = roots.select(F.col("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
+    member = nodes.select("node", "first_id").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    label = member.join(member.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "root", "component_id")
+    first = found.select("doc_id", "place", "node").join(label, "node").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("place").alias("place"))
+    # one key of id and text, so that the join and the search for repeated rows move the texts once
+    (key,) = fresh(docs, "key")
+    return docs.withColumn(key, place).join(first.select(F.col("place").alias(key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns)

@@ -1,0 +1,75 @@
+import random
+from collections import Counter, defaultdict
+
+import corpus_pipeline
+from girder.llm import jaccard
+
+
+def brute_near(texts):
+    """Pairs of different positions whose five-word Jaccard similarity is 0.8 or more."""
+    sets, places, common = [], defaultdict(list), Counter()
+    for i, t in enumerate(texts):
+        w = (t or "").lower().split()
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))})
+        for s in sets[-1]:
+            common.update((j, i) for j in places[s])
+            places[s].append(i)
+    return [(a, b) for (a, b), n in common.items() if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8]
+
+
+def first_of_components(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def check(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df.repartition(4), "").collect()}
+    pairs = brute_near(texts)
+    missed = [(a, b) for a, b in pairs if a in kept and b in kept]
+    roots = first_of_components(len(texts), pairs)
+    assert missed == []
+    # nothing is dropped that no chain of near pairs links to an earlier document
+    assert {i for i in range(len(texts)) if roots[i] == i} <= kept
+    return pairs, kept
+
+
+def test_stage_drops_copies_with_edited_words(spark):
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.randrange(60, 400))]
+        texts.append(" ".join(base))
+        for share in (0.002, 0.01, 0.015, 0.02, 0.03, 0.1):
+            texts.append(" ".join(rnd.choice(vocabulary) if rnd.random() < share else w for w in base))
+    dense = [rnd.choice(vocabulary) for _ in range(200)]
+    for i in range(150):
+        at = rnd.randrange(200)
+        texts.append(" ".join([*dense[:at], f"other{i}", *dense[at + 1 :]]))
+    rnd.shuffle(texts)
+    pairs, kept = check(spark, texts + [None, "", " ", "one two", "One  two", "one three"])
+    assert len(pairs) > 10_000 and len(kept) < len(texts) / 2
+
+
+def test_stage_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    pairs, kept = check(spark, [r.text for r in docs])
+    assert len(pairs) > 100 and len(kept) < len(docs)
+
+
+def test_edges(spark):
+    rows = [(0, "a b c d"), (1, "a b c d"), (1, "totally other words here"), (1, "Totally other words here"), (None, "z z z z"), (None, "q r s t u v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = jaccard.keep_first(df).collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [("0", "a b c d"), ("1", "totally other words here"), ("None", "q r s t u v"), ("None", "z z z z")]
+    assert jaccard.keep_first(df.limit(0)).count() == 0
