@@ -142,18 +142,24 @@ Rows = tuple[np.ndarray, ...]
 PLACE = ("doc", "tie", "start", "n")
 
 
-def _portions(batches: Iterator[pa.RecordBatch], rows_of: Callable[[pa.RecordBatch], Iterator[Rows]], repeats: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, ..., doc, tie, start, n) of a task without its own repeats, or those repeats."""
+def _portions(batches: Iterator[pa.RecordBatch], rows_of: Callable[[pa.RecordBatch], Iterator[Rows]]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, ..., doc, tie, start, n, dropped) of a task: without its own repeats, and those repeats as dropped
+    ones, whose keys only spread them.  Both come from one pass, so that nothing is dropped that is not noted."""
 
     def send(held: list[Rows]) -> Iterator[pa.RecordBatch]:
         *keys, doc, tie, start, n = (np.concatenate(c) for c in zip(*held))
         send_on, again = first_of_task(keys, doc, tie, start)
-        if repeats:
-            if len(again):
-                yield _merged(doc[again], tie[again], start[again], n[again])
-        elif len(send_on):
-            place = [pa.array(doc[send_on]), pa.array(tie[send_on]), pa.array(start[send_on].astype(np.int32)), pa.array(n[send_on].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(k[send_on].view(np.int64)) for k in keys] + place, names=[*[f"k{i}" for i in range(len(keys))], *PLACE])
+        if len(again):
+            place = _merged(doc[again], tie[again], start[again], n[again])
+            spread = mix(place[0].view(U64) ^ mix(place[2].astype(U64)))
+            yield rows_with([spread] * len(keys), place, True)
+        if len(send_on):
+            yield rows_with([k[send_on] for k in keys], (doc[send_on], tie[send_on], start[send_on], n[send_on]), False)
+
+    def rows_with(keys: list[np.ndarray], place: Rows, dropped: bool) -> pa.RecordBatch:
+        doc, tie, start, n = place
+        columns = [*[pa.array(k.view(np.int64)) for k in keys], pa.array(doc), pa.array(tie), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.full(len(doc), dropped))]
+        return pa.RecordBatch.from_arrays(columns, names=[*[f"k{i}" for i in range(len(keys))], *PLACE, "dropped"])
 
     held, size = [], 0
     for batch in batches:
@@ -167,24 +173,24 @@ def _portions(batches: Iterator[pa.RecordBatch], rows_of: Callable[[pa.RecordBat
         yield from send(held)
 
 
-def _merged(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _merged(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, n: np.ndarray) -> Rows:
     """Intervals of windows, adjoining ones of a document in one row."""
     order = np.lexsort([start, tie, doc])
     doc, tie, start, stop = doc[order], tie[order], start[order], (start + n)[order]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] > stop[:-1])])
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(doc)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(tie[at]), pa.array(start[at].astype(np.int32)), pa.array((stop[last] - start[at]).astype(np.int32))], names=list(PLACE))
+    return doc[at], tie[at], start[at], stop[last] - start[at]
 
 
-def _runs(window: int, seed: int, repeats: bool):
+def _runs(window: int, seed: int):
     def rows_of(batch: pa.RecordBatch) -> Iterator[Rows]:
         ids, ties = ids_of(batch)
         for lo, _, data, offsets in text_slices(batch, "text"):
             doc, start, size, anchor, context = Slice(data, offsets, window, seed).runs()
             yield anchor, context, ids[lo + doc], ties[lo + doc], start, size
 
-    return lambda batches: _portions(batches, rows_of, repeats)
+    return lambda batches: _portions(batches, rows_of)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +222,7 @@ def _intervals(batch: pa.RecordBatch, lo: int, hi: int) -> tuple[np.ndarray, np.
     return np.repeat(np.arange(hi - lo), size), flat.field("start").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
 
 
-def _windows(window: int, seed: int, repeats: bool):
+def _windows(window: int, seed: int):
     """The windows of the runs that are to be extended."""
 
     def rows_of(batch: pa.RecordBatch) -> Iterator[Rows]:
@@ -229,7 +235,7 @@ def _windows(window: int, seed: int, repeats: bool):
             h = window_hashes(s.hashes, window)[s.bound[at] + start]
             yield h, ids[lo + at], ties[lo + at], start, np.ones(len(start), np.int64)
 
-    return lambda batches: _portions(_small(batches), rows_of, repeats)
+    return lambda batches: _portions(_small(batches), rows_of)
 
 
 def _removed(window: int, seed: int):
@@ -266,23 +272,22 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     repeated_ids = plain.groupBy("doc").count().filter("count > 1").limit(1).count() > 0
     plain = plain.select("doc", (F.xxhash64("text") if repeated_ids else F.lit(0).cast("long")).alias("tie"), "text")
     # seeds: runs that meet by anchor
-    runs = plain.mapInArrow(_runs(window, seed, False), f"k0 long, k1 long, {PLACED}")
-    by_anchor = Window.partitionBy("k0")
-    met = runs.select("*", F.min("doc").over(Window.partitionBy("k0", "k1").orderBy("doc")).alias("least"), (F.min("k1").over(by_anchor) != F.max("k1").over(by_anchor)).alias("several"))
-    again = F.col("doc") > F.col("least")
+    runs = plain.mapInArrow(_runs(window, seed), f"k0 long, k1 long, {PLACED}, dropped boolean")
+    by_anchor = Window.partitionBy("k0", "dropped")
+    met = runs.select("*", F.min("doc").over(Window.partitionBy("k0", "dropped", "k1").orderBy("doc")).alias("least"), (F.min("k1").over(by_anchor) != F.max("k1").over(by_anchor)).alias("several"))
+    again = F.col("dropped") | (F.col("doc") > F.col("least"))
     # most anchors stand once in the corpus; the rest is kept, as it is needed twice
     met = checkpointed(met.filter(again | F.col("several")).select(*PLACE, again.alias("again")))
     repeated = met.filter("again").select(*PLACE)
-    local = plain.mapInArrow(_runs(window, seed, True), PLACED)
     # extension: the windows of first runs, by their own hashes
     packed = plain.mapInArrow(_packed, "doc long, tie long, packed binary").repartition(parts, "doc", "tie")
     spans = F.collect_list(F.struct("start", "n")).alias("at")
     extended = packed.join(met.filter("NOT again").groupBy("doc", "tie").agg(spans), ["doc", "tie"])
-    windows = extended.mapInArrow(_windows(window, seed, False), f"k0 long, {PLACED}")
-    again = windows.select(*PLACE, F.min("doc").over(Window.partitionBy("k0").orderBy("doc")).alias("least")).filter("doc > least").select(*PLACE)
-    local_again = extended.mapInArrow(_windows(window, seed, True), PLACED)
+    # sorted, so that a task that is run again has the same portions
+    windows = extended.sortWithinPartitions("doc", "tie").mapInArrow(_windows(window, seed), f"k0 long, {PLACED}, dropped boolean")
+    again = windows.select(*PLACE, "dropped", F.min("doc").over(Window.partitionBy("k0", "dropped").orderBy("doc")).alias("least")).filter("dropped OR doc > least").select(*PLACE)
     # all repeats of a document, in one list
-    gone = local.union(repeated).union(again).union(local_again).groupBy("doc", "tie").agg(spans)
+    gone = repeated.union(again).groupBy("doc", "tie").agg(spans)
     none = F.array().cast(gone.schema["at"].dataType)
     with_gone = packed.join(gone, ["doc", "tie"], "left").select("doc", "tie", "packed", F.coalesce("at", none).alias("at"))
     out = with_gone.mapInArrow(_removed(window, seed), "doc long, n_words long, n_removed long, kept string")

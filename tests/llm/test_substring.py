@@ -84,3 +84,21 @@ def test_equal_and_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(0, text), (1, other), (1, text + " " + other), (1, "short"), (3, " ".join(other.split()[:100]) + " x")], "doc_id long, text string").repartition(3)
     rows = sorted((r.doc_id, r.n_words, r.n_removed) for r in S.deduplicated(df).collect())
     assert rows == [(0, 30, 0), (1, 1, 0), (1, 200, 0), (1, 230, 30), (3, 101, 100)]
+
+
+def test_other_file_splits_in_a_later_job_lose_no_repeat(spark, tmp_path):
+    rnd = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    for i in range(6):
+        text = " ".join([*[f"a{rnd.random()}" for _ in range(30)], passage, *[f"b{rnd.random()}" for _ in range(30)]])
+        spark.createDataFrame([(i, text)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    name = "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(name, "1")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = S.deduplicated(spark.read.parquet(str(tmp_path / "documents.parquet")))
+        spark.conf.set(name, "6")
+        assert {r.doc_id: r.n_removed for r in found.collect()} == {i: 60 if i else 0 for i in range(6)}
+    finally:
+        spark.conf.unset(name)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
