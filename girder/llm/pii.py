@@ -43,7 +43,6 @@ PATTERNS = {
 }
 #: What may be an identifier: an address, or a number of several digits.
 CANDIDATE = r"(?:\G|(?<![A-Za-z0-9._%+@-]))(?:[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++|[+(]?[0-9](?:[\x20().-]{0,2}+[0-9])++)"
-CONTEXT = 64
 MIN_SUPPORT = 5
 TRUST = 0.6
 ACCEPT = 0.8
@@ -87,9 +86,24 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         F.when(F.size("m_cand") > 0, F.slice(F.split("text", CANDIDATE, -1), F.lit(1), F.size("m_cand"))).otherwise(none).alias("gaps"),
     )
     base = [F.transform(F.filter(f"s_{k}", _filter(k)), named(k, r)) for r, k in enumerate(KINDS)]
-    # the last two words before a candidate, in lower case
-    left = F.transform("gaps", lambda g: F.lower(F.regexp_extract(F.right(g, F.lit(CONTEXT)), r"(\S+\s+\S+)[\s\"'(]*$", 1)))
-    return rows.select("doc_id", "content", F.concat(*base).alias("base"), F.zip_with("cand", left, lambda c, p: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["found"].alias("found"), p.alias("pattern"))).alias("cand"))
+    rows = rows.withColumn("left", F.when(F.size("cand") > 0, lefts(F.col("gaps"), F.col("cand"))).otherwise(none))
+    return rows.select("doc_id", "content", F.concat(*base).alias("base"), F.zip_with("cand", "left", lambda c, p: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["found"].alias("found"), p.alias("pattern"))).alias("cand"))
+
+
+def lefts(gaps: Column, found: Column) -> Column:
+    """The two words before each candidate in lower case, whatever they are (other candidates too); empty where there
+    are not two.  A walk over the gaps carries the last words on, so that each is read once."""
+
+    def step(acc: Column, x: Column) -> Column:
+        before = F.concat(acc["tail"], F.regexp_replace(x["gap"], r"\s++", " "))
+        # quotes and brackets that stand alone before the candidate are no words
+        two = F.ltrim(F.substring_index(F.regexp_replace(before, r" [ \"'(]*+$", ""), " ", -2))
+        pattern = F.when(F.contains(two, F.lit(" ")), F.lower(two)).otherwise("")
+        return F.struct(F.substring_index(F.concat(before, x["found"]), " ", -3).alias("tail"), F.concat(acc["left"], F.array(pattern)).alias("left"))
+
+    pairs = F.zip_with(gaps, found, lambda g, c: F.struct(g.alias("gap"), c["found"].alias("found")))
+    start = F.struct(F.lit("").alias("tail"), F.coalesce(F.lit(None).cast("array<string>"), F.array().cast("array<string>")).alias("left"))
+    return F.aggregate(pairs, start, step)["left"]
 
 
 def _filter(kind: str):
@@ -129,8 +143,8 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUP
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, base and spans, both array<struct<rank, start, kind, stop>> in order; spans has the discovered ones too."""
     found = checkpointed(scanned(docs, doc_id, text))
-    where = occurrences(found).filter(F.col("pattern") != "")
-    edges = checkpointed(where.select("pattern", "instance", "kind").distinct())
+    where = occurrences(found)
+    edges = checkpointed(where.filter("pattern <> ''").select("pattern", "instance", "kind").distinct())
     new = bootstrap(edges, **options).filter((F.length(digits(F.col("instance"))) >= MIN_DIGITS) | F.contains("instance", F.lit("@")))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("k")).cast("int") - 1
     spans = where.filter("kind IS NULL").drop("kind").join(new.withColumnRenamed("kind", "k"), "instance")

@@ -71,3 +71,18 @@ def test_bootstrap_discovers_by_context(spark):
 
 def test_empty_table(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string, base int")).count() == 0
+
+
+def test_occurrences_without_two_words_in_the_gap_are_marked_too(spark):
+    rows = [(i, f"Please call me under +1 (017) 555-{1000 + i} today") for i in range(8)] + [(100, "please call me under 017 555 4242 today")]
+    long = "x" * 90
+    rows += [(200, "017 555 4242 at the start"), (201, "call 017 555 4242"), (202, "the lots 017 555 9999, 017 555 4242"), (203, f"see {long} 017 555 4242")]
+    # contexts that hold a long word or another candidate are patterns too
+    rows += [(300 + i, f"{long} under +1 (017) 555-{3000 + i}") for i in range(8)] + [(400, f"{long} under 017 555 4343")]
+    rows += [(500 + i, f"room 11111 or +1 (017) 555-{5000 + i}") for i in range(8)] + [(600, "room 11111 or 017 555 4444")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans if s not in r.base] for r in pii.personal_data(df).collect()}
+    text = dict(rows)
+    for doc, number in [(100, "017 555 4242"), (200, "017 555 4242"), (201, "017 555 4242"), (202, "017 555 4242"), (203, "017 555 4242"), (400, "017 555 4343"), (600, "017 555 4444")]:
+        at = text[doc].index(number)
+        assert found[doc] == [("phone", at, at + 12)], doc
