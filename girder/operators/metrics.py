@@ -33,11 +33,26 @@ def summary(values: DataFrame, value: str, reason: str, groupings: list[list[str
     )
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The percentile that is a value itself: place round(p * n), ties to even, within the values."""
-    ordered = F.sort_array(F.collect_list(values))
-    place = F.greatest(F.lit(1), F.rint(F.size(ordered) * p).cast("int"))
-    return F.try_element_at(ordered, place)
+def nearest_ranks(rows: DataFrame, by: str, value: str, shares: dict[str, float], checkpoint) -> DataFrame:
+    """Percentiles of each group that are values themselves: place round(p * n), ties to even, within the values.
+
+    Values are counted, and the counts lie in ranges of (group, value), so that a group of any size spreads over
+    tasks; a value's places follow those of the ranges before its own.  Nulls have no place.
+    """
+    counts = rows.groupBy(by, value).agg(F.count(value).alias("n")).repartitionByRange(by, value).withColumn("part", F.spark_partition_id())
+    counts = checkpoint(counts)
+    ranges = counts.groupBy(by, "part").agg(F.sum("n").alias("held"))
+    ahead = Window.partitionBy(by).orderBy("part")
+    ranges = ranges.select(F.col(by).alias("__group"), F.col("part").alias("__range"), (F.sum("held").over(ahead) - F.col("held")).alias("before"), F.sum("held").over(Window.partitionBy(by)).alias("total"))
+    placed = counts.join(F.broadcast(ranges), F.col(by).eqNullSafe(F.col("__group")) & (F.col("part") == F.col("__range")))
+    last = F.col("before") + F.sum("n").over(Window.partitionBy(by, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.withColumn("last", last)
+
+    def at(p: float) -> Column:
+        place = F.greatest(F.lit(1), F.rint(F.col("total") * p).cast("long"))
+        return F.max(F.when((F.col("n") > 0) & (F.col("last") - F.col("n") < place) & (place <= F.col("last")), F.col(value)))
+
+    return placed.groupBy(by).agg(*[at(p).alias(name) for name, p in shares.items()])
 
 
 def reliability(outcomes: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from girder.operators import metrics
+from girder.operators.checkpoints import checkpointed
 from girder.plans.registry import query
 from girder.sources.tables import table
 
@@ -49,7 +50,7 @@ def suite_summary(spark, sf_dir) -> DataFrame:
 
 @query("""WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type) SELECT event_type, v[greatest(1, CAST(round_even(len(v) * 0.5::DOUBLE, 0) AS INTEGER))] AS p50, v[greatest(1, CAST(round_even(len(v) * 0.95::DOUBLE, 0) AS INTEGER))] AS p95 FROM s""")
 def nearest_rank_percentiles(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(metrics.nearest_rank(F.col("value"), 0.5).alias("p50"), metrics.nearest_rank(F.col("value"), 0.95).alias("p95"))
+    return metrics.nearest_ranks(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}, checkpointed)
 
 
 _OUT = "SELECT (doc_id % 101) / 100.0::DOUBLE AS confidence, quality = 1 AS correct FROM labels"
