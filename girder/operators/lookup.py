@@ -106,20 +106,21 @@ def greedy_matches(candidates: DataFrame, group: str) -> DataFrame:
 def components(edges: DataFrame, checkpoint) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) is connected with.
 
-    Every node points to its smallest neighbour, pointers are shortened, and edges
-    move to their ends' roots, until no edge joins two roots.  checkpoint keeps the
-    edges of each round.
+    Large and small stars alternate until nothing changes; each round is a few shuffles of the
+    links, kept by checkpoint.
     """
-    edges = checkpoint(edges.select("a", "b").filter("a <> b"))
-    roots = checkpoint(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
-    while edges.limit(1).count():
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))
-        # two hops a round
-        hop = least.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        parent = checkpoint(least.join(hop, "p", "left").select("a", F.coalesce("pp", "p").alias("p")))
-        roots = checkpoint(roots.join(parent, roots.root == parent.a, "left").select("node", F.coalesce("p", "root").alias("root")))
-        moved = edges.join(parent, "a").select(F.col("p").alias("a"), "b")
-        moved = moved.join(parent.select(F.col("a").alias("b"), F.col("p").alias("q")), "b").select("a", F.col("q").alias("b"))
-        edges = checkpoint(moved.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return roots
+    edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    while True:
+        # large star: larger neighbours of a node move to its smallest neighbour
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # small star: a node and its smaller neighbours move to the smallest
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = checkpoint(moved.union(least.select("a", F.col("m").alias("b"))).distinct())
+        was, now = (x.agg(F.count("a"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first() for x in (edges, small))
+        edges = small
+        if tuple(was) == tuple(now):
+            roots = edges.select(F.col("b").alias("node")).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("node", F.col("node").alias("root")))
