@@ -14,8 +14,9 @@ table counts); documents are then predicted in one pass without a shuffle.
 Cases: a null text, or one without letters, is `und` with score 0, as is any
 text if no language could be learned; rows without a label, or without an id,
 teach nothing; a text of any length is read whole; ties go to the language that
-sorts first; repeated rows get equal predictions; an output name that is taken
-gets a leading underscore.
+sorts first; repeated rows get equal predictions; an empty table teaches nothing
+and gives no rows; an output name that is taken gets a leading underscore.  More
+than LABELS labels are an error, as prototypes go to every task.
 """
 
 from __future__ import annotations
@@ -38,6 +39,11 @@ PER_LANG = 4000
 UNDETERMINED = "und"
 #: Trigrams whose vectors are held at once.
 COLUMNS = 4096
+LABELS = 10_000
+#: A text is in none of the languages if it is no nearer to any than a random vector's standard deviation (1 / 32);
+#: this is asked only of texts of JUDGED characters or more, as few trigrams have too much chance in them.
+LEAST = 0.5 + 0.5 / 32
+JUDGED = 200
 
 
 @lru_cache(maxsize=1)
@@ -108,7 +114,9 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_lang: int = PER_LANG) -> dict[str, np.ndarray]:
     """The prototype of each language, from about per_lang of its documents at most."""
     known = labelled.filter(F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(lang).count().limit(LABELS + 1).collect()}
+    if len(counts) > LABELS:
+        raise ValueError(f"{lang} has more than {LABELS} values")
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_lang / n))])
@@ -165,12 +173,29 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     return docs.mapInArrow(run, schema)
 
 
+def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", lang: str = "lang", languages: list[str] | None = None, least: float = LEAST, judged: int = JUDGED) -> DataFrame:
+    """The documents in one of the languages (all learned ones), with the language that was found in lang.
+
+    Rejected are texts without letters (null and empty ones too), texts in another language than those asked for, and
+    texts of `judged` characters or more with a score below `least`, which are in no language that was learned.  If
+    no language was learned, nothing is rejected.  An empty table gives an empty one; other columns pass through.
+    """
+    if not prototypes:
+        return docs
+    pred, score = fresh(docs, "lang_pred", "score")
+    found = predict(docs, prototypes, text).filter((F.col(pred) != UNDETERMINED) & ((F.col(score) >= least) | (F.length(text) < judged)))
+    if languages is not None:
+        found = found.filter(F.col(pred).isin(languages))
+    return found.select(*[F.col(pred).alias(c) if c == lang else c for c in docs.columns])
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from fitting: crc32 of its id's text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
+    """Language and score of every document (`und` and 0 for null, empty or letterless texts); none for an empty table."""
     docs = table(spark, sf_dir, "documents")
     prototypes = fit(docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
     found = predict(docs.select("doc_id", "text"), prototypes)

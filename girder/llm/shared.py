@@ -1,24 +1,11 @@
-"""What the operators share: checkpoints in the shared folder, and the pickled model of a task."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that spark.checkpoint.dir names.
-
-    The folder is the cluster's; only where none is set (as in tests on one
-    machine) a temporary one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="girder-"))
-    return df.checkpoint(eager=True)
+from girder.operators.checkpoints import checkpoint_folder, checkpointed  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

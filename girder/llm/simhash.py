@@ -7,18 +7,42 @@ Linking works on distinct fingerprints, so exact copies cost nothing more.
 Fingerprints are dealt to buckets by bit blocks: `radius` differing bits spoil
 at most `radius` of 2 * radius blocks, so two near fingerprints agree on some
 choice of `radius` whole blocks, and every choice is one bucket key of about 32
-bits (more blocks, and longer keys, beyond 2**32 distinct fingerprints).  (Distances to random pivots are concentrated around 32 and could not deal
-the work out by themselves.)  In a bucket the pivot table does the work: the
-Hamming distances to PIVOTS reference fingerprints are computed once, pairs whose
+bits (more blocks, and longer keys, beyond 2**32 distinct fingerprints).
+(Distances to random pivots are concentrated around 32 and could not deal the
+work out by themselves.)  In a bucket the pivot table does the work: the Hamming
+distances to PIVOTS reference fingerprints are computed once, pairs whose
 largest coordinate difference exceeds the radius are discarded by the triangle
 inequality, and survivors are verified.  A large bucket is searched breadth
 first from one member at a time against those not yet reached, which gives a
 spanning forest of its links: output stays below the bucket's size, however
 dense it is, and the components are exact.
 
+A bucket of more than CROWD fingerprints is not searched but dealt again, by the
+bits that its key leaves open: those are cut into blocks in the same way.  What
+is left open then (16 bits of 64) bounds a bucket by 65,536 distinct
+fingerprints, so no task ever holds more, whatever the corpus repeats.
+
+near_components and keep_first are the operator's form for copies with edited
+words: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+more.  Such fingerprints are about ten bits apart, too far for bit blocks, so
+candidates meet by MinHash bands (see shingles.BANDS).  In a bucket the pivot
+table of their SimHash fingerprints discards what is more than FAR bits apart, and
+whole sets verify the rest.  (The references are the first PIVOTS texts of the
+bucket that had no partner, as random ones discard next to nothing at such a
+radius.  At similarity 0.8 the distance is 9.7 with a deviation of 2.9, so one pair
+in ten thousand is further apart.)  Each text is compared with those held before
+it, one link to each component among them is enough, and all are held up to
+HELD_BYTES; beyond that only texts without a link are.  So a bucket of near texts, however many, costs bounded memory and a link a
+text; only texts without any partner add to it beyond that.  Of two near texts
+that met in a bucket one at least is linked to an earlier one: no two documents
+that keep_first keeps have met as near.
+
 Cases: texts without words (null and empty ones too) have fingerprint zero and
-link like any other; repeated rows share a fingerprint; a component's id is its
-smallest doc_id (null if it has none); other columns pass through.
+link like any other; an empty table gives no links and no rows; a text of any
+length is read whole, a few megabytes of texts at a time; repeated rows share a
+fingerprint; a component's id is its smallest doc_id (null if it has none; rows
+with a null id come last); other columns pass through, and a name that is taken
+gets a leading underscore.
 """
 
 from __future__ import annotations
@@ -35,10 +59,17 @@ from pyspark.sql import types as T
 
 from girder.llm.flat import LOWER, U64, mix, text_slices
 from girder.llm.shared import checkpointed, fresh, partitions, table
+from girder.llm.shingles import BANDS, band_keys, majority, node_of, shingles
+from girder.operators import lookup
 
 SEED = 42
 PIVOTS = 32
 SMALL = 24
+#: Fingerprints that a bucket may have before it is dealt again.
+CROWD = 4096
+SHINGLE, SIMILARITY = 5, 0.8
+FAR = 20
+HELD_BYTES = 64 << 20
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -132,37 +163,60 @@ def forest(fp: np.ndarray, radius: int, refs: np.ndarray) -> Iterator[tuple[np.n
             left = np.delete(left, near)
 
 
-def _link_runs(radius: int):
+def _link_runs(radius: int, crowd: int | None):
+    """Links within the runs of one key of sorted rows (key, choice, fp); as rows with `again`, and choice as b, the
+    members of runs of more than crowd, of which no more than that and a batch is held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = pivots()
-        key, fp = np.zeros(0, np.int64), np.zeros(0, U64)
-
-        def linked(k, f):
-            for a, b in bucket_links(k, f, radius, refs):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+        crowded = None
+
+        def rows(a: np.ndarray, b: np.ndarray, again: bool) -> Iterator[pa.RecordBatch]:
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), again))], names=["a", "b", "again"])
+
+        def linked(key: np.ndarray, choice: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if crowd is not None and len(key) > crowd:
+                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                size = np.diff(np.append(start, len(key)))
+                big = np.repeat(size > crowd, size)
+                yield from rows(fp[big], choice[big], True)
+                key, fp = key[~big], fp[~big]
+            if len(key):
+                for a, b in bucket_links(key, fp, radius, refs):
+                    yield from rows(a, b, False)
 
         for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, batch.column(1).to_numpy().view(U64)])
-            if not len(key):
+            new = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy().view(U64)
+            if crowded is not None:
+                more = int(np.searchsorted(new[0] != crowded, True))
+                yield from rows(new[2][:more], new[1][:more], True)
+                new = tuple(c[more:] for c in new)
+            if not len(new[0]):
                 continue
+            key, choice, fp = (np.concatenate(c) for c in zip(held, new))
             cut = int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
-            if cut:
-                yield from linked(key[:cut], fp[:cut])
-                key, fp = key[cut:], fp[cut:]
-        if len(key):
-            yield from linked(key, fp)
+            yield from linked(key[:cut], choice[:cut], fp[:cut])
+            held, crowded = (key[cut:], choice[cut:], fp[cut:]), None
+            if crowd is not None and len(held[0]) > crowd:
+                yield from rows(held[2], held[1], True)
+                held, crowded = tuple(c[:0] for c in held), key[-1]
+        yield from linked(*held)
 
     return run
 
 
-def block_masks(radius: int, blocks: int) -> list[int]:
-    """Masks of every choice of the blocks that `radius` differing bits can leave whole, as signed integers."""
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    parts = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
-    masks = [sum(c) for c in combinations(parts, blocks - radius)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def block_masks(radius: int, blocks: int, bits: list[int] | None = None) -> list[int]:
+    """Masks of every choice of the blocks of bits (all 64) that `radius` differing bits can leave whole."""
+    bits = list(range(64)) if bits is None else bits
+    edges = [round(len(bits) * i / blocks) for i in range(blocks + 1)]
+    parts = [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+    return [sum(c) for c in combinations(parts, blocks - radius)]
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def blocks_for(n: int, radius: int) -> int:
@@ -173,35 +227,33 @@ def blocks_for(n: int, radius: int) -> int:
     return blocks
 
 
-def links(prints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
+def _dealt(keyed: DataFrame, radius: int, crowd: int | None) -> DataFrame:
+    dealt = keyed.repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.select("key", "choice", "fp").mapInArrow(_link_runs(radius, crowd), "a long, b long, again boolean")
+
+
+def links(prints: DataFrame, radius: int = 3, blocks: int | None = None, crowd: int = CROWD) -> DataFrame:
     """(a, b) links between the distinct fingerprints in column fp that connect all near ones."""
-    spark = prints.sparkSession
     masks = block_masks(radius, blocks or blocks_for(prints.count(), radius))
-    keyed = prints.select(F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("key"), "fp")
-    dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_link_runs(radius), "a long, b long").distinct()
+    choices = F.array(*[F.struct(F.lit(i).alias("choice"), F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))).alias("key")) for i, m in enumerate(masks)])
+    first = checkpointed(_dealt(prints.select(F.explode(choices).alias("c"), "fp").select("c.*", "fp"), radius, crowd))
+    found = first.filter("NOT again").select("a", "b")
+    # crowded buckets once more, by the bits that their keys leave open
+    again = first.filter("again").select(F.col("a").alias("fp"), F.col("b").cast("int").alias("choice"))
+    if again.limit(1).count():
+        finer = []
+        for mask in masks:
+            left = [b for b in range(64) if not mask >> b & 1]
+            finer.append(F.array(*[F.lit(signed(mask | m)) for m in block_masks(radius, min(2 * radius, len(left)), left)]))
+        again = again.select("fp", "choice", F.posexplode(F.element_at(F.array(*finer), F.col("choice") + 1)).alias("finer", "mask"))
+        again = again.select("choice", F.xxhash64("choice", "finer", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
+        found = found.union(_dealt(again, radius, None).select("a", "b"))
+    return found.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the links (a, b): root is the smallest node it is connected with.
-
-    Large and small stars alternate until nothing changes; each round is a few
-    shuffles of the links, kept in the checkpoint folder.
-    """
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    while True:
-        # large star: larger neighbours of a node move to its smallest neighbour
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: a node and its smaller neighbours move to the smallest
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = checkpointed(moved.union(least.select("a", F.col("m").alias("b"))).distinct())
-        was, now = (x.agg(F.count("a"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first() for x in (edges, small))
-        edges = small
-        if tuple(was) == tuple(now):
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    """(node, root) of every node of the links (a, b): root is the smallest node it is connected with."""
+    return lookup.components(edges, checkpointed)
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -210,25 +262,164 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
     prints = checkpointed(fingerprints(rows, "text", shingle))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct.select("fp"), radius))
-    linked = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
-    member = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    label = member.join(smallest, "root").select("fp", "root", "component_id")
-    return prints.join(label, "fp")
-
-
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """docs without those that have an earlier document in their component; of several rows with its first id one stays."""
-    found = groups(docs, doc_id, text, shingle, radius)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("component_id").alias("doc_id"), F.min("content").alias("content"))
+    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return prints.join(_labels(distinct, roots, "fp"), "fp")
+
+
+def _labels(members: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """(node, root, component_id) of members (node, first_id): a node without links is its own component."""
+    member = members.select(node, "first_id").join(roots, node, "left").withColumn("root", F.coalesce("root", node))
+    return member.join(member.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select(node, "root", "component_id")
+
+
+def near_prints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, place, node, fp, keys) of rows (doc_id, place, text): node names the set of shingles, keys are its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, prints, keys, count = [], [], [], []
+            for grams, bound in shingles(batch, "text", shingle):
+                sets = [np.unique(grams[a:b]) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
+                size = np.array([len(x) for x in sets])
+                nodes += [node_of(x) for x in sets]
+                edge = np.concatenate([[0], np.cumsum(size)])
+                grams = np.concatenate(sets) if len(sets) else grams[:0]
+                prints.append(majority(grams, edge))
+                if len(grams):
+                    keys.append(band_keys(grams, edge).ravel().view(np.int64))
+                count.append(np.where(size > 0, BANDS, 0))
+            if nodes:
+                offsets = np.concatenate([[0], np.cumsum(np.concatenate(count))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+                made = [pa.array(nodes, pa.int64()), pa.array(np.concatenate(prints).view(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), *made], names=["doc_id", "place", "node", "fp", "keys"])
+
+    return rows.select("doc_id", "place", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, place string, node long, fp long, keys array<long>")
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grams, bound in shingles(batch, "text", shingle):
+                sets = [np.unique(grams[a:b]) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
+
+    return run
+
+
+class Bucket:
+    """The texts of a bucket that later ones are compared with, and their pivot table."""
+
+    def __init__(self, similarity: float, far: int = FAR, held_bytes: int = HELD_BYTES):
+        self.similarity, self.far, self.held_bytes = similarity, far, held_bytes
+        self.refs = np.zeros(0, U64)
+        self.nodes: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.above: list[int] = []
+        self.fp, self.coords = np.zeros(16, U64), np.zeros((16, PIVOTS), np.int8)
+        self.bytes = 0
+        #: pairs that met, that the pivot table left, and that whole sets were read of
+        self.met = self.left = self.read = 0
+
+    def root(self, i: int) -> int:
+        while self.above[i] != i:
+            self.above[i] = self.above[self.above[i]]
+            i = self.above[i]
+        return i
+
+    def near(self, node: int, fp: int, grams: np.ndarray) -> list[int]:
+        """Held texts near to this one, one of each component; it is held itself if it has none or there is room."""
+        n, fp = len(self.nodes), U64(fp)
+        used = len(self.refs)
+        coords = np.bitwise_count(self.refs ^ fp).astype(np.int8)
+        live = np.arange(n)
+        for lo in range(0, used if n else 0, 8):
+            hi = min(lo + 8, used)
+            live = live[np.abs(self.coords[live, lo:hi] - coords[lo:hi]).max(axis=1, initial=0) <= self.far]
+        self.met, self.left = self.met + n, self.left + len(live)
+        apart = np.bitwise_count(self.fp[live] ^ fp)
+        live, apart = live[apart <= self.far], apart[apart <= self.far]
+        found: dict[int, int] = {}
+        for i in live[np.argsort(apart, kind="stable")].tolist():
+            if (r := self.root(i)) in found:
+                continue
+            other = self.sets[i]
+            least, most = sorted((len(grams), len(other)))
+            if least < self.similarity * most:
+                continue
+            self.read += 1
+            both = len(np.intersect1d(grams, other, assume_unique=True))
+            if both >= self.similarity * (least + most - both) - 1e-9:
+                found[r] = i
+        if not found or self.bytes < self.held_bytes:
+            if n == len(self.fp):
+                self.fp, self.coords = np.concatenate([self.fp, self.fp]), np.concatenate([self.coords, self.coords])
+            self.fp[n], self.coords[n, :used] = fp, coords
+            if not found and used < PIVOTS:
+                self.refs = np.append(self.refs, fp)
+                self.coords[: n + 1, used] = np.bitwise_count(self.fp[: n + 1] ^ fp)
+            self.nodes.append(node)
+            self.sets.append(grams)
+            self.above.append(n)
+            self.bytes += grams.nbytes
+            own = n
+        else:
+            own = next(iter(found))
+        for r in found:
+            self.above[r] = self.root(own)
+        return [self.nodes[i] for i in found.values()]
+
+
+def _link_buckets(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, bucket = None, Bucket(similarity)
+        for batch in batches:
+            a, b = [], []
+            columns = (batch.column(c).to_pylist() for c in ("key", "node", "fp"))
+            for k, node, fp, grams in zip(*columns, batch.column("grams")):
+                if k != key:
+                    key, bucket = k, Bucket(similarity)
+                # a copy, as a view would hold its whole batch
+                near = bucket.near(node, fp % (1 << 64), np.frombuffer(grams.as_buffer(), U64).copy())
+                a += [node] * len(near)
+                b += near
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def near_components(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, place, root, component_id) of rows (doc_id, place, text); place tells rows with one id but other texts apart."""
+    found = checkpointed(near_prints(rows, shingle))
+    nodes = checkpointed(found.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("place").alias("place"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    # buckets of several nodes, each set of members once
+    keyed = nodes.select("node", "first_id", "fp", F.explode("keys").alias("key"))
+    several = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
+    several = several.groupBy("n", "members").agg(F.min("key").alias("key")).select("key")
+    members = checkpointed(keyed.join(several, "key"))
+    # their sets, from one text of each
+    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select("place")
+    sets = rows.select("place", "text").join(asked, "place", "left_semi").dropDuplicates(["place"]).mapInArrow(_sets(shingle), "node long, grams binary")
+    dealt = members.join(sets, "node").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", F.asc_nulls_last("first_id"), "node")
+    edges = dealt.select("key", "node", "fp", "grams").mapInArrow(_link_buckets(similarity), "a long, b long").distinct()
+    return found.select("doc_id", "place", "node").join(_labels(nodes, components(edges), "node"), "node").drop("node")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without those that have an earlier document in their component of near texts; of several rows with its
+    first id one stays.  Texts without words are copies of each other."""
+    place = F.concat_ws(":", F.col(doc_id).cast("string"), F.xxhash64(text).cast("string"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), place.alias("place"), F.col(text).cast("string").alias("text"))
+    found = near_components(rows, shingle, similarity)
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("place").alias("place"))
     # one key of id and text, so that the join and the search for repeated rows move the texts once
     (key,) = fresh(docs, "key")
-    of = lambda ident, content: F.concat_ws(":", F.col(ident).cast("string"), content.cast("string"))
-    first = first.select(of("doc_id", F.col("content")).alias(key)).distinct()
-    return docs.withColumn(key, of(doc_id, F.xxhash64(text))).join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    return docs.withColumn(key, place).join(first.select(F.col("place").alias(key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document (three-word shingles, three bits); null and wordless texts have
+    fingerprint zero, and an empty table gives no rows."""
     found = groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

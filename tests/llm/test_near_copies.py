@@ -2,7 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from girder.llm import jaccard
+from girder.llm import simhash
 
 
 def brute_near(texts):
@@ -70,6 +70,6 @@ def test_stage_on_the_tables(spark):
 def test_edges(spark):
     rows = [(0, "a b c d"), (1, "a b c d"), (1, "totally other words here"), (1, "Totally other words here"), (None, "z z z z"), (None, "q r s t u v")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = jaccard.keep_first(df).collect()
+    kept = simhash.keep_first(df).collect()
     assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [("0", "a b c d"), ("1", "totally other words here"), ("None", "q r s t u v"), ("None", "z z z z")]
-    assert jaccard.keep_first(df.limit(0)).count() == 0
+    assert simhash.keep_first(df.limit(0)).count() == 0

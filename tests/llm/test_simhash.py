@@ -81,6 +81,8 @@ def test_links_connect_dense_and_chained_groups(spark):
     assert edges.count() <= 20 * len(prints)
     longer = {tuple(r) for r in simhash.components(simhash.links(df, 3, 8)).collect()}
     assert longer == {tuple(r) for r in simhash.components(edges).collect()}
+    # buckets that are dealt again give the same components
+    assert longer == {tuple(r) for r in simhash.components(simhash.links(df, crowd=3)).collect()}
     assert [simhash.blocks_for(n, 3) for n in (0, 1000, 1 << 31, 1 << 40)] == [6, 6, 6, 9]
     roots = {r.node % (1 << 64): r.root for r in simhash.components(edges).collect()}
     label = [roots.get(p, int(np.uint64(p).view(np.int64))) for p in prints]
@@ -103,3 +105,17 @@ def test_keep_first_and_edges(spark):
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id is None, r.doc_id, r.text.lower()) for r in kept if r.doc_id is not None) == [(False, 0, "a b c d"), (False, 1, "totally other words here")]
     assert sorted(r.text for r in kept if r.doc_id is None) == ["q r s t u v", "z z z z"]
+
+
+def test_bucket_of_near_texts_discards_by_pivots():
+    rnd = np.random.default_rng(2)
+    base = [np.unique(rnd.integers(0, 1 << 63, 200).astype(np.uint64)) for _ in range(30)]
+    texts = [x for b in base for x in (b, np.unique(np.concatenate([b[10:], rnd.integers(0, 1 << 63, 5).astype(np.uint64)])))]
+    for room in (1 << 30, 0):
+        bucket = simhash.Bucket(0.8, held_bytes=room)
+        for i, grams in enumerate(texts):
+            fp = simhash.majority(grams, np.array([0, len(grams)]))[0]
+            assert bucket.near(i, int(fp), grams) == ([i - 1] if i % 2 else [])
+        assert len(bucket.nodes) == (60 if room else 30)
+        # most pairs fall to the pivot table, and few sets are read in vain
+        assert 30 <= bucket.read < 60 and bucket.left < bucket.met / 2
