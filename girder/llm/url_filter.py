@@ -3,32 +3,33 @@
 A host rule fits a host and its subdomains under a path prefix; the longest
 fitting rule decides.  The urls that rules decide are the examples from which a
 multinomial naive Bayes learns to decide the others.  Its words come from the
-host's labels, each split into dictionary words by a unigram Viterbi search
-("cheappillsonline" gives three), and from the path's parts.
+letter runs of hosts and paths, each split into dictionary words by a unigram
+Viterbi search ("cheappillsonline" gives three).
 
-The dictionary is counted over all pages (the words of titles and the parts of
-urls) and keeps its most frequent words, DICTIONARY at most.  Naive Bayes counts go to
-FEATURES hashed buckets.  So both models have a size that does not grow with the
-pages, and one pass over the urls applies them.
+The dictionary counts the words that pages write apart: those of whole titles and
+the parts of hyphenated names, of two letters or more (single letters would split
+anything).  A run that stands alone in a url is what has to
+be split, so it does not count.  Dictionary, examples and odds are tables of any
+size: the stretches of each distinct run meet the dictionary in a join, its
+words then meet their odds, and urls the sums of their runs.  Each distinct run
+and url is handled once, however many pages have it.
 
 Cases: a null url, or one without "://", has an empty host and path, fits no rule
-and is judged by the prior alone; ties are allowed; repeated rows get equal
-verdicts; an empty table gives an empty result; a label of any length is
-segmented whole; columns of pages with the names of results give way to them.
+and is judged by the prior alone; ties are allowed; a word that no example has
+says nothing; repeated rows get equal verdicts; an empty table gives an empty
+result; titles and runs of any length are read whole (what one run meets is one
+row); columns of pages with the names of results give way to them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import inf, log
+from math import log
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from girder.llm.flat import BYTE_VALUES, span_hashes
 from girder.llm.shared import checkpointed, table
 
 #: Verdict, host and path prefix of the rules.
@@ -40,9 +41,9 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DICTIONARY = 50_000
-FEATURES = 1 << 16
-LONGEST_WORD = 24
+#: An unknown stretch costs as much as a word ten times as rare as the rarest, and this for each of its letters.
+PER_LETTER = 3.0
+SEND = 1 << 16
 
 
 def parts(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -64,135 +65,119 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def dictionary(pages: DataFrame, url: str = "url", html: str | None = "html", size: int = DICTIONARY) -> dict[str, int]:
-    """Counts of the most frequent words of titles and urls over all pages."""
-    text = F.col(url) if html is None else F.concat_ws(" ", F.regexp_extract(F.col(html), r"(?is)<title[^>]*>(.{0,2000}?)</title>", 1), F.col(url))
-    words = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).filter(F.length("word").between(2, LONGEST_WORD))
-    counts = checkpointed(words.groupBy("word").count())
-    # the lowest frequency class (an eighth of a power of two) down to which the words still fit
-    kind = F.floor(8 * F.log2("count"))
-    fits, least = 0, None
-    for r in counts.groupBy(kind.alias("kind")).agg(F.count("word").alias("n")).orderBy(F.desc("kind")).collect():
-        fits += r.n
-        if fits > size:
-            break
-        least = r.kind
-    return {r[0]: r[1] for r in counts.filter(kind >= least).collect()} if least is not None else {}
-
-
-class Segmenter:
-    """Unigram Viterbi segmentation of letter runs, with a memory of recent ones."""
-
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        self.cost = {w: log(total / n) for w, n in counts.items()}
-        self.unknown = log(total) + log(10)
-        self.longest = max(map(len, counts), default=1)
-        self.memory: dict[str, list[str]] = {}
-
-    def split(self, run: str) -> list[str]:
-        if (known := self.memory.get(run)) is not None:
-            return known
-        best, back = [0.0] + [inf] * len(run), [0] * (len(run) + 1)
-        for end in range(1, len(run) + 1):
-            for start in range(max(0, end - self.longest), end):
-                cost = self.cost.get(run[start:end])
-                # an unknown stretch costs more with each letter
-                cost = best[start] + (self.unknown + 3.0 * (end - start) if cost is None else cost)
-                if cost < best[end]:
-                    best[end], back[end] = cost, start
-        out, end = [], len(run)
-        while end:
-            out.append(run[back[end] : end])
-            end = back[end]
-        if len(self.memory) > 200_000:
-            self.memory.clear()
-        self.memory[run] = out[::-1]
-        return out[::-1]
-
-
-def _letters(text: str) -> list[str]:
-    """Runs of letters, and 0 in place of a run of digits."""
-    out, run = [], []
-    for c in text.lower():
-        if c.isalpha():
-            run.append(c)
-            continue
-        if run:
-            out.append("".join(run))
-            run = []
-        if c.isdigit() and (not out or out[-1] != "0"):
-            out.append("0")
-    if run:
-        out.append("".join(run))
-    return out
-
-
-def words_of(host: str, path: str, segmenter: Segmenter) -> list[str]:
-    """h:word for the words of the host's labels, p:word for those of the path."""
-    out = []
-    for kind, text in (("h", host), ("p", path)):
-        for run in _letters(text):
-            out.extend(f"{kind}:{w}" for w in ([run] if run == "0" else segmenter.split(run)))
-    return out
-
-
-def bucket_of(words: list[str]) -> np.ndarray:
-    if not words:
-        return np.zeros(0, np.int64)
-    raw = [w.encode() for w in words]
-    ends = np.cumsum([len(w) for w in raw])
-    h = span_hashes(BYTE_VALUES[np.frombuffer(b"".join(raw), np.uint8)], ends - [len(w) for w in raw], ends)
-    return (h % np.uint64(FEATURES)).astype(np.int64)
-
-
-def learn(ruled: DataFrame, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of block against allow: of each bucket, and of a page without words, from rows
-    with host, path and verdict."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(counts)
-        sums = np.zeros((FEATURES + 1, 2), np.int64)
+def runs(text: Column) -> Column:
+    """The runs of letters of a text in lower case, and 0 for each run of digits."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+|\p{N}+"), F.lit(0)), lambda r: F.when(r.rlike(r"^\p{N}"), "0").otherwise(r))
+
+
+def dictionary(pages: DataFrame, url: str = "url", html: str | None = "html") -> DataFrame:
+    """(word, n): the words that titles and hyphenated names of urls write apart, with their counts."""
+    apart = F.array_join(F.regexp_extract_all(F.col(url), F.lit(r"\p{L}+(?:[-_+]\p{L}+)+"), F.lit(0)), " ")
+    text = apart if html is None else F.concat_ws(" ", F.regexp_extract(F.col(html), r"(?is)<title[^>]*>(.*?)</title>", 1), apart)
+    words = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{2,}"), F.lit(0))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def cheapest(run: str, matches: list[tuple[int, int, int]], total: int) -> list[str]:
+    """The split of a run with the least cost, given the dictionary words (start, length, count) in it.
+
+    A word costs log(total / count), an unknown stretch log(10 * total) and PER_LETTER a letter.  Of equal costs a
+    word comes before an unknown stretch, and the longer word first.
+    """
+    ending: dict[int, list[tuple[int, float]]] = {}
+    for start, length, count in sorted(matches):
+        ending.setdefault(start + length, []).append((start, log(total / count)))
+    unknown = log(10 * total)
+    best, back = [0.0] * (len(run) + 1), [0] * (len(run) + 1)
+    # the cheapest way to be inside an unknown stretch, and where that begins
+    stretch, begin = float("inf"), 0
+    for end in range(1, len(run) + 1):
+        if best[end - 1] + unknown < stretch:
+            stretch, begin = best[end - 1] + unknown, end - 1
+        stretch += PER_LETTER
+        cost, at = None, 0
+        for start, price in ending.get(end, ()):
+            if cost is None or best[start] + price < cost:
+                cost, at = best[start] + price, start
+        best[end], back[end] = (stretch, begin) if cost is None or stretch < cost else (cost, at)
+    out, end = [], len(run)
+    while end:
+        out.append(run[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, words) of the distinct letter runs in column run, by the dictionary (word, n)."""
+    names = checkpointed(names.select("run").withColumn("id", F.monotonically_increasing_id()))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 1
+    longest = names.agg(F.coalesce(F.max(F.length("run")), F.lit(0))).first()[0]
+    lengths = sorted(r[0] for r in counts.select(F.length("word")).filter(F.length("word") <= longest).distinct().collect())
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, starts, words = [], [], []
+
+        def send() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(words, pa.string())], names=["id", "start", "word"])
+
+        for batch in batches:
+            for i, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for start in range(len(run)):
+                    for length in lengths:
+                        if start + length > len(run):
+                            break
+                        ids.append(i)
+                        starts.append(start)
+                        words.append(run[start : start + length])
+                    if len(ids) >= SEND:
+                        yield send()
+                        ids, starts, words = [], [], []
+        if ids:
+            yield send()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, path, verdict in zip(*(c.to_pylist() for c in batch.columns)):
-                side = int(verdict == "block")
-                np.add.at(sums[:, side], bucket_of(words_of(host, path, segmenter)), 1)
-                sums[FEATURES, side] += 1
-        some = np.flatnonzero(sums.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some, 0]), pa.array(sums[some, 1])], names=["bucket", "allow", "block"])
-
-    schema = "bucket long, allow long, block long"
-    rows = ruled.select("host", "path", "verdict").mapInArrow(count, schema).groupBy("bucket").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect()
-    sums = np.zeros((FEATURES + 1, 2))
-    for bucket, allow, block in rows:
-        sums[bucket] = allow, block
-    prior = float(np.log((sums[FEATURES, 1] + 1) / (sums[FEATURES, 0] + 1)))
-    seen = max(1, int((sums[:FEATURES].sum(axis=1) > 0).sum()))
-    mass = sums[:FEATURES].sum(axis=0) + seen
-    odds = np.log((sums[:FEATURES, 1] + 1) / mass[1]) - np.log((sums[:FEATURES, 0] + 1) / mass[0])
-    # a word that no example has says nothing
-    odds[sums[:FEATURES].sum(axis=1) == 0] = 0.0
-    return odds, np.array([prior])
+            runs_, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            words = [cheapest(r, [(m["start"], m["length"], m["n"]) for m in f or ()], total) for r, f in zip(runs_, found)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["run", "words"])
+
+    met = names.select("id", "run").mapInArrow(stretches, "id long, start int, word string").join(counts, "word")
+    found = met.groupBy("id").agg(F.collect_list(F.struct("start", F.length("word").alias("length"), "n")).alias("found"))
+    return names.join(found, "id", "left").select("run", "found").mapInArrow(split, "run string, words array<string>")
 
 
 def judge(pages: DataFrame, url: str = "url", html: str | None = "html", rules=RULES) -> DataFrame:
     """pages (without html) with host, path, rule, verdict and block_odds, the method's log odds."""
     name, decided = rule_of(rules)
-    split = parts(pages.select(*[c for c in pages.columns if c != html and c not in ("host", "path", "rule", "verdict", "block_odds")]), url).withColumn("rule", name).withColumn("verdict", decided)
-    counts = dictionary(pages, url, html)
-    odds, prior = learn(split.filter("verdict IS NOT NULL"), counts)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(counts)
-        for batch in batches:
-            hosts, paths = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "path"))
-            value = [float(prior[0] + odds[bucket_of(words_of(h, p, segmenter))].sum()) for h, p in zip(hosts, paths)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64())], names=[*batch.schema.names, "block_odds"])
-
-    scored = split.mapInArrow(score, T.StructType([*split.schema.fields, T.StructField("block_odds", T.DoubleType())]))
-    return scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("block_odds") > 0, "block").otherwise("allow")))
+    given = pages.select(*[c for c in pages.columns if c != html and c not in ("host", "path", "rule", "verdict", "block_odds")])
+    split = parts(given, url).withColumn("rule", name).withColumn("verdict", decided)
+    # each url once, with the number of its pages
+    urls = checkpointed(split.groupBy("host", "path", "verdict").agg(F.count("*").alias("pages")).withColumn("u", F.monotonically_increasing_id()))
+
+    def of(kind: str, name: str) -> Column:
+        return F.transform(runs(F.col(name)), lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("run")))
+
+    tokens = urls.select("u", "verdict", "pages", F.explode(F.concat(of("h", "host"), of("p", "path"))).alias("t")).select("u", "verdict", "pages", "t.*")
+    side = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("pages")).otherwise(0)).alias(v)
+    by_run = checkpointed(tokens.groupBy("kind", "run").agg(side("allow"), side("block")))
+    words = segmented(by_run.filter("run <> '0'").select("run").distinct(), checkpointed(dictionary(pages, url, html)))
+    by_run = checkpointed(by_run.join(words, "run", "left").withColumn("words", F.coalesce("words", F.array("run"))))
+    # the model: counts of each word, and the odds that they give
+    each = by_run.select("kind", "run", "allow", "block", F.explode("words").alias("word"))
+    counts = checkpointed(each.groupBy("kind", "word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")))
+    seen = counts.filter(F.col("allow") + F.col("block") > 0)
+    size, allow, block = seen.agg(F.count("*"), F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first()
+    allowed, blocked = urls.agg(*[F.coalesce(side(v), F.lit(0)) for v in ("allow", "block")]).first()
+    prior = log((blocked + 1) / (allowed + 1))
+    odds = seen.select("kind", "word", (F.log((F.col("block") + 1) / (block + size)) - F.log((F.col("allow") + 1) / (allow + size))).alias("odds"))
+    by_run = each.join(odds, ["kind", "word"]).groupBy("kind", "run").agg(F.sum("odds").alias("odds"))
+    scored = tokens.select("u", "kind", "run").join(by_run, ["kind", "run"]).groupBy("u").agg(F.sum("odds").alias("odds"))
+    scored = urls.join(scored, "u", "left").select("host", "path", F.round(prior + F.coalesce("odds", F.lit(0.0)), 9).alias("block_odds"))
+    out = split.join(scored, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.when(F.col("block_odds") > 0, "block").otherwise("allow")))
+    return out.select(*given.columns, "host", "path", "rule", "verdict", "block_odds")
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; null urls are judged by the prior, and an empty table gives no rows."""
     judged = judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_odds")

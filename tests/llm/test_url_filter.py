@@ -1,4 +1,8 @@
+import math
 import re
+from collections import Counter
+
+import pytest
 
 from girder.llm import url_filter as U
 
@@ -20,46 +24,114 @@ CASES = [
 ]
 
 
-def test_query_against_brute_force(spark, tmp_path):
-    rows = [(i, u, "<title>Cheap pills online</title>" if i % 2 else None) for i, u in enumerate(CASES + CASES[:3])]
-    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    got = U.op4_url_filter(spark, str(tmp_path)).collect()
+def plain_runs(text):
+    """Runs of letters in lower case, 0 for a run of digits."""
+    out, last = [], None
+    for c in text.lower():
+        kind = "a" if c.isalpha() else "0" if c.isnumeric() else None
+        if kind == "0" and last != "0":
+            out.append("0")
+        elif kind == "a":
+            out.append(out.pop() + c if last == "a" else c)
+        last = kind
+    return out
+
+
+def plain_split(run, counts, total):
+    """The cheapest split, by trying every last word."""
+    best = [(0.0, [])]
+    for end in range(1, len(run) + 1):
+        options = []
+        for start in range(end):
+            word = run[start:end]
+            cost = math.log(total / counts[word]) if word in counts else math.log(10 * total) + 3.0 * len(word)
+            options.append((best[start][0] + cost, best[start][1] + [word]))
+        best.append(min(options, key=lambda o: o[0]))
+    return best[-1]
+
+
+def plain_odds(pages):
+    """Log odds of block of each (url, html), by the definition."""
+    counts = Counter()
+    for url, html in pages:
+        title = re.search(r"<title[^>]*>(.*?)</title>", html or "", re.S | re.I)
+        counts.update(re.findall(r"[^\W\d_]{2,}", (title[1] if title else "").lower()))
+        for name in re.findall(r"[^\W\d_]+(?:[-_+][^\W\d_]+)+", url or ""):
+            counts.update(re.findall(r"[^\W\d_]{2,}", name.lower()))
+    total, memory, bags, words = sum(counts.values()) + 1, {}, [], {"allow": Counter(), "block": Counter()}
+    n = Counter()
+    for url, _ in pages:
+        host, path, _, verdict = brute(url)
+        bag = []
+        for kind, text in (("h", host), ("p", path)):
+            for run in plain_runs(text):
+                if run not in memory:
+                    memory[run] = [run] if run == "0" else plain_split(run, counts, total)[1]
+                bag += [(kind, w) for w in memory[run]]
+        bags.append(bag)
+        if verdict:
+            n[verdict] += 1
+            words[verdict].update(bag)
+    size = len(words["allow"].keys() | words["block"].keys())
+    mass = {v: sum(c.values()) + size for v, c in words.items()}
+
+    def odds(w):
+        a, b = words["allow"][w], words["block"][w]
+        return math.log((b + 1) / mass["block"]) - math.log((a + 1) / mass["allow"]) if a + b else 0.0
+
+    prior = math.log((n["block"] + 1) / (n["allow"] + 1))
+    return [prior + sum(map(odds, bag)) for bag in bags], memory
+
+
+def check(spark, folder, rows):
+    """The query's rows against the plain version of rows (page_id, url, html)."""
+    got = {r.page_id: r for r in U.op4_url_filter(spark, folder).collect()}
+    odds, memory = plain_odds([r[1:] for r in rows])
     assert len(got) == len(rows)
-    for r in got:
-        host, path, rule, verdict = brute(rows[r.page_id][1])
+    for (i, url, _), o in zip(rows, odds):
+        host, path, rule, verdict = brute(url)
+        r = got[i]
         assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.verdict in ("allow", "block") and (verdict is None or r.verdict == verdict)
-
+        assert abs(r.block_odds - o) < 1e-6
+        assert r.verdict == (verdict or ("block" if round(o, 9) > 0 else "allow"))
+    return memory
 
-def test_query_on_the_tables(spark, sf_dir):
-    pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    got = U.op4_url_filter(spark, sf_dir).collect()
-    assert len(got) == len(pages)
-    for r in got:
-        host, path, rule, verdict = brute(pages[r.page_id])
-        assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
-    # es and fr under net are blocked by rule; the method carries that over to other hosts
-    assert {r.verdict for r in got if r.host.endswith(".org") and r.path.startswith("/es/")} == {"block"}
 
-
-def test_segmentation_is_the_best_of_all():
+def test_query_against_brute_force(spark, tmp_path):
+    titles = [None, "<title>Cheap pills online</title>", "<TITLE lang='x'>Über das\nneue " + "word " * 3000 + "</title>", "<title>no end"]
+    more = ["http://cheappillsonline.net/fr/x", "http://neuepills.org/fr/onlinecheap", "http://a.net/es/cheap-stuff_here", "http://stuffcheap.org/de/", "http://x.org/" + "b" * 30]
+    rows = [(i, u, titles[i % 4]) for i, u in enumerate([*CASES[:-1], CASES[-1][:60], *CASES[:3], *more, *more[:1] * 40])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    memory = check(spark, str(tmp_path), rows)
+    assert memory["cheappillsonline"] == ["cheap", "pills", "online"] and memory["neuepills"] == ["neue", "pills"]
+    # a run of any length
+    rows = [(1, CASES[-1] + "cheap" * 500, titles[1])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "long" / "pages.parquet"))
+    assert U.op4_url_filter(spark, str(tmp_path / "long")).first().verdict == "allow"
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_on_the_tables(spark, sf):
+    pages = [tuple(r) for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    check(spark, f"/root/testdata/{sf}", pages)
+    # es under net is blocked by rule and de is not; the method carries that over to other hosts, whose words count too
+    got = [r for r in U.op4_url_filter(spark, f"/root/testdata/{sf}").collect() if r.host.endswith(".org")]
+    share = lambda lang: [r.verdict == "block" for r in got if r.path.startswith(f"/{lang}/")]
+    assert not share("es") or sum(share("es")) / len(share("es")) > 0.8
+    assert not share("es") or not share("de") or sum(share("de")) / len(share("de")) < sum(share("es")) / len(share("es"))
+
+
+def test_segmentation_is_the_best_of_all(spark):
     counts = {"cheap": 30, "pills": 20, "online": 10, "on": 40, "line": 15, "ch": 3, "eap": 1}
-    s = U.Segmenter(counts)
-    assert s.split("cheappillsonline") == ["cheap", "pills", "online"]
-    assert s.split("zzcheap")[-1] == "cheap" and "".join(s.split("zzcheap")) == "zzcheap"
-    assert s.split("") == []
-
-    def cost(words):
-        return sum(s.cost.get(w, s.unknown + 3.0 * len(w)) for w in words)
-
-    def all_splits(x):
-        yield [x]
-        for i in range(1, len(x)):
-            for rest in all_splits(x[i:]):
-                yield [x[:i], *rest]
-
-    for x in ("onlinech", "cheapon", "lineeap"):
-        assert abs(cost(s.split(x)) - min(map(cost, all_splits(x)))) < 1e-9
+    total = sum(counts.values()) + 1
+    runs = ["cheappillsonline", "zzcheap", "onlinech", "cheapon", "lineeap", "q", "pillszzzzzzonzz"]
+    found = U.segmented(spark.createDataFrame([(r,) for r in runs], "run string"), spark.createDataFrame(list(counts.items()), "word string, n long"))
+    got = {r.run: r.words for r in found.collect()}
+    assert got.keys() == set(runs) and got["cheappillsonline"] == ["cheap", "pills", "online"]
+    for run, words in got.items():
+        assert "".join(words) == run
+        cost = sum(math.log(total / counts[w]) if w in counts else math.log(10 * total) + 3.0 * len(w) for w in words)
+        assert abs(cost - plain_split(run, counts, total)[0]) < 1e-9
 
 
 def test_empty_table(spark):
