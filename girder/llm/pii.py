@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girder.llm.shared import checkpointed, table
-from girder.llm.spans import joined, matches, placed
+from girder.llm.spans import joined, matches, placed, walk
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the kinds.
@@ -99,11 +99,11 @@ def lefts(gaps: Column, found: Column) -> Column:
         # quotes and brackets that stand alone before the candidate are no words
         two = F.ltrim(F.substring_index(F.regexp_replace(before, r" [ \"'(]*+$", ""), " ", -2))
         pattern = F.when(F.contains(two, F.lit(" ")), F.lower(two)).otherwise("")
-        return F.struct(F.substring_index(F.concat(before, x["found"]), " ", -3).alias("tail"), F.concat(acc["left"], F.array(pattern)).alias("left"))
+        return F.struct(F.substring_index(F.concat(before, x["found"]), " ", -3).alias("tail"), F.concat(acc["out"], F.array(pattern)).alias("out"))
 
     pairs = F.zip_with(gaps, found, lambda g, c: F.struct(g.alias("gap"), c["found"].alias("found")))
-    start = F.struct(F.lit("").alias("tail"), F.coalesce(F.lit(None).cast("array<string>"), F.array().cast("array<string>")).alias("left"))
-    return F.aggregate(pairs, start, step)["left"]
+    start = F.struct(F.lit("").alias("tail"), F.coalesce(F.lit(None).cast("array<string>"), F.array().cast("array<string>")).alias("out"))
+    return walk(pairs, start, step)
 
 
 def _filter(kind: str):
@@ -156,6 +156,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
 
 
 def op2_personal_data(spark, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of every document; a null text has none, and an empty table gives no rows."""
     found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def n(kind: str) -> Column:

@@ -52,18 +52,41 @@ def test_query_against_sql(spark):
     assert (got.spans != "").any()
 
 
-def test_ledger_scans_only_unseen_pairs(spark):
+def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
     old = spark.createDataFrame([(1, "token=abcdef"), (2, "plain"), (2, "plain")], "doc_id long, text string")
-    _, ledger = S.scan_unseen(old)
-    assert ledger.count() == 2
+    S.scanned(old, folder)
+    assert S.open_ledger(spark, folder)[1].count() == 2
     now = spark.createDataFrame([(1, "token=abcdef"), (3, "plain"), (4, "secret=zzzzzz"), (None, "plain"), (5, None)], "doc_id long, text string")
-    paths, new = S.scan_unseen(now, ledger)
-    assert new.count() == 2  # the new secret and the empty blob
-    assert S.scan_unseen(now, ledger, version="2")[1].count() == 4
-    by = S.findings_by_path(paths, ledger.union(new))
+    ledger = S.open_ledger(spark, folder)[1]
+    assert S.scan_unseen(now, ledger)[1].count() == 2  # the new secret and the empty blob
+    # other rules are another version, which has seen nothing
+    assert S.version_of(S.RULES) != S.version_of({"hex": S.HEX})
+    assert S.scan_unseen(now, ledger, rules={"hex": S.HEX})[1].count() == 4
+    paths, hits = S.scanned(now, folder)
+    by = S.findings_by_path(paths, hits)
     assert by.count() == 5
     assert sorted(r.path for r in by.collect() if r.found) == [1, 4]
-    assert S.findings_by_path(*S.scan_unseen(now.limit(0))).count() == 0
+    # a second run scans nothing and finds the same
+    assert S.scan_unseen(now, S.open_ledger(spark, folder)[1])[1].count() == 0
+    assert sorted(S.findings_by_path(*S.scanned(now, folder)).collect(), key=str) == sorted(by.collect(), key=str)
+    assert S.open_ledger(spark, folder)[1].count() == 4
+    assert S.findings_by_path(*S.scanned(now.limit(0))).count() == 0
+
+
+def test_query_with_a_kept_ledger(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    first = S.op5_secret_scan(spark, "/root/testdata/sf0.001", folder).collect()
+    n = S.open_ledger(spark, folder)[1].count()
+    assert n > 0 and sorted(first) == sorted(S.op5_secret_scan(spark, "/root/testdata/sf0.001", folder).collect())
+    assert S.open_ledger(spark, folder)[1].count() == n
+
+
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"token=abcdef{i:05d}" for i in range(3000)) + " end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert S.redact(df).first().text == "[SECRET] " * 3000 + "end"
+    assert [(s.start, s.stop) for s in S.found_in(df).first().found] == [(m.start(), m.end()) for m in re.finditer(r"\S+=\S+", text)]
 
 
 def test_redaction(spark):
