@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANK = ("not specified", "n/a", "-")
 
@@ -98,37 +101,81 @@ def revision(label: Column) -> tuple[Column, Column]:
     return F.when(ok, F.when(number == "", "").otherwise(letters)), F.when(ok, F.when(number == "", ordinal).otherwise(F.nullif(number, F.lit("")).cast("int")))
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with the value computed once."""
+    return F.transform(F.array(value), of)[0]
+
+
 def file_revision(name: Column, number: Column) -> Column:
     """The revision label that a file's name has after its drawing number, if it has one.
 
-    The number's separators don't matter, but it has to end at one: FP-L05-2010 is another
-    drawing than FP-L05-201.  Two letters count only in brackets or after REV.
+    The name falls into runs of letters and digits, and brackets.  Some of the runs, joined, have to be the number: so
+    its separators don't matter, and FP-L05-2010 is another drawing than FP-L05-201.  The run after it is judged: up to
+    two letters and three digits are a label, one letter alone too, and two alone only in brackets or after REV.
     """
     stem = F.upper(F.regexp_replace(name, r"(?<=.)\.[^./\\]*$", ""))
-    # the number's characters, letters and digits only, may have separators between them
-    spelled = F.regexp_replace(F.regexp_replace(F.upper(number), r"[^\p{L}\p{N}]", ""), r"(?<=.)(?=.)", r"[-_.\\s]*")
-    rest = F.call_function("regexp_extract", stem, F.concat(spelled, F.lit(r"(?=$|[-_.\s(\[])(.*)$")), F.lit(1))
-    said = F.regexp_extract(rest, r"^([\s_.-]*[(\[]?\s*)(REV(?:ISION)?[\s_.-]*)?([A-Z]{0,2}\d{1,3}|[A-Z]{1,2})\s*[)\]]?(?:[\s_.-].*)?$", 3)
-    marked = rest.rlike(r"^[\s_.-]*(?:[(\[]|REV)")
-    return F.when((spelled != "") & (said != "") & (said.rlike(r"\d|^.$") | marked), said)
+    runs = F.regexp_extract_all(stem, F.lit(r"[\p{L}\p{N}]+|[(\[]"), F.lit(0))
+    wanted = F.regexp_replace(F.upper(number), r"[^\p{L}\p{N}]", "")
+
+    def after(own: Column) -> Column:
+        ends = F.filter(
+            F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1))),
+            lambda j: F.exists(F.sequence(F.lit(1), j), lambda i: F.array_join(F.slice(own, i, j - i + 1), "") == wanted),
+        )
+        return F.when(F.size(ends) > 0, F.slice(own, F.element_at(ends, 1) + 1, F.size(own)))
+
+    def judged(rest: Column) -> Column:
+        bracket = F.coalesce(F.get(rest, F.lit(0)).isin("(", "["), F.lit(False))
+        first = F.get(rest, F.when(bracket, 1).otherwise(0))
+        said_so = first.startswith("REV") & ~F.coalesce(first.rlike("^REV[A-Z]{3,}$") & (first != "REVISION"), F.lit(False))
+        bare = F.regexp_replace(first, "^REV(ISION)?", "")
+        # REV may stand alone before the label
+        label = F.when(said_so & (bare == ""), F.get(rest, F.when(bracket, 2).otherwise(1))).when(said_so, bare).otherwise(first)
+        letters, digits = F.length(F.regexp_replace(label, "[^A-Z]", "")), F.length(F.regexp_replace(label, "[^0-9]", ""))
+        shaped = (letters + digits == F.length(label)) & (letters <= 2) & (digits <= 3) & label.rlike("^[A-Z]*[0-9]*$")
+        return F.when(shaped & ((digits > 0) | (letters == 1) | (letters == 2) & (bracket | said_so)), label)
+
+    return F.when((wanted != "") & name.isNotNull(), _let(_let(runs, after), judged))
+
+
+#: How a clause puts a duty: words that bind, what is to be done, and the same as something to be done to an item.
+BINDING = ("shall", "must", "will")
+DUTIES = ("provide", "supply", "install", "furnish", "fit", "deliver", "include")
+DONE = ("provided", "supplied", "installed", "furnished", "fitted", "delivered", "included")
+#: Words after which a noun only qualifies another one.
+LINKING = ("to", "of", "for", "at", "from", "with", "by", "in", "on", "near", "under", "above", "serving", "feeding")
 
 
-#: How a sentence says that something has to be provided.
-PROVIDED = r"[^.;]{0,60}?\b(?:shall\s+be|to\s+be|must\s+be)\s+(?:provided|installed|fitted|supplied)\b"
-PROVIDES = r"\b(?:shall|must)\s+(?:provide|install|supply|furnish)(?:\s+and\s+install)?\s+(?:(?:a|an|the|all|\d+)\s+)?"
+def requires(sentence: Column, item: str) -> Column:
+    """Whether a sentence asks for an item itself, given by its words: as what the sentence is about and shall be
+    provided, or as what someone shall provide.  An item after a linking word is named in passing and isn't asked for.
+    """
+    wanted = F.array(*[F.lit(w) for w in item.lower().split()])
+    n = len(item.split())
+    words = F.regexp_extract_all(F.lower(sentence), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}-]*"), F.lit(0))
+    among = lambda ws, table: F.exists(ws, lambda w: w.isin(*table))
+    first = lambda ws, table: F.array_position(F.transform(ws, lambda w: w.isin(*table)), True).cast("int")
 
+    def asked(ws: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ws), F.lit(1))), lambda i: F.slice(ws, i, F.lit(n)) == wanted)
 
-def requires(sentence: Column, item: str) -> Column:
-    """Whether a sentence asks for an item itself: as what shall be provided, or as what the contractor shall provide.
+        def about(i: Column) -> Column:
+            before, after = F.slice(ws, F.lit(1), i - 1), F.slice(ws, i + n, F.lit(6))
+            bound = first(after, BINDING)
+            return (F.size(before) <= 4) & ~among(before, LINKING + DUTIES) & bound.between(1, 3) & among(F.slice(after, F.greatest(bound, F.lit(1)) + 1, F.lit(3)), DONE)
 
-    item is a pattern; up to two words may stand before it.  An item named in passing isn't asked for.
-    """
-    words = r"(?:[\w-]+\s+){0,2}?"
-    subject = rf"(?i)^\s*(?:(?:a|an|the|each|every|all|one|two|\d+)\s+)?{words}(?:{item}){PROVIDED}"
-    return sentence.rlike(subject) | sentence.rlike(rf"(?i){PROVIDES}{words}(?:{item})")
+        def given(i: Column) -> Column:
+            # the words before the item, the nearest first
+            before = F.reverse(F.slice(ws, F.greatest(i - 8, F.lit(1)), F.least(i - 1, F.lit(8))))
+            act = F.greatest(first(before, DUTIES), F.lit(0))
+            return (act > 0) & (act <= 5) & ~among(F.slice(before, F.lit(1), F.greatest(act - 1, F.lit(0))), LINKING) & among(F.slice(before, act + 1, F.lit(3)), BINDING)
+
+        return F.exists(places, lambda i: about(i) | given(i))
+
+    return F.when(sentence.isNotNull(), _let(words, asked))
 
 
-#: Titles of views and what they are.
+#: Titles of views and what they are.
 VIEWS = (("section", r"\bsection\b"), ("elevation", r"\belevation\b"), ("detail", r"\bdetail\b"), ("schematic", r"\b(?:schematic|riser diagram)\b"), ("plan", r"\b(?:plan|layout)\b"))
 
 
@@ -186,14 +233,32 @@ def working_days(start: Column, end: Column, holidays: list[str]) -> Column:
     return F.size(F.array_except(weekdays, F.array(*[F.lit(h).cast("date") for h in holidays])) if holidays else weekdays)
 
 
-def edit_ratio(drafted: Column, issued: Column) -> Column:
-    """Levenshtein distance over words by the longer text's words, 0 where both are empty.
-
-    Words become single characters, by their place among the words of both texts, so
-    that the built-in distance of characters is that of words.
-    """
-    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
-    a, b = words(drafted), words(issued)
-    known = F.array_distinct(F.concat(a, b))
-    coded = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(0x4E00 + F.array_position(known, w)), 8, "0")), "UTF-32")), "")
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 0.0).otherwise(F.levenshtein(coded(a), coded(b)) / F.greatest(F.size(a), F.size(b)))
+def word_distance(a: list, b: list) -> int:
+    """Levenshtein distance of two sequences: a row of the table at a time, over what is left without the common ends."""
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(w, len(codes)) for w in side], np.int32) for side in (a, b))
+    n = min(len(x), len(y))
+    same = int(np.argmin(np.append(x[:n] == y[:n], False)))
+    x, y = x[same:], y[same:]
+    n = min(len(x), len(y))
+    same = int(np.argmin(np.append((x[len(x) - n :] == y[len(y) - n :])[::-1], False)))
+    x, y = x[: len(x) - same], y[: len(y) - same]
+    if len(x) > len(y):
+        x, y = y, x
+    step = np.arange(len(y) + 1, dtype=np.int64)
+    row = step.copy()
+    for i, w in enumerate(x, 1):
+        new = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (y != w)))
+        # an insertion takes the least value to the left, and one for each step from there
+        row = np.minimum.accumulate(new - step) + step
+    return int(row[-1])
+
+
+@F.pandas_udf(T.DoubleType())
+def edit_ratio(drafted: pd.Series, issued: pd.Series) -> pd.Series:
+    """Levenshtein distance over words by the longer text's words, 0 where both are empty (a null text has no words)."""
+    out = []
+    for a, b in zip(drafted, issued):
+        x, y = (a or "").split(), (b or "").split()
+        out.append(word_distance(x, y) / max(len(x), len(y), 1))
+    return pd.Series(out, dtype="float64")

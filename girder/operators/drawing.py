@@ -29,16 +29,57 @@ def distance_to_segment(x: Column, y: Column, x0: Column, y0: Column, x1: Column
     return F.hypot(x - (x0 + t * (x1 - x0)), y - (y0 + t * (y1 - y0)))
 
 
-def nearest_segment(points: DataFrame, lines: DataFrame, sheet: str, point: str, segment: str) -> DataFrame:
-    """The nearest segment of each point's sheet and its distance, the smallest id among equals."""
-    both = points.join(lines, sheet)
-    gap = distance_to_segment(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    best = both.groupBy(sheet, point).agg(F.min(F.struct(F.round(gap, 9).alias("gap"), F.col(segment).alias("segment"))).alias("m"))
-    return best.select(sheet, point, F.col("m.segment").alias(segment), F.col("m.gap").alias("gap"))
+def nearest_segment(points: DataFrame, lines: DataFrame, sheet: str, point: str, segment: str, checkpoint) -> DataFrame:
+    """The nearest segment of each point's sheet and its distance, the smallest id among equals.
+
+    Points look for segments in the cells around their own.  A segment stands in the cells of points
+    along it, half a cell apart at most, so what is within three quarters of a cell is always found,
+    and a point whose best is that near is done.  The others look again in cells twice as wide, up to
+    cells that hold a whole sheet; the first are about as wide as to hold one segment each.
+    """
+    size = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    ends = [F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (0, 1)]
+    spread = points.select(sheet, "x", "y", F.lit(0).alias("n"), F.lit(None).cast("double").alias("size")).union(
+        lines.select(sheet, F.explode(F.array(*ends)).alias("e"), size.alias("size")).select(sheet, "e.x", "e.y", F.lit(1), "size")
+    )
+    wide = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    extent, most, length = spread.groupBy(sheet).agg(wide.alias("wide"), (F.sum("n") / 2).alias("n"), F.avg("size").alias("size")).agg(F.max("wide"), F.max("n"), F.max("size")).first()
+    if not most:
+        return points.select(sheet, point).join(lines.select(sheet, segment), sheet).withColumn("gap", F.lit(0.0)).limit(0)
+    extent = extent or 1.0
+    cell = max(extent / max(1.0, most) ** 0.5, (length or 0.0) / 4, extent / 1024)
+    left = checkpoint(points.select(sheet, point, "x", "y"))
+    done = []
+    while True:
+        at = lambda c, w=cell: F.floor(c / w)
+        steps = F.greatest(F.lit(1), F.ceil(size / (cell / 2))).cast("int")
+        t = F.col("k") / F.col("n")
+        along = lines.withColumn("n", steps).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+        cells = along.select(sheet, segment, "x0", "y0", "x1", "y1", at(F.col("x0") + (F.col("x1") - F.col("x0")) * t).alias("cx"), at(F.col("y0") + (F.col("y1") - F.col("y0")) * t).alias("cy")).distinct()
+        around = F.array(*[F.struct((at(F.col("x")) + i).alias("cx"), (at(F.col("y")) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        asked = left.withColumn("c", F.explode(around)).select(sheet, point, "x", "y", "c.cx", "c.cy")
+        gap = distance_to_segment(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+        best = asked.join(cells, [sheet, "cx", "cy"]).groupBy(sheet, point).agg(F.min(F.struct(F.round(gap, 9).alias("gap"), F.col(segment).alias(segment))).alias("m"))
+        # a cell wider than all there is holds everything within its neighbours
+        last = cell > 2 * extent
+        best = checkpoint(best.select(sheet, point, f"m.{segment}", "m.gap").filter(F.lit(last) | (F.col("gap") <= 0.75 * cell - 1e-9)))
+        done.append(best)
+        if last:
+            break
+        left = checkpoint(left.join(best.select(sheet, point), [sheet, point], "left_anti"))
+        if not left.limit(1).count():
+            break
+        cell *= 2
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
 
 
 def grid_reference(points: DataFrame, lines: DataFrame, keys: list[str], at: str, position: str, label: str, tolerance: float) -> DataFrame:
-    """points with the label of the line they stand on, or of the two they stand between ("A-B")."""
+    """points with the label of the line they stand on, or of the two they stand between ("A-B").
+
+    The lines of one sheet go to each of its points as a sorted array."""
     marks = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(label).alias("l")))).alias("marks"))
     joined = points.join(marks, keys, "left")
     on = F.try_element_at(F.filter("marks", lambda m: F.abs(m["p"] - F.col(at)) <= tolerance), F.lit(1))["l"]
@@ -47,6 +88,17 @@ def grid_reference(points: DataFrame, lines: DataFrame, keys: list[str], at: str
     return joined.withColumn("reference", F.coalesce(on, F.concat_ws("-", before, after))).drop("marks")
 
 
+def grid_label(place: Column) -> Column:
+    """The label of a grid line by its place: A to Z, AA to ZZ, AAA ... (bijective base 26, up to seven letters)."""
+    start = F.struct(place.cast("long").alias("n"), F.lit("").alias("label"))
+
+    def digit(acc: Column, _: Column) -> Column:
+        letter = F.char(65 + F.pmod(acc["n"] - 1, F.lit(26)))
+        return F.struct(F.when(acc["n"] > 0, F.floor((acc["n"] - 1) / 26)).otherwise(0).cast("long").alias("n"), F.when(acc["n"] > 0, F.concat(letter, acc["label"])).otherwise(acc["label"]).alias("label"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, digit)["label"]
+
+
 def label_ordinal(label: Column) -> Column:
     """The place of a grid label: numbers as they are, letters as bijective base 26 (A is 1, AA is 27)."""
     letters = F.aggregate(F.split(F.upper(label), ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise(s * 26 + F.ascii(c) - 64))
@@ -152,7 +204,7 @@ def rooms(walls: DataFrame, sheets: DataFrame, sheet: str, cell: float, checkpoi
     return found.filter((~F.col("open")) & (F.col("cells") >= least)).drop("open")
 
 
-#: What a note states about the heads of a sheet.
+#: What a note states about the heads of a sheet.
 CRITERIA = {
     "spacing": r"(?i)max(?:imum)?\.?\s+spacing\s*[:-]?\s*\(?\s*(\d+(?:\.\d+)?)\s*m\s*[x\u00d7]\s*(\d+(?:\.\d+)?)\s*m",
     "area": r"(?i)max(?:imum)?\.?\s+area\s+(?:of\s+)?coverage\s+per\s+(?:sprinkler|head)\s*[:-]?\s*(\d+(?:\.\d+)?)\s*m",

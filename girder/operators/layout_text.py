@@ -51,7 +51,7 @@ def schedule_rows(lines: DataFrame, sheet: str, order: str, cells: str, header:
     return rows.filter((F.col("__block") > 0) & ~is_header & ~F.col("__gone")).drop("__block", "__broken", "__gone")
 
 
-#: Labels of a quotation's fields.
+#: Labels of a quotation's fields.
 QUOTATION = {
     "reference": r"(?:quotation|quote|our)\s*(?:no|ref)",
     "date": r"^date",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +16,37 @@ def latest(df: DataFrame, keys: list, *order) -> DataFrame:
     return df.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, row: list[str], earliest_if_none: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, row: list[str], earliest_if_none: bool = False, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """left with the newest row of right that is in force at its time (a left join: null if none is).
 
     row names the columns that tell the rows of left apart.  earliest_if_none takes right's
     earliest row where none is in force yet.  Both sides meet by the keys, in one shuffle,
     as a running last value over the merged rows: no pairs are made, so a key with many
-    changes costs as much as any other.
+    changes costs as much as any other.  bucket cuts the time of few and heavy keys into
+    parts (a week, say; it must not fall as time rises): a task then has one key's one part,
+    which begins with what the parts before it leave in force.
     """
     values = [c for c in right.columns if c not in keys]
-    packed = right.select(*keys, F.col(since).alias("__at"), F.struct(*values).alias("__value"), F.lit(0).alias("__side"))
-    asked = left.select(*keys, F.col(at).alias("__at"), F.struct(*left.columns).alias("__row"), F.lit(1).alias("__side"))
-    both = packed.unionByName(asked, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("__at", "__side", *[F.col("__row")[c] for c in row], *[F.col("__value")[c] for c in values])
+    part = bucket or (lambda c: F.lit(0))
+    packed = right.select(*keys, F.col(since).alias("__at"), F.struct(*values).alias("__value"), F.lit(1).alias("__side"))
+    asked = left.select(*keys, F.col(at).alias("__at"), F.struct(*left.columns).alias("__row"), F.lit(2).alias("__side"))
+    both = packed.unionByName(asked, allowMissingColumns=True).withColumn("__part", part(F.col("__at")))
+    if bucket is not None or earliest_if_none:
+        # what is in force when a part begins, one row a key and part
+        order = F.struct("__at", "__value")
+        parts = both.groupBy(*keys, "__part").agg(
+            F.max(F.when(F.col("__side") == 1, order)).alias("newest"), F.min(F.when(F.col("__side") == 1, order)).alias("earliest")
+        )
+        across = Window.partitionBy(*keys).orderBy("__part")
+        held = F.last("newest", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))["__value"]
+        if earliest_if_none:
+            held = F.coalesce(held, F.min("earliest").over(Window.partitionBy(*keys))["__value"])
+        both = both.unionByName(parts.select(*keys, "__part", held.alias("__value"), F.lit(0).alias("__side")), allowMissingColumns=True)
+    order = Window.partitionBy(*keys, "__part").orderBy(
+        F.col("__side") > 0, F.asc_nulls_first("__at"), "__side", *[F.col("__row")[c] for c in row], *[F.col("__value")[c] for c in values]
+    )
     found = F.last("__value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    if earliest_if_none:
-        found = F.coalesce(found, F.first("__value", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    out = both.withColumn("__found", found).filter("__side = 1")
+    out = both.withColumn("__found", found).filter("__side = 2")
     return out.select("__row.*", *[F.col("__found")[v].alias(v) for v in values if v not in left.columns])
 
 
@@ -57,19 +75,22 @@ def near_pairs(points: DataFrame, keys: list[str], x: str, y: str, row: str, rad
     """(a, b) of points with equal keys whose coordinates differ by radius at most on both axes, a < b.
 
     Points meet in square cells wider than twice the radius: one side stands in its own
-    cell, the other in those that its square reaches (at most four).
+    cell, the other in those that its square reaches, of which only the ones up to its own
+    count: each pair meets in one cell, that of the earlier cell of the two.
     """
     # the reach is a trifle wider than the radius, so that rounding can't part two points; the filter decides
     size, reach_by = 2.5 * radius, radius * (1 + 1e-6)
     cell = lambda c: F.floor(c / size)
-    own = points.select(*keys, F.col(row).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), cell(F.col(x)).alias("cx"), cell(F.col(y)).alias("cy"))
-    reach = points.select(
-        *keys, F.col(row).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"),
-        F.explode(F.array_distinct(F.array(cell(F.col(x) - reach_by), cell(F.col(x) + reach_by)))).alias("cx"), F.col(y).alias("__y"),
-    )
-    reach = reach.withColumn("cy", F.explode(F.array_distinct(F.array(cell(F.col("__y") - reach_by), cell(F.col("__y") + reach_by))))).drop("__y")
-    near = (F.abs(F.col("ax") - F.col("bx")) <= radius) & (F.abs(F.col("ay") - F.col("by")) <= radius) & (F.col("a") < F.col("b"))
-    return own.join(reach, [*keys, "cx", "cy"]).filter(near).select("a", "b")
+    own = points.select(*keys, F.col(row).alias("p"), F.col(x).alias("px"), F.col(y).alias("py"), cell(F.col(x)).alias("cx"), cell(F.col(y)).alias("cy"))
+    across = F.array_distinct(F.array(cell(F.col(x) - reach_by), cell(F.col(x) + reach_by)))
+    along = F.array_distinct(F.array(cell(F.col(y) - reach_by), cell(F.col(y) + reach_by)))
+    home = F.struct(cell(F.col(x)).alias("cx"), cell(F.col(y)).alias("cy"))
+    cells = F.flatten(F.transform(across, lambda i: F.transform(along, lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+    reach = points.select(*keys, F.col(row).alias("q"), F.col(x).alias("qx"), F.col(y).alias("qy"), home.alias("home"), F.explode(F.filter(cells, lambda c: c <= home)).alias("c"))
+    reach = reach.select(*keys, "q", "qx", "qy", "home", "c.cx", "c.cy")
+    elsewhere = F.struct("cx", "cy") != F.col("home")
+    near = (F.abs(F.col("px") - F.col("qx")) <= radius) & (F.abs(F.col("py") - F.col("qy")) <= radius) & (elsewhere | (F.col("p") < F.col("q")))
+    return own.join(reach, [*keys, "cx", "cy"]).filter(near).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def overlapping_runs(runs: DataFrame, keys: list[str], row: str, offset: str, lo: str, hi: str, tolerance: float) -> DataFrame:
@@ -82,25 +103,74 @@ def overlapping_runs(runs: DataFrame, keys: list[str], row: str, offset: str, lo
     return pairs.select("a", "b", shared.alias("shared"))
 
 
-def greedy_matches(candidates: DataFrame, group: str) -> DataFrame:
+def greedy_matches(candidates: DataFrame, group: str, checkpoint) -> DataFrame:
     """One-to-one matches of each group by ascending distance, each side used once.
 
-    candidates: group, a, b, distance (ties by a, then b).  The choice depends on all
-    choices before it, so a group is matched in one task; groups are sheets, whose
-    number of candidates is bounded by the sheet and not by the corpus.
+    candidates: group, a, b, distance (ties by a, then b).  In each round the candidates
+    that are the best of both their sides are taken, and what their sides have besides goes;
+    those are the ones that the order of distances takes.  Rounds end when none is left, so a
+    group of any size spreads over tasks.
+    """
+    best = F.struct("distance", "a", "b")
+    left = checkpoint(candidates.select(group, "a", "b", "distance").distinct())
+    taken = []
+    while left.limit(1).count():
+        of_a, of_b = (left.groupBy(group, side).agg(F.min(best).alias(f"best_{side}")) for side in "ab")
+        mutual = of_a.select(group, "best_a.a", "best_a.b", "best_a.distance").join(of_b.select(group, "best_b.a", "best_b.b"), [group, "a", "b"])
+        found = checkpoint(mutual)
+        taken.append(found)
+        left = checkpoint(left.join(found.select(group, "a"), [group, "a"], "left_anti").join(found.select(group, "b"), [group, "b"], "left_anti"))
+    out = taken[0] if taken else left
+    for more in taken[1:]:
+        out = out.union(more)
+    return out.select(group, "a", "b", "distance")
+
+
+def against_all(asked: DataFrame, others: DataFrame, ident: str, vector: str, block: int, compare, schema: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """What compare gives for each block of the vectors asked against all others, as one frame.
+
+    The asked ones (a stated set of queries) go to the tasks in blocks of about `block` rows; every block
+    reads the others once, a batch at a time, and no pairs are made but those that compare gives.
+    compare takes the block's ids, its vectors, the block's further columns, and a batch's ids and vectors.
     """
-    import pandas as pd
-
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, keep = set(), set(), []
-        for i, (a, b) in zip((f := frame.sort_values(["distance", "a", "b"])).index, zip(f["a"], f["b"])):
-            if a not in used_a and b not in used_b:
-                used_a.add(a)
-                used_b.add(b)
-                keep.append(i)
-        return frame.loc[keep]
-
-    return candidates.groupBy(group).applyInPandas(match, candidates.schema)
+    spark = asked.sparkSession
+    blocks = max(1, -(-asked.count() // block))
+    frames = []
+    for i in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64(ident), F.lit(blocks)) == i).select(ident, vector, *columns).toArrow()
+        if own.num_rows:
+            ids, vectors = own.column(0).to_pylist(), vectors_of(own.column(1))
+            more = [own.column(2 + k).to_pylist() for k in range(len(columns))]
+
+            def run(batches: Iterator[pa.RecordBatch], ids=ids, vectors=vectors, more=more) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for lo in range(0, len(batch), 1024):
+                        part = batch.slice(lo, 1024)
+                        yield from compare(ids, vectors, more, part.column(0).to_pylist(), vectors_of(part.column(1)))
+
+            frames.append(others.select(ident, vector).mapInArrow(run, schema))
+    out = frames[0] if frames else spark.createDataFrame([], schema)
+    for more in frames[1:]:
+        out = out.union(more)
+    return out
+
+
+def vectors_of(column) -> list[np.ndarray]:
+    """Rows of a list column as float64; a null row has no length."""
+    return [np.array(v if v is not None else [], np.float64) for v in column.to_pylist()]
+
+
+def half_l1(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Half of the sum of absolute differences of each pair of vectors, to six places; 1 where lengths differ or a
+    vector is missing."""
+    out = np.ones((len(a), len(b)))
+    for size in {len(v) for v in a} - {0}:
+        i, j = ([k for k, v in enumerate(side) if len(v) == size] for side in (a, b))
+        if j:
+            y = np.stack([b[k] for k in j])
+            for k in i:
+                out[k, j] = np.abs(y - a[k]).sum(axis=1) / 2
+    return np.round(out, 6)
 
 
 def components(edges: DataFrame, checkpoint) -> DataFrame:

@@ -44,7 +44,7 @@ def nearest_ranks(rows: DataFrame, by: str, value: str, shares: dict[str, float]
     ranges = counts.groupBy(by, "part").agg(F.sum("n").alias("held"))
     ahead = Window.partitionBy(by).orderBy("part")
     ranges = ranges.select(F.col(by).alias("__group"), F.col("part").alias("__range"), (F.sum("held").over(ahead) - F.col("held")).alias("before"), F.sum("held").over(Window.partitionBy(by)).alias("total"))
-    placed = counts.join(F.broadcast(ranges), F.col(by).eqNullSafe(F.col("__group")) & (F.col("part") == F.col("__range")))
+    placed = counts.join(ranges, F.col(by).eqNullSafe(F.col("__group")) & (F.col("part") == F.col("__range")))
     last = F.col("before") + F.sum("n").over(Window.partitionBy(by, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     placed = placed.withColumn("last", last)
 
@@ -86,11 +86,15 @@ def isotonic(points: list[tuple[float, float, float]]) -> list[tuple[float, floa
 
 
 def interpolated(value: Column, fit: list[tuple[float, float]]) -> Column:
-    """The fitted value at a score: linear between its points, flat beyond them."""
-    out = F.lit(fit[-1][1])
-    for (x0, y0), (x1, y1) in reversed(list(zip(fit, fit[1:]))):
-        out = F.when(value < x1, F.lit(y0) + (value - x0) * ((y1 - y0) / (x1 - x0))).otherwise(out)
-    return F.when(value <= fit[0][0], F.lit(fit[0][1])).otherwise(out)
+    """The fitted value at a score: linear between its points, flat beyond them, null without any."""
+    if not fit:
+        return F.lit(None).cast("double")
+    # the first point above a score is found in a sorted array, one comparison a point
+    scores, values = (F.array(*[F.lit(p[i]) for p in fit]) for i in (0, 1))
+    above = F.array_position(F.transform(scores, lambda s: s > value), True).cast("int")
+    x0, x1, y0, y1 = (F.try_element_at(c, above + d) for c in (scores, values) for d in (-1, 0))
+    between = y0 + (value - x0) * ((y1 - y0) / (x1 - x0))
+    return F.when(value.isNull(), None).when(above == 0, fit[-1][1]).when(above == 1, fit[0][1]).otherwise(between)
 
 
 def chance_of_passing(lot: int, wrong: int, sample: int, accept: int) -> Fraction:
@@ -115,13 +119,29 @@ def smallest_sample(lot: int, wrong: int, accept: int, confidence: Fraction) ->
 
 def latest_by_order(candidates: DataFrame, group: str, ident: str, series: str, number: str, day: str) -> DataFrame:
     """The candidate of each group that is later than every other: by number within a series, else by day.
-    Where two can't be ordered there is none."""
-    a, b = candidates.alias("a"), candidates.alias("b")
-    c = lambda side, name: F.col(f"{side}.{name}")
-    later = F.when(c("a", series) == c("b", series), c("a", number) > c("b", number)).otherwise(c("a", day) > c("b", day))
-    pairs = a.join(b, (c("a", group) == c("b", group)) & (c("a", ident) != c("b", ident)), "left")
-    wins = pairs.groupBy(c("a", group).alias(group), c("a", ident).alias(ident)).agg(F.bool_and(F.coalesce(later, c("b", ident).isNull())).alias("wins"))
-    return candidates.select(group).distinct().join(wins.filter("wins").select(group, ident), group, "left")
+    Where two can't be ordered there is none.
+
+    Each series is first brought to its highest number and newest day, each group then to the newest day
+    of its series and the next one: no candidates meet in pairs.
+    """
+    # a candidate without a series is ordered by day alone, as a series of its own
+    own = candidates.withColumn("__series", F.when(F.col(series).isNotNull(), F.struct(F.col(series).cast("string"), F.lit(None).cast("string"))).otherwise(F.struct(F.lit(None).cast("string"), F.col(ident).cast("string"))))
+    steps = own.groupBy(group, "__series", number).agg(F.count("*").alias("__n"), F.max(ident).alias("__ident"), F.max(day).alias("__day"), F.count(day).alias("__days"))
+    per = steps.groupBy(group, "__series").agg(
+        F.max(F.struct(F.col(number).alias("number"), F.col("__n").alias("n"), F.col("__ident").alias("ident"), F.col("__day").alias("own_day"))).alias("top"),
+        F.sum("__n").alias("n"), F.sum("__days").alias("days"), F.max("__day").alias("newest"), F.count_if(F.col(number).isNull()).alias("unnumbered"),
+    )
+    whole = per.groupBy(F.col(group).alias("__group")).agg(F.max("newest").alias("newest_all"), F.sum("n").alias("n_all"), F.sum("days").alias("days_all"))
+    per = per.join(whole, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+    at_top = F.col("newest") == F.col("newest_all")
+    beside = per.groupBy(F.col(group).alias("__group")).agg(F.count_if(at_top).alias("at_top"), F.max(F.when(~at_top, F.col("newest"))).alias("second"))
+    per = per.join(beside, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+    others = F.when(at_top & (F.col("at_top") == 1), F.col("second")).otherwise(F.col("newest_all"))
+    first_of_series = (F.col("n") == 1) | ((F.col("top.n") == 1) & (F.col("unnumbered") == 0))
+    alone = F.col("n") == F.col("n_all")
+    days_known = F.col("n_all") - F.col("n") == F.col("days_all") - F.col("days")
+    wins = first_of_series & (alone | (days_known & F.coalesce(F.col("top.own_day") > others, F.lit(False))))
+    return per.groupBy(group).agg(F.max(F.when(wins, F.col("top.ident"))).alias(ident))
 
 
 def regressions(baseline: DataFrame, result: DataFrame, name: str, value: str, higher_is_better: str, tolerance: float) -> DataFrame:

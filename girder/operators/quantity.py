@@ -71,7 +71,7 @@ def bill_lines(found: DataFrame, section: str, line: list[str], quantity: str, a
     agreed = F.when(F.min(allowance) == F.max(allowance), F.min(allowance))
     lines = found.groupBy(section, *line).agg(F.sum(quantity).alias("quantity"), agreed.alias("allowance"))
     letter = F.char(F.lit(64) + F.dense_rank().over(Window.orderBy(section)))
-    # sections are few: their letters are ranked apart from the lines
+    # letters are ranked apart from the lines
     letters = lines.select(section).distinct().withColumn("letter", letter)
     number = F.row_number().over(Window.partitionBy(section).orderBy(*line))
-    return lines.withColumn("n", number).join(F.broadcast(letters), section).withColumn("item", F.concat("letter", F.col("n").cast("string"))).drop("letter", "n")
+    return lines.withColumn("n", number).join(letters, section).withColumn("item", F.concat("letter", F.col("n").cast("string"))).drop("letter", "n")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def digest(*columns, length: int = 24) -> Column:
@@ -37,15 +42,28 @@ def chain(events: DataFrame, chain_key: str, order: list[str], body: list[str])
 
 
 def linked(events: DataFrame, chain_key: str) -> DataFrame:
-    """(chain, seq, prev_hash, hash) of chained events: hash = sha256(prev_hash : body_hash).
+    """(chain, seq, prev_hash, hash, body_hash) of chained events: hash = sha256(prev_hash : body_hash).
 
-    A link needs the one before, so a chain is walked in order; chains are walked side by side.
+    A link needs the one before, so the rows of a chain are walked in order, in one task; what is kept
+    from row to row is one hash, however long the chain is.
     """
-    walked = events.groupBy(chain_key).agg(F.array_sort(F.collect_list(F.struct("seq", "body_hash"))).alias("links"))
-    step = lambda acc, x: F.struct(F.sha2(F.concat_ws(":", acc["hash"], x["body_hash"]), 256).alias("hash"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), acc["hash"].alias("prev_hash"), F.sha2(F.concat_ws(":", acc["hash"], x["body_hash"]), 256).alias("hash")))).alias("out"))
-    empty = F.array().cast("array<struct<seq:int,prev_hash:string,hash:string>>")
-    out = walked.withColumn("walk", F.aggregate("links", F.struct(F.lit("").alias("hash"), empty.alias("out")), step))
-    return out.select(chain_key, F.inline("walk.out"))
+    fields = events.select(chain_key, "seq", "body_hash").schema
+    schema = T.StructType([*fields.fields, T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last, begun = None, "", False
+        for batch in batches:
+            before, own = [], []
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if not begun or key != chain:
+                    chain, last, begun = key, "", True
+                before.append(last)
+                last = hashlib.sha256(f"{last}:{body}".encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], names=[*batch.schema.names, "prev_hash", "hash"])
+
+    sorted_rows = events.select(chain_key, "seq", "body_hash").repartition(chain_key).sortWithinPartitions(chain_key, "seq")
+    return sorted_rows.mapInArrow(walk, schema)
 
 
 def chain_problems(links: DataFrame, chain_key: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.operators import drawing
+from girder.operators.checkpoints import checkpointed
 from girder.plans.registry import query
 from girder.sources.tables import table
 
@@ -17,28 +18,27 @@ def polyline_segments(spark, sf_dir) -> DataFrame:
     return drawing.segments(v, "points", "closed")
 
 
-_POINTS = "SELECT vec_id AS point, vec_id // 50 AS sheet, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings"
-_LINES = "SELECT vec_id AS segment, vec_id // 50 AS sheet, embedding[3]::DOUBLE AS x0, embedding[4]::DOUBLE AS y0, embedding[5]::DOUBLE AS x1, embedding[6]::DOUBLE AS y1 FROM embeddings"
+_POINTS = "SELECT vec_id AS point, label AS sheet, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings"
+_LINES = "SELECT vec_id AS segment, label AS sheet, embedding[3]::DOUBLE AS x0, embedding[4]::DOUBLE AS y0, embedding[5]::DOUBLE AS x1, embedding[6]::DOUBLE AS y1 FROM embeddings"
 
 
 @query(f"""WITH p AS ({_POINTS}), l AS ({_LINES}), j AS (SELECT *, greatest(0.0, least(1.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))) AS t FROM p JOIN l USING (sheet))
 SELECT sheet, point, segment, round(sqrt((x - (x0 + t * (x1 - x0))) ** 2 + (y - (y0 + t * (y1 - y0))) ** 2), 9) AS gap FROM j QUALIFY row_number() OVER (PARTITION BY sheet, point ORDER BY round(sqrt((x - (x0 + t * (x1 - x0))) ** 2 + (y - (y0 + t * (y1 - y0))) ** 2), 9), segment) = 1""")
 def nearest_segments(spark, sf_dir) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").withColumn("sheet", F.floor(F.col("vec_id") / 50))  # fifty to a sheet
+    v = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "sheet")
     e = lambda i, name: F.col("embedding")[i].cast("double").alias(name)
     points = v.select(F.col("vec_id").alias("point"), "sheet", e(0, "x"), e(1, "y"))
     lines = v.select(F.col("vec_id").alias("segment"), "sheet", e(2, "x0"), e(3, "y0"), e(4, "x1"), e(5, "y1"))
-    return drawing.nearest_segment(points, lines, "sheet", "point", "segment")
+    return drawing.nearest_segment(points, lines, "sheet", "point", "segment", checkpointed)
 
 
-@query("""WITH l AS (SELECT s_nationkey AS sheet, s_acctbal AS p, chr(CAST(64 + row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) AS INTEGER)) AS l FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) <= 20),
+@query("""WITH n AS (SELECT s_nationkey AS sheet, s_acctbal AS p, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) - 1 AS n FROM supplier),
+l AS (SELECT sheet, p, CASE WHEN n < 26 THEN '' WHEN n < 702 THEN chr((65 + (n - 26) // 26)::INT) ELSE chr((65 + (n - 702) // 676)::INT) || chr((65 + (n - 702) // 26 % 26)::INT) END || chr((65 + CASE WHEN n < 702 THEN n % 26 ELSE (n - 702) % 26 END)::INT) AS l FROM n),
 c AS (SELECT c_custkey, c_nationkey AS sheet, c_acctbal AS x FROM customer)
 SELECT c_custkey, coalesce((SELECT arg_min(l, p) FROM l WHERE l.sheet = c.sheet AND abs(p - x) <= 25), concat_ws('-', (SELECT arg_max(l, p) FROM l WHERE l.sheet = c.sheet AND p < x), (SELECT arg_min(l, p) FROM l WHERE l.sheet = c.sheet AND p > x))) AS reference FROM c""")
 def grid_references(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window
-
     order = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_acctbal"))
-    lines = table(spark, sf_dir, "supplier").withColumn("n", order).filter("n <= 20").select(F.col("s_nationkey").alias("sheet"), F.col("s_acctbal").alias("p"), F.char(64 + F.col("n")).alias("l"))
+    lines = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("sheet"), F.col("s_acctbal").alias("p"), drawing.grid_label(order).alias("l"))
     points = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("sheet"), F.col("c_acctbal").alias("x"))
     return drawing.grid_reference(points, lines, ["sheet"], "x", "p", "l", 25.0).select("c_custkey", "reference")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from girder.operators import lookup
+from girder.operators.checkpoints import checkpointed
 from girder.plans.registry import query
 from girder.sources.tables import table
 
@@ -20,7 +23,9 @@ def fx_rates(spark, sf_dir) -> DataFrame:
     rates = e.filter("event_type = 'purchase'").select("event_id", F.col("user_id").alias("ccy"), F.col("ts").cast("date").alias("since"), F.col("value").alias("rate"))
     rates = lookup.latest(rates, ["ccy", "since"], F.desc("event_id")).select("ccy", "since", "rate")
     asked = e.filter("event_type = 'view'").select("event_id", F.col("user_id").alias("ccy"), F.col("ts").cast("date").alias("day"))
-    return lookup.as_of(asked, rates, ["ccy"], "day", "since", ["event_id"]).select("event_id", "ccy", "rate", "since")
+    # currencies are few: each week of one is a part of its own
+    week = lambda day: F.date_trunc("week", day)
+    return lookup.as_of(asked, rates, ["ccy"], "day", "since", ["event_id"], bucket=week).select("event_id", "ccy", "rate", "since")
 
 
 @query("""WITH p(since, policy) AS (VALUES (DATE '1996-01-01', 'one'), (DATE '1998-06-01', 'two'), (DATE '2000-01-01', 'three'))
@@ -44,18 +49,22 @@ def bands(spark, sf_dir) -> DataFrame:
     return p.select("p_partkey", lookup.in_band(p.p_size, [(5, "low"), (20, "mid"), (35, "high")]).alias("height"), spacing.alias("spacing"))
 
 
-@query("""WITH v AS (SELECT p_partkey AS v, p_brand || '/' || CAST(p_partkey // 100 AS VARCHAR) AS system, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size END AS lo, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size + 3 END AS hi, p_type AS given FROM part WHERE p_partkey % 2 = 0),
-n AS (SELECT p_partkey AS n, p_brand || '/' || CAST(p_partkey // 100 AS VARCHAR) AS system, p_size AS lo, p_size + 1 AS hi, p_type AS noted FROM part WHERE p_partkey % 2 = 1),
-j AS (SELECT v.v, n.n, n.noted, v.given FROM v JOIN n ON v.system = n.system AND coalesce(v.lo, -1e9) <= n.hi AND n.lo <= coalesce(v.hi, 1e9))
+@query("""WITH v AS (SELECT p_brand AS system, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size END AS lo, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size + 3 END AS hi, p_type AS given FROM part WHERE p_partkey % 2 = 0),
+n AS (SELECT p_partkey AS n, p_brand AS system, p_size AS lo, p_size + 1 AS hi, p_type AS noted FROM part WHERE p_partkey % 2 = 1),
+j AS (SELECT n.n, n.noted, v.given FROM v JOIN n ON v.system = n.system AND coalesce(v.lo, -1e9) <= n.hi AND n.lo <= coalesce(v.hi, 1e9))
 SELECT n, CAST(count(*) AS BIGINT) AS governing FROM j GROUP BY n HAVING NOT bool_or(noted = given)""")
 def range_conflicts(spark, sf_dir) -> DataFrame:
-    """Notes whose size range meets specified values of their system, none of which agrees."""
-    p = table(spark, sf_dir, "part")
-    system = F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / 100).cast("string")).alias("system")
-    v = p.filter("p_partkey % 2 = 0").select(system, F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("lo"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") + 3).alias("hi"), F.col("p_type").alias("given"))
-    n = p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("n"), system, F.col("p_size").alias("lo2"), (F.col("p_size") + 1).alias("hi2"), F.col("p_type").alias("noted"))
-    met = v.join(n, "system").filter(lookup.overlap(F.col("lo"), F.col("hi"), F.col("lo2"), F.col("hi2")))
-    return met.groupBy("n").agg(F.count("*").alias("governing"), F.max(F.col("noted") == F.col("given")).alias("agrees")).filter("NOT agrees").select("n", "governing")
+    """Notes whose size range meets specified values of their system, none of which agrees.
+
+    Values and notes that state the same meet once, as statements with counts; what was found goes back to the notes."""
+    p = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "system")
+    v = p.filter("p_partkey % 2 = 0").select("system", F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("lo"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") + 3).alias("hi"), F.col("p_type").alias("given"))
+    v = v.groupBy("system", "lo", "hi", "given").agg(F.count("*").alias("times"))
+    n = p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("n"), "system", F.col("p_size").alias("lo2"), (F.col("p_size") + 1).alias("hi2"), F.col("p_type").alias("noted"))
+    stated = ["system", "lo2", "hi2", "noted"]
+    met = v.join(n.select(*stated).distinct(), "system").filter(lookup.overlap(F.col("lo"), F.col("hi"), F.col("lo2"), F.col("hi2")))
+    bad = met.groupBy(*stated).agg(F.sum("times").alias("governing"), F.max(F.col("noted") == F.col("given")).alias("agrees")).filter("NOT agrees")
+    return n.join(bad, stated).select("n", "governing")
 
 
 _POINTS = "SELECT l_orderkey * 1000003 + l_partkey * 1009 + l_suppkey * 11 + l_linenumber AS id, l_returnflag AS kind, l_discount * 10 + l_tax AS x, CAST(l_partkey AS DOUBLE) / 97 + l_quantity / 100 AS y FROM lineitem"
@@ -87,43 +96,57 @@ def overlapping_runs(spark, sf_dir) -> DataFrame:
 
 @query()
 def greedy_one_to_one(spark, sf_dir) -> DataFrame:
-    """Symbols of two revisions matched one to one by ascending distance, sheet by sheet."""
+    """Symbols of two revisions within 0.05 of each other, matched one to one by ascending distance."""
     p = points(spark, sf_dir).withColumn("y", F.round("y", 6))
-    old = p.filter("id % 2 = 0").select("kind", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.floor(F.col("y") * 20).alias("cell"))
-    new = p.filter("id % 2 = 1").select("kind", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.floor(F.col("y") * 20).alias("cell"))
-    sheet = F.concat_ws("/", "kind", F.col("cell").cast("string"))
-    near = old.join(new, ["kind", "cell"]).withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).filter("distance <= 0.05")
-    return lookup.greedy_matches(near.select(sheet.alias("sheet"), "a", "b", "distance"), "sheet")
-
-
-def half_l1(a, b):
-    """Half of the sum of absolute differences of two arrays; 1 where their lengths differ."""
-    gap = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x) / 2
-    return F.when(F.size(a) == F.size(b), gap).otherwise(1.0)
+    pairs = lookup.near_pairs(p, ["kind"], "x", "y", "id", 0.05).filter("a % 2 <> b % 2")
+    # the old revision's side is a
+    even = F.col("a") % 2 == 0
+    pairs = pairs.select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("b"))
+    side = lambda s: p.select(F.col("id").alias(s), F.col("kind").alias("sheet") if s == "a" else F.lit(0).alias("__b"), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).filter("distance <= 0.05")
+    return lookup.greedy_matches(near.select("sheet", "a", "b", "distance"), "sheet", checkpointed)
+
+
+#: Signatures asked for that go to the tasks at once (64 numbers each: 2 MB).
+BLOCK = 4096
+
+
+def nearest(asked: DataFrame, legend: DataFrame) -> DataFrame:
+    """(vec_id, other, distance): the nearest other signature of each one asked for, the smallest id among equals."""
+
+    def compare(ids, vectors, _, others, theirs):
+        distance = lookup.half_l1(vectors, theirs)
+        own, at = {}, np.argsort(np.array(others), kind="stable")
+        distance, others = distance[:, at], [others[k] for k in at]
+        for k, o in enumerate(others):
+            own.setdefault(o, []).append(k)
+        for i, a in enumerate(ids):
+            distance[i, own.get(a, [])] = np.inf
+        best = distance.argmin(axis=1)
+        keep = [i for i in range(len(ids)) if np.isfinite(distance[i, best[i]])]
+        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep]), pa.array([others[best[i]] for i in keep]), pa.array([distance[i, best[i]] for i in keep], pa.float64())], names=["vec_id", "other", "distance"])
+
+    kind = legend.schema["vec_id"].dataType.simpleString()
+    found = lookup.against_all(asked, legend, "vec_id", "embedding", BLOCK, compare, f"vec_id {kind}, other {kind}, distance double")
+    best = found.groupBy("vec_id").agg(F.min(F.struct("distance", "other")).alias("m"))
+    return best.select("vec_id", F.col("m.other").alias("other"), F.col("m.distance").alias("distance"))
 
 
 @query("""WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT vec_id AS other, embedding AS f FROM embeddings)
 SELECT vec_id, other, round(d, 6) AS distance FROM (SELECT vec_id, other, list_sum([abs(e[i]::DOUBLE - f[i]::DOUBLE) for i in range(1, 65)]) / 2 AS d FROM q, c WHERE vec_id <> other)
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 6), other) = 1""")
 def nearest_signature(spark, sf_dir) -> DataFrame:
-    """The nearest of all other signatures for each of a stated set of queries.
-
-    The queries meet all rows: sent to the tasks while they are under Spark's broadcast
-    threshold, block by block beyond it.  Only the best of each is kept on the way.
-    """
-    v = table(spark, sf_dir, "embeddings")
-    asked = v.filter("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("e"))
-    legend = v.select(F.col("vec_id").alias("other"), F.col("embedding").alias("f"))
-    pairs = asked.join(legend, F.col("vec_id") != F.col("other")).select("vec_id", "other", F.round(half_l1(F.col("e"), F.col("f")), 6).alias("distance"))
-    best = pairs.groupBy("vec_id").agg(F.min(F.struct("distance", "other")).alias("m"))
-    return best.select("vec_id", F.col("m.other").alias("other"), F.col("m.distance").alias("distance"))
+    """The nearest of all other signatures for each of a stated set of queries, which meet all rows block by block."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(v.filter("vec_id % 100 = 0"), v)
 
 
-@query("""WITH d AS (SELECT md5(array_to_string([round(x, 1) + 0 for x in embedding[1:2]], ',')) AS digest, label, vec_id FROM embeddings),
+@query("""WITH d AS (SELECT array_to_string([round(x, 1) + 0 for x in embedding], ',') AS digest, label, vec_id FROM embeddings),
 m AS (SELECT digest, min(label) AS label FROM d GROUP BY digest) SELECT d.vec_id, m.label AS matched FROM d JOIN m USING (digest)""")
 def shapes_matched_once(spark, sf_dir) -> DataFrame:
-    """Distinct shapes are matched once, by digest, and the result spread to all instances."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.array(*[F.round(F.col("embedding")[i].cast("float"), 1) for i in (0, 1)]).alias("shape"))
+    """Distinct shapes are matched once, by all their coordinates to a tenth, and the result spread to all instances."""
+    shape = F.transform(F.col("embedding").cast("array<float>"), lambda x: F.round(x, 1))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", shape.alias("shape"))
     matched = v.groupBy("shape").agg(F.min("label").alias("matched"))
     return v.join(matched, "shape").select("vec_id", "matched")
 
@@ -140,14 +163,18 @@ def exact_rates(spark, sf_dir) -> DataFrame:
     return lookup.latest(found, ["p_partkey"], F.desc("since"), "source", "entry").select("p_partkey", "entry", F.col("rate").cast("double").alias("rate"))
 
 
-@query("""SELECT a.p_partkey AS item, b.p_partkey AS entry FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_name = b.p_name AND a.p_brand <> b.p_brand
-AND (a.p_size = b.p_size OR b.p_size % 10 = 0)""")
+@query("""SELECT a.p_partkey AS item, CAST(count(*) AS BIGINT) AS candidates, min_by(b.p_partkey, (CASE WHEN a.p_size = b.p_size THEN 0 ELSE 1 END, b.p_partkey)) AS entry
+FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_name = b.p_name AND a.p_brand <> b.p_brand AND (a.p_size = b.p_size OR b.p_size % 10 = 0) GROUP BY 1""")
 def partial_rates(spark, sf_dir) -> DataFrame:
-    """Candidates of the same type whose size agrees or is silent, without the equal ones."""
+    """Candidates of the same type whose size agrees or is silent, without the equal ones: their number and the best, one
+    of the item's own size before a silent one.  Items and entries meet as what they state, not one by one."""
     p = table(spark, sf_dir, "part")
-    a = p.select(F.col("p_partkey").alias("item"), "p_type", "p_name", F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
-    fits = (F.col("brand") != F.col("p_brand")) & ((F.col("size") == F.col("p_size")) | (F.col("p_size") % 10 == 0))
-    return a.join(p, ["p_type", "p_name"]).filter(fits).select("item", F.col("p_partkey").alias("entry"))
+    stated = p.groupBy("p_type", "p_name", F.col("p_brand").alias("brand2"), F.col("p_size").alias("size2")).agg(F.count("*").alias("times"), F.min("p_partkey").alias("entry"))
+    asked = p.select("p_type", "p_name", "p_brand", "p_size").distinct()
+    met = asked.join(stated, ["p_type", "p_name"]).filter((F.col("p_brand") != F.col("brand2")) & ((F.col("p_size") == F.col("size2")) | (F.col("size2") % 10 == 0)))
+    best = F.min(F.struct(F.col("p_size") != F.col("size2"), "entry"))["entry"]
+    found = met.groupBy("p_type", "p_name", "p_brand", "p_size").agg(F.sum("times").alias("candidates"), best.alias("entry"))
+    return p.join(found, ["p_type", "p_name", "p_brand", "p_size"]).select(F.col("p_partkey").alias("item"), "candidates", "entry")
 
 
 @query("""WITH e AS (SELECT p_partkey AS entry, p_type, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS dn, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS joining FROM part)
@@ -212,22 +239,18 @@ def sizes_at(spark, sf_dir) -> DataFrame:
     return o.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("sizes"))
 
 
-@query("""WITH e(a, b) AS (SELECT l_partkey, 1000000 + l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R')
-SELECT CAST(count(DISTINCT a) + count(DISTINCT b) AS BIGINT) AS nodes FROM e""")
+@query("""SELECT CAST(count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) AS BIGINT) AS nodes FROM lineitem""")
 def network_nodes(spark, sf_dir) -> DataFrame:
     e = edges(spark, sf_dir)
     return e.agg((F.countDistinct("a") + F.countDistinct("b")).alias("nodes"))
 
 
 def edges(spark, sf_dir) -> DataFrame:
-    item = table(spark, sf_dir, "lineitem").filter("l_quantity = 50 AND l_returnflag = 'R'")
-    return item.select(F.col("l_partkey").alias("a"), (1000000 + F.col("l_suppkey")).alias("b")).distinct()
+    """Parts and suppliers as the nodes of a network; suppliers have the negative numbers."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct()
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node""")
+@query()
 def network_components(spark, sf_dir) -> DataFrame:
-    """The smallest node that each node of a network is connected with."""
-    from girder.operators.checkpoints import checkpointed
-
+    """The smallest node that each node of a network is connected with (tests compare with a plain search)."""
     return lookup.components(edges(spark, sf_dir), checkpointed)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.operators import lookup
-from girder.plans.lookups import half_l1
+from girder.plans.lookups import BLOCK, nearest
 from girder.plans.registry import query
 from girder.sources.tables import table
 
@@ -31,29 +33,43 @@ d AS (SELECT vec_id, other, round(list_sum([abs(e[i]::DOUBLE - f[i]::DOUBLE) for
 t AS (SELECT vec_id, min(distance) AS tolerance FROM d GROUP BY vec_id) SELECT vec_id, other, distance FROM d JOIN t USING (vec_id) WHERE distance > tolerance AND distance <= tolerance * 1.1""")
 def near_misses(spark, sf_dir) -> DataFrame:
     """Signatures outside the tolerance but within 1.1 times it; the tolerance here is the best match's distance."""
-    v = table(spark, sf_dir, "embeddings")
-    asked = v.filter("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("e"))
-    legend = v.select(F.col("vec_id").alias("other"), F.col("embedding").alias("f"))
-    d = asked.join(legend, F.col("vec_id") != F.col("other")).select("vec_id", "other", F.round(half_l1(F.col("e"), F.col("f")), 6).alias("distance"))
-    d = d.withColumn("tolerance", F.min("distance").over(Window.partitionBy("vec_id")))
-    return d.filter("distance > tolerance AND distance <= tolerance * 1.1").select("vec_id", "other", "distance")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = v.filter("vec_id % 100 = 0")
+    best = nearest(asked, v).select("vec_id", F.col("distance").alias("tolerance"))
+    return within(asked.join(best, "vec_id"), v, 1.1)
 
 
-@query("""WITH p AS (SELECT DISTINCT l_partkey AS shape, l_suppkey AS sheet FROM lineitem WHERE l_quantity > 48)
-SELECT a.sheet AS a, b.sheet AS b, CAST(count(*) AS BIGINT) AS pairs, list_sort(list(DISTINCT a.shape)) AS members FROM p a JOIN p b ON a.shape = b.shape AND a.sheet < b.sheet GROUP BY ALL""")
+def within(asked: DataFrame, legend: DataFrame, reach: float) -> DataFrame:
+    """(vec_id, other, distance) of the signatures of legend that are beyond the tolerance of one asked for but within
+    reach times it."""
+
+    def compare(ids, vectors, more, others, theirs):
+        distance = lookup.half_l1(vectors, theirs)
+        limit = np.array(more[0], np.float64)[:, None]
+        own = np.array([[a == b for b in others] for a in ids])
+        i, j = np.nonzero((distance > limit) & (distance <= limit * reach) & ~own)
+        yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in i]), pa.array([others[k] for k in j]), pa.array(distance[i, j])], names=["vec_id", "other", "distance"])
+
+    kind = legend.schema["vec_id"].dataType.simpleString()
+    return lookup.against_all(asked, legend, "vec_id", "embedding", BLOCK, compare, f"vec_id {kind}, other {kind}, distance double", ("tolerance",))
+
+
+@query("""WITH p AS (SELECT DISTINCT l_partkey AS shape, l_suppkey AS sheet FROM lineitem)
+SELECT shape, sheet, min(sheet) OVER (PARTITION BY shape) AS first_sheet, CAST(count(*) OVER (PARTITION BY shape) AS BIGINT) AS sheets FROM p QUALIFY count(*) OVER (PARTITION BY shape) > 1""")
 def duplicate_groups(spark, sf_dir) -> DataFrame:
-    """Groups of duplicates by the pair of sheets they are on."""
-    p = table(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(F.col("l_partkey").alias("shape"), F.col("l_suppkey").alias("sheet")).distinct()
-    pairs = p.withColumnRenamed("sheet", "a").join(p.withColumnRenamed("sheet", "b"), "shape").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("pairs"), F.array_sort(F.collect_set("shape")).alias("members"))
+    """The sheets that share a shape: each with the group's first sheet and its size, and not with each of the others."""
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("shape"), F.col("l_suppkey").alias("sheet")).distinct()
+    groups = p.groupBy("shape").agg(F.min("sheet").alias("first_sheet"), F.count("*").alias("sheets")).filter("sheets > 1")
+    return p.join(groups, "shape").select("shape", "sheet", "first_sheet", "sheets")
 
 
-@query("""SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem l WHERE EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag = 'R' AND r.l_quantity > 49 AND r.l_partkey = l.l_partkey AND r.l_suppkey <> l.l_suppkey)""")
+@query("""SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem l WHERE EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag = 'R' AND r.l_partkey = l.l_partkey AND r.l_suppkey <> l.l_suppkey)""")
 def twins_of_rejections(spark, sf_dir) -> DataFrame:
-    """Copies, on other sheets, of what was rejected."""
+    """Copies, on other sheets, of what was rejected.  A shape rejected on one sheet has twins on all others, one rejected
+    on several has them everywhere: two sheets a shape say which."""
     item = table(spark, sf_dir, "lineitem")
-    rejected = item.filter("l_returnflag = 'R' AND l_quantity > 49").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
-    twins = item.join(rejected, (F.col("l_partkey") == F.col("p")) & (F.col("l_suppkey") != F.col("s")), "left_semi")
+    rejected = item.filter("l_returnflag = 'R'").groupBy("l_partkey").agg(F.min("l_suppkey").alias("lo"), F.max("l_suppkey").alias("hi"))
+    twins = item.join(rejected, "l_partkey").filter((F.col("lo") != F.col("hi")) | (F.col("l_suppkey") != F.col("lo")))
     return twins.select("l_orderkey", "l_partkey", "l_suppkey").distinct()
 
 
@@ -144,7 +160,7 @@ def multipliers_applied(spark, sf_dir) -> DataFrame:
     bid = s.filter("s_suppkey % 5 = 0").select("key", F.lit(1.5).alias("factor"), F.lit(1).alias("rank"), F.col("s_suppkey").alias("entry"))
     bid = lookup.latest(bid, ["key"], "entry")
     levels = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("level"))
-    everywhere = levels.join(F.broadcast(bid))  # one row a key, of which there are four
+    everywhere = levels.join(bid)  # one row a key, of which there are four
     return lookup.latest(level.unionByName(everywhere), ["level", "key"], "rank", "entry").select("level", "key", "factor")
 
 

@@ -46,3 +46,46 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() >= 0
+
+
+def small(spark, name):
+    return spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").collect()
+
+
+def test_network_components_against_a_search(spark, sf_dir):
+    near = {}
+    for r in small(spark, "lineitem"):
+        near.setdefault(r.l_partkey, set()).add(-1 - r.l_suppkey)
+        near.setdefault(-1 - r.l_suppkey, set()).add(r.l_partkey)
+    want = {}
+    for start in sorted(near):
+        todo = [start] if start not in want else []
+        while todo:
+            n = todo.pop()
+            if n not in want:
+                want[n] = start
+                todo += near[n]
+    assert {r.node: r.root for r in catalog.QUERIES["network_components"](spark, sf_dir).collect()} == want
+
+
+def test_greedy_against_a_loop(spark, sf_dir):
+    from girder.plans.lookups import points
+
+    cells = {}
+    p = [(r.id, r.kind, r.x, round(r.y, 6)) for r in points(spark, sf_dir).collect()]
+    for i, k, x, y in p:
+        cells.setdefault((k, math.floor(x / 0.05), math.floor(y / 0.05)), []).append((i, x, y))
+    pairs = []
+    for i, k, x, y in p:
+        if i % 2 == 0:
+            cx, cy = math.floor(x / 0.05), math.floor(y / 0.05)
+            for j, u, v in (o for dx in (-1, 0, 1) for dy in (-1, 0, 1) for o in cells.get((k, cx + dx, cy + dy), ())):
+                if j % 2 and abs(x - u) <= 0.05 and abs(y - v) <= 0.05 and (d := math.hypot(x - u, y - v)) <= 0.05:
+                    pairs.append((d, i, j))
+    used, want = set(), set()
+    for _, a, b in sorted(pairs):
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.add((a, b))
+    got = {(r.a, r.b) for r in catalog.QUERIES["greedy_one_to_one"](spark, sf_dir).collect()}
+    assert len(want) > 100 and len(got ^ want) <= len(want) // 500  # distances that differ in their last bit may swap

@@ -68,3 +68,13 @@ def test_edit_ratio(spark, pairs):
     got = spark.createDataFrame(rows, "i int, a string, b string").select("i", X.edit_ratio(F.col("a"), F.col("b")).alias("r")).orderBy("i").collect()
     for (a, b), r in zip(pairs, got):
         assert abs(r.r - (distance(a, b) / max(len(a), len(b)) if a or b else 0.0)) < 1e-12
+
+
+def test_edit_ratio_of_long_texts(spark):
+    words = [f"w{i}" for i in range(40_000)]
+    assert X.word_distance(words, words[:100] + ["x"] + words[101:]) == 1
+    assert X.word_distance(words[:3000], words[3000:6000]) == 3000
+    assert X.word_distance(words, []) == 40_000
+    changed = [w if i % 50 else f"y{i}" for i, w in enumerate(words[:10_000])]
+    df = spark.createDataFrame([(1, " ".join(words[:10_000]), " ".join(changed)), (2, None, None), (3, None, "a b")], "i int, a string, b string")
+    assert [r.r for r in df.select("i", X.edit_ratio("a", "b").alias("r")).orderBy("i").collect()] == [0.02, 0.0, 1.0]
