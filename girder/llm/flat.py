@@ -105,13 +105,13 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np
     return runs(member[data], offsets)
 
 
-def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
+def window_hashes(values: np.ndarray, k: int, base: np.uint64 = SEQ_BASE) -> np.ndarray:
     """The hash of each k consecutive values (none if there are fewer)."""
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
     at = np.arange(n)
-    return span_hashes(values, at, at + k, SEQ_BASE)
+    return span_hashes(values, at, at + k, base)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

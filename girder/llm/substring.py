@@ -16,16 +16,20 @@ document with a smaller id, all its windows repeat, however many copies there
 are: each group needs only its smallest id.
 
 Extend.  What is left are the first runs of each context of an anchor with
-several contexts.  They are extended both ways, one word at a time, within the
-anchor's reach: every window around the anchor gets its own hash, and meets the
-others by it; again only the smallest id of each window counts.
+several contexts.  Each is widened to both sides as far as its anchor reaches: all
+windows around the anchor get hashes of their own and meet the others by them;
+again only the smallest id of each window counts.  Windows that repeat and adjoin
+are one repeat, so maximal ones come out whole.
 
 No step makes pairs, so a passage that a third of the documents share costs as
 much as any other text.  Before each shuffle a task drops all but the smallest
 id of equal runs or windows of its own and notes the others as repeats: a hot
-group sends one row a task and not one a document.  Texts travel compressed.
+group sends one row a task and not one a document.  An anchor that a task sends
+with more than HOT contexts is dealt by its contexts and not as one group; a row
+that stands for it tells the group that there are several.  Texts travel
+compressed.
 
-Sequences are compared by 64-bit hashes of their words.
+Sequences are compared by two independent 64-bit hashes of their words.
 
 Cases: null, empty and blank texts have no words; texts of fewer words than a
 window are kept; rows with equal ids are judged each by itself, neither being
@@ -53,6 +57,20 @@ SEED = 6
 #: Runs or windows that a task holds to drop its own repeats; more are sent in several portions.
 PORTION = 400_000
 NULL_ID = -(1 << 63)
+#: Contexts of one anchor that a task sends to the anchor's own group.
+HOT = 16
+#: The second hash of words and sequences.
+OTHER = U64(0xB5297A4D3F84D5A7)
+
+
+def other_hash(values: np.ndarray) -> np.ndarray:
+    """A second value of each word for the second hash of sequences; it depends on all bits of the first."""
+    with np.errstate(over="ignore"):
+        return mix(values * OTHER + U64(0x68E31DA4C2B2AE35))
+
+
+
+OTHER_VALUES = other_hash(BYTE_VALUES)
 
 
 def leftmost_minimum(h: np.ndarray, span: int) -> np.ndarray:
@@ -77,6 +95,8 @@ class Slice:
         self.data, self.window = data, window
         self.starts, self.ends, self.bound = words(data, offsets, NOT_SPACE)
         self.hashes = span_hashes(BYTE_VALUES[data], self.starts, self.ends)
+        # words by bytes valued otherwise, so that words with one first hash still differ
+        self.others = span_hashes(OTHER_VALUES[data], self.starts, self.ends, OTHER)
         self.count = np.diff(self.bound)
         n = len(self.hashes) - window + 1
         if n > 0:
@@ -86,11 +106,12 @@ class Slice:
             self.doc_of, self.whole = np.repeat(np.arange(len(self.count)), self.count), np.zeros(0, np.int64)
         self.seed = seed
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document, first window, windows, anchor, context) of each run of windows with one anchor."""
+    def runs(self) -> tuple[np.ndarray, ...]:
+        """(document, first window, windows, anchor, context, context by the second hash) of each run of windows with one
+        anchor."""
         if not len(self.whole):
             none = np.zeros(0, np.int64)
-            return none, none, none, none.view(U64), none.view(U64)
+            return none, none, none, none.view(U64), none.view(U64), none.view(U64)
         grams = window_hashes(self.hashes, self.seed)
         anchor = leftmost_minimum(grams, self.window - self.seed + 1)[self.whole]
         doc = self.doc_of[self.whole]
@@ -99,20 +120,29 @@ class Slice:
         size = np.diff(np.append(at, len(anchor)))
         begin, place = self.whole[at], anchor[at]
         context = span_hashes(self.hashes, begin, begin + size + self.window - 1, SEQ_BASE)
+        second = span_hashes(self.others, begin, begin + size + self.window - 1, OTHER)
         with np.errstate(over="ignore"):
             context = mix(context + (place - begin).astype(U64) * U64(0xE7037ED1A0B428DB))
-        return doc[at], begin - self.bound[doc[at]], size, grams[place], context
+        return doc[at], begin - self.bound[doc[at]], size, grams[place], context, second
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of each window."""
+        return window_hashes(self.hashes, self.window), window_hashes(self.others, self.window, OTHER)
 
     def repeats_within(self) -> np.ndarray:
         """The windows (as word numbers of the slice) that also start earlier in their own document."""
         if not len(self.whole):
             return self.whole
-        h = window_hashes(self.hashes, self.window)[self.whole]
+        h, second = (x[self.whole] for x in self.windows())
         with np.errstate(over="ignore"):
             key = mix(h + self.doc_of[self.whole].astype(U64) * U64(0xD6E8FEB86659FD93))
         order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        if (second[order[1:]] != second[order[:-1]])[same].any():
+            order = np.lexsort([second, key])
+            same = key[order[1:]] == key[order[:-1]]
         again = np.zeros(len(key), bool)
-        again[order[1:]] = key[order[1:]] == key[order[:-1]]
+        again[order[1:]] = same & (second[order[1:]] == second[order[:-1]])
         return self.whole[again]
 
 
@@ -142,9 +172,13 @@ Rows = tuple[np.ndarray, ...]
 PLACE = ("doc", "tie", "start", "n")
 
 
-def _portions(batches: Iterator[pa.RecordBatch], rows_of: Callable[[pa.RecordBatch], Iterator[Rows]]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, ..., doc, tie, start, n, dropped) of a task: without its own repeats, and those repeats as dropped
-    ones, whose keys only spread them.  Both come from one pass, so that nothing is dropped that is not noted."""
+def _portions(batches: Iterator[pa.RecordBatch], rows_of: Callable[[pa.RecordBatch], Iterator[Rows]], anchored: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (key, ..., doc, tie, start, n, part, dropped) of a task: without its own repeats, and those repeats as dropped
+    ones, whose keys only spread them.  Both come from one pass, so that nothing is dropped that is not noted.
+
+    part is 0, but for rows whose first key (an anchor) the task sends very often; such a key also gets a row without
+    windows in part 0, whose other keys are those of no other row.
+    """
 
     def send(held: list[Rows]) -> Iterator[pa.RecordBatch]:
         *keys, doc, tie, start, n = (np.concatenate(c) for c in zip(*held))
@@ -152,14 +186,23 @@ def _portions(batches: Iterator[pa.RecordBatch], rows_of: Callable[[pa.RecordBat
         if len(again):
             place = _merged(doc[again], tie[again], start[again], n[again])
             spread = mix(place[0].view(U64) ^ mix(place[2].astype(U64)))
-            yield rows_with([spread] * len(keys), place, True)
+            yield rows_with([spread] * len(keys), place, np.zeros(len(spread), np.int64), True)
         if len(send_on):
-            yield rows_with([k[send_on] for k in keys], (doc[send_on], tie[send_on], start[send_on], n[send_on]), False)
-
-    def rows_with(keys: list[np.ndarray], place: Rows, dropped: bool) -> pa.RecordBatch:
+            keys, place = [k[send_on] for k in keys], (doc[send_on], tie[send_on], start[send_on], n[send_on])
+            part = np.zeros(len(send_on), np.int64)
+            if anchored:
+                anchors, of, count = np.unique(keys[0], return_inverse=True, return_counts=True)
+                part = np.where((count > HOT)[of], keys[1].view(np.int64) | 1, 0)
+                hot = anchors[count > HOT]
+                if len(hot):
+                    none = np.zeros(len(hot), np.int64)
+                    yield rows_with([hot, *[none.view(U64)] * (len(keys) - 1)], (none, none, none, none), none, False)
+            yield rows_with(keys, place, part, False)
+
+    def rows_with(keys: list[np.ndarray], place: Rows, part: np.ndarray, dropped: bool) -> pa.RecordBatch:
         doc, tie, start, n = place
-        columns = [*[pa.array(k.view(np.int64)) for k in keys], pa.array(doc), pa.array(tie), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.full(len(doc), dropped))]
-        return pa.RecordBatch.from_arrays(columns, names=[*[f"k{i}" for i in range(len(keys))], *PLACE, "dropped"])
+        columns = [*[pa.array(k.view(np.int64)) for k in keys], pa.array(doc), pa.array(tie), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(part), pa.array(np.full(len(doc), dropped))]
+        return pa.RecordBatch.from_arrays(columns, names=[*[f"k{i}" for i in range(len(keys))], *PLACE, "part", "dropped"])
 
     held, size = [], 0
     for batch in batches:
@@ -187,10 +230,10 @@ def _runs(window: int, seed: int):
     def rows_of(batch: pa.RecordBatch) -> Iterator[Rows]:
         ids, ties = ids_of(batch)
         for lo, _, data, offsets in text_slices(batch, "text"):
-            doc, start, size, anchor, context = Slice(data, offsets, window, seed).runs()
-            yield anchor, context, ids[lo + doc], ties[lo + doc], start, size
+            doc, start, size, anchor, context, second = Slice(data, offsets, window, seed).runs()
+            yield anchor, context, second, ids[lo + doc], ties[lo + doc], start, size
 
-    return lambda batches: _portions(batches, rows_of)
+    return lambda batches: _portions(batches, rows_of, anchored=True)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +275,8 @@ def _windows(window: int, seed: int):
             doc, start, n = _intervals(batch, lo, hi)
             at = np.repeat(doc, n)
             start = ragged(start, n)
-            h = window_hashes(s.hashes, window)[s.bound[at] + start]
-            yield h, ids[lo + at], ties[lo + at], start, np.ones(len(start), np.int64)
+            h, second = (x[s.bound[at] + start] for x in s.windows())
+            yield h, second, ids[lo + at], ties[lo + at], start, np.ones(len(start), np.int64)
 
     return lambda batches: _portions(_small(batches), rows_of)
 
@@ -272,9 +315,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     repeated_ids = plain.groupBy("doc").count().filter("count > 1").limit(1).count() > 0
     plain = plain.select("doc", (F.xxhash64("text") if repeated_ids else F.lit(0).cast("long")).alias("tie"), "text")
     # seeds: runs that meet by anchor
-    runs = plain.mapInArrow(_runs(window, seed), f"k0 long, k1 long, {PLACED}, dropped boolean")
-    by_anchor = Window.partitionBy("k0", "dropped")
-    met = runs.select("*", F.min("doc").over(Window.partitionBy("k0", "dropped", "k1").orderBy("doc")).alias("least"), (F.min("k1").over(by_anchor) != F.max("k1").over(by_anchor)).alias("several"))
+    runs = plain.mapInArrow(_runs(window, seed), f"k0 long, k1 long, k2 long, {PLACED}, part long, dropped boolean")
+    by_anchor = Window.partitionBy("k0", "part", "dropped")
+    differ = (F.min("k1").over(by_anchor) != F.max("k1").over(by_anchor)) | (F.min("k2").over(by_anchor) != F.max("k2").over(by_anchor))
+    met = runs.withColumn("several", (F.col("part") != 0) | differ).filter("n > 0")
+    met = met.withColumn("least", F.min("doc").over(Window.partitionBy("k0", "part", "dropped", "k1", "k2")))
     again = F.col("dropped") | (F.col("doc") > F.col("least"))
     # most anchors stand once in the corpus; the rest is kept, as it is needed twice
     met = checkpointed(met.filter(again | F.col("several")).select(*PLACE, again.alias("again")))
@@ -284,8 +329,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     spans = F.collect_list(F.struct("start", "n")).alias("at")
     extended = packed.join(met.filter("NOT again").groupBy("doc", "tie").agg(spans), ["doc", "tie"])
     # sorted, so that a task that is run again has the same portions
-    windows = extended.sortWithinPartitions("doc", "tie").mapInArrow(_windows(window, seed), f"k0 long, {PLACED}, dropped boolean")
-    again = windows.select(*PLACE, "dropped", F.min("doc").over(Window.partitionBy("k0", "dropped").orderBy("doc")).alias("least")).filter("dropped OR doc > least").select(*PLACE)
+    windows = extended.sortWithinPartitions("doc", "tie").mapInArrow(_windows(window, seed), f"k0 long, k1 long, {PLACED}, part long, dropped boolean")
+    again = windows.select(*PLACE, "dropped", F.min("doc").over(Window.partitionBy("k0", "k1", "dropped")).alias("least")).filter("dropped OR doc > least").select(*PLACE)
     # all repeats of a document, in one list
     gone = repeated.union(again).groupBy("doc", "tie").agg(spans)
     none = F.array().cast(gone.schema["at"].dataType)
@@ -295,6 +340,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Words, removed words and a digest of the kept ones of every document; null texts have none, and an empty table
+    gives no rows."""
     found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

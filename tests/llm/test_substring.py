@@ -102,3 +102,43 @@ def test_other_file_splits_in_a_later_job_lose_no_repeat(spark, tmp_path):
     finally:
         spark.conf.unset(name)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_anchors_with_many_contexts(spark, tmp_path):
+    rnd = random.Random(5)
+    phrases = [[f"p{k}x{i}" for i in range(6)] for k in range(12)]
+    shared = [[f"s{k}x{i}" for i in range(25)] for k in range(4)]
+    rows = []
+    for i in range(300):
+        body = []
+        for _ in range(5):
+            body += [f"r{rnd.random()}" for _ in range(rnd.randrange(5, 14))] + rnd.choice(phrases)
+        # windows around the common phrases that stand in two or three documents only
+        if i % 3 == 0:
+            body += rnd.choice(shared) + phrases[i % 12] + rnd.choice(shared)
+        rows.append((i, " ".join(body)))
+    frequent = sum(S.HOT < n for n in np.unique(S.Slice(*flat(" ".join(t for _, t in rows)), 20, 6).runs()[3], return_counts=True)[1])
+    assert frequent > 3
+    for n in (1, 7):
+        save(spark, rows, tmp_path / str(n), n)
+        assert got(S.op6_substring_dedup(spark, str(tmp_path / str(n)))) == brute(rows)
+
+
+def flat(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return data, np.array([0, len(data)])
+
+
+def test_words_with_one_first_hash_stay_apart(monkeypatch):
+    rnd = random.Random(8)
+    words = [rnd.choice("abcdefgh") * 3 for _ in range(4000)]
+    words[1000:1030] = words[200:230]
+    want = brute([(0, " ".join(words))])[0][1]
+    # all words of one length have one first hash
+    monkeypatch.setattr(S, "BYTE_VALUES", np.full(256, 7, np.uint64))
+    s = S.Slice(*flat(" ".join(words)), 20, 6)
+    assert len(set(s.hashes.tolist())) == 1 and len(set(s.others.tolist())) == 8
+    assert S.covered(s.repeats_within(), s.repeats_within() + 20, len(words)).sum() == want >= 30
+    assert len(set(zip(*(x.tolist() for x in s.windows())))) == len({tuple(words[i : i + 20]) for i in range(3981)})
+    *_, context, second = s.runs()
+    assert len(set(context.tolist())) < len(set(second.tolist()))
