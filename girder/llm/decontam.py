@@ -10,7 +10,9 @@ at once.
 
 The patterns are collected on the driver and shipped to the tasks only in blocks
 of at most BLOCK_BYTES of benchmark text; more text means more passes over the
-documents, whose hits add up, and never a larger block.
+documents, whose hits add up, and never a larger block.  A long item is first cut
+into parts that overlap by a window less one word, so each of its windows stands
+in one.
 
 Cases: null, empty and wordless texts have no words and no hits; wordless and
 null items have no patterns; items with one id count once, a null id counts as
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from girder.llm.flat import ALNUM, LOWER, U64, covered, mix, ragged, span_hashes, text_slices, words
+from girder.llm.flat import ALNUM, BYTE_VALUES, LOWER, U64, covered, mix, ragged, span_hashes, text_slices, words
 from girder.llm.shared import checkpointed, fresh, table
 
 WINDOW = 10
@@ -51,8 +53,6 @@ def hashes_of(seq: list[bytes]) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    from girder.llm.flat import BYTE_VALUES
-
     return span_hashes(BYTE_VALUES[data], starts, ends)
 
 
@@ -188,6 +188,46 @@ def _intervals(hit: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts - base, ends - base, edge
 
 
+def parts_of(items: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """(id, text) of distinct items, each long one in parts of about a sixteenth of a block that hold all its windows."""
+    limit = max(256, block_bytes // 16)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text is not None and len(text.encode()) > limit:
+                    seq = word_list(text)
+                    begin = 0
+                    while begin == 0 or begin + window <= len(seq):
+                        stop, size = min(begin + window, len(seq)), sum(len(w) + 1 for w in seq[begin : begin + window])
+                        while stop < len(seq) and size + len(seq[stop]) < limit:
+                            size += len(seq[stop]) + 1
+                            stop += 1
+                        ids.append(name)
+                        texts.append(b" ".join(seq[begin:stop]).decode())
+                        begin = max(begin + 1, stop - window + 1)
+                else:
+                    ids.append(name)
+                    texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return checkpointed(items.distinct().mapInArrow(cut, "id string, text string").distinct())
+
+
+def blocks_of(items: DataFrame, block_bytes: int):
+    """(block of an item, number of blocks), so that no block has more than block_bytes (but for a part that alone has)."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    total, n = items.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
+    blocks = max(1, -(-int(total) // max(1, block_bytes)))
+    while True:
+        block_of = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
+        held = items.groupBy(block_of.alias("block")).agg(F.sum(size).alias("size"), F.count("*").alias("n"))
+        if not held.filter((F.col("size") > block_bytes) & (F.col("n") > 1)).limit(1).count() or blocks > 4 * n:
+            return block_of, blocks
+        blocks += -(-blocks // 4)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, hit_from and hit_to (intervals of hit words) and hit_items (ids, sorted as strings)."""
     columns = tuple(fresh(docs, "n_words", "hit_from", "hit_to", "hit_items"))
@@ -198,12 +238,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         T.StructField(columns[2], T.ArrayType(T.IntegerType())),
         T.StructField(columns[3], T.ArrayType(T.StringType())),
     ])
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text"))
-    size, longest = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
-    blocks = -(-int(size) // max(1, block_bytes)) or 1
+    items = parts_of(benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).cast("string").alias("text")), window, block_bytes)
+    block_of, blocks = blocks_of(items, block_bytes)
     out = docs
     for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
+        own = items.filter(block_of == block)
         patterns, names = compile_items([(r.id, r.text) for r in own.collect()], window)
         out = out.mapInArrow(_scan(patterns, names, text, columns, block == 0), schema)
         if block + 1 < blocks:
@@ -212,6 +251,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Words, hit words and items found of every document; null texts have none, and an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan(docs, table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.zip_with("hit_to", "hit_from", lambda b, a: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)

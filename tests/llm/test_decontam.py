@@ -61,6 +61,23 @@ def test_against_brute_force(spark, tmp_path):
         assert (r.n_words, r.n) == (want[r.doc_id][0], want[r.doc_id][2])
 
 
+def test_blocks_are_bounded_and_hold_all_windows(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(1)
+    texts = {i: " ".join(f"W{rnd.randrange(300)}" for _ in range(n)) for i, n in enumerate([5000, 9, 10, 11, 300, 0, 70])}
+    items = spark.createDataFrame([(str(i), t) for i, t in texts.items()] + [("0", texts[0]), ("x", None)], "id string, text string")
+    parts = decontam.parts_of(items, 10, 4096)
+    block_of, blocks = decontam.blocks_of(parts, 4096)
+    held = parts.groupBy(block_of).agg(F.sum(F.octet_length("text") + 16).alias("n")).collect()
+    assert blocks > 4 and max(r.n for r in held if r.n) <= 4096
+    wins = lambda w: {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    got = {}
+    for r in parts.collect():
+        got.setdefault(r.id, set()).update(wins(low(r.text).split()))
+    assert all(got[str(i)] == wins(low(t).split()) for i, t in texts.items()) and got["x"] == set()
+
+
 def test_against_sql(spark, sf_dir):
     got = decontam.op7_decontamination(spark, sf_dir).toPandas().sort_values("doc_id").reset_index(drop=True)
     con = duckdb.connect()
