@@ -11,12 +11,15 @@ that merge independently.  All distinct words of a slice are merged at once:
   pair that such a merge makes would come before the rest, else the first alone;
 * merged symbols are compacted, and finished words leave the arrays.
 
-The rounds end when no pair is left.  The result is the library's own, id by id.
+The rounds end when no pair is left.  The result is the library's own, id by id:
+words are told apart by two independent 64-bit hashes, and where the first ones
+of different words agree, none of them is taken for another.
 
 Cases: null and empty texts give the begin and end ids alone and decode to an
 empty text; characters without a piece give their UTF-8 bytes; a text of any
-length is one unit; repeated rows give repeated rows; other columns pass through
-and an output name that is taken gets a leading underscore.
+length is one unit; repeated rows give repeated rows; an empty table gives no
+rows; other columns pass through and an output name that is taken gets a leading
+underscore.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from girder.llm.flat import U64, mix, ragged, span_hashes
-from girder.llm.shared import fresh
+from girder.llm.flat import SEQ_BASE, U64, mix, ragged, span_hashes
+from girder.llm.shared import fresh, table
 
 SPACE = "▁"
 MARK = ord(SPACE)
@@ -85,6 +88,7 @@ class PieceTables:
                 joining[[ord(c) for c in name]] = True
         self.joining = joining
         self.value = mix(np.arange(0x110000, dtype=U64) * U64(0xE7037ED1A0B428DB) + U64(77))
+        self.other_value = mix(self.value + U64(0x9FB21C651E98DF25))
         # bytes of each piece as decoding shows them
         self.byte_id = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         shown = [b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else bytes([int(n[3:5], 16)]) if sp.is_byte(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
@@ -99,9 +103,11 @@ class PieceTables:
         run = self.merge(np.full(64, self.char[MARK], np.int32), np.array([0]))[0] if self.char[MARK] >= 0 else []
         if len(run) and 64 % len(run) == 0 and len(set(map(int, run))) == 1:
             self.period = 64 // len(run)
-        self.cache_keys = np.zeros(0, U64)
-        self.cache_ids = np.zeros(0, np.int32)
-        self.cache_len = np.zeros(0, np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.cache_keys, self.cache_checks = np.zeros(0, U64), np.zeros(0, U64)
+        self.cache_ids, self.cache_len = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _slots(self, pairs: np.ndarray) -> None:
         """An open hash table of the pairs, probed at most `probes` times."""
@@ -267,34 +273,44 @@ class PieceTables:
         starts = self.words(codes, begin[sizes > 0])
         ends = np.append(starts[1:], len(codes))
         key = span_hashes(self.value[codes], starts, ends)
+        check = span_hashes(self.other_value[codes], starts, ends, SEQ_BASE)
         distinct, at, back = np.unique(key, return_index=True, return_inverse=True)
         place = np.searchsorted(self.cache_keys, distinct)
         place[place == len(self.cache_keys)] = 0
         known = self.cache_keys[place] == distinct if len(self.cache_keys) else np.zeros(len(distinct), bool)
-        new = np.flatnonzero(~known)
-        if len(new):
-            ids, count = self.ids_of(codes, starts[at[new]], ends[at[new]])
-            self._remember(distinct[new], ids, count)
-            place = np.searchsorted(self.cache_keys, distinct)
-        offset = np.cumsum(self.cache_len) - self.cache_len
-        slot = place[back]
-        count = self.cache_len[slot]
-        ids = self.cache_ids[ragged(offset[slot], count)]
+        if (check != check[at][back]).any() or (self.cache_checks[place[known]] != check[at][known]).any():
+            # different words with one first hash: each pair of hashes by itself, beside the memory
+            order = np.lexsort([check, key])
+            head = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])])
+            at, slot = order[head], np.empty(len(key), np.int64)
+            slot[order] = np.cumsum(head) - 1
+            all_ids, all_len = self.ids_of(codes, starts[at], ends[at])
+        else:
+            new = np.flatnonzero(~known)
+            if len(new):
+                ids, count = self.ids_of(codes, starts[at[new]], ends[at[new]])
+                self._remember(distinct[new], check[at[new]], ids, count)
+                place = np.searchsorted(self.cache_keys, distinct)
+            slot, all_ids, all_len = place[back], self.cache_ids, self.cache_len
+        offset = np.cumsum(all_len) - all_len
+        count = all_len[slot]
+        ids = all_ids[ragged(offset[slot], count)]
         total = np.concatenate([[0], np.cumsum(count)])
         bound = total[np.searchsorted(starts, np.append(begin, len(codes)))]
         per = np.diff(bound)
         per[sizes == 0] = 0
         if len(self.cache_keys) > CACHE_WORDS:
-            self.cache_keys, self.cache_ids, self.cache_len = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+            self._forget()
         return ids, per
 
-    def _remember(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+    def _remember(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         all_keys = np.concatenate([self.cache_keys, keys])
         all_len = np.concatenate([self.cache_len, count])
         all_ids = np.concatenate([self.cache_ids, ids])
         offset = np.cumsum(all_len) - all_len
         order = np.argsort(all_keys, kind="stable")
         self.cache_keys, self.cache_len = all_keys[order], all_len[order]
+        self.cache_checks = np.concatenate([self.cache_checks, checks])[order]
         self.cache_ids = all_ids[ragged(offset[order], all_len[order])]
 
     def decode(self, ids: np.ndarray, per: np.ndarray) -> list[bytes]:
@@ -394,8 +410,7 @@ def encode_decode(docs: DataFrame, text: str = "text", model: str | None = None)
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    from girder.llm.shared import table
-
+    """Number and digest of every document's ids, and the digest of what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_decode(docs).select(
         "doc_id",

@@ -67,3 +67,15 @@ def test_null_rows_and_taken_names(spark):
     got = sorted((r.doc_id, len(r.piece_ids) // 4, r._decoded) for r in out.collect())
     assert got == [(1, 2, ""), (1, 2, ""), (2, 3, "x")]
     assert pieces.encode_decode(df.limit(0)).count() == 0
+
+
+def test_words_with_equal_hashes_stay_apart(monkeypatch):
+    real = pieces.span_hashes
+    # the first hash tells few words apart, within a slice and against what is remembered
+    monkeypatch.setattr(pieces, "span_hashes", lambda values, starts, ends, *base: real(values, starts, ends, *base) % np.uint64(5) if not base else real(values, starts, ends, *base))
+    with open(pieces.default_model(), "rb") as f:
+        t = pieces.PieceTables(f.read())
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    for texts in (["one"], ["the quick brown fox jumps over the lazy dog", "été 漢字 x  y", "", "one two"], ["another"]):
+        ids, per = t.encode(texts)
+        assert ids.tolist() == [i for x in texts for i in library.encode(x)] and per.sum() == len(ids)
