@@ -37,9 +37,11 @@ def sentences(text: Column) -> Column:
 
 
 def size_range(sentence: Column) -> tuple[Column, Column]:
-    """Sizes "up to" and "and above" that a sentence names; both at once give neither."""
-    up = F.try_to_number(F.nullif(F.regexp_extract(sentence, r"(?i)(?:up to|below|to and including)\s+(?:DN\s*)?(\d{2,4})", 1), F.lit("")), F.lit("9999")).cast("int")
-    down = F.try_to_number(F.nullif(F.regexp_extract(sentence, r"(?i)(?:DN\s*)?(\d{2,4})\s*(?:mm)?\s+and\s+(?:above|larger|over)", 1), F.lit("")), F.lit("9999")).cast("int")
+    """The smallest and the largest size that a sentence names ("and above", "up to"); both at once give neither."""
+    figure = r"(?:DN\s*)?(\d{2,4})"
+    number = lambda pattern: F.nullif(F.regexp_extract(sentence, pattern, 1), F.lit("")).try_cast("int")
+    up = number(rf"(?i)(?:\b(?:up to|below|to and including|not (?:more than|above|exceeding))(?:\s+and including)?\s+|(?:\u2264|<=)\s*){figure}")
+    down = F.coalesce(number(rf"(?i){figure}\s*(?:mm)?\s+and\s+(?:above|larger|over)"), number(rf"(?:\u2265|>=)\s*{figure}"))
     both = up.isNotNull() & down.isNotNull()
     return F.when(~both, down), F.when(~both, up)
 
@@ -212,9 +214,11 @@ def described(template: list[tuple[str, Column]]) -> Column:
 
 
 def scrubbed(fields: Column, allowed: list[str]) -> Column:
-    """A map without the keys that are not allowed, amounts of money in the rest masked."""
-    kept = F.map_filter(fields, lambda k, v: k.isin(*allowed))
-    return F.transform_values(kept, lambda k, v: F.regexp_replace(v, r"(?:S?\$|SGD\s?)\d[\d,]*(?:\.\d+)?", "[amount]"))
+    """A map that may be logged: amounts of money (a currency's, or a number with two decimals) are masked under allowed
+    keys, and other keys keep only the length of their text."""
+    masked = lambda v: F.regexp_replace(v, r"(?:\bSGD|S?\$)\s?\d[\d,]*(?:\.\d+)?|(?<![\w.])\d[\d,]*\.\d\d\b", "[amount]")
+    hidden = lambda v: F.when(v.isNotNull(), F.concat(F.lit("[hidden] ("), F.length(v).cast("string"), F.lit(" characters)")))
+    return F.transform_values(fields, lambda k, v: F.when(k.isin(*allowed), masked(v)).otherwise(hidden(v)))
 
 
 def tokens(text: Column) -> Column:

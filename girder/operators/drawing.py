@@ -229,6 +229,13 @@ def note_criteria(notes: DataFrame, sheet: str, order: str, text: str) -> DataFr
     return found.select(sheet, F.col("__head.t").alias("title"), F.rint(F.greatest("a", "b") * 1000).cast("int").alias("long_mm"), F.rint(F.least("a", "b") * 1000).cast("int").alias("short_mm"), "area_m2")
 
 
-def symbol_score(match: Column, on_network: Column, kept: float = 0.6) -> Column:
-    """How sure a symbol is: its match, less where it is on no pipe."""
-    return F.round(match * F.when(on_network, 1.0).otherwise(kept), 4)
+#: What a symbol found by a picture model can score at most, and the factors off the pipework.
+VISION_CAP, OFF_NETWORK, EQUIPMENT_OFF_NETWORK = 0.5, 0.55, 0.85
+
+
+def symbol_score(method: Column, distance: Column, tolerance: Column, equipment: Column, on_network: Column) -> Column:
+    """How sure a symbol is: an equal block is certain, a shape by half its distance over the tolerance, a picture by a
+    cap; off the pipework equipment loses less than others."""
+    near = F.greatest(F.lit(0.0), 1 - 0.5 * distance / F.greatest(tolerance, F.lit(1e-6)))
+    match = F.when(method == "block_hash", 1.0).when(method == "vision", VISION_CAP).otherwise(near)
+    return F.round(match * F.when(on_network, 1.0).when(equipment, EQUIPMENT_OFF_NETWORK).otherwise(OFF_NETWORK), 4)

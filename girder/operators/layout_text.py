@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.functions import text as X
+from girder.operators.checkpoints import checkpointed
 from girder.operators.lookup import greedy_matches
 
 
@@ -36,7 +37,7 @@ def tagged(symbols: DataFrame, spans: DataFrame, sheet: str, pattern: str, reach
     a = symbols.select(sheet, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = spans.filter(F.col("text").rlike(pattern)).select(sheet, F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
     near = a.join(b, sheet).withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).filter(F.col("distance") <= reach)
-    return greedy_matches(near.select(sheet, "a", "b", "distance"), sheet)
+    return greedy_matches(near.select(sheet, "a", "b", "distance"), sheet, checkpointed)
 
 
 def schedule_rows(lines: DataFrame, sheet: str, order: str, cells: str, header: str, tag: str) -> DataFrame:

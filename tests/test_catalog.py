@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows, on the small tables."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -89,3 +90,75 @@ def test_greedy_against_a_loop(spark, sf_dir):
             want.add((a, b))
     got = {(r.a, r.b) for r in catalog.QUERIES["greedy_one_to_one"](spark, sf_dir).collect()}
     assert len(want) > 100 and len(got ^ want) <= len(want) // 500  # distances that differ in their last bit may swap
+
+
+def test_review_draws_against_the_generator(spark, sf_dir):
+    lots = {}
+    for r in small(spark, "supplier"):
+        lots.setdefault(r.s_nationkey, set()).add(r.s_name)
+    want = {(k, x) for k, lot in lots.items() for x in random.Random(k).sample(sorted(lot), min(3, len(lot)))}
+    assert {tuple(r) for r in catalog.QUERIES["review_draws"](spark, sf_dir).collect()} == want
+
+
+def test_edit_ratios_against_a_table(spark, sf_dir):
+    from .test_text import distance
+
+    rows = {(r.conv_id, r.turn, r.role): (r.text or "").split() for r in small(spark, "conversations")}
+    want = {}
+    for (c, t, role), q in rows.items():
+        a = rows.get((c, t + 1, "assistant"))
+        if role == "user" and a is not None:
+            want[c, t] = distance(q, a) / max(len(q), len(a), 1)
+    got = {(r.conv_id, r.turn): r.ratio for r in catalog.QUERIES["edit_ratios"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_sampling_plans_against_a_search(spark, sf_dir):
+    lots = {}
+    for r in small(spark, "orders"):
+        lots[r.o_orderpriority] = lots.get(r.o_orderpriority, 0) + 1
+    for r in catalog.QUERIES["sampling_plans"](spark, sf_dir).collect():
+        n, wrong = lots[r.o_orderpriority], -(-lots[r.o_orderpriority] // 20)
+        passes = lambda s, n=n, wrong=wrong: math.comb(n - wrong, s) / math.comb(n, s)
+        assert r["count"] == n and r.sample == next(s for s in range(n + 1) if passes(s) <= 0.05)
+
+
+def test_calibrated_scores_against_a_plain_fit(spark, sf_dir):
+    from girder.plans.evaluation import outcomes
+
+    seen = outcomes(spark, sf_dir).collect()
+    sums = {}
+    for r in seen:
+        n, ok = sums.get(round(r.confidence, 3), (0, 0))
+        sums[round(r.confidence, 3)] = n + 1, ok + r.correct
+    x = sorted(sums)
+    # the least-squares fit that does not fall: the largest of least means over all stretches
+    mean = lambda i, j: sum(sums[v][1] for v in x[i : j + 1]) / sum(sums[v][0] for v in x[i : j + 1])
+    fit = [max(min(mean(i, j) for j in range(k, len(x))) for i in range(k + 1)) for k in range(len(x))]
+
+    def at(v):
+        if v <= x[0] or v >= x[-1]:
+            return fit[0] if v <= x[0] else fit[-1]
+        k = next(k for k in range(len(x)) if x[k] > v)
+        return fit[k - 1] + (v - x[k - 1]) * (fit[k] - fit[k - 1]) / (x[k] - x[k - 1])
+
+    for r in catalog.QUERIES["calibrated_scores"](spark, sf_dir).collect():
+        assert abs(r.calibrated - at(r.confidence)) < 1e-9
+
+
+def test_shape_descriptors_by_definition(spark, sf_dir):
+    got = {r.vec_id: r.histogram for r in catalog.QUERIES["shape_descriptors"](spark, sf_dir).collect()}
+    for r in small(spark, "embeddings")[:50]:
+        e = [float(v) for v in r.embedding]
+        x, y = e[:32], e[32:]
+        mx, my = sum(x) / 32, sum(y) / 32
+        want = [0] * 8
+        for a, b in zip(x, y):
+            want[int((math.atan2(b - my, a - mx) + math.pi) / (2 * math.pi) * 8) % 8] += 1
+        assert [round(h * 32) for h in got[r.vec_id]] == want
+
+
+def test_empty_labels_give_no_scores(spark, tmp_path):
+    for name in ("labels", "documents"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert catalog.QUERIES["calibrated_scores"](spark, str(tmp_path)).count() == 0

@@ -49,7 +49,8 @@ def test_revisions_views_scales(spark):
 def test_citations_and_scrubbing(spark):
     many(spark, [("Pipes shall be black steel", True), ("copper", False), (None, False)], lambda c: X.cites(c, F.lit("Black steel")))
     got = spark.sql("SELECT map('note', 'pays $1,200.50 now', 'secret', 'x') AS m").select(X.scrubbed(F.col("m"), ["note"]).alias("m")).first().m
-    assert got == {"note": "pays [amount] now"}
+    assert got == {"note": "pays [amount] now", "secret": "[hidden] (1 characters)"}
+    many(spark, [("7.25 of 12 and v1.25.3", "[amount] of 12 and v1.25.3"), ("SGD 5 and S$6", "[amount] and [amount]")], lambda c: X.scrubbed(F.create_map(F.lit("a"), c), ["a"])["a"])
 
 
 def distance(a, b):
