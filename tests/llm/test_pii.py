@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import regex
+
 from girder.llm import pii
 
 RX = {
@@ -86,3 +88,71 @@ def test_occurrences_without_two_words_in_the_gap_are_marked_too(spark):
     for doc, number in [(100, "017 555 4242"), (200, "017 555 4242"), (201, "017 555 4242"), (202, "017 555 4242"), (203, "017 555 4242"), (400, "017 555 4343"), (600, "017 555 4444")]:
         at = text[doc].index(number)
         assert found[doc] == [("phone", at, at + 12)], doc
+
+
+ASKED = regex.compile(pii.CANDIDATE, regex.A)
+
+
+def plain_spans(texts):
+    """All spans of each text: the base ones, and what the bootstrap finds, by loops over dictionaries."""
+    base, met, edges = {}, [], set()
+    for d, text in texts.items():
+        text = text or ""
+        base[d] = [(pii.KINDS.index(k), a, k, b) for k, a, b in brute(text)]
+        for m in ASKED.finditer(text):
+            a, b = m.span()
+            exact = [k for _, x, k, y in base[d] if (x, y) == (a, b)]
+            if not exact and any(x < b and a < y for _, x, _, y in base[d]):
+                continue
+            before = re.sub(r" [\"'(]*$", "", re.sub(r"\s+", " ", text[:a], flags=re.A))
+            two = " ".join(before.split(" ")[-2:]).lstrip(" ")
+            kind = exact[0] if exact else None
+            met.append((d, a, b, m[0].lower(), kind))
+            if " " in two:
+                edges.add((two.lower(), m[0].lower(), kind))
+    known = {(i, k): 1.0 for _, i, k in edges if k}
+    members, unknown = {}, {}
+    for p, i, k in edges:
+        members.setdefault(p, set()).add(i)
+        if k is None:
+            unknown.setdefault(i, set()).add(p)
+    scores = dict(known)
+    for _ in range(pii.ROUNDS):
+        by_instance, trusted = {}, {}
+        for (i, k), s in scores.items():
+            by_instance.setdefault(i, []).append((k, s))
+        for p, own in members.items():
+            mass, support = {}, {}
+            for k, s in (x for i in own for x in by_instance.get(i, ())):
+                mass[k] = mass.get(k, 0) + s
+                support[k] = support.get(k, 0) + (s >= pii.ACCEPT)
+            trusted[p] = {k: m / len(own) for k, m in mass.items() if support[k] >= pii.MIN_SUPPORT and m / len(own) >= pii.TRUST}
+        scores = dict(known)
+        for i, patterns in unknown.items():
+            doubt = {}
+            for k, c in (x for p in patterns for x in trusted[p].items()):
+                doubt[k] = doubt.get(k, 1.0) * max(1e-9, 1 - c)
+            if doubt:
+                s, k = max((1 - x, k) for k, x in doubt.items())
+                scores[i, k] = max(s, scores.get((i, k), 0))
+    seeds = {i for i, _ in known}
+    new = {i: k for (i, k), s in scores.items() if i not in seeds and s >= pii.ACCEPT and ("@" in i or sum("0" <= c <= "9" for c in i) >= pii.MIN_DIGITS)}
+    for d, a, b, i, kind in met:
+        if kind is None and i in new:
+            base[d].append((pii.KINDS.index(new[i]), a, new[i], b))
+    return {d: ",".join(f"{k}:{a}:{b}" for _, a, k, b in sorted(set(own))) for d, own in base.items()}, new
+
+
+def test_all_spans_against_a_plain_bootstrap(spark, tmp_path):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = {r.doc_id: r.spans for r in pii.op2_personal_data(spark, "/root/testdata/sf0.01").collect()}
+    assert got == plain_spans(texts)[0]
+    # contexts that share instances, some known and some not, over several rounds
+    rnd = random.Random(6)
+    numbers = [f"+1 (017) 555-{1000 + i}" for i in range(40)] + [f"017 555 {2000 + i}" for i in range(40)] + [f"lot {i:07d}" for i in range(10)]
+    ways = ["call me under", "phone, office:", "room 12345 (", "reach us on", "see", "order no"]
+    texts = {i: " and ".join(f"{rnd.choice(ways[: 2 + i % 5])} {rnd.choice(numbers[: 10 + i])}" for _ in range(rnd.randrange(1, 5))) for i in range(80)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want, new = plain_spans(texts)
+    assert {r.doc_id: r.spans for r in pii.op2_personal_data(spark, str(tmp_path)).collect()} == want
+    assert len(new) > 5
