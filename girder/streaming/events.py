@@ -6,11 +6,14 @@ Late events are bounded by a watermark, and with it the state that is kept.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 
 def rate_windows(events: DataFrame, key: str, at: str, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
@@ -18,14 +21,17 @@ def rate_windows(events: DataFrame, key: str, at: str, late: str = "10 minutes",
     return events.withWatermark(at, late).groupBy(F.window(at, width).alias("window"), key).agg(F.count("*").alias("calls")).select(key, F.col("window.start").alias("start"), "calls")
 
 
-def admitted(events: DataFrame, key: str, at: str, cap: int, width_seconds: int = 60) -> DataFrame:
+def admitted(events: DataFrame, key: str, at: str, cap: int, width_seconds: int = 60, late: str = "10 minutes") -> DataFrame:
     """Events with whether the cap of their key and window lets them through, in order of arrival.
 
-    State is one window start and one count a key; it goes when a later window begins.
+    State is one window start and one count a key; it goes when the watermark passes the window's end.
     """
     schema = f"{key} string, at timestamp, admitted boolean"
 
     def decide(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, used = state.get if state.exists else (0, 0)
         for frame in frames:
             rows = []
@@ -37,9 +43,46 @@ def admitted(events: DataFrame, key: str, at: str, cap: int, width_seconds: int
                 used += window == start
             yield pd.DataFrame(rows, columns=[key, "at", "admitted"])
         state.update((start, used))
+        state.setTimeoutTimestamp(max((start + width_seconds) * 1000, state.getCurrentWatermarkMs() + 1))
 
-    keyed = events.select(F.col(key).cast("string").alias(key), F.col(at).cast("timestamp").alias("at"))
-    return keyed.groupBy(key).applyInPandasWithState(decide, schema, "start long, used long", "append", "NoTimeout")
+    keyed = events.select(F.col(key).cast("string").alias(key), F.col(at).cast("timestamp").alias("at")).withWatermark("at", late)
+    return keyed.groupBy(key).applyInPandasWithState(decide, schema, "start long, used long", "append", "EventTimeTimeout")
+
+
+def chained(events: DataFrame, key: str, order: str, body_hash: str) -> DataFrame:
+    """(chain, seq, prev_hash, hash) of an append-only log: each batch's rows, in order, go on from the last hash of their
+    chain, which with its number is the state."""
+    schema = f"{key} string, seq long, prev_hash string, hash string"
+
+    def link(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        seq, last = state.get if state.exists else (0, "")
+        # a batch's rows of one chain come in several frames; their order is that of all of them
+        rows, out = pd.concat(list(frames)).sort_values(order, kind="stable"), []
+        for body in rows[body_hash]:
+            seq, before = seq + 1, last
+            last = hashlib.sha256(f"{before}:{body}".encode()).hexdigest()
+            out.append((str(group[0]), seq, before, last))
+        state.update((seq, last))
+        yield pd.DataFrame(out, columns=[key, "seq", "prev_hash", "hash"])
+
+    keyed = events.select(F.col(key).cast("string").alias(key), order, body_hash)
+    return keyed.groupBy(key).applyInPandasWithState(link, schema, "seq long, hash string", "append", "NoTimeout")
+
+
+def periodic(spark: SparkSession, seconds: float, job: Callable[[int], None]) -> DataStreamWriter:
+    """A writer that runs job(period) every so many seconds of processing time.  With a checkpointLocation set on it, the
+    periods go on counting after a restart, and those that were missed run once."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(lambda _, period: job(period)).trigger(processingTime=f"{seconds} seconds")
+
+
+def deadline_alerts(deadlines: DataFrame, sent: DataFrame, today, days_before: list[int]) -> DataFrame:
+    """(item, days) of the alerts that are due and were not sent: an open item's deadline is so many days ahead or fewer.
+    Of several alerts of an item that are due the last one, with the fewest days, counts."""
+    left = F.datediff("deadline", F.lit(today).cast("date"))
+    due = F.array_min(F.filter(F.array(*[F.lit(d) for d in days_before]), lambda d: d >= left))
+    rows = deadlines.filter((F.col("status") == "open") & (left >= 0)).select("item", due.alias("days")).filter("days IS NOT NULL")
+    return rows.join(sent.select("item", "days"), ["item", "days"], "left_anti")
 
 
 def heartbeats(events: DataFrame, keys: list[str], at: str, late: str = "10 minutes") -> DataFrame:
@@ -70,24 +113,40 @@ def threshold_alerts(spend: DataFrame, key: str, amount: str, thresholds: list[f
     return keyed.groupBy(key).applyInPandasWithState(watch, schema, "total double", "append", "NoTimeout")
 
 
-def upserts(target: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer: a table at a path that holds the newest row of each key.
+def upserts(target: str, key: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer: a table at a path that holds the newest row of each key; upserted() reads it.
 
-    Each batch writes a new version beside the old ones, named by the batch, so a
-    batch that is run again overwrites its own version alone.
+    Keys fall into buckets by hash.  A batch writes a new version of the buckets that it touches, and of no others,
+    named by the batch, so a batch that is run again overwrites its own versions alone.
     """
     from girder.operators.lookup import latest
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = spark.read.parquet(f"{target}/version={number - 1}").unionByName(batch)
-        latest(rows, key, F.desc(order)).write.mode("overwrite").parquet(f"{target}/version={number}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+        before = upserted(spark, target, number)
+        if before is not None:
+            rows = before.filter(F.col("bucket").isin(touched)).unionByName(rows)
+        out = latest(rows, key, F.desc(order)).withColumn("version", F.lit(number))
+        out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(target)
 
     return write
 
 
+def upserted(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """The rows of a table of upserts with their bucket: the newest version of each bucket (before a batch, if one is
+    given); None if there is no such table.  Older versions may be deleted once no reader needs them."""
+    try:
+        rows = spark.read.parquet(target)
+    except AnalysisException:
+        return None
+    if before is not None:
+        rows = rows.filter(F.col("version") < before)
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["bucket", "version"], "left_semi").drop("version")
+
+
 def stalled(jobs: DataFrame, workers: DataFrame, now, silent_seconds: int = 300, most: int = 3) -> DataFrame:
     """Jobs in progress whose worker is absent or silent, and what becomes of them: retry, or fail after so many attempts."""
     beat = F.col("beat").cast("timestamp") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {silent_seconds} SECONDS")

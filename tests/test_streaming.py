@@ -46,12 +46,51 @@ def test_cap(spark, tmp_path):
     assert sorted((r.k, r.admitted) for r in got) == [("a", False), ("a", True), ("a", True), ("a", True), ("a", True), ("b", True)]
 
 
+def test_state_of_a_cap_goes_with_the_watermark(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1, 10, 0, 0)
+    for i, (k, minutes) in enumerate([("a", 0), ("b", 60), ("c", 180), ("d", 181)]):
+        spark.createDataFrame([(k, at + datetime.timedelta(minutes=minutes))], "k string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"in/p={i}"))
+    stream = spark.readStream.schema("k string, ts timestamp, p int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = S.admitted(stream, "k", "ts", 2).writeStream.format("memory").queryName("states").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("states").count() == 4 and spark.table("states").filter("admitted").count() == 4
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 4
+
+
 def test_upserts_keep_the_newest_row(spark, tmp_path):
-    write = S.upserts(str(tmp_path / "t"), ["k"], "v")
-    write(spark.createDataFrame([(1, 1), (2, 1)], "k int, v int"), 0)
+    target = str(tmp_path / "t")
+    write = S.upserts(target, ["k"], "v", 4)
+    assert S.upserted(spark, target) is None
+    write(spark.createDataFrame([(i, 1) for i in range(20)], "k int, v int"), 0)
     for _ in range(2):  # a batch that is run again changes nothing
-        write(spark.createDataFrame([(2, 5), (3, 1)], "k int, v int"), 1)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/version=1")).collect())) == [(1, 1), (2, 5), (3, 1)]
+        write(spark.createDataFrame([(2, 5), (30, 1), (3, 0)], "k int, v int"), 1)
+    rows = S.upserted(spark, target).select("k", "v").collect()
+    assert sorted(map(tuple, rows)) == [(i, 5 if i == 2 else 1) for i in [*range(20), 30]]
+    assert spark.read.parquet(target).filter("version = 1").select("bucket").distinct().count() <= 3
+
+
+def test_chains_go_on_over_batches(spark, tmp_path):
+    rows = [(k, i, f"b{k}{i}") for i in range(6) for k in "xy"]
+    for i in range(3):
+        spark.createDataFrame(rows[4 * i : 4 * i + 4], "k string, o int, body string").coalesce(1).write.parquet(str(tmp_path / f"in/p={i}"))
+    stream = spark.readStream.schema("k string, o int, body string, p int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r.k, r.seq): (r.prev_hash, r.hash) for r in run(spark, S.chained(stream, "k", "o", "body"), "chains").collect()}
+    assert len(got) == 12
+    for k in "xy":
+        assert got[k, 1][0] == "" and all(got[k, i][1] == got[k, i + 1][0] for i in range(1, 6))
+
+
+def test_periodic_jobs_and_deadlines(spark, tmp_path):
+    ran = []
+    q = S.periodic(spark, 0.5, ran.append).option("checkpointLocation", str(tmp_path / "clock")).start()
+    q.awaitTermination(8)
+    q.stop()
+    assert len(ran) >= 2 and ran == sorted(set(ran))
+    day = datetime.date(2024, 3, 1)
+    items = [(i, day + datetime.timedelta(days=d), s) for i, (d, s) in enumerate([(0, "open"), (2, "open"), (7, "open"), (9, "open"), (1, "closed"), (-1, "open")])]
+    sent = spark.createDataFrame([(1, 3)], "item int, days int")
+    deadlines = spark.createDataFrame(items, "item int, deadline date, status string")
+    assert sorted(map(tuple, S.deadline_alerts(deadlines, sent, day, [7, 3, 1]).collect())) == [(0, 1), (2, 7)]
 
 
 def test_stalled_jobs(spark):
