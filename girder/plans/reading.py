@@ -139,14 +139,14 @@ def scrubbed_fields(spark, sf_dir) -> DataFrame:
     return o.select("o_orderkey", fields["note"].alias("note"), fields["clerk"].alias("clerk"))
 
 
-@query("""WITH s AS (SELECT p_partkey, ['block_hash', 'vision', 'shape'][p_partkey % 3 + 1] AS method, p_size / 100.0::DOUBLE AS d, p_type = 'PROMO' AS equipment, p_partkey % 2 = 0 AS connected FROM part),
+@query("""WITH s AS (SELECT p_partkey, ['block_hash', 'vision', 'shape'][p_partkey % 3 + 1] AS method, p_size / 97.0::DOUBLE AS d, p_type = 'PROMO' AS equipment, p_partkey % 2 = 0 AS connected FROM part),
 m AS (SELECT *, CASE method WHEN 'block_hash' THEN 1.0 WHEN 'vision' THEN 0.5 ELSE greatest(0.0, 1.0 - 0.5 * d / 0.4) END::DOUBLE * CASE WHEN connected THEN 1.0 WHEN equipment THEN 0.85 ELSE 0.55 END::DOUBLE AS raw FROM s)
 SELECT p_partkey, round(raw, 4) AS score FROM m""")
 def symbol_scores(spark, sf_dir) -> DataFrame:
     """How sure a symbol is, by how it was found and whether it is on the pipework."""
     p = table(spark, sf_dir, "part")
     method = wording(F.col("p_partkey"), "block_hash", "vision", "shape")
-    score = drawing.symbol_score(method, F.col("p_size") / 100, F.lit(0.4), F.col("p_type") == "PROMO", F.col("p_partkey") % 2 == 0)
+    score = drawing.symbol_score(method, F.col("p_size") / 97, F.lit(0.4), F.col("p_type") == "PROMO", F.col("p_partkey") % 2 == 0)
     return p.select("p_partkey", score.alias("score"))
 
 
