@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from girder.functions import text as X
+
 
 def clauses(lines: DataFrame, document: str, order: str, text: str) -> DataFrame:
     """Clauses of a document: a line that begins with a clause number starts one, other lines go to the last."""
@@ -163,3 +165,88 @@ def affected(providers: list, *arguments) -> DataFrame:
         found = provide(*arguments)
         out = found if out is None else out.unionByName(found)
     return out.distinct()
+
+
+#: What clauses state about pipework: attribute, value, and the words that state it.
+ATTRIBUTES = (
+    ("material", "black steel", ("black steel", "mild steel")),
+    ("material", "galvanised steel", ("galvanised", "galvanized")),
+    ("material", "cpvc", ("cpvc", "chlorinated pvc")),
+    ("material", "copper", ("copper",)),
+    ("joining", "grooved", ("grooved", "groove couplings")),
+    ("joining", "threaded", ("threaded", "screwed")),
+    ("joining", "welded", ("welded", "butt weld")),
+    ("joining", "flanged", ("flanged", "flanges")),
+)
+#: Where it holds, and sentences on supports, which name pipes only in passing.
+PLACES = (("below ground", ("buried", "underground", "below ground")), ("basement", ("basement", "basements")), ("external", ("external", "outdoor", "outdoors")))
+SUPPORTS = ("hanger", "hangers", "support", "supports", "bracing", "seismic")
+#: Duties of a contractor: category, the words that name it, and the figures that go with it.
+OBLIGATIONS = (
+    ("testing", r"\btest(?:s|ed|ing)?\b", (("bar", r"(\d+(?:\.\d+)?)\s*bar\b"), ("hours", r"(\d+(?:\.\d+)?)\s*hours?\b"))),
+    ("warranty", r"\b(?:warrant|guarantee)", (("years", r"(\d+)\s*years?\b"), ("months", r"(\d+)\s*months?\b"))),
+    ("spares", r"\bspares?\b", (("percent", r"(\d+(?:\.\d+)?)\s*(?:%|per\s*cent)"),)),
+    ("submittals", r"\b(?:submit|submittal|as-built)", (("copies", r"(\d+)\s*(?:copies|sets)\b"),)),
+)
+#: Wordings that leave open what has to be done.
+VAGUE = ("as required", "or equivalent", "where necessary", "if applicable", "to the satisfaction of", "as directed", "adequate")
+#: Systems by the words of a section's heading, and words of other trades.
+SYSTEMS = (("sprinkler", ("sprinkler", "sprinklers")), ("hydrant", ("hydrant", "hydrants", "rising main")), ("hose reel", ("hose reel", "hose reels")))
+TRADES = ("electrical", "plumbing", "landscape", "lift", "lifts")
+
+
+def says(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether any of the words, or word groups, stands in a text in lower case."""
+    return text.rlike(r"\b(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + r")\b")
+
+
+def clause_sentences(clauses: DataFrame, clause: str, text: str) -> DataFrame:
+    return clauses.select(clause, F.posexplode(X.sentences(F.col(text))).alias("n", "sentence"))
+
+
+def attributes(clauses: DataFrame, clause: str, text: str) -> DataFrame:
+    """(clause, n, attribute, value, dn_min, dn_max, place): what each sentence states, with its range of sizes and its place.
+    A sentence on supports states their spacing in millimetres only."""
+    rows = clause_sentences(clauses, clause, text)
+    low = F.lower("sentence")
+    on_supports = says(low, SUPPORTS)
+    stated = [F.when(~on_supports & says(low, words), F.struct(F.lit(a).alias("attribute"), F.lit(v).alias("value"))) for a, v, words in ATTRIBUTES]
+    spacing = X.spacing_mm(F.col("sentence"))
+    stated.append(F.when(on_supports & spacing.isNotNull(), F.struct(F.lit("hanger spacing").alias("attribute"), spacing.cast("string").alias("value"))))
+    place = F.coalesce(*[F.when(says(low, words), F.lit(name)) for name, words in PLACES])
+    least, most = X.size_range(F.col("sentence"))
+    rows = rows.select(clause, "n", least.alias("dn_min"), most.alias("dn_max"), place.alias("place"), F.explode(F.array_compact(F.array(*stated))).alias("s"))
+    return rows.select(clause, "n", "s.attribute", "s.value", "dn_min", "dn_max", "place")
+
+
+def obligations(clauses: DataFrame, clause: str, text: str) -> DataFrame:
+    """(clause, n, category, unit, figure): duties that sentences put, one row a figure, or one without if they give none."""
+    rows = clause_sentences(clauses, clause, text)
+    low = F.lower("sentence")
+    found = []
+    for category, named, figures in OBLIGATIONS:
+        of = lambda unit, value, c=category: F.struct(F.lit(c).alias("category"), F.lit(unit).cast("string").alias("unit"), value.cast("double").alias("figure"))
+        values = [(u, F.nullif(F.regexp_extract(low, p, 1), F.lit(""))) for u, p in figures]
+        given = F.array_compact(F.array(*[F.when(v.isNotNull(), of(u, v)) for u, v in values]))
+        found.append(F.when(low.rlike(named), F.when(F.size(given) > 0, given).otherwise(F.array(of(None, F.lit(None))))))
+    rows = rows.select(clause, "n", F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("o"))
+    return rows.select(clause, "n", "o.*")
+
+
+def vague_phrases(clauses: DataFrame, clause: str, text: str) -> DataFrame:
+    """(clause, phrase) of the wordings in clauses that leave open what has to be done."""
+    low = F.lower(text)
+    return clauses.select(clause, F.explode(F.array_compact(F.array(*[F.when(says(low, (p,)), F.lit(p)) for p in VAGUE]))).alias("phrase"))
+
+
+def section_systems(clauses: DataFrame, decided: DataFrame, number: str, heading: str) -> DataFrame:
+    """(number, system): clauses have the system of their first-level section.  A person's answer (section, system) decides,
+    else its heading does: another trade's has none, unless it names a system too."""
+    section = F.split(F.col(number), r"\.")[0]
+    low = F.lower(heading)
+    system = F.coalesce(*[F.when(says(low, words), F.lit(name)) for name, words in SYSTEMS])
+    system = F.when(system.isNull() & says(low, TRADES), "other trade").otherwise(system)
+    heads = clauses.filter(~F.contains(F.col(number), F.lit("."))).select(section.alias("section"), system.alias("by_heading"))
+    own = heads.join(decided.select("section", F.col("system").alias("decided")), "section", "left")
+    own = own.select("section", F.coalesce("decided", F.nullif("by_heading", F.lit("other trade"))).alias("system"))
+    return clauses.select(number, section.alias("section")).join(own, "section", "left").select(number, "system")

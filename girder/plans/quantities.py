@@ -16,7 +16,8 @@ def counted_items(spark, sf_dir) -> DataFrame:
     return quantity.items(d, ["kind"], ["level", "zone"], "l_orderkey", "confidence").drop("item_key")
 
 
-@query()
+@query("""SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS quantity, min(l_discount + 0) AS confidence, min(l_orderkey) AS first_member,
+substring(sha256('{"l_returnflag":"' || l_returnflag || '","l_linestatus":"' || l_linestatus || '"}'), 1, 24) AS item_key FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def item_keys(spark, sf_dir) -> DataFrame:
     """Items with the hash of what they are and where, which row ids do not enter."""
     d = table(spark, sf_dir, "lineitem").withColumn("confidence", F.col("l_discount") + 0)

@@ -221,3 +221,56 @@ def review_draws(spark, sf_dir) -> DataFrame:
             yield pd.DataFrame(picked, columns=["s_nationkey", "item"])
 
     return s.groupBy("s_nationkey").agg(F.collect_set("item").alias("lot")).mapInPandas(draw, "s_nationkey int, item string")
+
+
+def clauses(spark, sf_dir) -> DataFrame:
+    """A specification clause for each part, with its size in it."""
+    n = F.col("p_size") + 50
+    said = wording(
+        F.col("p_partkey"), ("Pipes up to DN ", n, " shall be galvanised with screwed joints. Pipes of DN ", n + 1, " and above shall be black steel, grooved."), "Buried pipework shall be CPVC or equivalent.",
+        ("Hangers of black steel pipe shall stand every ", n + 1000, " mm. Pipework shall be tested at ", n, " bar for 24 hours; Spare heads of 5% shall be handed over as required."),
+        ("The system shall be guaranteed for ", n, " months. The contractor shall submit 3 copies of all drawings."), (F.col("p_name"), " to the satisfaction of the engineer."), "Testing in the basement is by others.",
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", said.alias("text"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, (p_size + 50)::INTEGER AS n FROM part)
+SELECT p_partkey, 0 AS n, unnest(['material', 'joining']) AS attribute, unnest(['galvanised steel', 'threaded']) AS value, NULL::INTEGER AS dn_min, n AS dn_max, NULL::VARCHAR AS place FROM p WHERE k = 0
+UNION ALL SELECT p_partkey, 1, unnest(['material', 'joining']), unnest(['black steel', 'grooved']), n + 1, NULL, NULL FROM p WHERE k = 0
+UNION ALL SELECT p_partkey, 0, 'material', 'cpvc', NULL, NULL, 'below ground' FROM p WHERE k = 1
+UNION ALL SELECT p_partkey, 0, 'hanger spacing', CAST(n + 1000 AS VARCHAR), NULL, NULL, NULL FROM p WHERE k = 2""")
+def clause_attributes(spark, sf_dir) -> DataFrame:
+    return documents.attributes(clauses(spark, sf_dir), "p_partkey", "text")
+
+
+@query("""SELECT p_partkey FROM part WHERE p_partkey % 6 IN (4, 5)""")
+def clauses_not_read(spark, sf_dir) -> DataFrame:
+    """Clauses that neither state an attribute nor put a duty with a figure."""
+    c = clauses(spark, sf_dir)
+    read = documents.attributes(c, "p_partkey", "text").select("p_partkey").union(documents.obligations(c, "p_partkey", "text").filter("figure IS NOT NULL").select("p_partkey"))
+    return c.join(read, "p_partkey", "left_anti").select("p_partkey")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, (p_size + 50)::DOUBLE AS n FROM part)
+SELECT p_partkey, unnest([1, 1, 2])::INTEGER AS n, unnest(['testing', 'testing', 'spares']) AS category, unnest(['bar', 'hours', 'percent']) AS unit, unnest([n, 24.0, 5.0]) AS figure FROM p WHERE k = 2
+UNION ALL SELECT p_partkey, unnest([0, 1])::INTEGER, unnest(['warranty', 'submittals']), unnest(['months', 'copies']), unnest([n, 3.0]) FROM p WHERE k = 3
+UNION ALL SELECT p_partkey, 0, 'testing', NULL, NULL FROM p WHERE k = 5""")
+def clause_obligations(spark, sf_dir) -> DataFrame:
+    return documents.obligations(clauses(spark, sf_dir), "p_partkey", "text")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 1 THEN 'or equivalent' WHEN 2 THEN 'as required' ELSE 'to the satisfaction of' END AS phrase FROM part WHERE p_partkey % 6 IN (1, 2, 4)""")
+def vague_clauses(spark, sf_dir) -> DataFrame:
+    return documents.vague_phrases(clauses(spark, sf_dir), "p_partkey", "text")
+
+
+@query("""WITH s AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey = 7 THEN 'hydrant' WHEN n_nationkey % 5 IN (0, 4) THEN 'sprinkler' WHEN n_nationkey % 5 = 1 THEN 'hydrant' END AS system FROM nation)
+SELECT CAST(k AS VARCHAR) AS number, system FROM s UNION ALL SELECT c_nationkey || '.' || c_custkey, system FROM customer JOIN s ON k = c_nationkey""")
+def section_systems(spark, sf_dir) -> DataFrame:
+    """The system of each clause, by its section's heading or a person's answer."""
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    heads = n.select(k.cast("string").alias("number"), wording(k, "Sprinkler installation", "Fire hydrants", "Electrical works", "General", "Plumbing for sprinklers").alias("heading"))
+    rest = table(spark, sf_dir, "customer").select(F.concat_ws(".", F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string")).alias("number"), F.col("c_name").alias("heading"))
+    decided = n.filter("n_nationkey = 7").select(k.cast("string").alias("section"), F.lit("hydrant").alias("system"))
+    return documents.section_systems(heads.unionByName(rest), decided, "number", "heading")
