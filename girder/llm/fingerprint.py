@@ -20,7 +20,8 @@ equal slots among those that either one fills.
 
 Cases: null and empty texts have an empty sketch, like each other and unlike any
 other; equal texts have equal fingerprints; a text of any length is parsed
-whole; an output name that is taken gets a leading underscore.
+whole; an empty table gives no rows; an output name that is taken gets a leading
+underscore.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ EMPTY = np.uint32(0xFFFFFFFF)
 ROUNDS = 3
 SLICE_CHARS = 1 << 19
 RANGES = 32
+#: Quantiles of the ids between which ranges are evenly wide.
+COARSE = 512
 NULL_ID = -(1 << 63)
 
 
@@ -153,8 +156,13 @@ def _cuts(docs: DataFrame, parts: int) -> tuple[np.ndarray, dict[int, int]]:
     """Borders of so many id ranges, and the range where each range's largest id is also
     needed: the one before it, by descending ids."""
     ids = docs.select("doc")
-    shares = [i / parts for i in range(1, parts)]
-    cuts = np.array(sorted({int(c) for c in ids.approxQuantile("doc", shares, 0.2 / parts)} if shares else []), np.int64)
+    # a few quantiles of the ids, whose summary on the driver has a fixed size, and even steps between them
+    coarse = min(parts, COARSE)
+    shares = [i / coarse for i in range(coarse + 1)] if parts > 1 else []
+    ends = sorted({int(c) for c in ids.approxQuantile("doc", shares, 0.2 / coarse)} if shares else [])
+    steps = -(-parts // coarse)
+    inner = {lo + (hi - lo) * k // steps for lo, hi in zip(ends, ends[1:]) for k in range(steps)}
+    cuts = np.array(sorted(inner - set(ends[:1])), np.int64)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, int] = {}
@@ -242,6 +250,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness; a null text is empty, and rows with one id
+    stand in the order of a hash of their texts."""
     docs = table(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     out = with_following(docs).mapInArrow(_compare, schema)
