@@ -20,8 +20,8 @@ the file are asked for.  Begin and end ids are not counted.
 
 Cases: null and empty texts have no tokens; a character without a piece counts
 one token a UTF-8 byte; a text of any length is counted whole; repeated rows get
-equal counts; other columns pass through, and an output name that is taken gets a
-leading underscore.
+equal counts; an empty table gives no rows; other columns pass through, and an
+output name that is taken gets a leading underscore.
 """
 
 from __future__ import annotations
