@@ -394,13 +394,14 @@ def near_components(rows: DataFrame, shingle: int = SHINGLE, similarity: float =
     found = checkpointed(near_prints(rows, shingle))
     nodes = checkpointed(found.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("place").alias("place"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     # buckets of several nodes, each set of members once
-    keyed = nodes.select("node", "first_id", "fp", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
     several = several.groupBy("n", "members").agg(F.min("key").alias("key")).select("key")
     members = checkpointed(keyed.join(several, "key"))
     # their sets, from one text of each
     asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select("place")
     sets = rows.select("place", "text").join(asked, "place", "left_semi").dropDuplicates(["place"]).mapInArrow(_sets(shingle), "node long, grams binary")
+    sets = sets.join(nodes.select("node", "first_id", "fp"), "node")
     dealt = members.join(sets, "node").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", F.asc_nulls_last("first_id"), "node")
     edges = dealt.select("key", "node", "fp", "grams").mapInArrow(_link_buckets(similarity), "a long, b long").distinct()
     return found.select("doc_id", "place", "node").join(_labels(nodes, components(edges), "node"), "node").drop("node")
