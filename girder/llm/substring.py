@@ -39,7 +39,6 @@ terms; a text of any length is one unit; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,7 +46,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from girder.llm.flat import BYTE_VALUES, NOT_SPACE, SEQ_BASE, U64, covered, mix, ragged, span_hashes, text_slices, window_hashes, words
 from girder.llm.shared import checkpointed, partitions, table

@@ -3,7 +3,6 @@ import random
 import re
 
 import duckdb
-import pytest
 
 from girder.llm import decontam
 
