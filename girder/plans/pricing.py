@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.operators import costing, lookup
+from girder.operators import costing
 from girder.plans.registry import query
 from girder.sources.tables import table
 
