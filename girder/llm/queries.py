@@ -6,6 +6,7 @@ from girder.llm.decontam import OP7_SQL, op7_decontamination
 from girder.llm.fingerprint import op10_fingerprints
 from girder.llm.langid import op1_language_id
 from girder.llm.pii import op2_personal_data
+from girder.llm.periodic import op11_periodic_runs
 from girder.llm.pieces import op8_sentencepiece
 from girder.llm.secret_scan import OP5_SQL, op5_secret_scan
 from girder.llm.simhash import op3_simhash
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
