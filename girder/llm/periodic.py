@@ -36,7 +36,9 @@ leading underscore; an empty table gives no rows.
 from __future__ import annotations
 
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -126,29 +128,21 @@ def previous_factors(tables: np.ndarray, order: np.ndarray) -> tuple[list[int],
     return length, source
 
 
-def blocks(length: list[int], source: list[int], bounds: list[int]) -> list[list[tuple[int, int, int]]]:
-    """The LZ blocks (start, length, earlier place) of each document."""
-    out = []
-    for at, stop in zip(bounds, bounds[1:]):
-        own = []
-        while at < stop:
-            size = max(1, length[at])
-            own.append((at, size, source[at]))
-            at += size
-        out.append(own)
-    return out
+def blocks(length: list[int], source: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and earlier places of the LZ blocks; no block leaves its document, as no factor does."""
+    starts, at, n = [], 0, len(length)
+    while at < n:
+        starts.append(at)
+        at += length[at] or 1
+    start = np.array(starts)
+    return start, np.diff(np.append(start, n)), np.array(source)[start]
 
 
-def touching(tables: np.ndarray, cut: list[list[tuple[int, int, int]]], bounds: list[int], least: int, times: int) -> np.ndarray:
-    """Rows (start, end, period) of the runs that touch a border of blocks."""
-    border, size, before, begin = [], [], [], []
-    for own, lo, hi in zip(cut, bounds, bounds[1:]):
-        for (_, last, _), (at, n, _) in zip(own, [*own[1:], (hi, 0, -1)]):
-            border.append(at)
-            size.append(n)
-            before.append(last)
-            begin.append(lo)
-    border, size, before, begin = (np.array(x, np.int64) for x in (border, size, before, begin))
+def touching(tables: np.ndarray, start: np.ndarray, before: np.ndarray, own: np.ndarray, bounds: np.ndarray, least: int, times: int) -> np.ndarray:
+    """Rows (start, end, period) of the runs that touch a border of blocks; own is the document of each block."""
+    # each block's end is a border; a document's last one has no block behind it
+    border, begin = start + before, bounds[own]
+    size = np.where(border < bounds[own + 1], np.append(before[1:], 0), 0)
     reach = np.minimum(before + size, border - begin)
     # a period to the right of the border, and one to its left
     right, left = np.repeat(border, size), np.repeat(border, reach)
@@ -171,7 +165,7 @@ def touching(tables: np.ndarray, cut: list[list[tuple[int, int, int]]], bounds:
     return rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])] if len(rows) else rows
 
 
-def with_copies(found: list[tuple[int, int, int]], cut: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+def with_copies(found: list[tuple[int, int, int]], cut: Iterable[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
     """The runs (start, end, period) of a document: those found at borders, and their copies inside of blocks."""
     at: dict[int, list[tuple[int, int]]] = {}
     for start, end, period in found:
@@ -199,17 +193,19 @@ def runs_of(documents: list[list[bytes]], least: int = LEAST, times: int = TIMES
     out: list[list[tuple[int, int, int]]] = [[] for _ in documents]
     if not bounds[-1]:
         return out
-    numbers: dict[bytes, int] = {}
-    word = np.fromiter((numbers.setdefault(w, len(numbers)) for d in documents for w in d), np.int64, bounds[-1])
+    numbers: dict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    word = np.fromiter(map(numbers.__getitem__, chain.from_iterable(documents)), np.int64, bounds[-1])
     own = np.repeat(np.arange(len(documents)), np.diff(bounds))
     tables, order = rank_tables(own * len(numbers) + word, bounds[1:][own])
-    edges = bounds.tolist()
-    cut = blocks(*previous_factors(tables, order), edges)
-    found = touching(tables, cut, edges, least, times)
+    start, size, source = blocks(*previous_factors(tables, order))
+    found = touching(tables, start, size, own[start], bounds, least, times)
     of = own[found[:, 0]]
     for d in np.unique(of).tolist():
-        lo = edges[d]
-        out[d] = [(s - lo, e - s, q) for s, e, q in sorted(with_copies([tuple(r) for r in found[of == d].tolist()], cut[d], least), key=lambda r: (r[0], r[2]))]
+        lo, part = int(bounds[d]), slice(*np.searchsorted(start, bounds[d : d + 2]).tolist())
+        cut = zip(start[part].tolist(), size[part].tolist(), source[part].tolist())
+        runs = with_copies([tuple(r) for r in found[of == d].tolist()], cut, least)
+        out[d] = [(s - lo, e - s, q) for s, e, q in sorted(runs, key=lambda r: (r[0], r[2]))]
     return out
 
 
