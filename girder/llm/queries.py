@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from girder.llm.collocations import OP13_SQL, op13_collocations
 from girder.llm.decontam import OP7_SQL, op7_decontamination
 from girder.llm.fingerprint import op10_fingerprints
 from girder.llm.langid import op1_language_id
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op5_secret_scan": OP5_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op7_decontamination": OP7_SQL,
+    "op13_collocations": OP13_SQL,
 }
