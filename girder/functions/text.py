@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from girder.functions import wording
+
 BLANK = ("not specified", "n/a", "-")
 
 
@@ -37,13 +39,8 @@ def sentences(text: Column) -> Column:
 
 
 def size_range(sentence: Column) -> tuple[Column, Column]:
-    """The smallest and the largest size that a sentence names ("and above", "up to"); both at once give neither."""
-    figure = r"(?:DN\s*)?(\d{2,4})"
-    number = lambda pattern: F.nullif(F.regexp_extract(sentence, pattern, 1), F.lit("")).try_cast("int")
-    up = number(rf"(?i)(?:\b(?:up to|below|to and including|not (?:more than|above|exceeding))(?:\s+and including)?\s+|(?:\u2264|<=)\s*){figure}")
-    down = F.coalesce(number(rf"(?i){figure}\s*(?:mm)?\s+and\s+(?:above|larger|over)"), number(rf"(?:\u2265|>=)\s*{figure}"))
-    both = up.isNotNull() & down.isNotNull()
-    return F.when(~both, down), F.when(~both, up)
+    """The smallest and the largest size that a sentence names, by its words (see wording.size_limits)."""
+    return wording.size_limits(sentence)
 
 
 def spacing_mm(sentence: Column) -> Column:
@@ -103,11 +100,6 @@ def revision(label: Column) -> tuple[Column, Column]:
     return F.when(ok, F.when(number == "", "").otherwise(letters)), F.when(ok, F.when(number == "", ordinal).otherwise(F.nullif(number, F.lit("")).cast("int")))
 
 
-def _let(value: Column, of) -> Column:
-    """of(value), with the value computed once."""
-    return F.transform(F.array(value), of)[0]
-
-
 def file_revision(name: Column, number: Column) -> Column:
     """The revision label that a file's name has after its drawing number, if it has one.
 
@@ -137,7 +129,7 @@ def file_revision(name: Column, number: Column) -> Column:
         shaped = (letters + digits == F.length(label)) & (letters <= 2) & (digits <= 3) & label.rlike("^[A-Z]*[0-9]*$")
         return F.when(shaped & ((digits > 0) | (letters == 1) | (letters == 2) & (bracket | said_so)), label)
 
-    return F.when((wanted != "") & name.isNotNull(), _let(_let(runs, after), judged))
+    return F.when((wanted != "") & name.isNotNull(), wording.let(wording.let(runs, after), judged))
 
 
 #: How a clause puts a duty: words that bind, what is to be done, and the same as something to be done to an item.
@@ -174,7 +166,7 @@ def requires(sentence: Column, item: str) -> Column:
 
         return F.exists(places, lambda i: about(i) | given(i))
 
-    return F.when(sentence.isNotNull(), _let(words, asked))
+    return F.when(sentence.isNotNull(), wording.let(words, asked))
 
 
 #: Titles of views and what they are.
@@ -216,9 +208,8 @@ def described(template: list[tuple[str, Column]]) -> Column:
 def scrubbed(fields: Column, allowed: list[str]) -> Column:
     """A map that may be logged: amounts of money (a currency's, or a number with two decimals) are masked under allowed
     keys, and other keys keep only the length of their text."""
-    masked = lambda v: F.regexp_replace(v, r"(?:\bSGD|S?\$)\s?\d[\d,]*(?:\.\d+)?|(?<![\w.])\d[\d,]*\.\d\d\b", "[amount]")
     hidden = lambda v: F.when(v.isNotNull(), F.concat(F.lit("[hidden] ("), F.length(v).cast("string"), F.lit(" characters)")))
-    return F.transform_values(fields, lambda k, v: F.when(k.isin(*allowed), masked(v)).otherwise(hidden(v)))
+    return F.transform_values(fields, lambda k, v: F.when(k.isin(*allowed), wording.without_amounts(v)).otherwise(hidden(v)))
 
 
 def tokens(text: Column) -> Column:

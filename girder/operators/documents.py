@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.functions import text as X
+from girder.functions import wording
 
 
 def clauses(lines: DataFrame, document: str, order: str, text: str) -> DataFrame:
@@ -26,8 +27,7 @@ def numbered_clauses(paragraphs: DataFrame, document: str, order: str, style: st
     there is none yet), so that quantities ("50 mm pipes") start none.  Other paragraphs go to the
     last clause; those before the first are left out.
     """
-    pattern = r"^\s*(\d{1,3}(?:\.\d{1,3}){0,5})\.?\s+(\S.*)$"
-    number, rest = (F.nullif(F.regexp_extract(text, pattern, g), F.lit("")) for g in (1, 2))
+    number, rest = wording.clause_number(F.col(text))
     heading = F.coalesce(F.lower(style).startswith("heading"), F.lit(False))
     rows = paragraphs.filter(F.col(text).isNotNull()).select(document, F.col(order).alias("__order"), number.alias("__number"), rest.alias("__rest"), heading.alias("__heading"), F.col(text).alias("__text"))
     column = rows.schema[document].dataType

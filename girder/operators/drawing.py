@@ -7,6 +7,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from girder.functions import wording
 from girder.operators.lookup import components
 
 
@@ -204,29 +205,20 @@ def rooms(walls: DataFrame, sheets: DataFrame, sheet: str, cell: float, checkpoi
     return found.filter((~F.col("open")) & (F.col("cells") >= least)).drop("open")
 
 
-#: What a note states about the heads of a sheet.
-CRITERIA = {
-    "spacing": r"(?i)max(?:imum)?\.?\s+spacing\s*[:-]?\s*\(?\s*(\d+(?:\.\d+)?)\s*m\s*[x\u00d7]\s*(\d+(?:\.\d+)?)\s*m",
-    "area": r"(?i)max(?:imum)?\.?\s+area\s+(?:of\s+)?coverage\s+per\s+(?:sprinkler|head)\s*[:-]?\s*(\d+(?:\.\d+)?)\s*m",
-    "heading": r"(?i)criteria|layer|hazard|ceiling height|area of\b(?!\s+operation)",
-}
-
-
 def note_criteria(notes: DataFrame, sheet: str, order: str, text: str) -> DataFrame:
     """(sheet, title, long_mm, short_mm, area_m2) under each heading of a sheet's notes that states a spacing and an area.
 
-    The first of each under a heading counts; notes above the first heading come under none.
+    The first of each under a heading counts; notes above the first heading come under none.  A line with a value is no
+    heading, though it may look like one.
     """
-    w = Window.partitionBy(sheet).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    # a line with a value is no heading, though it may have a heading's words
-    value = F.col(text).rlike(CRITERIA["spacing"]) | F.col(text).rlike(CRITERIA["area"])
-    head = F.when(F.col(text).rlike(CRITERIA["heading"]) & ~value, F.struct(F.col(order).alias("o"), F.regexp_replace(F.trim(text), ":$", "").alias("t")))
-    rows = notes.withColumn("__head", F.last(head, ignorenulls=True).over(w))
-    number = lambda name, g: F.regexp_extract(text, CRITERIA[name], g).try_cast("double")
-    first = lambda c: F.min(F.when(c.isNotNull(), F.struct(F.col(order).alias("o"), c.alias("v"))))["v"]
-    a, b = (first(number("spacing", g)) for g in (1, 2))
-    found = rows.groupBy(sheet, "__head").agg(a.alias("a"), b.alias("b"), first(number("area", 1)).alias("area_m2")).filter("a IS NOT NULL AND area_m2 IS NOT NULL")
-    return found.select(sheet, F.col("__head.t").alias("title"), F.rint(F.greatest("a", "b") * 1000).cast("int").alias("long_mm"), F.rint(F.least("a", "b") * 1000).cast("int").alias("short_mm"), "area_m2")
+    w = Window.partitionBy(sheet).orderBy("__order").rowsBetween(Window.unboundedPreceding, 0)
+    rows = notes.select(sheet, F.col(order).alias("__order"), F.col(text).alias("__text"), wording.note_values(F.col(text)).alias("v"))
+    states = F.coalesce(F.col("v.a"), F.col("v.area")).isNotNull()
+    title = F.struct("__order", F.regexp_replace(F.trim("__text"), ":$", "").alias("title"))
+    rows = rows.withColumn("__head", F.last(F.when(wording.is_heading(F.col("__text")) & ~states, title), ignorenulls=True).over(w))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__order")))
+    found = rows.groupBy(sheet, "__head").agg(first("v.a").alias("a"), first("v.b").alias("b"), first("v.area").alias("area_m2")).filter("a IS NOT NULL AND area_m2 IS NOT NULL")
+    return found.select(sheet, F.col("__head.title").alias("title"), F.rint(F.greatest("a", "b") * 1000).cast("int").alias("long_mm"), F.rint(F.least("a", "b") * 1000).cast("int").alias("short_mm"), "area_m2")
 
 
 #: What a symbol found by a picture model can score at most, and the factors off the pipework.

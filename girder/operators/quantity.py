@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from girder.operators.drawing import grid_label
+
 
 def half_even(c: Column) -> Column:
     """A float rounded to a whole number, ties to the even one."""
@@ -70,8 +72,7 @@ def bill_lines(found: DataFrame, section: str, line: list[str], quantity: str, a
     """Lines of a bill: quantities add up, the allowance stays only where all items agree, and lines are numbered A1, A2, B1."""
     agreed = F.when(F.min(allowance) == F.max(allowance), F.min(allowance))
     lines = found.groupBy(section, *line).agg(F.sum(quantity).alias("quantity"), agreed.alias("allowance"))
-    letter = F.char(F.lit(64) + F.dense_rank().over(Window.orderBy(section)))
-    # letters are ranked apart from the lines
-    letters = lines.select(section).distinct().withColumn("letter", letter)
+    # letters are ranked apart from the lines; a section beyond Z is AA
+    letters = lines.select(section).distinct().withColumn("letter", grid_label(F.dense_rank().over(Window.orderBy(section))))
     number = F.row_number().over(Window.partitionBy(section).orderBy(*line))
     return lines.withColumn("n", number).join(letters, section).withColumn("item", F.concat("letter", F.col("n").cast("string"))).drop("letter", "n")
