@@ -11,10 +11,13 @@ and so on while words are frequent.  So a row's phrase, its head, is no more
 frequent than its last word, or is a whole suffix that the tasks have counted: no
 head collects more than SHARE occurrences, whatever the corpus repeats.  (Beyond
 SHARE * MOST_HEAVY words SHARE grows, so that the hashes of frequent words, 8 bytes
-each, go to the tasks with a size that is bounded.)
+each, go to the tasks with a size that is bounded.)  A word that is too rare in the
+whole corpus for any phrase asked for begins no suffix and ends those that it is in; the
+tasks know such words by a bitmap of BITS hashes, in which some may be missing.
 
 Counting.  Spark sorts a partition's heads in reverse order, and the lines of a head
-are sorted when it is read.  Suffixes with a common beginning are then neighbours,
+are sorted when it is read, after those whose next words are too rare there have been
+cut and added up.  Suffixes with a common beginning are then neighbours,
 and one stack of max_n words counts all beginnings: a word that the next suffix does
 not share is popped, which is a phrase with its count, and its count goes to the word
 below.  Phrases of frequent words alone have parts of their counts in several heads;
@@ -47,7 +50,9 @@ from girder.llm.shared import checkpointed, partitions, table
 
 MAX_N, LEAST, SHADE, TOP = 4, 30, 80, 2000
 #: Occurrences of a word from which on it is frequent, and how many words may be.
-SHARE, MOST_HEAVY = 100_000, 4_000_000
+SHARE, MOST_HEAVY = 500_000, 4_000_000
+#: Bits of the bitmap of words that are not rare, in parts of PART bits (the size of Spark's bitmaps).
+BITS, PART = 1 << 24, 1 << 15
 #: Bytes of text of which a task counts equal suffixes at once.
 PORTION = 8 << 20
 #: Bytes that end a piece, and those that part its words.
@@ -132,11 +137,12 @@ def _word_counts(portion: int):
     return run
 
 
-def _suffixes(max_n: int, heavy: np.ndarray, portion: int):
-    """Rows (lang, head, open, lines): lines continue the head, open of the head's beginnings have counts elsewhere too."""
+def _suffixes(max_n: int, heavy: np.ndarray, known: np.ndarray, portion: int):
+    """Rows (lang, head, open, n, lines): lines continue the head, n is how many suffixes they are; open of the head's
+    beginnings have counts elsewhere too.  known is a bitmap of words that are not rare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(heavy.tolist())
+        many = set(heavy.tolist())
         for lang, words, parts in by_language(batches, portion):
             spelt = words.spelt()
             if not spelt:
@@ -146,14 +152,22 @@ def _suffixes(max_n: int, heavy: np.ndarray, portion: int):
             spelt = [b"", *(spelt[i] for i in order)]
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(1, len(order) + 1)
-            hot = np.array([False, *(bool(known) and word_hash(lang, w) in known for w in spelt[1:])])
+            hashes = [word_hash(lang, w) for w in spelt[1:]]
+            hot = np.array([False, *(h in many for h in hashes)])
+            spot = np.array(hashes, np.uint64) % np.uint64(BITS)
+            rare = np.append(True, known[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 == 0)
             columns = []
             for numbers, left in parts:
                 r = np.append(rank[numbers], 0)
-                at = np.arange(len(numbers))
+                # a rare word is an end like that of a piece, and r ends with one
+                ends = np.flatnonzero(rare[r])
+                at = np.flatnonzero(~rare[r[:-1]])
+                left = np.minimum(left[at], ends[np.searchsorted(ends, at)] - at)
                 columns.append(np.stack([np.where(left > k, r[np.minimum(at + k, len(numbers))], 0) for k in range(max_n)]))
             parts.clear()
             grid = np.concatenate(columns, axis=1)
+            if not grid.shape[1]:
+                continue
             # two words in a number, as numbers of words have less than 32 bits
             pairs = [grid[k] << 32 | (grid[k + 1] if k + 1 < max_n else 0) for k in range(0, max_n, 2)]
             grid = grid[:, np.lexsort(pairs[::-1])]
@@ -168,11 +182,12 @@ def _suffixes(max_n: int, heavy: np.ndarray, portion: int):
             inside = np.where(np.arange(max_n)[:, None] < size, grid, 0)
             group = np.flatnonzero(np.concatenate([[True], (inside[:, 1:] != inside[:, :-1]).any(axis=0)]))
             # rows of at most some ten thousand suffixes at a time
-            cuts = [*group[np.unique(np.searchsorted(group, np.arange(0, len(count), 1 << 15)))].tolist(), len(count)] if len(group) else []
+            cuts = [*group[np.unique(np.minimum(np.searchsorted(group, np.arange(0, len(count), 1 << 15)), len(group) - 1))].tolist(), len(count)]
             for lo, hi in zip(cuts, cuts[1:]):
                 heads, lines = rows_of(spelt, grid[:, lo:hi], size[lo:hi], count[lo:hi])
-                made = [pa.array([lang] * len(heads), pa.string()), pa.array(heads, pa.binary()), pa.array(open_[group[(group >= lo) & (group < hi)]], pa.int32()), pa.array(lines, pa.binary())]
-                yield pa.RecordBatch.from_arrays(made, names=["lang", "head", "open", "lines"])
+                own = group[(group >= lo) & (group < hi)]
+                made = [pa.array([lang] * len(heads), pa.string()), pa.array(heads, pa.binary()), pa.array(open_[own], pa.int32()), pa.array(np.add.reduceat(count[lo:hi], own - lo), pa.int64()), pa.array(lines, pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names=["lang", "head", "open", "n", "lines"])
 
     return run
 
@@ -230,23 +245,53 @@ class Stack:
         self.counts[-1] += n
 
 
+def condensed(lines: list[bytes], least: int) -> Counter:
+    """Counts of lines, of which the words go that make a beginning that less than least of them have."""
+    out: Counter = Counter()
+    marked = []
+    for line in lines:
+        if b"\t" in line:
+            at = line.rindex(b"\t")
+            marked.append((line[: max(0, at - 1)], int(line[at + 1 :])))
+    lines = [line for line in lines if b"\t" not in line]
+    depth, above = 0, b""
+    while lines or marked:
+        depth += 1
+        begin = (lambda x: x.partition(JOIN)[0]) if depth == 1 else (lambda x, n=depth: JOIN.join(x.split(JOIN, n)[:n]))
+        keys = [begin(x) for x in lines]
+        count = Counter(keys)
+        for line, n in marked:
+            count[begin(line)] += n
+        # a line that ends here is its own beginning, as it was a word before
+        whole = (lambda k: not k) if depth == 1 else (lambda k, n=depth: k.count(JOIN) < n - 1)
+        goes_on = {k for k, n in count.items() if n >= least and not whole(k)}
+        for k, n in count.items():
+            if k not in goes_on:
+                out[k if whole(k) else k.rpartition(JOIN)[0] if depth > 1 else above] += n
+        lines = [x for x, k in zip(lines, keys) if k in goes_on]
+        marked = [(x, n) for x, n in marked if begin(x) in goes_on]
+    return out
+
+
 def _counted(least: int):
-    """(lang, phrase, size, n) of the beginnings of sorted rows (lang, head, open, lines)."""
+    """(lang, phrase, size, n) of the beginnings of sorted rows (lang, head, open, n, lines)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: tuple[str, bytes, int] | None = None
         held: list[bytes] = []
+        total = 0
         stack = Stack(least)
 
         def count() -> None:
             _, head, open_ = own
             start = head.split(JOIN)
-            lines = b"\n".join(held).split(b"\n")
-            lines.sort(reverse=True)
-            for line in lines:
-                rest = line.split(JOIN) if line else []
-                n = int(rest.pop()[1:]) if rest and rest[-1][:1] == b"\t" else 1
-                stack.push(start + rest, n, open_)
+            if total < least:
+                if open_:
+                    stack.push(start, total, open_)
+                return
+            found = condensed(b"\n".join(held).split(b"\n"), least)
+            for line in sorted(found, reverse=True):
+                stack.push(start + line.split(JOIN) if line else start, found[line], open_)
 
         def found(lang: str) -> pa.RecordBatch:
             phrases, sizes, counts = zip(*stack.out)
@@ -255,16 +300,18 @@ def _counted(least: int):
             return pa.RecordBatch.from_arrays(made, names=["lang", "phrase", "size", "n"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "head", "open", "lines"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "head", "open", "n", "lines"))):
                 if own is not None and row[:2] != own[:2]:
                     count()
                     held.clear()
+                    total = 0
                     if row[0] != own[0]:
                         stack.pop(0)
                     if stack.out and (row[0] != own[0] or len(stack.out) > 1 << 14):
                         yield found(own[0])
                 own = row[:3]
-                held.append(row[3])
+                total += row[3]
+                held.append(row[4])
         if own is not None:
             count()
             stack.pop(0)
@@ -283,9 +330,15 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", max_n
     all_words = totals.agg(F.sum("n")).first()[0] or 0
     # no more than MOST_HEAVY words can occur so often
     frequent = words.filter(F.col("n") > max(share, all_words // MOST_HEAVY))
-    named = frequent.select(F.xxhash64(F.concat(F.col("lang").cast("binary"), F.lit(b" "), "word")).alias("word"))
-    heavy = named.toArrow().column("word").to_numpy().view(np.uint64)
-    sent = rows.mapInArrow(_suffixes(max_n, heavy, portion), "lang string, head binary, open int, lines binary")
+    named = F.xxhash64(F.concat(F.col("lang").cast("binary"), F.lit(b" "), "word"))
+    heavy = frequent.select(named.alias("word")).toArrow().column("word").to_numpy().view(np.uint64)
+    bit = F.pmod(named, F.lit(BITS))
+    parts = words.filter(F.col("n") >= least).groupBy(F.floor(bit / PART).alias("part")).agg(F.bitmap_construct_agg(bit % PART).alias("bits"))
+    known = np.zeros(BITS // 8, np.uint8)
+    # BITS / PART rows at most
+    for r in parts.collect():
+        known[r.part * PART // 8 : (r.part + 1) * PART // 8] = np.frombuffer(r.bits, np.uint8)
+    sent = rows.mapInArrow(_suffixes(max_n, heavy, known, portion), "lang string, head binary, open int, n long, lines binary")
     dealt = sent.repartition(partitions(docs.sparkSession), "lang", "head").sortWithinPartitions(F.desc("lang"), F.desc("head"))
     parts = dealt.mapInArrow(_counted(least), "lang string, phrase string, size int, n long")
     return totals, checkpointed(parts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
