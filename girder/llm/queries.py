@@ -10,6 +10,7 @@ from girder.llm.pii import op2_personal_data
 from girder.llm.periodic import op11_periodic_runs
 from girder.llm.pieces import op8_sentencepiece
 from girder.llm.secret_scan import OP5_SQL, op5_secret_scan
+from girder.llm.sharding import op12_balanced_shards
 from girder.llm.simhash import op3_simhash
 from girder.llm.substring import OP6_SQL, op6_substring_dedup
 from girder.llm.token_count import op9_token_counts
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_balanced_shards": op12_balanced_shards,
     "op13_collocations": op13_collocations,
 }
 

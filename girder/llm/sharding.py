@@ -14,8 +14,8 @@ shard by its hash.  In a round
     quotas, which let no shard grow beyond its capacity, allow the first part of it.
     A hub's documents share a hash, so they go together, but for those large hubs.
 
-The rounds end when nothing moves.  Shards that are over the mean then give up a part,
-and this and all documents without links fill the shards up: they are summed in bins
+The rounds end when nothing wants to move.  Shards that are over the mean then give up a part,
+as do hubs that the quotas have parted; this and all documents without links fill the shards up: they are summed in bins
 by size and hash, and the bins go, largest first, to the shard that has the least.
 
 The driver gets sums by shards and by bins, of which there is a fixed number, and
@@ -41,15 +41,19 @@ from girder.llm.shared import checkpointed, table
 
 SHARDS, ROUNDS = 8, 16
 #: Part of a shard from which on a hub may be split, part of all documents from which on it joins by broadcast.
-GRAIN, HOT = 1 / 64, 1 / 1000
+GRAIN, HOT = 1 / 16, 1 / 1000
+#: Part of its capacity that a shard must have free to be moved to.
+ROOM = 1 / 32
 #: Hash bins of what moves, of what fills up, and of places in a shard.
 MOVE_BINS, FILL_BINS, SLOT_BINS = 256, 1024, 1024
-#: Votes are counted in steps of this, and smaller parts of them are even hashes, so that a hub's documents agree on ties.
-STEP = 1 << 20
+#: Votes are counted in steps, and less than a step is a hash, below NOISE for each hub, so that a hub's documents agree on
+#: ties.
+STEP, NOISE = 1 << 20, 1 << 10
 
 
-def _bin(x: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(x), F.lit(n)).cast("int")
+def _bin(x: Column, n: int, use: str) -> Column:
+    """One of n bins by hash; each use has hashes of its own."""
+    return F.pmod(F.xxhash64(x, F.lit(use)), F.lit(n)).cast("int")
 
 
 def by_hub(rows: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -91,22 +95,23 @@ def quotas(wanted: dict[tuple[int, int], int], loads: list[int], capacity: float
 
 def wishes(state: DataFrame, n: int, open_: list[int]) -> DataFrame:
     """(node, size, label, target, rank) of each linked document; rank orders moves by gain, then by hash."""
-    profile = state.groupBy("hub", "hot", "label").agg((F.count("*") * STEP + F.pmod(F.xxhash64("hub", "label"), F.lit(STEP))).alias("votes"))
+    profile = state.groupBy("hub", "hot", "label").agg((F.count("*") * STEP + F.pmod(F.xxhash64("hub", "label"), F.lit(NOISE))).alias("votes"))
     profile = profile.groupBy("hub", "hot").agg(F.map_from_entries(F.collect_list(F.struct("label", "votes"))).alias("votes"))
     votes = by_hub(state, profile)
     per_shard = [F.sum(F.coalesce(F.element_at("votes", F.lit(i)), F.lit(0))).alias(f"v{i}") for i in range(n)]
-    own = votes.groupBy("node").agg(F.max("size").alias("size"), F.max("spread").alias("spread"), F.max("label").alias("label"), F.min("hub").alias("lead"), F.max("wide").alias("wide"), *per_shard)
+    own = votes.groupBy("node").agg(F.max("size").alias("size"), F.max("spread").alias("spread"), F.max("label").alias("label"), F.min("hub").alias("lead"), F.max("wide").alias("wide"), F.count("*").alias("hubs"), *per_shard)
     own = own.withColumn("all", F.array(*[F.struct(F.col(f"v{i}").alias("votes"), F.lit(i).alias("shard")) for i in range(n)]))
-    choices = F.filter("all", lambda s: s["shard"].isin(open_) & (s["votes"] > 0)) if open_ else F.filter("all", lambda s: F.lit(False))
-    here = F.element_at("all", F.col("label") + 1)
+    choices = F.filter("all", lambda s: s["shard"].isin(open_) & (s["shard"] != F.col("label")) & (s["votes"] > 0)) if open_ else F.filter("all", lambda s: F.lit(False))
+    # a document votes for its own shard, once and not in each of its hubs
+    here = (F.element_at("all", F.col("label") + 1)["votes"] - (F.col("hubs") - 1) * STEP).alias("here")
     best = F.array_max(choices)
     others = F.exists("all", lambda s: (s["shard"] != F.col("label")) & (s["votes"] > 0))
-    free = F.element_at(F.array(*[F.lit(i) for i in open_]), _bin(F.col("lead"), len(open_)) + 1) if open_ else F.col("label")
+    free = F.element_at(F.array(*[F.lit(i) for i in open_]), _bin(F.col("lead"), len(open_), "free") + 1) if open_ else F.col("label")
     stays = F.col("wide") | F.col("label").isin(open_) if open_ else F.lit(True)
-    target = F.when(~others, F.col("label")).when(stays & (best.isNull() | (here["votes"] >= best["votes"])), F.col("label")).otherwise(F.coalesce(best["shard"], free))
-    own = own.select("node", "size", "spread", "label", "lead", "wide", here["votes"].alias("here"), F.coalesce(best["votes"], F.lit(0)).alias("there"), target.alias("target"))
+    target = F.when(~others, F.col("label")).when(stays & (best.isNull() | (here >= best["votes"])), F.col("label")).otherwise(F.coalesce(best["shard"], free))
+    own = own.select("node", "size", "spread", "label", "lead", "wide", here, F.coalesce(best["votes"], F.lit(0)).alias("there"), target.alias("target"))
     gain = F.floor(F.log2(F.greatest(F.lit(0), F.floor((F.col("there") - F.col("here")) / STEP)) + 1)).cast("int")
-    return own.select("node", "size", "label", "target", ((63 - gain) * MOVE_BINS + _bin(F.when(F.col("wide"), F.col("spread")).otherwise(F.col("lead")), MOVE_BINS)).alias("rank"))
+    return own.select("node", "size", "label", "target", ((63 - gain) * MOVE_BINS + _bin(F.when(F.col("wide"), F.col("spread")).otherwise(F.col("lead")), MOVE_BINS, "move")).alias("rank"))
 
 
 def sums(df: DataFrame, n: int) -> list[int]:
@@ -118,11 +123,12 @@ def sums(df: DataFrame, n: int) -> list[int]:
 
 def propagated(rows: DataFrame, n: int, share: float, rounds: int) -> DataFrame:
     """(node, spread, size, label, hub, wide) of linked rows after the rounds."""
-    state = checkpointed(rows.withColumn("label", _bin(F.col("spread"), n)))
+    state = checkpointed(rows.withColumn("label", _bin(F.col("spread"), n, "start")))
     loads = sums(state.dropDuplicates(["node"]), n)
     capacity = max(share, 1.05 * sum(loads) / n)
+    full: set[int] = set()
     for _ in range(rounds):
-        wish = checkpointed(wishes(state, n, [i for i in range(n) if capacity - loads[i] > capacity * GRAIN]))
+        wish = checkpointed(wishes(state, n, [i for i in range(n) if i not in full and capacity - loads[i] > capacity * ROOM]))
         moves = checkpointed(wish.filter("label != target").groupBy("label", "target", "rank").agg(F.sum("size").alias("size")))
         wanted = {(r.label, r.target): r.size for r in moves.groupBy("label", "target").agg(F.sum("size").alias("size")).collect()}
         allowed = [(*k, x) for k, x in quotas(wanted, loads, capacity).items() if x > 0]
@@ -131,8 +137,11 @@ def propagated(rows: DataFrame, n: int, share: float, rounds: int) -> DataFrame:
         running = F.sum("size").over(Window.partitionBy("label", "target").orderBy("rank"))
         last = moves.withColumn("running", running).join(F.broadcast(limit), ["label", "target"]).filter("running <= most")
         last = [tuple(r) for r in last.groupBy("label", "target").agg(F.max("rank"), F.max("running")).collect()]
-        if not last:
+        # a shard that has too little room for any part of what wants to come counts as full
+        closed = {b for _, b in wanted} - {r[1] for r in last}
+        if not last and not closed:
             break
+        full |= closed
         accepted = spark.createDataFrame([r[:3] for r in last], "label int, target int, last int")
         chosen = wish.join(F.broadcast(accepted), ["label", "target"], "left").filter(F.col("rank") <= F.col("last")).select("node", F.col("target").alias("moved"))
         state = checkpointed(state.join(chosen, "node", "left").withColumn("label", F.coalesce("moved", "label")).drop("moved"))
@@ -149,9 +158,14 @@ def shards(items: DataFrame, links: DataFrame, n: int = SHARDS, rounds: int = RO
     share = total / n
     state = propagated(linked(items, links, n_items, share), n, share, rounds)
     unit = F.when(F.max("wide"), F.max("spread")).otherwise(F.min("hub"))
-    placed = checkpointed(state.groupBy("node").agg(F.max("size").alias("size"), F.max("label").alias("label"), unit.alias("unit")))
+    node = state.groupBy("node").agg(F.max("size").alias("size"), F.max("label").alias("label"), unit.alias("unit"), F.max("wide").alias("wide"), F.count("*").alias("hubs"))
+    placed = checkpointed(node.withColumn("bin", _bin(F.col("unit"), FILL_BINS, "fill")))
+    # documents that have one hub only, and one that need not be split, but that quotas have parted
+    parted = placed.filter("NOT wide").groupBy("unit").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("hubs").alias("hubs"))
+    parted = parted.filter("a < b AND hubs = 1").select("unit")
+    whole = placed.join(parted, "unit", "left_anti")
     # shards above the mean give up a part, in order of hashes
-    parts = placed.groupBy("label", _bin(F.col("unit"), FILL_BINS).alias("bin")).agg(F.sum("size").alias("size"))
+    parts = whole.groupBy("label", "bin").agg(F.sum("size").alias("size"))
     own: dict[int, list[tuple[int, int]]] = {}
     for r in parts.collect():
         own.setdefault(r.label, []).append((r.bin, r.size))
@@ -165,10 +179,9 @@ def shards(items: DataFrame, links: DataFrame, n: int = SHARDS, rounds: int = RO
             freed.append((label, b))
     spark = items.sparkSession
     free = F.broadcast(spark.createDataFrame(freed, "label int, bin int"))
-    placed = placed.withColumn("bin", _bin(F.col("unit"), FILL_BINS))
-    kept = placed.join(free, ["label", "bin"], "left_anti").select("node", F.col("label").alias("shard"))
-    loose = placed.join(free, ["label", "bin"], "left_semi").select("node", "size", "bin")
-    loose = loose.unionByName(items.join(placed, "node", "left_anti").select("node", "size", _bin(F.col("spread"), FILL_BINS).alias("bin")))
+    kept = whole.join(free, ["label", "bin"], "left_anti").select("node", F.col("label").alias("shard"))
+    loose = whole.join(free, ["label", "bin"], "left_semi").unionByName(placed.join(parted, "unit", "left_semi")).select("node", "size", "bin")
+    loose = loose.unionByName(items.join(placed, "node", "left_anti").select("node", "size", _bin(F.col("spread"), FILL_BINS, "fill").alias("bin")))
     loose = checkpointed(loose.withColumn("class", F.floor(F.log2("size")).cast("int")))
     least = [(load, i) for i, load in enumerate(loads)]
     heapq.heapify(least)
@@ -183,7 +196,7 @@ def shards(items: DataFrame, links: DataFrame, n: int = SHARDS, rounds: int = RO
 
 def slotted(rows: DataFrame, order: list[str], spread: str = "spread") -> DataFrame:
     """rows (shard, ...) with slot, their place in the shard from 0 on: by bins of hashes, then by order."""
-    rows = rows.withColumn("slot_bin", _bin(F.col(spread), SLOT_BINS))
+    rows = rows.withColumn("slot_bin", _bin(F.col(spread), SLOT_BINS, "slot"))
     counts = rows.groupBy("shard", "slot_bin").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("slot_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "slot_bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
