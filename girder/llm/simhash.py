@@ -31,11 +31,17 @@ whole sets verify the rest.  (The references are the first PIVOTS texts of the
 bucket that had no partner, as random ones discard next to nothing at such a
 radius.  At similarity 0.8 the distance is 9.7 with a deviation of 2.9, so one pair
 in ten thousand is further apart.)  Each text is compared with those held before
-it, one link to each component among them is enough, and all are held up to
-HELD_BYTES; beyond that only texts without a link are.  So a bucket of near texts, however many, costs bounded memory and a link a
-text; only texts without any partner add to it beyond that.  Of two near texts
-that met in a bucket one at least is linked to an earlier one: no two documents
-that keep_first keeps have met as near.
+it, and one link to each component among them is enough.
+
+A task holds HELD_BYTES of a bucket.  A bucket of more than TEXTS texts is dealt to
+several tasks: some TEXTS of them, picked by hash, go to all of those tasks, every
+other text to one.  What a task could not hold, and what was compared with the picked
+ones only, is left over; of that, only texts that no links connect yet have anything
+to find.  So a next round looks at the buckets in which several components are left,
+holds the smaller ones first, and skips what is connected; it ends when each bucket
+has one component left.  A bucket of near copies is through after the first round or
+two, however large it is, and all pairs that meet in a bucket are linked or connected,
+whatever the bounds are.
 
 Cases: texts without words (null and empty ones too) have fingerprint zero and
 link like any other; an empty table gives no links and no rows; a text of any
@@ -69,7 +75,8 @@ SMALL = 24
 CROWD = 4096
 SHINGLE, SIMILARITY = 5, 0.8
 FAR = 20
-HELD_BYTES = 64 << 20
+#: Bytes of sets of shingles that a task holds of a bucket, and texts from which on a bucket is dealt to several tasks.
+HELD_BYTES, TEXTS = 64 << 20, 1024
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -318,6 +325,8 @@ class Bucket:
         self.above: list[int] = []
         self.fp, self.coords = np.zeros(16, U64), np.zeros((16, PIVOTS), np.int8)
         self.bytes = 0
+        #: a held text of each component that is known from elsewhere
+        self.of: dict[int, int] = {}
         #: pairs that met, that the pivot table left, and that whole sets were read of
         self.met = self.left = self.read = 0
 
@@ -327,8 +336,8 @@ class Bucket:
             i = self.above[i]
         return i
 
-    def near(self, node: int, fp: int, grams: np.ndarray) -> list[int]:
-        """Held texts near to this one, one of each component; it is held itself if it has none or there is room."""
+    def near(self, node: int, fp: int, grams: np.ndarray, known: int | None = None) -> tuple[list[int], bool]:
+        """Held texts near to this one, one of each component that it isn't known to be in; and whether it is held now."""
         n, fp = len(self.nodes), U64(fp)
         used = len(self.refs)
         coords = np.bitwise_count(self.refs ^ fp).astype(np.int8)
@@ -339,9 +348,10 @@ class Bucket:
         self.met, self.left = self.met + n, self.left + len(live)
         apart = np.bitwise_count(self.fp[live] ^ fp)
         live, apart = live[apart <= self.far], apart[apart <= self.far]
+        joined = {self.root(self.of[known])} if known in self.of else set()
         found: dict[int, int] = {}
         for i in live[np.argsort(apart, kind="stable")].tolist():
-            if (r := self.root(i)) in found:
+            if (r := self.root(i)) in found or r in joined:
                 continue
             other = self.sets[i]
             least, most = sorted((len(grams), len(other)))
@@ -351,7 +361,9 @@ class Bucket:
             both = len(np.intersect1d(grams, other, assume_unique=True))
             if both >= self.similarity * (least + most - both) - 1e-9:
                 found[r] = i
-        if not found or self.bytes < self.held_bytes:
+        room = self.bytes < self.held_bytes
+        own = next(iter([*joined, *found]), None)
+        if room:
             if n == len(self.fp):
                 self.fp, self.coords = np.concatenate([self.fp, self.fp]), np.concatenate([self.coords, self.coords])
             self.fp[n], self.coords[n, :used] = fp, coords
@@ -363,33 +375,52 @@ class Bucket:
             self.above.append(n)
             self.bytes += grams.nbytes
             own = n
-        else:
-            own = next(iter(found))
-        for r in found:
-            self.above[r] = self.root(own)
-        return [self.nodes[i] for i in found.values()]
+        if own is not None:
+            for r in (*found, *joined):
+                self.above[r] = self.root(own)
+            if known is not None:
+                self.of[known] = own
+        return [self.nodes[i] for i in found.values()], room
 
 
-def _link_buckets(similarity: float):
+def _link_buckets(similarity: float, held_bytes: int):
+    """Links (a, b) within the buckets (key, part), and as rows with `again` the node and key of what is left over."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, bucket = None, Bucket(similarity)
+        own, bucket = None, Bucket(similarity, held_bytes=held_bytes)
         for batch in batches:
-            a, b = [], []
-            columns = (batch.column(c).to_pylist() for c in ("key", "node", "fp"))
-            for k, node, fp, grams in zip(*columns, batch.column("grams")):
-                if k != key:
-                    key, bucket = k, Bucket(similarity)
+            a, b, again = [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("key", "part", "picked", "node", "fp", "known"))
+            for key, part, picked, node, fp, known, grams in zip(*columns, batch.column("grams")):
+                if (key, part) != own:
+                    own, bucket = (key, part), Bucket(similarity, held_bytes=held_bytes)
                 # a copy, as a view would hold its whole batch
-                near = bucket.near(node, fp % (1 << 64), np.frombuffer(grams.as_buffer(), U64).copy())
+                near, held = bucket.near(node, fp % (1 << 64), np.frombuffer(grams.as_buffer(), U64).copy(), known)
                 a += [node] * len(near)
                 b += near
+                again += [False] * len(near)
+                if not (held and picked):
+                    a.append(node)
+                    b.append(key)
+                    again.append(True)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(again, pa.bool_())], names=["a", "b", "again"])
 
     return run
 
 
-def near_components(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _parts(left: DataFrame, texts: int) -> DataFrame:
+    """left (key, node, known, follows) with part and picked: a bucket of more than texts texts has several parts, of which
+    each gets those that are picked, and one gets each other text."""
+    counts = left.groupBy("key").agg(F.count_if(~F.col("follows")).alias("some"), F.ceil(F.count("*") / texts).cast("int").alias("parts"))
+    hash_ = F.xxhash64("node", "key")
+    picked = (F.col("parts") == 1) | (~F.col("follows") & (F.pmod(hash_, F.col("some")) < texts))
+    rows = left.join(counts, "key").withColumn("picked", picked)
+    to = F.when(F.col("picked"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64(hash_), F.col("parts")).cast("int")))
+    return rows.select("key", "node", "known", "follows", "picked", F.explode(to).alias("part"))
+
+
+def near_components(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, held_bytes: int = HELD_BYTES, texts: int = TEXTS) -> DataFrame:
     """(doc_id, place, root, component_id) of rows (doc_id, place, text); place tells rows with one id but other texts apart."""
     found = checkpointed(near_prints(rows, shingle))
     nodes = checkpointed(found.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("place").alias("place"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
@@ -397,22 +428,37 @@ def near_components(rows: DataFrame, shingle: int = SHINGLE, similarity: float =
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
     several = several.groupBy("n", "members").agg(F.min("key").alias("key")).select("key")
-    members = checkpointed(keyed.join(several, "key"))
-    # their sets, from one text of each
-    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select("place")
-    sets = rows.select("place", "text").join(asked, "place", "left_semi").dropDuplicates(["place"]).mapInArrow(_sets(shingle), "node long, grams binary")
-    sets = sets.join(nodes.select("node", "first_id", "fp"), "node")
-    dealt = members.join(sets, "node").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", F.asc_nulls_last("first_id"), "node")
-    edges = dealt.select("key", "node", "fp", "grams").mapInArrow(_link_buckets(similarity), "a long, b long").distinct()
+    left = checkpointed(keyed.join(several, "key").select("key", "node", F.lit(None).cast("long").alias("known"), F.lit(False).alias("follows")))
+    edges = None
+    while True:
+        # their sets, from one text of each
+        asked = nodes.join(left.select("node").distinct(), "node", "left_semi").select("place")
+        sets = rows.select("place", "text").join(asked, "place", "left_semi").dropDuplicates(["place"]).mapInArrow(_sets(shingle), "node long, grams binary")
+        sets = sets.join(nodes.select("node", "first_id", "fp"), "node")
+        dealt = _parts(left, texts).join(sets, "node").repartition(partitions(rows.sparkSession), "key", "part")
+        dealt = dealt.sortWithinPartitions("key", "part", F.desc("picked"), "follows", F.asc_nulls_last("first_id"), "node").select("key", "part", "picked", "node", "fp", "known", "grams")
+        met = checkpointed(dealt.mapInArrow(_link_buckets(similarity, held_bytes), "a long, b long, again boolean"))
+        links_ = met.filter("NOT again").select("a", "b").distinct()
+        edges = links_ if edges is None else checkpointed(edges.union(links_))
+        again = met.filter("again").select(F.col("a").alias("node"), F.col("b").alias("key")).distinct()
+        if not again.limit(1).count():
+            break
+        # buckets with one component left have nothing to find; of others the largest component comes last
+        again = again.join(components(edges), "node", "left").select("key", "node", F.coalesce("root", "node").alias("known"))
+        per = again.groupBy("key", "known").agg(F.count("*").alias("n"))
+        per = per.groupBy("key").agg(F.max_by("known", F.struct("n", "known")).alias("largest"), F.count("*").alias("n")).filter("n > 1")
+        left = checkpointed(again.join(per, "key").select("key", "node", "known", (F.col("known") == F.col("largest")).alias("follows")))
+        if not left.limit(1).count():
+            break
     return found.select("doc_id", "place", "node").join(_labels(nodes, components(edges), "node"), "node").drop("node")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, **bounds: int) -> DataFrame:
     """docs without those that have an earlier document in their component of near texts; of several rows with its
     first id one stays.  Texts without words are copies of each other."""
     place = F.concat_ws(":", F.col(doc_id).cast("string"), F.xxhash64(text).cast("string"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), place.alias("place"), F.col(text).cast("string").alias("text"))
-    found = near_components(rows, shingle, similarity)
+    found = near_components(rows, shingle, similarity, **bounds)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("place").alias("place"))
     # one key of id and text, so that the join and the search for repeated rows move the texts once
     (key,) = fresh(docs, "key")

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 from girder.llm import simhash
 
 
@@ -73,3 +74,45 @@ def test_edges(spark):
     kept = simhash.keep_first(df).collect()
     assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [("0", "a b c d"), ("1", "totally other words here"), ("None", "q r s t u v"), ("None", "z z z z")]
     assert simhash.keep_first(df.limit(0)).count() == 0
+
+
+def chained(rnd, vocabulary, steps, n=60):
+    """Texts of which each is near to the next ones only."""
+    words = [rnd.choice(vocabulary) for _ in range(n)]
+    out = [" ".join(words)]
+    for i in range(steps):
+        words = [*words[1:], f"new{rnd.randrange(10**9)}"]
+        out.append(" ".join(words))
+    return out
+
+
+def test_bounds_change_no_components(spark):
+    """Chains and dense groups, with room for hardly a text, against components of brute force."""
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    texts = [t for _ in range(3) for t in chained(rnd, vocabulary, 25)]
+    base = [rnd.choice(vocabulary) for _ in range(120)]
+    for i in range(80):
+        at = rnd.randrange(120)
+        texts.append(" ".join([*base[:at], f"other{i}", *base[at + 1 :]]))
+    texts += ["alone in the world of words", None]
+    rnd.shuffle(texts)
+    want = first_of_components(len(texts), brute_near(texts))
+    df = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "doc_id long, place string, text string").repartition(3)
+    for bounds in ({}, {"held_bytes": 3000, "texts": 8}, {"held_bytes": 1, "texts": 1000}):
+        got = {r.doc_id: r.component_id for r in simhash.near_components(df, **bounds).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_a_chain_in_one_bucket():
+    rnd = random.Random(1)
+    words = [rnd.randrange(1 << 62) for _ in range(200)]
+    sets = [np.array(sorted(words[i * 8 : i * 8 + 100]), np.uint64) for i in (0, 3, 2, 1)]
+    bucket = simhash.Bucket(0.8, far=64)
+    for i, s in enumerate(sets):
+        bucket.near(i, 0, s)
+    roots = {bucket.root(i) for i in range(4)}
+    assert len(roots) == 1
+    # without room nothing is held beyond the first, and all else is left over
+    tight = simhash.Bucket(0.8, far=64, held_bytes=1)
+    assert [tight.near(i, 0, s)[1] for i, s in enumerate(sets)] == [True, False, False, False]
