@@ -4,14 +4,15 @@ Texts are cut into pieces and those into words; a phrase is up to max_n words th
 follow each other in a piece.
 
 Suffixes.  At each word starts a suffix, cut at max_n words.  A task counts equal
-ones, and sends them by language and first word: a row has a first word and the
-suffixes behind it, as lines.  Where the first word is frequent in the whole corpus
-(more than SHARE occurrences, known from a count of words), the next word joins it,
-and so on while words are frequent.  So a row's phrase, its head, is no more
-frequent than its last word, or is a whole suffix that the tasks have counted: no
-head collects more than SHARE occurrences, whatever the corpus repeats.  (Beyond
-SHARE * MOST_HEAVY words SHARE grows, so that the hashes of frequent words, 8 bytes
-each, go to the tasks with a size that is bounded.)  A word that is too rare in the
+ones, and sends them by language and first word, the head: a row has a head and the
+suffixes behind it, as lines.  A head that is frequent in the whole corpus (more than
+SHARE occurrences, known from a count of words) goes to several buckets, by a hash of
+the next word; if that is frequent too, of the next two, and so on.  As what follows up
+to the first word that is not frequent is in one bucket, and is no more frequent than
+that word, no bucket collects much more than SHARE occurrences, whatever the corpus
+repeats (a suffix of frequent words alone is counted by the tasks before).  Beyond
+SHARE * MOST_HEAVY words SHARE grows, so that the frequent words, a hash and a count
+each, go to the tasks with a size that is bounded.  A word that is too rare in the
 whole corpus for any phrase asked for begins no suffix and ends those that it is in; the
 tasks know such words by a bitmap of BITS hashes, in which some may be missing.
 
@@ -45,16 +46,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from girder.llm.flat import LOWER, ragged, runs, text_slices
+from girder.llm.flat import LOWER, mix, runs, text_slices
 from girder.llm.shared import checkpointed, partitions, table
 
 MAX_N, LEAST, SHADE, TOP = 4, 30, 80, 2000
 #: Occurrences of a word from which on it is frequent, and how many words may be.
-SHARE, MOST_HEAVY = 500_000, 4_000_000
+SHARE, MOST_HEAVY = 250_000, 2_000_000
 #: Bits of the bitmap of words that are not rare, in parts of PART bits (the size of Spark's bitmaps).
 BITS, PART = 1 << 24, 1 << 15
 #: Bytes of text of which a task counts equal suffixes at once.
-PORTION = 8 << 20
+PORTION = 4 << 20
 #: Bytes that end a piece, and those that part its words.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _OUTSIDE = np.zeros(256, bool)
@@ -64,7 +65,7 @@ _END[list(ENDS)] = True
 #: A-Z in lower case, and spaces for all that stands outside of words.
 _PLAIN = LOWER.copy()
 _PLAIN[_OUTSIDE] = 0x20
-#: The byte that joins words in heads and lines; it is smaller than all others, so that a phrase and what continues it
+#: The byte that joins words in lines; it is smaller than all others, so that a phrase and what continues it
 #: are neighbours.  Words that have it, or the next one, are written with two bytes for one, in the same order.
 JOIN = b"\0"
 
@@ -137,12 +138,16 @@ def _word_counts(portion: int):
     return run
 
 
-def _suffixes(max_n: int, heavy: np.ndarray, known: np.ndarray, portion: int):
-    """Rows (lang, head, open, n, lines): lines continue the head, n is how many suffixes they are; open of the head's
-    beginnings have counts elsewhere too.  known is a bitmap of words that are not rare."""
+SENT = "lang string, head binary, bucket int, open int, n long, lines binary, counted binary"
+
+
+def _suffixes(max_n: int, heavy: dict[int, int], known: np.ndarray, portion: int):
+    """Rows (lang, head, bucket, open, n, lines, counted): lines continue the head, counted are those that stand for several,
+    with their counts before them, n is how many suffixes they are; `open` words from the head on are frequent, so that
+    their phrases have counts elsewhere too.  heavy has the buckets of frequent words, known is a bitmap of words that are
+    not rare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = set(heavy.tolist())
         for lang, words, parts in by_language(batches, portion):
             spelt = words.spelt()
             if not spelt:
@@ -150,66 +155,72 @@ def _suffixes(max_n: int, heavy: np.ndarray, known: np.ndarray, portion: int):
             # numbers in order of spelling, from 1 on; 0 is the end of a suffix
             order = sorted(range(len(spelt)), key=spelt.__getitem__)
             spelt = [b"", *(spelt[i] for i in order)]
-            rank = np.empty(len(order), np.int64)
+            rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(1, len(order) + 1)
             hashes = [word_hash(lang, w) for w in spelt[1:]]
-            hot = np.array([False, *(h in many for h in hashes)])
-            spot = np.array(hashes, np.uint64) % np.uint64(BITS)
+            buckets = np.array([0, *(heavy.get(h, 0) for h in hashes)], np.int64)
+            spot = np.array(hashes, np.uint64)
+            mixed = np.append(np.uint64(0), spot)
+            spot %= np.uint64(BITS)
             rare = np.append(True, known[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 == 0)
             columns = []
             for numbers, left in parts:
-                r = np.append(rank[numbers], 0)
+                r = np.append(rank[numbers], np.int32(0))
                 # a rare word is an end like that of a piece, and r ends with one
                 ends = np.flatnonzero(rare[r])
                 at = np.flatnonzero(~rare[r[:-1]])
                 left = np.minimum(left[at], ends[np.searchsorted(ends, at)] - at)
-                columns.append(np.stack([np.where(left > k, r[np.minimum(at + k, len(numbers))], 0) for k in range(max_n)]))
+                columns.append(np.stack([np.where(left > k, r[np.minimum(at + k, len(numbers))], np.int32(0)) for k in range(max_n)]))
             parts.clear()
             grid = np.concatenate(columns, axis=1)
+            columns.clear()
             if not grid.shape[1]:
                 continue
             # two words in a number, as numbers of words have less than 32 bits
-            pairs = [grid[k] << 32 | (grid[k + 1] if k + 1 < max_n else 0) for k in range(0, max_n, 2)]
+            pairs = [grid[k].astype(np.int64) << 32 | (grid[k + 1] if k + 1 < max_n else 0) for k in range(0, max_n, 2)]
             grid = grid[:, np.lexsort(pairs[::-1])]
             new = np.concatenate([[True], (grid[:, 1:] != grid[:, :-1]).any(axis=0)])
             at = np.flatnonzero(new)
             count = np.diff(np.append(at, grid.shape[1]))
             grid = grid[:, at]
-            # words of the head: the first, and the next while all before are frequent
-            lead = np.cumprod(hot[grid], axis=0).sum(axis=0)
+            # frequent words from the first on, and the bucket by all words up to the first other one
+            lead = np.cumprod(buckets[grid] > 0, axis=0).sum(axis=0)
             open_ = np.minimum(lead, max_n - 1)
-            size = np.minimum(np.minimum(lead + 1, max_n), (grid > 0).sum(axis=0))
-            inside = np.where(np.arange(max_n)[:, None] < size, grid, 0)
-            group = np.flatnonzero(np.concatenate([[True], (inside[:, 1:] != inside[:, :-1]).any(axis=0)]))
-            # rows of at most some ten thousand suffixes at a time
+            name = np.zeros(grid.shape[1], np.uint64)
+            for k in range(1, max_n):
+                name = np.where(k <= open_, mix(name ^ mixed[grid[k]]), name)
+            bucket = np.where(lead > 0, (name % np.maximum(buckets[grid[0]], 1).astype(np.uint64)).astype(np.int64), 0)
+            by = np.lexsort((open_, bucket, grid[0]))
+            grid, count, open_, bucket = grid[:, by], count[by], open_[by], bucket[by]
+            group = np.flatnonzero(np.concatenate([[True], (grid[0, 1:] != grid[0, :-1]) | (bucket[1:] != bucket[:-1]) | (open_[1:] != open_[:-1])]))
+            joined = [b"", *(JOIN + w for w in spelt[1:])]
+            # rows of at most some ten thousand suffixes at a time, or of one group
             cuts = [*group[np.unique(np.minimum(np.searchsorted(group, np.arange(0, len(count), 1 << 15)), len(group) - 1))].tolist(), len(count)]
             for lo, hi in zip(cuts, cuts[1:]):
-                heads, lines = rows_of(spelt, grid[:, lo:hi], size[lo:hi], count[lo:hi])
                 own = group[(group >= lo) & (group < hi)]
-                made = [pa.array([lang] * len(heads), pa.string()), pa.array(heads, pa.binary()), pa.array(open_[own], pa.int32()), pa.array(np.add.reduceat(count[lo:hi], own - lo), pa.int64()), pa.array(lines, pa.binary())]
-                yield pa.RecordBatch.from_arrays(made, names=["lang", "head", "open", "n", "lines"])
+                rest = [[(joined if k > 1 else spelt)[i] for i in grid[k, lo:hi].tolist()] for k in range(1, max_n)]
+                lines = list(map(b"".join, zip(*rest)))
+                several = np.flatnonzero(count[lo:hi] > 1)
+                for i, n in zip(several.tolist(), count[lo:hi][several].tolist()):
+                    lines[i] = b"%d\t%s" % (n, lines[i])
+                once, more = [], []
+                first = np.searchsorted(several, own - lo).tolist()
+                for a, b, c, d in zip((own - lo).tolist(), [*(own[1:] - lo).tolist(), hi - lo], first, [*first[1:], len(several)]):
+                    if c == d:
+                        once.append(b"\n".join(lines[a:b]))
+                        more.append(None)
+                    else:
+                        more.append(b"\n".join([lines[i] for i in several[c:d].tolist()]))
+                        once.append(b"\n".join([x for x in lines[a:b] if b"\t" not in x]) if d - c < b - a else None)
+                made = [
+                    pa.array([lang] * len(own), pa.string()), pa.array([spelt[i] for i in grid[0, own].tolist()], pa.binary()), pa.array(bucket[own], pa.int32()),
+                    pa.array(open_[own], pa.int32()), pa.array(np.add.reduceat(count[lo:hi], own - lo), pa.int64()), pa.array(once, pa.binary()), pa.array(more, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(made, names=["lang", "head", "bucket", "open", "n", "lines", "counted"])
 
     return run
 
 
-def rows_of(spelt: list[bytes], grid: np.ndarray, size: np.ndarray, count: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Heads, and the lines of each: a suffix's words behind the head, and its count if it is not 1, as a word that starts
-    with a tab."""
-    heads: list[bytes] = []
-    lines: list[list[bytes]] = []
-    last = None
-    for own, n, times in zip(grid.T.tolist(), size.tolist(), count.tolist()):
-        if own[:n] != last:
-            last = own[:n]
-            heads.append(JOIN.join([spelt[i] for i in last]))
-            lines.append([])
-        line = [spelt[i] for i in own[n:] if i]
-        if times > 1:
-            line.append(b"\t%d" % times)
-        lines[-1].append(JOIN.join(line))
-    return heads, [b"\n".join(x) for x in lines]
-
-
 class Stack:
     """Counts the beginnings of sorted suffixes: words and counts of the suffix at hand, from the first word on."""
 
@@ -245,53 +256,49 @@ class Stack:
         self.counts[-1] += n
 
 
-def condensed(lines: list[bytes], least: int) -> Counter:
-    """Counts of lines, of which the words go that make a beginning that less than least of them have."""
+def condensed(lines: list[bytes], counted: list[tuple[bytes, int]], least: int, keep: int) -> Counter:
+    """Counts of lines, of which the words go that make a beginning that less than least of them have; the first `keep`
+    words stay in any case."""
     out: Counter = Counter()
-    marked = []
-    for line in lines:
-        if b"\t" in line:
-            at = line.rindex(b"\t")
-            marked.append((line[: max(0, at - 1)], int(line[at + 1 :])))
-    lines = [line for line in lines if b"\t" not in line]
-    depth, above = 0, b""
-    while lines or marked:
+    depth = keep
+    while lines or counted:
         depth += 1
         begin = (lambda x: x.partition(JOIN)[0]) if depth == 1 else (lambda x, n=depth: JOIN.join(x.split(JOIN, n)[:n]))
         keys = [begin(x) for x in lines]
         count = Counter(keys)
-        for line, n in marked:
+        for line, n in counted:
             count[begin(line)] += n
         # a line that ends here is its own beginning, as it was a word before
         whole = (lambda k: not k) if depth == 1 else (lambda k, n=depth: k.count(JOIN) < n - 1)
         goes_on = {k for k, n in count.items() if n >= least and not whole(k)}
         for k, n in count.items():
             if k not in goes_on:
-                out[k if whole(k) else k.rpartition(JOIN)[0] if depth > 1 else above] += n
+                out[k if whole(k) else k.rpartition(JOIN)[0] if depth > 1 else b""] += n
         lines = [x for x, k in zip(lines, keys) if k in goes_on]
-        marked = [(x, n) for x, n in marked if begin(x) in goes_on]
+        counted = [(x, n) for x, n in counted if begin(x) in goes_on]
     return out
 
 
 def _counted(least: int):
-    """(lang, phrase, size, n) of the beginnings of sorted rows (lang, head, open, n, lines)."""
+    """(lang, phrase, size, n) of the beginnings of sorted rows (see SENT)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: tuple[str, bytes, int] | None = None
+        own: tuple[str, bytes, int, int] | None = None
         held: list[bytes] = []
+        held_counted: list[bytes] = []
         total = 0
         stack = Stack(least)
 
         def count() -> None:
-            _, head, open_ = own
-            start = head.split(JOIN)
-            if total < least:
-                if open_:
-                    stack.push(start, total, open_)
+            _, head, _, open_ = own
+            # a head that is whole here and too rare has no phrase
+            if total < least and not open_:
                 return
-            found = condensed(b"\n".join(held).split(b"\n"), least)
+            lines = b"\n".join(held).split(b"\n") if held else []
+            pairs = (x.partition(b"\t") for x in b"\n".join(held_counted).split(b"\n")) if held_counted else ()
+            found = condensed(lines, [(x, int(n)) for n, _, x in pairs], least, max(0, open_ - 1))
             for line in sorted(found, reverse=True):
-                stack.push(start + line.split(JOIN) if line else start, found[line], open_)
+                stack.push([head, *line.split(JOIN)] if line else [head], found[line], open_)
 
         def found(lang: str) -> pa.RecordBatch:
             phrases, sizes, counts = zip(*stack.out)
@@ -300,18 +307,22 @@ def _counted(least: int):
             return pa.RecordBatch.from_arrays(made, names=["lang", "phrase", "size", "n"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "head", "open", "n", "lines"))):
-                if own is not None and row[:2] != own[:2]:
+            for *key, n, lines, counted in zip(*(batch.column(c).to_pylist() for c in ("lang", "head", "bucket", "open", "n", "lines", "counted"))):
+                if own is not None and key != own:
                     count()
                     held.clear()
+                    held_counted.clear()
                     total = 0
-                    if row[0] != own[0]:
+                    if key[0] != own[0]:
                         stack.pop(0)
-                    if stack.out and (row[0] != own[0] or len(stack.out) > 1 << 14):
+                    if stack.out and (key[0] != own[0] or len(stack.out) > 1 << 14):
                         yield found(own[0])
-                own = row[:3]
-                total += row[3]
-                held.append(row[4])
+                own = key
+                total += n
+                if lines is not None:
+                    held.append(lines)
+                if counted is not None:
+                    held_counted.append(counted)
         if own is not None:
             count()
             stack.pop(0)
@@ -329,17 +340,18 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", max_n
     totals = checkpointed(words.groupBy("lang").agg(F.sum("n").alias("n")))
     all_words = totals.agg(F.sum("n")).first()[0] or 0
     # no more than MOST_HEAVY words can occur so often
-    frequent = words.filter(F.col("n") > max(share, all_words // MOST_HEAVY))
+    share = max(share, all_words // MOST_HEAVY, 1)
     named = F.xxhash64(F.concat(F.col("lang").cast("binary"), F.lit(b" "), "word"))
-    heavy = frequent.select(named.alias("word")).toArrow().column("word").to_numpy().view(np.uint64)
+    frequent = words.filter(F.col("n") > share).select(named.alias("word"), F.ceil(F.col("n") / share).alias("buckets")).toArrow()
+    heavy = dict(zip(frequent.column("word").to_numpy().view(np.uint64).tolist(), frequent.column("buckets").to_pylist()))
     bit = F.pmod(named, F.lit(BITS))
     parts = words.filter(F.col("n") >= least).groupBy(F.floor(bit / PART).alias("part")).agg(F.bitmap_construct_agg(bit % PART).alias("bits"))
     known = np.zeros(BITS // 8, np.uint8)
     # BITS / PART rows at most
     for r in parts.collect():
         known[r.part * PART // 8 : (r.part + 1) * PART // 8] = np.frombuffer(r.bits, np.uint8)
-    sent = rows.mapInArrow(_suffixes(max_n, heavy, known, portion), "lang string, head binary, open int, n long, lines binary")
-    dealt = sent.repartition(partitions(docs.sparkSession), "lang", "head").sortWithinPartitions(F.desc("lang"), F.desc("head"))
+    sent = rows.mapInArrow(_suffixes(max_n, heavy, known, portion), SENT)
+    dealt = sent.repartition(partitions(docs.sparkSession), "lang", "head", "bucket").sortWithinPartitions(F.desc("lang"), F.desc("head"), "bucket", "open")
     parts = dealt.mapInArrow(_counted(least), "lang string, phrase string, size int, n long")
     return totals, checkpointed(parts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
 

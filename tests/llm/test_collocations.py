@@ -54,7 +54,7 @@ def test_against_brute_force(spark):
     want = brute(rows)
     assert len(want) > 40 and got(C.collocations(df)) == want
     # frequent words whose suffixes are dealt by more words, and small portions
-    for options in ({"share": 40, "portion": 1 << 12}, {"share": 400, "portion": 1 << 16}, {"share": 0, "portion": 1 << 14}):
+    for options in ({"share": 40, "portion": 1 << 13}, {"share": 400, "portion": 1 << 16}, {"share": 1, "portion": 1 << 15}):
         assert got(C.collocations(df, **options)) == want
     assert got(C.collocations(df, top=5)) == brute(rows, top=5)
     assert got(C.collocations(df, least=3)) == brute(rows, least=3)
