@@ -6,6 +6,8 @@ from the words next to it, which stand in the tables below.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,60 +35,27 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+|\d+(?:\.\d+)?|[^\s\p{L}\d]"), F.lit(0))
 
 
-def _phrase(words: str) -> Column:
-    return F.array(*[F.lit(w) for w in words.split()])
-
-
-def _behind(ws: Column, i: Column, phrases: tuple[str, ...]) -> Column:
-    """Whether one of the phrases begins at the place i (from 1 on)."""
-    found = F.lit(False)
-    for p in phrases:
-        found |= F.slice(ws, i, F.lit(len(p.split()))) == _phrase(p)
-    return found
-
-
-def _before(ws: Column, i: Column, phrases: tuple[str, ...], negated: tuple[str, ...] = ()) -> Column:
-    """Whether one of the phrases ends right before the place i, without a negation before it."""
-    found = F.lit(False)
-    for p in phrases:
-        n = len(p.split())
-        hit = (i > n) & (F.slice(ws, F.greatest(i - n, F.lit(1)), F.lit(n)) == _phrase(p))
-        if negated:
-            hit &= ~F.coalesce(F.get(ws, i - n - 2).isin(*negated), F.lit(False))
-        found |= hit
-    return found
-
-
-def _figure(w: Column, digits: tuple[int, int]) -> Column:
-    return w.rlike(r"^\d+$") & F.length(w).between(*digits)
+def _one_of(phrases: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(re.escape(p) for p in sorted(phrases, key=len, reverse=True)) + ")"
 
 
 def size_limits(sentence: Column) -> tuple[Column, Column]:
     """The smallest and the largest size that a sentence states.  Of a limit in each direction neither is sure, unless they
     are the ends of one range ("DN 15 to DN 50")."""
-
-    def of(ws: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ws), F.lit(1))), lambda i: _figure(F.coalesce(F.get(ws, i - 1), F.lit("")), (2, 4)))
-        # a size's own marks don't part it from its words
-        front = lambda i: F.when(F.get(ws, i - 2).isin("dn", "ø"), i - 1).otherwise(i)
-        back = lambda i: F.when(F.get(ws, i) == "mm", i + 2).otherwise(i + 1)
-        number = lambda i: F.get(ws, i - 1).cast("int")
-        first = lambda rule: F.get(F.transform(F.filter(places, rule), number), F.lit(0))
-        largest = first(lambda i: _before(ws, front(i), LARGEST_BEFORE) | _behind(ws, back(i), LARGEST_BEHIND))
-        smallest = first(lambda i: _before(ws, front(i), SMALLEST_BEFORE, NEGATIONS) | _behind(ws, back(i), SMALLEST_BEHIND))
-
-        def until(i: Column) -> Column:
-            to = back(i) + 1
-            return F.when(F.get(ws, to - 1) == "dn", to + 1).otherwise(to)
-
-        joined = F.filter(places, lambda i: F.get(ws, back(i) - 1).isin("to", "-", "–") & _figure(F.coalesce(F.get(ws, until(i) - 1), F.lit("")), (2, 4)) & ~_before(ws, front(i), LARGEST_BEFORE))
-        ends = F.get(F.transform(joined, lambda i: F.struct(number(i).alias("low"), number(until(i)).alias("high"))), F.lit(0))
-        one = F.when(largest.isNull(), smallest), F.when(smallest.isNull(), largest)
-        is_range = ends.isNotNull() & (ends["low"] < ends["high"]) & largest.isNull() & smallest.isNull()
-        return F.struct(F.when(is_range, ends["low"]).otherwise(one[0]).alias("low"), F.when(is_range, ends["high"]).otherwise(one[1]).alias("high"))
-
-    found = let(tokens(sentence), of)
-    return found["low"], found["high"]
+    # the words with a space around each; a size may have its mark before it and its unit behind
+    line = F.concat(F.lit(" "), F.array_join(tokens(sentence), " "), F.lit(" "))
+    size, mark, unit = r"(\d{2,4})(?= )", "(?:(?:dn|ø) )?", "(?: mm)?"
+    negated = "".join(f"(?<! {n})" for n in NEGATIONS)
+
+    def stated(before: tuple[str, ...], behind: tuple[str, ...], guard: str = "") -> Column:
+        pattern = f"{guard} {_one_of(before)} {mark}{size}| {mark}{size}{unit} {_one_of(behind)} "
+        return F.coalesce(*[F.nullif(F.regexp_extract(line, pattern, g), F.lit("")).cast("int") for g in (1, 2)])
+
+    largest, smallest = stated(LARGEST_BEFORE, LARGEST_BEHIND), stated(SMALLEST_BEFORE, SMALLEST_BEHIND, negated)
+    ends = [F.nullif(F.regexp_extract(line, f" {size}{unit} (?:to|-|–) {mark}{size}", g), F.lit("")).cast("int") for g in (1, 2)]
+    is_range = largest.isNull() & smallest.isNull() & (ends[0] < ends[1])
+    low = F.when(is_range, ends[0]).when(largest.isNull(), smallest)
+    return low, F.when(is_range, ends[1]).when(smallest.isNull(), largest)
 
 
 def _values(ws: Column) -> Column:

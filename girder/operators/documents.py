@@ -215,7 +215,9 @@ def attributes(clauses: DataFrame, clause: str, text: str) -> DataFrame:
     stated.append(F.when(on_supports & spacing.isNotNull(), F.struct(F.lit("hanger spacing").alias("attribute"), spacing.cast("string").alias("value"))))
     place = F.coalesce(*[F.when(says(low, words), F.lit(name)) for name, words in PLACES])
     least, most = X.size_range(F.col("sentence"))
-    rows = rows.select(clause, "n", least.alias("dn_min"), most.alias("dn_max"), place.alias("place"), F.explode(F.array_compact(F.array(*stated))).alias("s"))
+    # apart from the explode, which would take the names off the limits' fields
+    rows = rows.withColumn("dn_min", least).withColumn("dn_max", most)
+    rows = rows.select(clause, "n", "dn_min", "dn_max", place.alias("place"), F.explode(F.array_compact(F.array(*stated))).alias("s"))
     return rows.select(clause, "n", "s.attribute", "s.value", "dn_min", "dn_max", "place")
 
 

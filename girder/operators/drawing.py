@@ -78,15 +78,30 @@ def nearest_segment(points: DataFrame, lines: DataFrame, sheet: str, point: str,
 
 
 def grid_reference(points: DataFrame, lines: DataFrame, keys: list[str], at: str, position: str, label: str, tolerance: float) -> DataFrame:
-    """points with the label of the line they stand on, or of the two they stand between ("A-B").
+    """points with the label of the line they stand on, the first within tolerance, or of the two they stand between ("A-B").
 
-    The lines of one sheet go to each of its points as a sorted array."""
-    marks = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(label).alias("l")))).alias("marks"))
-    joined = points.join(marks, keys, "left")
-    on = F.try_element_at(F.filter("marks", lambda m: F.abs(m["p"] - F.col(at)) <= tolerance), F.lit(1))["l"]
-    before = F.try_element_at(F.filter("marks", lambda m: m["p"] < F.col(at)), F.lit(-1))["l"]
-    after = F.try_element_at(F.filter("marks", lambda m: m["p"] > F.col(at)), F.lit(1))["l"]
-    return joined.withColumn("reference", F.coalesce(on, F.concat_ws("-", before, after))).drop("marks")
+    Points and lines are merged in order of position, twice: for the line that a point stands on, the point takes its place
+    at the start of its tolerance and looks ahead, two lines far, as rounding may put one in front of it; for the lines
+    beside it, it looks back and ahead from its own place.
+    """
+    line = F.struct(F.col(position).alias("p"), F.col(label).alias("l"))
+    following = F.lead(line).over(Window.partitionBy(*keys).orderBy(position))
+    marks = lines.select(*keys, F.col(position).alias("__at"), line.alias("__line"), following.alias("__next"))
+    rows = points.select(*keys, F.struct(*points.columns).alias("__row"), F.col(at).alias("__x"))
+    sheet = Window.partitionBy(*keys)
+    # a point comes before lines at its place in the first order, and behind them in the second
+    first = sheet.orderBy("__at", F.col("__row").isNull())
+    last = sheet.orderBy("__at", F.col("__row").isNotNull())
+    back, ahead = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    merged = marks.unionByName(rows.withColumn("__at", F.col("__x") - tolerance - abs(tolerance) * 1e-6), allowMissingColumns=True)
+    near = lambda m: F.when(F.abs(m["p"] - F.col("__x")) <= tolerance, m["l"])
+    found = F.first(F.when(F.col("__line").isNotNull(), F.struct("__line", "__next")), ignorenulls=True).over(first.rowsBetween(*ahead))
+    on = merged.withColumn("__found", found).filter("__row IS NOT NULL").select(*keys, "__row", "__x", F.coalesce(near(F.col("__found.__line")), near(F.col("__found.__next"))).alias("__on"))
+    merged = marks.drop("__next").unionByName(on.withColumn("__at", F.col("__x")), allowMissingColumns=True)
+    before = F.last("__line", ignorenulls=True).over(first.rowsBetween(*back))["l"]
+    after = F.first("__line", ignorenulls=True).over(last.rowsBetween(*ahead))["l"]
+    out = merged.withColumn("__before", before).withColumn("__after", after).filter("__row IS NOT NULL")
+    return out.select("__row.*", F.coalesce("__on", F.concat_ws("-", "__before", "__after")).alias("reference"))
 
 
 def grid_label(place: Column) -> Column:
@@ -116,16 +131,36 @@ def commonest_offset(pairs: DataFrame, group: str, dx: Column, dy: Column, step:
 def touching(boxes: DataFrame, keys: list[str], ident: str, gap: float, cell: float) -> DataFrame:
     """(a, b) of boxes (minx, miny, maxx, maxy) with equal keys that are within gap of each other, a < b.
 
-    A box stands in every cell that it reaches; of the cells that two boxes share, the first one counts the pair.
+    Boxes stand in grids by their size: cells double from level to level, and a box, widened by gap, is no larger than a
+    cell of its own level, so it stands in four of them at most.  Each box also looks into the levels of larger boxes, of
+    which there is one for each doubling of sizes; of the cells that two boxes share, the first one counts the pair.
     """
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("int"), F.floor((F.col(hi) + gap) / cell).cast("int"))
-    dealt = boxes.withColumn("cx", F.explode(span("minx", "maxx"))).withColumn("cy", F.explode(span("miny", "maxy")))
-    a, b = (dealt.select(*keys, "cx", "cy", F.col(ident).alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("minx", "miny", "maxx", "maxy")]) for s in "ab")
+    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")) + gap
+    rows = boxes.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(extent / cell))).cast("int"))
+    levels = sorted(r.level for r in rows.select("level").distinct().collect())
+    side = lambda s: [F.col(ident).alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("minx", "miny", "maxx", "maxy")], F.col("level").alias(f"{s}_level")]
+
+    def cells(level: Column) -> Column:
+        size = cell * F.pow(F.lit(2.0), level)
+        span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor((F.col(hi) + gap) / size))
+        return F.flatten(F.transform(span("minx", "maxx"), lambda i: F.transform(span("miny", "maxy"), lambda j: F.struct(level.alias("at"), i.alias("cx"), j.alias("cy")))))
+
+    own = rows.select(*keys, *side("b"), F.explode(cells(F.col("level"))).alias("c")).select("*", "c.*").drop("c")
+    above = F.filter(F.array(*[F.lit(n) for n in levels]), lambda n: n >= F.col("level"))
+    asked = rows.select(*keys, *side("a"), F.explode(F.flatten(F.transform(above, cells))).alias("c")).select("*", "c.*").drop("c")
     near = F.lit(True)
     for axis in "xy":
         near &= (F.col(f"a_min{axis}") <= F.col(f"b_max{axis}") + gap) & (F.col(f"b_min{axis}") <= F.col(f"a_max{axis}") + gap)
-    first = (F.col("cx") == F.floor(F.greatest("a_minx", "b_minx") / cell)) & (F.col("cy") == F.floor(F.greatest("a_miny", "b_miny") / cell))
-    return a.join(b, [*keys, "cx", "cy"]).filter((F.col("a") < F.col("b")) & near & first).select("a", "b")
+    size = cell * F.pow(F.lit(2.0), F.col("at"))
+    first = (F.col("cx") == F.floor(F.greatest("a_minx", "b_minx") / size)) & (F.col("cy") == F.floor(F.greatest("a_miny", "b_miny") / size))
+    once = (F.col("a_level") < F.col("b_level")) | (F.col("a") < F.col("b"))
+    return asked.join(own, [*keys, "at", "cx", "cy"]).filter(once & near & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def clusters(boxes: DataFrame, keys: list[str], ident: str, gap: float, cell: float, checkpoint) -> DataFrame:
+    """(ident, cluster): boxes that touch, directly or through others, have one cluster, named by its smallest id."""
+    roots = components(touching(boxes, keys, ident, gap, cell), checkpoint).withColumnsRenamed({"node": ident, "root": "cluster"})
+    return boxes.select(ident).join(roots, ident, "left").select(ident, F.coalesce("cluster", ident).alias("cluster"))
 
 
 def descriptor(x: Column, y: Column, bins: int = 8) -> Column:

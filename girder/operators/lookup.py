@@ -81,26 +81,70 @@ def near_pairs(points: DataFrame, keys: list[str], x: str, y: str, row: str, rad
     # the reach is a trifle wider than the radius, so that rounding can't part two points; the filter decides
     size, reach_by = 2.5 * radius, radius * (1 + 1e-6)
     cell = lambda c: F.floor(c / size)
-    own = points.select(*keys, F.col(row).alias("p"), F.col(x).alias("px"), F.col(y).alias("py"), cell(F.col(x)).alias("cx"), cell(F.col(y)).alias("cy"))
-    across = F.array_distinct(F.array(cell(F.col(x) - reach_by), cell(F.col(x) + reach_by)))
-    along = F.array_distinct(F.array(cell(F.col(y) - reach_by), cell(F.col(y) + reach_by)))
-    home = F.struct(cell(F.col(x)).alias("cx"), cell(F.col(y)).alias("cy"))
-    cells = F.flatten(F.transform(across, lambda i: F.transform(along, lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
-    reach = points.select(*keys, F.col(row).alias("q"), F.col(x).alias("qx"), F.col(y).alias("qy"), home.alias("home"), F.explode(F.filter(cells, lambda c: c <= home)).alias("c"))
-    reach = reach.select(*keys, "q", "qx", "qy", "home", "c.cx", "c.cy")
-    elsewhere = F.struct("cx", "cy") != F.col("home")
-    near = (F.abs(F.col("px") - F.col("qx")) <= radius) & (F.abs(F.col("py") - F.col("qy")) <= radius) & (elsewhere | (F.col("p") < F.col("q")))
+    home = {"hx": cell(F.col(x)), "hy": cell(F.col(y))}
+    own = points.select(*keys, F.col(row).alias("p"), F.col(x).alias("px"), F.col(y).alias("py"), home["hx"].alias("cx"), home["hy"].alias("cy"))
+    across, along = (F.array_distinct(F.array(cell(F.col(c) - reach_by), cell(F.col(c) + reach_by))) for c in (x, y))
+    reach = points.select(*keys, F.col(row).alias("q"), F.col(x).alias("qx"), F.col(y).alias("qy"), *[c.alias(n) for n, c in home.items()], along.alias("ys"), F.explode(across).alias("cx"))
+    reach = reach.filter("cx <= hx").withColumn("cy", F.explode("ys")).drop("ys").filter("cx < hx OR cy <= hy")
+    near = (F.abs(F.col("px") - F.col("qx")) <= radius) & (F.abs(F.col("py") - F.col("qy")) <= radius)
+    near &= (F.col("cx") != F.col("hx")) | (F.col("cy") != F.col("hy")) | (F.col("p") < F.col("q"))
     return own.join(reach, [*keys, "cx", "cy"]).filter(near).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
-def overlapping_runs(runs: DataFrame, keys: list[str], row: str, offset: str, lo: str, hi: str, tolerance: float) -> DataFrame:
-    """(a, b, shared) of runs on nearly the same line (offsets within tolerance) that share more than tolerance of their extents, a < b."""
+def overlapping_runs(runs: DataFrame, keys: list[str], row: str, offset: str, lo: str, hi: str, tolerance: float, more: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, shared) of runs on nearly the same line (offsets within tolerance) that share more than tolerance of their
+    extents, a < b; columns in more come along as a_.. and b_...
+
+    Runs meet in stretches of a line twice as long as the mean run, so all runs together stand in not much more
+    stretches than there are runs, and runs far apart on a line don't meet; the first stretch of both counts the pair.
+    """
+    mean = runs.agg(F.avg(F.col(hi) - F.col(lo))).first()[0]
+    length = max(2 * (mean or 0.0), tolerance, 1e-9)
     cell = lambda c: F.floor(c / (tolerance * (1 + 1e-6)))
-    own = runs.select(*keys, F.col(row).alias("a"), F.col(offset).alias("ao"), F.col(lo).alias("al"), F.col(hi).alias("ah"), cell(F.col(offset)).alias("cell"))
-    other = runs.select(*keys, F.col(row).alias("b"), F.col(offset).alias("bo"), F.col(lo).alias("bl"), F.col(hi).alias("bh"), F.explode(F.array(*[cell(F.col(offset)) + d for d in (-1, 0, 1)])).alias("cell"))
+    part = lambda c: F.floor(c / length)
+    along = F.explode(F.sequence(part(F.col(lo)), F.greatest(part(F.col(lo)), part(F.col(hi))))).alias("part")
+    side = lambda s: [F.col(row).alias(s), F.col(offset).alias(f"{s}o"), F.col(lo).alias(f"{s}l"), F.col(hi).alias(f"{s}h"), *[F.col(c).alias(f"{s}_{c}") for c in more]]
+    own = runs.select(*keys, *side("a"), cell(F.col(offset)).alias("cell"), along)
+    other = runs.select(*keys, *side("b"), F.array(*[cell(F.col(offset)) + d for d in (-1, 0, 1)]).alias("cells"), along).withColumn("cell", F.explode("cells")).drop("cells")
     shared = F.least("ah", "bh") - F.greatest("al", "bl")
-    pairs = own.join(other, [*keys, "cell"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("ao") - F.col("bo")) <= tolerance) & (shared > tolerance))
-    return pairs.select("a", "b", shared.alias("shared"))
+    once = F.col("part") == part(F.greatest("al", "bl"))
+    pairs = own.join(other, [*keys, "cell", "part"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("ao") - F.col("bo")) <= tolerance) & (shared > tolerance) & once)
+    return pairs.select("a", "b", shared.alias("shared"), *[f"{s}_{c}" for c in more for s in "ab"])
+
+
+def covered(intervals: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
+    """(keys, covered): the length that a key's intervals cover together, what several cover counting once.  In order of
+    their starts, each adds what lies beyond the furthest end before it."""
+    before = Window.partitionBy(*keys).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max(hi).over(before), F.col(lo))
+    adds = F.greatest(F.lit(0.0), F.col(hi) - F.greatest(F.col(lo), reached))
+    return intervals.withColumn("__adds", adds).groupBy(*keys).agg(F.sum("__adds").alias("covered"))
+
+
+def most_specific(items: DataFrame, statements: DataFrame, always: list[str], stated: list[tuple[str, str, int]], entry: str, base: int) -> DataFrame:
+    """items with the entry, and its score, that agrees with them in all it states and states most; the smallest of equals.
+
+    always are columns that agree in any case; stated has pairs of an item's and a statement's column (null where a
+    statement says nothing) and what agreement counts.  Each set of stated columns is a look-up of its own, the best
+    first, so an item meets one statement a set and not all of its key.
+    """
+    sets = [[stated[k] for k in range(len(stated)) if n >> k & 1] for n in range(1 << len(stated))]
+    sets.sort(key=lambda own: -sum(weight for _, _, weight in own))
+    out, found, score = items, [], []
+    for n, own in enumerate(sets):
+        names = {column for _, column, _ in own}
+        says = F.lit(True)
+        for _, column, _ in stated:
+            says &= F.col(column).isNotNull() if column in names else F.col(column).isNull()
+        best = statements.filter(says).groupBy(*always, *[F.col(c).alias(i) for i, c, _ in own]).agg(F.min(entry).alias(f"__entry{n}"))
+        out = out.join(best, [*always, *[i for i, _, _ in own]], "left")
+        found.append((base + sum(weight for _, _, weight in own), f"__entry{n}"))
+    for value in sorted({v for v, _ in found}, reverse=True):
+        # sets that count the same compete by their entries
+        entries = [c for v, c in found if v == value]
+        score.append(F.when(F.coalesce(*entries).isNotNull(), F.struct(F.lit(value).alias("score"), F.least(*entries).alias(entry) if len(entries) > 1 else F.col(entries[0]).alias(entry))))
+    out = out.withColumn("__best", F.coalesce(*score)).filter("__best IS NOT NULL")
+    return out.select(*items.columns, f"__best.{entry}", "__best.score")
 
 
 def greedy_matches(candidates: DataFrame, group: str, checkpoint) -> DataFrame:

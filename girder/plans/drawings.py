@@ -49,13 +49,29 @@ def common_offsets(spark, sf_dir) -> DataFrame:
     return drawing.commonest_offset(item, "sheet", (F.col("l_discount") + 0) * 100, F.col("l_tax") * 100, 5.0, 3)
 
 
-@query("""WITH b AS (SELECT c_custkey AS id, c_nationkey AS sheet, c_acctbal AS minx, c_custkey % 97 * 10.0::DOUBLE AS miny, c_acctbal + 60 AS maxx, c_custkey % 97 * 10.0::DOUBLE + 25 AS maxy FROM customer)
-SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.sheet = b.sheet AND a.id < b.id AND a.minx <= b.maxx + 0.3 AND b.minx <= a.maxx + 0.3 AND a.miny <= b.maxy + 0.3 AND b.miny <= a.maxy + 0.3""")
-def touching_boxes(spark, sf_dir) -> DataFrame:
+_BOXES = """b AS (SELECT c_custkey AS id, c_nationkey AS sheet, c_acctbal AS minx, c_custkey % 97 * 10.0::DOUBLE AS miny,
+c_acctbal + CASE WHEN c_custkey % 50 = 0 THEN 900 ELSE 60 END AS maxx, c_custkey % 97 * 10.0::DOUBLE + 25 AS maxy FROM customer),
+p AS (SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.sheet = b.sheet AND a.id < b.id AND a.minx <= b.maxx + 0.3 AND b.minx <= a.maxx + 0.3 AND a.miny <= b.maxy + 0.3 AND b.miny <= a.maxy + 0.3)"""
+
+
+def boxes(spark, sf_dir) -> DataFrame:
+    """Boxes of all customers, some of them wide."""
     c = table(spark, sf_dir, "customer")
-    y = (F.col("c_custkey") % 97) * F.lit(10.0)
-    boxes = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("sheet"), F.col("c_acctbal").alias("minx"), y.alias("miny"), (F.col("c_acctbal") + 60).alias("maxx"), (y + 25).alias("maxy"))
-    return drawing.touching(boxes, ["sheet"], "id", 0.3, 100.0)
+    y, width = (F.col("c_custkey") % 97) * F.lit(10.0), F.when(F.col("c_custkey") % 50 == 0, 900).otherwise(60)
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("sheet"), F.col("c_acctbal").alias("minx"), y.alias("miny"), (F.col("c_acctbal") + width).alias("maxx"), (y + 25).alias("maxy"))
+
+
+@query(f"WITH {_BOXES} SELECT a, b FROM p")
+def touching_boxes(spark, sf_dir) -> DataFrame:
+    """Pairs of boxes of a sheet that touch, or nearly so."""
+    return drawing.touching(boxes(spark, sf_dir), ["sheet"], "id", 0.3, 100.0)
+
+
+@query(f"""WITH RECURSIVE {_BOXES}, r(a, b) AS (SELECT id, id FROM b UNION SELECT r.a, n.b FROM r JOIN (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) n ON n.a = r.b)
+SELECT a AS id, min(b) AS cluster FROM r GROUP BY a""")
+def touching_clusters(spark, sf_dir) -> DataFrame:
+    """The cluster of every box: boxes of a sheet that touch, directly or through others."""
+    return drawing.clusters(boxes(spark, sf_dir), ["sheet"], "id", 0.3, 100.0, checkpointed)
 
 
 @query()

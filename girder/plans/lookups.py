@@ -152,15 +152,17 @@ def shapes_matched_once(spark, sf_dir) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT p_partkey AS entry, p_brand AS brand, p_type AS kind, CAST(p_retailprice AS DECIMAL(14,2)) AS rate, DATE '1995-01-01' + CAST(p_partkey % 900 AS INTEGER) AS since, p_size % 3 AS source FROM part)
-SELECT p_partkey, entry, CAST(rate AS DOUBLE) AS rate FROM part JOIN r ON brand = p_brand AND kind = p_type AND since <= DATE '1997-01-01' WHERE p_size = 10
+SELECT p_partkey, entry, CAST(rate AS DOUBLE) AS rate FROM part JOIN r ON brand = p_brand AND kind = p_type AND since <= DATE '1997-01-01'
 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY since DESC, source, entry) = 1""")
 def exact_rates(spark, sf_dir) -> DataFrame:
-    """The rate entry with an item's key and unit: the newest in force, then the preferred source."""
+    """The rate entry with an item's key and unit: the newest in force, then the preferred source.  The best entry of a key
+    is the same for all its items, so keys are reduced to it before they meet the items."""
     p = table(spark, sf_dir, "part")
     r = p.select(F.col("p_partkey").alias("entry"), "p_brand", "p_type", F.col("p_retailprice").cast("decimal(14,2)").alias("rate"), F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") % 900).cast("int")).alias("since"), (F.col("p_size") % 3).alias("source"))
-    asked = p.filter("p_size = 10").select("p_partkey", "p_brand", "p_type")
-    found = asked.join(r.filter("since <= DATE '1997-01-01'"), ["p_brand", "p_type"])
-    return lookup.latest(found, ["p_partkey"], F.desc("since"), "source", "entry").select("p_partkey", "entry", F.col("rate").cast("double").alias("rate"))
+    age = F.datediff(F.lit("1997-01-01").cast("date"), "since")
+    best = r.filter(age >= 0).groupBy("p_brand", "p_type").agg(F.min(F.struct(age.alias("age"), "source", "entry", "rate")).alias("best"))
+    found = p.select("p_partkey", "p_brand", "p_type").join(best, ["p_brand", "p_type"])
+    return found.select("p_partkey", "best.entry", F.col("best.rate").cast("double").alias("rate"))
 
 
 @query("""SELECT a.p_partkey AS item, CAST(count(*) AS BIGINT) AS candidates, min_by(b.p_partkey, (CASE WHEN a.p_size = b.p_size THEN 0 ELSE 1 END, b.p_partkey)) AS entry
@@ -185,12 +187,7 @@ def most_specific(spark, sf_dir) -> DataFrame:
     """The entry that agrees in most of what it states; among equals the smallest id."""
     p = table(spark, sf_dir, "part")
     e = p.select(F.col("p_partkey").alias("entry"), "p_type", F.when(F.col("p_partkey") % 3 != 0, F.col("p_size")).alias("dn"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("joining"))
-    # of entries that state the same the smallest wins, so the join meets each statement once
-    e = e.groupBy("p_type", "dn", "joining").agg(F.min("entry").alias("entry"))
-    fits = (F.coalesce("dn", "p_size") == F.col("p_size")) & (F.coalesce("joining", "p_brand") == F.col("p_brand"))
-    score = F.lit(4) + F.when(F.col("dn").isNotNull(), 2).otherwise(0) + F.when(F.col("joining").isNotNull(), 1).otherwise(0)
-    found = p.join(e, "p_type").filter(fits).withColumn("score", score)
-    return lookup.latest(found, ["p_partkey"], F.desc("score"), "entry").select("p_partkey", "entry", "score")
+    return lookup.most_specific(p.select("p_partkey", "p_type", "p_size", "p_brand"), e, ["p_type"], [("p_size", "dn", 2), ("p_brand", "joining", 1)], "entry", 4).select("p_partkey", "entry", "score")
 
 
 @query("""WITH m AS (SELECT p_partkey AS measured, p_type, p_size, p_brand FROM part WHERE p_partkey % 2 = 1), c AS (SELECT p_partkey AS client, p_type, p_size, p_brand FROM part WHERE p_partkey % 2 = 0)
@@ -199,8 +196,9 @@ def unique_matches(spark, sf_dir) -> DataFrame:
     """Client lines with one measured candidate; ambiguous ones are left open."""
     p = table(spark, sf_dir, "part")
     m, c = p.filter("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "measured"), p.filter("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "client")
-    found = c.join(m, ["p_type", "p_size", "p_brand"]).groupBy("client").agg(F.count("*").alias("n"), F.min("measured").alias("measured"))
-    return found.filter("n = 1").select("client", "measured", F.lit(0.9).alias("confidence"))
+    # the measured side is counted first, so keys with many of them don't meet the clients
+    sole = m.groupBy("p_type", "p_size", "p_brand").agg(F.count("*").alias("n"), F.min("measured").alias("measured")).filter("n = 1")
+    return c.join(sole, ["p_type", "p_size", "p_brand"]).select("client", "measured", F.lit(0.9).alias("confidence"))
 
 
 @query("""WITH lv AS (SELECT user_id, max_by(value, (ts, event_id)) AS v FROM events WHERE event_type = 'view' GROUP BY user_id), bid AS (SELECT max_by(value, (ts, event_id)) AS v FROM events WHERE event_type = 'signup')
@@ -233,12 +231,6 @@ def agreed_spacings(spark, sf_dir) -> DataFrame:
     return s.filter("hi - lo <= 0.3 * hi").select("pair", "spacing")
 
 
-@query("""SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS sizes FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey""")
-def sizes_at(spark, sf_dir) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
-    return o.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("sizes"))
-
-
 @query("""SELECT CAST(count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) AS BIGINT) AS nodes FROM lineitem""")
 def network_nodes(spark, sf_dir) -> DataFrame:
     e = edges(spark, sf_dir)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from girder.operators import lookup
+from girder.operators import lookup, takeoffs
 from girder.plans.lookups import BLOCK, nearest
 from girder.plans.registry import query
 from girder.sources.tables import table
@@ -54,6 +54,28 @@ def within(asked: DataFrame, legend: DataFrame, reach: float) -> DataFrame:
     return lookup.against_all(asked, legend, "vec_id", "embedding", BLOCK, compare, f"vec_id {kind}, other {kind}, distance double", ("tolerance",))
 
 
+_DRAWN = """d AS (SELECT o_orderkey AS run, o_orderpriority AS level, o_custkey % 20 AS sheet, CASE WHEN o_custkey % 20 % 3 = 0 THEN 1 ELSE 0 END AS rank, o_custkey / 100.0::DOUBLE AS at,
+(o_orderkey % 1000) / 1000.0::DOUBLE AS lo, (o_orderkey % 1000) / 1000.0::DOUBLE + o_totalprice / 5000000 AS hi, CASE WHEN o_orderkey % 4 = 1 THEN 25 + o_orderkey % 3 * 7 END AS dn FROM orders)"""
+
+
+@query(f"""WITH {_DRAWN}, p AS (SELECT o.run, k.run AS kept, k.dn AS kept_dn, o.dn, k.sheet AS kept_sheet, k.rank AS kept_rank, greatest(o.lo, k.lo) AS lo, least(o.hi, k.hi) AS hi, o.hi - o.lo AS length
+  FROM d o JOIN d k ON o.level = k.level AND o.sheet <> k.sheet AND (k.rank, k.sheet) < (o.rank, o.sheet) AND abs(o.at - k.at) <= 0.02 AND least(o.hi, k.hi) - greatest(o.lo, k.lo) > 0.02),
+c AS (SELECT *, greatest(0, hi - greatest(lo, coalesce(max(hi) OVER (PARTITION BY run ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo))) AS adds FROM p)
+SELECT run, CAST(count(*) AS BIGINT) AS twins, round(least(sum(adds), min(length)), 6) AS excluded, min_by(kept_sheet, (kept_rank, kept_sheet)) AS kept_sheet,
+  CASE WHEN min(dn) IS NULL THEN min_by(kept_dn, (kept_rank, kept_sheet, kept)) FILTER (kept_dn IS NOT NULL) END AS carried_dn FROM c GROUP BY run""")
+def duplicate_runs(spark, sf_dir) -> DataFrame:
+    """What a level's runs lose to runs drawn along them on other sheets: the length that those cover together, counted
+    once, the sheet that is kept (plans before enlarged plans, then the first sheet), and the size it lends to a run
+    that states none."""
+    o = table(spark, sf_dir, "orders")
+    sheet, lo = F.col("o_custkey") % 20, (F.col("o_orderkey") % 1000) / 1000.0
+    drawn = o.select(
+        F.col("o_orderkey").alias("run"), F.col("o_orderpriority").alias("level"), sheet.alias("sheet"), F.when(sheet % 3 == 0, 1).otherwise(0).alias("rank"), (F.col("o_custkey") / 100.0).alias("at"),
+        lo.alias("lo"), (lo + F.col("o_totalprice") / 5000000).alias("hi"), F.when(F.col("o_orderkey") % 4 == 1, 25 + F.col("o_orderkey") % 3 * 7).alias("dn"),
+    )
+    return takeoffs.duplicate_runs(drawn, 0.02).withColumn("excluded", F.round("excluded", 6))
+
+
 @query("""WITH p AS (SELECT DISTINCT l_partkey AS shape, l_suppkey AS sheet FROM lineitem)
 SELECT shape, sheet, min(sheet) OVER (PARTITION BY shape) AS first_sheet, CAST(count(*) OVER (PARTITION BY shape) AS BIGINT) AS sheets FROM p QUALIFY count(*) OVER (PARTITION BY shape) > 1""")
 def duplicate_groups(spark, sf_dir) -> DataFrame:
@@ -216,11 +238,3 @@ def content_hashes(spark, sf_dir) -> DataFrame:
 def heartbeat_upserts(spark, sf_dir) -> DataFrame:
     """The newest heartbeat of each name, as repeated upserts leave it."""
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").cast("date").alias("last_day"), F.count("*").alias("beats"), F.max(F.col("event_type") == "purchase").alias("bought"))
-
-
-@query("""SELECT system, CAST(count(*) AS BIGINT) AS n, CASE WHEN count(DISTINCT size) = 1 THEN min(size) END AS size, count(DISTINCT size) > 1 AS conflict FROM (SELECT p_type || '/' || p_name AS system, CASE WHEN p_size % 5 = 0 THEN p_size // 25 END AS size FROM part) GROUP BY system""")
-def size_groups(spark, sf_dir) -> DataFrame:
-    """Runs that share a size: the one that their labels agree on, or a conflict."""
-    p = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_type", "p_name").alias("system"), F.when(F.col("p_size") % 5 == 0, F.floor(F.col("p_size") / 25).cast("int")).alias("size"))
-    same = F.min("size") == F.max("size")
-    return p.groupBy("system").agg(F.count("*").alias("n"), F.when(same, F.min("size")).alias("size"), F.coalesce(~same, F.lit(False)).alias("conflict"))
