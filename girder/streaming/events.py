@@ -24,7 +24,8 @@ def rate_windows(events: DataFrame, key: str, at: str, late: str = "10 minutes",
 def admitted(events: DataFrame, key: str, at: str, cap: int, width_seconds: int = 60, late: str = "10 minutes") -> DataFrame:
     """Events with whether the cap of their key and window lets them through, in order of arrival.
 
-    State is one window start and one count a key; it goes when the watermark passes the window's end.
+    State is one window start and one count a key; it goes when the watermark passes the window's end.  As only the newest
+    window of a key is kept, a late event of an earlier window is refused, even if that window had room.
     """
     schema = f"{key} string, at timestamp, admitted boolean"
 
@@ -113,6 +114,34 @@ def threshold_alerts(spend: DataFrame, key: str, amount: str, thresholds: list[f
     return keyed.groupBy(key).applyInPandasWithState(watch, schema, "total double", "append", "NoTimeout")
 
 
+def reviewed_samples(decisions: DataFrame) -> DataFrame:
+    """(lot, status, reviewed, errors), once a lot: `escalated` with the first error over those accepted, `passed` when all
+    of the sample is decided without that.
+
+    decisions: lot, at, error, size (of the sample) and accepted (errors).  State is two counts a lot and whether its
+    verdict is out; what is decided after that changes nothing.
+    """
+    schema = "lot string, status string, reviewed long, errors long"
+
+    def judge(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        reviewed, errors, done = state.get if state.exists else (0, 0, False)
+        # a batch's rows of a lot come in several frames
+        rows, out = pd.concat(list(frames)).sort_values("at", kind="stable"), []
+        for error, size, accepted in zip(rows["error"], rows["size"], rows["accepted"]):
+            if done:
+                break
+            reviewed, errors = reviewed + 1, errors + int(error)
+            status = "escalated" if errors > accepted else "passed" if reviewed == size else None
+            if status:
+                done = True
+                out.append((str(group[0]), status, reviewed, errors))
+        state.update((reviewed, errors, done))
+        yield pd.DataFrame(out, columns=["lot", "status", "reviewed", "errors"])
+
+    keyed = decisions.select(F.col("lot").cast("string").alias("lot"), "at", "error", "size", "accepted")
+    return keyed.groupBy("lot").applyInPandasWithState(judge, schema, "reviewed long, errors long, done boolean", "append", "NoTimeout")
+
+
 def upserts(target: str, key: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer: a table at a path that holds the newest row of each key; upserted() reads it.
 

@@ -98,3 +98,13 @@ def test_stalled_jobs(spark):
     jobs = spark.createDataFrame([(1, "doing", "w1", 1), (2, "doing", "w2", 1), (3, "doing", "gone", 3), (4, "done", "gone", 1)], "job int, status string, worker string, attempts int")
     workers = spark.createDataFrame([("w1", now), ("w2", now - datetime.timedelta(seconds=301))], "worker string, beat timestamp")
     assert sorted(map(tuple, S.stalled(jobs, workers, now).collect())) == [(2, "retry"), (3, "fail")]
+
+
+def test_samples_are_judged_once_over_batches(spark, tmp_path):
+    rows = [("a", i, i in (1, 3, 4), 6, 1) for i in range(6)] + [("b", i, i == 2, 4, 1) for i in range(4)] + [("c", 0, False, 3, 0)]
+    df = spark.createDataFrame(rows, "lot string, at int, error boolean, size int, accepted int")
+    for i in range(6):
+        df.filter(F.col("at") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run(spark, S.reviewed_samples(stream), "samples").collect()
+    assert sorted(map(tuple, got)) == [("a", "escalated", 4, 2), ("b", "passed", 4, 1)]
