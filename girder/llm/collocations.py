@@ -336,7 +336,7 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", max_n
     """(lang, n), the words of each language, and (lang, phrase, size, n) of the phrases of at most max_n words that occur
     least times or more."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    words = checkpointed(rows.mapInArrow(_word_counts(portion), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = checkpointed(rows.mapInArrow(_word_counts(4 * portion), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = checkpointed(words.groupBy("lang").agg(F.sum("n").alias("n")))
     all_words = totals.agg(F.sum("n")).first()[0] or 0
     # no more than MOST_HEAVY words can occur so often

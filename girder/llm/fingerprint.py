@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from girder.llm.flat import U64, span_hashes
 from girder.llm.pieces import text_groups
-from girder.llm.shared import fresh, partitions, table
+from girder.llm.shared import fresh, partitions, table, whole_ids
 
 SLOTS = ((0, 8), (8, 16), (24, 40))
 WIDTH = 64
@@ -251,8 +251,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness; a null text is empty, and rows with one id
-    stand in the order of a hash of their texts."""
-    docs = table(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    stand in the order of a hash of their texts; ids that are no whole numbers raise a TypeError."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select(F.coalesce(whole_ids(docs, "doc_id"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     out = with_following(docs).mapInArrow(_compare, schema)
     return out.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), *out.columns[1:])

@@ -87,10 +87,14 @@ def found_in(blobs: DataFrame, text: str = "text", rules: dict[str, str] | None
     return staged.select(*keep, F.array_sort(F.concat(*lists)).alias("found"))
 
 
+#: The session's setting that names the folder of a kept ledger; queries and the pipeline read it too.
+LEDGER_SETTING = "spark.girder.secrets.ledger"
+
+
 def open_ledger(spark: SparkSession, folder: str | None = None) -> tuple[str, DataFrame]:
-    """The ledger's folder, made if it is not there, and its rows.  Without a folder it is a new one beside the
-    checkpoints, so that the run scans all blobs."""
-    folder = folder or f"{checkpoint_folder(spark)}/secrets-{uuid.uuid4().hex}"
+    """The ledger's folder, made if it is not there, and its rows.  Without a folder it is the one that the session's
+    setting LEDGER_SETTING names, and without that a new one beside the checkpoints, so that the run scans all blobs."""
+    folder = folder or spark.conf.get(LEDGER_SETTING, None) or f"{checkpoint_folder(spark)}/secrets-{uuid.uuid4().hex}"
     spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(folder)
     return folder, spark.read.schema(LEDGER).parquet(folder)
 
@@ -155,7 +159,7 @@ def redact(docs: DataFrame, path: str = "doc_id", text: str = "text", mark: str
 
 def op5_secret_scan(spark, sf_dir: str, ledger: str | None = None) -> DataFrame:
     """Counts, digest and spans of every document (a null text has none; an empty table gives no rows).  ledger is the
-    folder of a kept ledger, whose blobs are not scanned again; without one the run keeps its own."""
+    folder of a kept ledger, whose blobs are not scanned again; without one the session's setting counts (open_ledger)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = findings_by_path(*scanned(docs, ledger))
 

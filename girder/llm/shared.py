@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from girder.operators.checkpoints import checkpoint_folder, checkpointed  # noqa: F401
 
@@ -29,3 +30,11 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 
 def utf8(column: str):
     return F.col(column).cast("string")
+
+
+def whole_ids(docs: DataFrame, doc_id: str) -> Column:
+    """The id column as long, for operators whose result follows the order of ids; other ids than whole numbers raise."""
+    kind = docs.schema[doc_id].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{doc_id} has to be a whole number, as its order counts, and is {kind.simpleString()}")
+    return F.col(doc_id).cast("long")

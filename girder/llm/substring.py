@@ -34,7 +34,8 @@ Sequences are compared by two independent 64-bit hashes of their words.
 Cases: null, empty and blank texts have no words; texts of fewer words than a
 window are kept; rows with equal ids are judged each by itself, neither being
 earlier than the other; rows with a null id stand before all others, on the same
-terms; a text of any length is one unit; an empty table gives an empty result.
+terms; ids that are no whole numbers raise a TypeError; a text of any length is one unit;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.llm.flat import BYTE_VALUES, NOT_SPACE, SEQ_BASE, U64, covered, mix, ragged, span_hashes, text_slices, window_hashes, words
-from girder.llm.shared import checkpointed, partitions, table
+from girder.llm.shared import checkpointed, partitions, table, whole_ids
 
 WINDOW = 20
 SEED = 6
@@ -308,7 +309,7 @@ PLACED = "doc long, tie long, start int, n int"
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of each document."""
     parts = partitions(docs.sparkSession)
-    plain = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text).cast("string").alias("text"))
+    plain = docs.select(F.coalesce(whole_ids(docs, doc_id), F.lit(NULL_ID)).alias("doc"), F.col(text).cast("string").alias("text"))
     # where ids repeat, a hash of the text tells their rows apart; else nothing has to be sent for that
     repeated_ids = plain.groupBy("doc").count().filter("count > 1").limit(1).count() > 0
     plain = plain.select("doc", (F.xxhash64("text") if repeated_ids else F.lit(0).cast("long")).alias("tie"), "text")

@@ -135,4 +135,5 @@ def token_counts(docs: DataFrame, text: str = "text", model: str | None = None,
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every whole text; a null or empty text has none, and an empty table gives no rows."""
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")

@@ -94,3 +94,13 @@ def test_empty_tables_and_taken_names(spark):
     assert out.count() == 0 and "_n_words" in out.columns
     one = decontam.scan(spark.createDataFrame([(1, "a b", "mine")], d.schema), b).first()
     assert (one.n_words, one._n_words, list(one.hit_items)) == ("mine", 2, [])
+
+
+def test_one_very_long_text(spark, tmp_path):
+    rnd = random.Random(4)
+    long = [f"w{rnd.randrange(300)}" for _ in range(120_000)]
+    items = [(f"i{k}", " ".join(long[k * 9000 : k * 9000 + 30])) for k in range(6)] + [("other", " ".join(f"x{k}" for k in range(20))), ("one", "w7")]
+    docs = [(1, " ".join(long)), (2, "x1 x2")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert query(decontam.op7_decontamination(spark, str(tmp_path))) == brute(docs, items)

@@ -94,3 +94,15 @@ def test_redaction(spark):
     out = {r.doc_id: r.text for r in S.redact(df).collect()}
     assert out == {1: 'a [SECRET]" é', 2: "clean", 3: None, 4: "[SECRET] end"}
     assert S.redact(df).columns == df.columns
+
+
+def test_ledger_named_by_the_session(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'token = "abcdef123"'), (2, "nothing")], "doc_id long, text string")
+    spark.conf.set(S.LEDGER_SETTING, str(tmp_path / "ledger"))
+    try:
+        for _ in range(2):
+            assert {r.doc_id: r.text for r in S.redact(df).collect()}[2] == "nothing"
+    finally:
+        spark.conf.unset(S.LEDGER_SETTING)
+    # the second run scanned nothing anew
+    assert spark.read.parquet(str(tmp_path / "ledger")).count() == 2

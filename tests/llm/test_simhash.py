@@ -119,3 +119,13 @@ def test_bucket_of_near_texts_discards_by_pivots():
         assert len(bucket.nodes) == (60 if room else 30)
         # most pairs fall to the pivot table, and few sets are read in vain
         assert 30 <= bucket.read < 60 and bucket.left < bucket.met / 2
+
+
+def test_one_very_long_text(spark, tmp_path):
+    rnd = random.Random(5)
+    long = [rnd.choice("abcdefgh") + str(rnd.randrange(900)) for _ in range(120_000)]
+    texts = [" ".join(long), "\n".join([*long[:60_000], "other", *long[60_001:]]), "a b c"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op3_simhash(spark, str(tmp_path)).collect()}
+    prints = [brute_print(t) for t in texts]
+    assert got == {i: (f"{p:016x}", c) for i, (p, c) in enumerate(zip(prints, brute_components(prints)))}

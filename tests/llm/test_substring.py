@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 
 from girder.llm import substring as S
 
@@ -142,3 +143,17 @@ def test_words_with_one_first_hash_stay_apart(monkeypatch):
     assert len(set(zip(*(x.tolist() for x in s.windows())))) == len({tuple(words[i : i + 20]) for i in range(3981)})
     *_, context, second = s.runs()
     assert len(set(context.tolist())) < len(set(second.tolist()))
+
+
+def test_one_very_long_text(spark, tmp_path):
+    rnd = random.Random(9)
+    long = [f"w{rnd.randrange(4000)}" for _ in range(150_000)]
+    long[90_000:90_400] = long[1000:1400]
+    rows = [(1, " ".join(long)), (2, " ".join(long[40_000:40_300])), (3, "short")]
+    save(spark, rows, tmp_path, 2)
+    assert got(S.op6_substring_dedup(spark, str(tmp_path))) == brute(rows)
+
+
+def test_ids_that_are_no_numbers_raise(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        S.deduplicated(spark.createDataFrame([("a", "x y")], "doc_id string, text string"))
