@@ -71,6 +71,27 @@ def overlap(lo: Column, hi: Column, lo2: Column, hi2: Column) -> Column:
     return (low(lo) <= high(hi2)) & (low(lo2) <= high(hi))
 
 
+def overlap_counts(asked: DataFrame, ranges: DataFrame, keys: list[str], ident: str, times: str | None = None) -> DataFrame:
+    """(ident, n): how many ranges (keys, lo, hi) meet each asked range (keys, ident, lo, hi) with equal keys, touching ends
+    included; a null end is open, and asked ranges that meet none are left out.  No range may end before it starts.
+
+    Of the ranges that begin up to an asked range's end, those that end before its start don't meet it: two running
+    counts in order of all ends give both numbers, and no pairs are made.  times is a count of equal ranges in one row.
+    """
+    low = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("-inf")))
+    high = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("inf")))
+    n = F.col(times) if times else F.lit(1).cast("long")
+    # where ends are equal, an asked start comes before ranges, and an asked end after them
+    row = lambda at, turn, begun, ended, who: F.struct(at.alias("at"), F.lit(turn).alias("turn"), begun.cast("long").alias("begun"), ended.cast("long").alias("ended"), who.alias(ident))
+    none, nobody = F.lit(0), F.lit(None).cast(asked.schema[ident].dataType)
+    ends = ranges.select(*keys, F.explode(F.array(row(low("lo"), 1, n, none, nobody), row(high("hi"), 1, none, n, nobody))).alias("e"))
+    asks = asked.select(*keys, F.explode(F.array(row(low("lo"), 0, none, none, F.col(ident)), row(high("hi"), 2, none, none, F.col(ident)))).alias("e"))
+    order = Window.partitionBy(*keys).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    swept = ends.union(asks).select(*keys, "e.*").withColumns({"begun": F.sum("begun").over(order), "ended": F.sum("ended").over(order)}).filter(F.col(ident).isNotNull())
+    met = swept.groupBy(ident).agg((F.max(F.when(F.col("turn") == 2, F.col("begun"))) - F.max(F.when(F.col("turn") == 0, F.col("ended")))).alias("n"))
+    return met.filter("n > 0")
+
+
 def near_pairs(points: DataFrame, keys: list[str], x: str, y: str, row: str, radius: float) -> DataFrame:
     """(a, b) of points with equal keys whose coordinates differ by radius at most on both axes, a < b.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
 from fractions import Fraction
 from math import comb
 
@@ -152,11 +154,24 @@ def regressions(baseline: DataFrame, result: DataFrame, name: str, value: str, h
     return was.join(now, name, "left").withColumn("reason", reason).filter("reason IS NOT NULL").select(name, "was", "now", "reason")
 
 
-def seeded_draw(lot: list[str], size: int, seed: int) -> list[str]:
-    """A repeatable sample of a lot in order (a review lot, of a few thousand at most)."""
-    import random
+def seeded_draws(items: DataFrame, lot: str, item: str, size: int) -> DataFrame:
+    """(lot, item): a repeatable sample of each lot's different items, drawn by a generator that the lot's number seeds.
 
-    return sorted(random.Random(seed).sample(sorted(lot), min(size, len(lot))))
+    The generator needs the number of items only and gives places in their order, so no lot is ever one row: items get
+    their places by a window, and those drawn join them.
+    """
+    import pandas as pd
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            picked = [(k, place + 1) for k, n in zip(frame[lot], frame["n"]) for place in random.Random(int(k)).sample(range(n), min(size, n))]
+            yield pd.DataFrame(picked, columns=[lot, "place"])
+
+    different = items.select(lot, item).distinct()
+    kind = items.schema[lot].dataType.simpleString()
+    places = different.groupBy(lot).agg(F.count("*").alias("n")).mapInPandas(draw, f"`{lot}` {kind}, place int")
+    placed = different.withColumn("place", F.row_number().over(Window.partitionBy(lot).orderBy(item)))
+    return placed.join(places, [lot, "place"]).select(lot, item)
 
 
 def running_share(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:

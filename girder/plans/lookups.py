@@ -56,15 +56,16 @@ SELECT n, CAST(count(*) AS BIGINT) AS governing FROM j GROUP BY n HAVING NOT boo
 def range_conflicts(spark, sf_dir) -> DataFrame:
     """Notes whose size range meets specified values of their system, none of which agrees.
 
-    Values and notes that state the same meet once, as statements with counts; what was found goes back to the notes."""
+    Values that state the same are one row with their number.  The values that a note meets are counted in order of all
+    ends, once for the system and once for what the note says, and a note disagrees if the second count is none."""
     p = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "system")
-    v = p.filter("p_partkey % 2 = 0").select("system", F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("lo"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") + 3).alias("hi"), F.col("p_type").alias("given"))
-    v = v.groupBy("system", "lo", "hi", "given").agg(F.count("*").alias("times"))
-    n = p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("n"), "system", F.col("p_size").alias("lo2"), (F.col("p_size") + 1).alias("hi2"), F.col("p_type").alias("noted"))
-    stated = ["system", "lo2", "hi2", "noted"]
-    met = v.join(n.select(*stated).distinct(), "system").filter(lookup.overlap(F.col("lo"), F.col("hi"), F.col("lo2"), F.col("hi2")))
-    bad = met.groupBy(*stated).agg(F.sum("times").alias("governing"), F.max(F.col("noted") == F.col("given")).alias("agrees")).filter("NOT agrees")
-    return n.join(bad, stated).select("n", "governing")
+    v = p.filter("p_partkey % 2 = 0").select("system", F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("lo"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") + 3).alias("hi"), F.col("p_type").alias("said"))
+    v = v.groupBy("system", "lo", "hi", "said").agg(F.count("*").alias("times"))
+    n = p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("n"), "system", F.col("p_size").alias("lo"), (F.col("p_size") + 1).alias("hi"), F.col("p_type").alias("said"))
+    asked = n.withColumnRenamed("n", "note")
+    governing = lookup.overlap_counts(asked, v, ["system"], "note", "times").withColumnRenamed("n", "governing")
+    agreeing = lookup.overlap_counts(asked, v, ["system", "said"], "note", "times")
+    return governing.join(agreeing, "note", "left_anti").select(F.col("note").alias("n"), "governing")
 
 
 _POINTS = "SELECT l_orderkey * 1000003 + l_partkey * 1009 + l_suppkey * 11 + l_linenumber AS id, l_returnflag AS kind, l_discount * 10 + l_tax AS x, CAST(l_partkey AS DOUBLE) / 97 + l_quantity / 100 AS y FROM lineitem"

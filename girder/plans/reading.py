@@ -6,9 +6,6 @@ to come out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,15 +209,9 @@ def quotations_read(spark, sf_dir) -> DataFrame:
 
 @query()
 def review_draws(spark, sf_dir) -> DataFrame:
-    """A repeatable sample of each review lot: three suppliers of a nation (a lot has a few thousand at most)."""
+    """A repeatable sample of each review lot: three suppliers of a nation."""
     s = table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_name").alias("item"))
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            picked = [(k, x) for k, lot in zip(frame["s_nationkey"], frame["lot"]) for x in metrics.seeded_draw(list(lot), 3, int(k))]
-            yield pd.DataFrame(picked, columns=["s_nationkey", "item"])
-
-    return s.groupBy("s_nationkey").agg(F.collect_set("item").alias("lot")).mapInPandas(draw, "s_nationkey int, item string")
+    return metrics.seeded_draws(s, "s_nationkey", "item", 3)
 
 
 def clauses(spark, sf_dir) -> DataFrame:

@@ -203,3 +203,14 @@ def test_empty_tables(spark):
     assert versions.delta(none, none, "k", ["v"]).count() == 0 and versions.recompute(none, none, "k", "v").count() == 0
     assert lookup.latest(none, ["k"], "v").count() == 0
     assert lookup.components(none.select(F.col("k").alias("a"), F.col("v").alias("b")), checkpointed).count() == 0
+
+
+def test_overlap_counts(spark):
+    rnd = random.Random(12)
+    end = lambda x: None if rnd.random() < 0.1 else x
+    ranges = [(rnd.choice("ab"), end(lo), end(lo + rnd.randrange(6))) for lo in (rnd.randrange(40) for _ in range(120))]
+    asked = [(rnd.choice("abc"), i, end(lo), end(lo + rnd.randrange(9))) for i, lo in enumerate(rnd.randrange(-5, 50) for _ in range(200))]
+    low, high = (lambda x: -1e9 if x is None else x), (lambda x: 1e9 if x is None else x)
+    want = {i: sum(k == kk and low(lo) <= high(hi2) and low(lo2) <= high(hi) for kk, lo, hi in ranges) for k, i, lo2, hi2 in asked}
+    got = lookup.overlap_counts(spark.createDataFrame(asked, "k string, i int, lo int, hi int"), spark.createDataFrame(ranges, "k string, lo int, hi int"), ["k"], "i")
+    assert {r.i: r.n for r in got.collect()} == {i: n for i, n in want.items() if n}
