@@ -21,6 +21,15 @@ NEGATIONS = ("not", "no")
 #: What a design note calls the distance of heads, the area of one, and a limit.
 SPACING_WORDS, AREA_WORDS = ("spacing", "spacings", "centres", "apart", "distance"), ("area", "coverage")
 HEAD_WORDS, LIMIT_WORDS = ("sprinkler", "sprinklers", "head", "heads"), ("max", "maximum", "limit", "most", "exceed", "exceeding")
+#: What views are called, by words of their titles that stand together; the first that fits counts.
+VIEWS = (
+    ("enlarged plan", ("enlarged", "plan")), ("key plan", ("key plan",)), ("section", ("section",)), ("elevation", ("elevation",)),
+    ("schematic", ("schematic",)), ("schematic", ("riser diagram",)), ("detail", ("detail",)), ("detail", ("details",)), ("plan", ("plan",)), ("plan", ("layout",)),
+)
+#: Words beside a level's number, and endings of ordinals.
+LEVEL_BEFORE, LEVEL_BEHIND, ORDINALS = ("level", "lvl", "storey"), ("storey", "floor", "level"), ("st", "nd", "rd", "th")
+#: Words that a title has at most, with a comma and without.
+TITLE_WORDS, TITLE_WORDS_WITH_COMMA = 14, 8
 #: Marks of a currency before an amount.
 MONEY_MARKS = ("$", "sgd")
 
@@ -95,6 +104,33 @@ def note_values(line: Column) -> Column:
     return let(tokens(line), of)
 
 
+def is_title(text: Column) -> Column:
+    """Whether a line can be a view's title: a phrase, and no sentence or numbered note that has a title's word in it."""
+    plain = F.trim(text)
+    n = F.size(F.split(plain, r"\s+"))
+    # a full stop or semicolon with more words behind it; a number with a stop or bracket at the start
+    runs_on = plain.rlike(r"[.;]\s+\p{L}")
+    first = F.translate(F.get(F.split(plain, r"\s+"), F.lit(0)), "(", "")
+    numbered = (n > 1) & F.substring(first, -1, 1).isin(".", ")") & F.length(first).between(2, 3) & F.left(first, F.length(first) - 1).try_cast("int").isNotNull()
+    return ~runs_on & ~numbered & (n <= F.when(F.contains(plain, F.lit(",")), TITLE_WORDS_WITH_COMMA).otherwise(TITLE_WORDS))
+
+
+def view_of(title: Column) -> tuple[Column, Column]:
+    """The kind of view that a title names, and its level; null for lines that are no titles."""
+    line = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"\p{L}+\d*|\d+"), F.lit(0)), " "), F.lit(" "))
+    kind = F.lit(None).cast("string")
+    for name, words in reversed(VIEWS):
+        has = F.lit(True)
+        for w in words:
+            has &= F.contains(line, F.lit(f" {w} "))
+        kind = F.when(has, name).otherwise(kind)
+    number = lambda pattern: F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
+    named = number(rf" (?:{'|'.join(LEVEL_BEFORE)}) (\d{{1,2}}|b\d|roof) ")
+    ordinal = number(rf" (\d{{1,2}}) (?:{'|'.join(ORDINALS)}) (?:{'|'.join(LEVEL_BEHIND)}) ")
+    ok = is_title(title)
+    return F.when(ok, kind), F.when(ok & kind.isNotNull(), F.upper(F.coalesce(named, ordinal)))
+
+
 def is_heading(line: Column) -> Column:
     """Whether a line is a title: it ends with a colon or is all in capitals, and has a word of four letters or more."""
     plain = F.trim(line)

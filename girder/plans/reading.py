@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girder.functions import text as X
+from girder.functions import wording as W
 from girder.operators import documents, drawing, layout_text, metrics, versions
 from girder.plans.registry import query
 from girder.sources import files
@@ -147,6 +148,27 @@ def symbol_scores(spark, sf_dir) -> DataFrame:
     return p.select("p_partkey", score.alias("score"))
 
 
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE l_partkey % 11 WHEN 0 THEN 'plan' WHEN 1 THEN 'enlarged plan' WHEN 2 THEN 'section' WHEN 3 THEN 'plan' WHEN 4 THEN 'schematic' WHEN 6 THEN 'key plan' WHEN 8 THEN 'detail' WHEN 10 THEN 'elevation' END AS view,
+CASE WHEN l_partkey % 11 IN (0, 10) THEN CAST(l_linenumber AS VARCHAR) WHEN l_partkey % 11 = 1 THEN 'B' || l_linenumber WHEN l_partkey % 11 = 3 THEN CAST(l_linenumber + 3 AS VARCHAR) END AS level FROM lineitem""")
+def view_titles(spark, sf_dir) -> DataFrame:
+    """Kinds and levels of views by their titles; notes and sentences that have a title's words are none."""
+    i, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    title = wording(
+        F.col("l_partkey"), ("LEVEL ", n, " SPRINKLER LAYOUT"), ("Enlarged plan of pump room ", n, " at lvl B", n), "SECTION A-A", (n + 3, "TH STOREY PLAN"), ("Riser diagram ", n), (n, ". Plans are indicative"),
+        "KEY PLAN", "Read with the detail drawings. Sizes are nominal", ("TYPICAL DETAILS ", n), "PLANT ROOM", ("Level ", n, " - elevation"),
+    )
+    view, level = W.view_of(title)
+    return i.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", view.alias("view"), level.alias("level"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 60 AS paths, o_custkey % 7 AS texts, o_custkey % 3 AS images, (o_orderkey % 21) / 20.0::DOUBLE AS cover FROM orders)
+SELECT o_orderkey, CASE WHEN images = 0 AND paths + texts = 0 THEN 'empty' WHEN cover >= 0.8 THEN 'raster' WHEN images > 0 AND cover >= 0.1 THEN 'mixed' WHEN paths + texts >= 8 THEN 'vector' ELSE 'empty' END AS content FROM o""")
+def page_contents(spark, sf_dir) -> DataFrame:
+    """What pages are made of, the share that images cover first: a scan stays one with a title block drawn on it."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    return o.select("o_orderkey", files.page_content(k % 60, F.col("o_custkey") % 7, F.col("o_custkey") % 3, (k % 21) / F.lit(20.0), scan=0.8, plain=0.1, least=8).alias("content"))
+
+
 @query("""WITH o AS (SELECT p_partkey, p_size % 3 AS paths, p_size % 4 AS texts, p_size % 2 AS images, p_partkey % 10 / 10.0 AS cover FROM part)
 SELECT p_partkey, CASE WHEN paths + texts = 0 AND images = 0 THEN 'empty' WHEN images > 0 AND cover >= 0.5 THEN CASE WHEN paths + texts > 0 THEN 'mixed' ELSE 'raster' END WHEN paths + texts > 0 THEN 'vector' ELSE 'raster' END AS content FROM o""")
 def page_classes(spark, sf_dir) -> DataFrame:

@@ -35,6 +35,14 @@ def page_class(paths: Column, texts: Column, images: Column, image_cover: Column
     return F.when(~drawn & (images == 0), "empty").when((images > 0) & (image_cover >= raster_cover), F.when(drawn, "mixed").otherwise("raster")).otherwise(F.when(drawn, "vector").otherwise("raster"))
 
 
+def page_content(paths: Column, texts: Column, images: Column, image_cover: Column, scan: float, plain: float, least: int) -> Column:
+    """vector, raster, mixed or empty.  Images that cover the share `scan` of a page make it a raster whatever is drawn on
+    it; those that cover less than `plain` don't count, and then `least` objects make it a drawing."""
+    drawn = paths + texts
+    bare = (images == 0) | (image_cover < plain)
+    return F.when((images == 0) & (drawn == 0), "empty").when(image_cover >= scan, "raster").when(~bare, "mixed").when(drawn >= least, "vector").otherwise("empty")
+
+
 def _entries(name: str, payload: bytes, depth: int, most: int, total: int, ratio: int, deepest: int) -> Iterator[tuple[str, int, bytes | None, str | None]]:
     try:
         archive = zipfile.ZipFile(io.BytesIO(payload))

@@ -77,3 +77,14 @@ def test_clauses_keep_quantities(spark):
     df = spark.createDataFrame([("d", *r) for r in rows], "doc string, n int, style string, t string")
     got = documents.numbered_clauses(df, "doc", "n", "style", "t").orderBy("ordinal").collect()
     assert [(r.number, r.heading, r.text) for r in got] == [("1", "General", ""), ("1.1", "", "Scope of works 20 mm pipes 7.5 parts"), ("1.2", "", "Standards")]
+
+
+def test_views(spark):
+    want = {
+        "ENLARGED PUMP ROOM PLAN": ("enlarged plan", None), "Key plan": ("key plan", None), "SECTION A-A": ("section", None), "LEVEL 5 SPRINKLER LAYOUT": ("plan", "5"),
+        "10th Storey Plan": ("plan", "10"), "LVL B2 - PLAN": ("plan", "B2"), "Level Roof plan": ("plan", "ROOF"), "Wet riser diagram": ("schematic", None), "TYPICAL DETAILS": ("detail", None),
+        "PLANT ROOM": (None, None), "1. The layout is indicative": (None, None), "(2) details": (None, None), "See plan. Pipes are black": (None, None),
+        "the schematic layouts, equipment sizes and all other things of the works": (None, None), " ".join(["plan"] * 15): (None, None), "3RD FLOOR ELEVATION": ("elevation", "3"), "": (None, None),
+    }
+    kinds, levels = (told(spark, [*want, None], lambda c, k=k: W.view_of(c)[k]) for k in (0, 1))
+    assert list(zip(kinds, levels)) == [*want.values(), (None, None)]
