@@ -7,6 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from girder.operators.lookup import as_of
+
 MONEY = "decimal(14,2)"
 FINE = "decimal(18,4)"
 
@@ -43,6 +45,33 @@ def build_up(direct: DataFrame, percents: dict[str, str]) -> DataFrame:
     return out.withColumn("margin", part("margin", "cost_with_contingency")).withColumn("price", (F.col("cost_with_contingency") + F.col("margin")).cast(MONEY))
 
 
+def with_tax(totals: DataFrame, rates: DataFrame, keys: list[str], day: str, amount: str, row: list[str]) -> DataFrame:
+    """totals with the percent in force on their day, the tax on their amount, half up to the cent, and both together.
+
+    rates: keys, since, percent.  A day before all rates of its key is an error, as a total without tax would go unseen.
+    """
+    found = as_of(totals, rates, keys, day, "since", row, bucket=lambda c: F.year(c))
+    missing = F.raise_error(F.concat(F.lit("no tax rate is in force on "), F.col(day).cast("string")))
+    found = found.withColumn("percent", F.when(F.col("percent").isNull(), missing).otherwise(F.col("percent")).cast("decimal(6,3)"))
+    found = found.withColumn("tax", money(F.col(amount).cast(MONEY) * F.col("percent") / 100))
+    return found.withColumn("inclusive", (F.col(amount).cast(MONEY) + F.col("tax")).cast(MONEY)).drop("since")
+
+
+def call_costs(calls: DataFrame, prices: DataFrame, keys: list[str], day: str, row: list[str]) -> DataFrame:
+    """calls (fresh and cached tokens in `tokens`, of those `cached`, and `output` ones) with cost, by the prices for a
+    million tokens that were in force on their day.
+
+    prices: keys, since, per_input, per_output, per_cached (null: as input).  Costs have six places, ties to the even digit;
+    a call without a price costs nothing, which is seen where costs are listed.
+    """
+    found = as_of(calls, prices, keys, day, "since", row, bucket=lambda c: F.year(c))
+    wide = lambda c: F.col(c).cast("decimal(18,0)")
+    fresh = F.greatest(F.col("tokens") - F.col("cached"), F.lit(0)).cast("decimal(18,0)")
+    total = fresh * F.col("per_input") + wide("output") * F.col("per_output") + wide("cached") * F.coalesce("per_cached", "per_input")
+    cost = (F.bround(total, 0).cast("decimal(24,0)") / 1_000_000).cast("decimal(24,6)")
+    return found.select(*calls.columns, F.coalesce(cost, F.lit(0)).cast("decimal(24,6)").alias("cost"))
+
+
 def landed_unit(price: Column, rate: Column, buffer_percent: str, percents: list[str]) -> Column:
     """A foreign price in own money: exchange and its buffer, each import line as a percentage of that, four places each, two in the end."""
     base = F.round(price * rate, 4).cast(FINE)

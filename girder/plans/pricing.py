@@ -100,3 +100,32 @@ def validity_flags(spark, sf_dir) -> DataFrame:
     day = lambda d: F.lit(d).cast("date")
     flag = F.when(F.col("o_custkey") % 4 == 0, "no validity").when(until < day("1999-01-01"), "expired").when(until < day("2000-01-01"), "ends before the tender").otherwise("")
     return table(spark, sf_dir, "orders").select("o_orderkey", until.alias("valid_until"), flag.alias("flag"))
+
+
+@query("""WITH r AS (SELECT state, since, percent FROM (VALUES ('F', DATE '1990-01-01', 700), ('F', DATE '1996-07-01', 800), ('F', DATE '2000-01-01', 900), ('O', DATE '1995-01-01', 550), ('O', DATE '1999-03-15', 625), ('P', DATE '1980-01-01', 0)) AS v(state, since, percent)),
+o AS (SELECT o_orderkey, o_orderstatus AS state, CAST(o_orderdate AS DATE) AS day, CAST(round(CAST(o_totalprice AS DECIMAL(14,2)) * 100) AS BIGINT) AS cents FROM orders)
+SELECT o_orderkey, percent / 100.0::DOUBLE AS percent, CAST((cents * percent + 5000) // 10000 AS BIGINT) AS tax_cents, CAST(cents + (cents * percent + 5000) // 10000 AS BIGINT) AS inclusive_cents FROM o ASOF JOIN r ON o.state = r.state AND o.day >= r.since""")
+def taxed_totals(spark, sf_dir) -> DataFrame:
+    """Totals with the tax in force on the day of their order, by state; a day without a rate stops the query."""
+    known = [("F", "1990-01-01", "7"), ("F", "1996-07-01", "8"), ("F", "2000-01-01", "9"), ("O", "1995-01-01", "5.5"), ("O", "1999-03-15", "6.25"), ("P", "1980-01-01", "0")]
+    rates = spark.createDataFrame(known, "state string, since string, percent string").select("state", F.col("since").cast("date").alias("since"), F.col("percent").cast("decimal(6,3)").alias("percent"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("state"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("decimal(14,2)").alias("total"))
+    found = costing.with_tax(o, rates, ["state"], "day", "total", ["o_orderkey"])
+    cents = lambda c: (F.col(c) * 100).cast("long").alias(f"{c}_cents")
+    return found.select("o_orderkey", F.col("percent").cast("double").alias("percent"), cents("tax"), cents("inclusive"))
+
+
+@query("""WITH p AS (SELECT * FROM (VALUES ('user', DATE '2024-02-01', 300, 1500, 30), ('user', DATE '2024-09-15', 250, 1255, NULL), ('assistant', DATE '2023-01-01', 75, 301, 7)) AS v(model, since, i, o, c)),
+u AS (SELECT conv_id, turn, role AS model, DATE '2024-01-01' + CAST(conv_id % 400 AS INTEGER) AS day, length(coalesce(text, '')) AS tokens, length(coalesce(text, '')) % 90 AS cached, turn * 7 + 3 AS output FROM conversations),
+t AS (SELECT conv_id, turn, u.model, coalesce(greatest(tokens - cached, 0) * i + output * o + cached * coalesce(c, i), 0) AS total FROM u ASOF LEFT JOIN p ON u.model = p.model AND u.day >= p.since)
+SELECT conv_id, turn, model, CAST(total // 100 + CASE WHEN total % 100 > 50 OR (total % 100 = 50 AND total // 100 % 2 = 1) THEN 1 ELSE 0 END AS BIGINT) AS micros FROM t""")
+def call_costs(spark, sf_dir) -> DataFrame:
+    """What model calls cost by the price in force on their day, in millionths; unpriced calls cost nothing."""
+    known = [("user", "2024-02-01", "3.00", "15.00", "0.30"), ("user", "2024-09-15", "2.50", "12.55", None), ("assistant", "2023-01-01", "0.75", "3.01", "0.07")]
+    prices = spark.createDataFrame(known, "model string, since string, per_input string, per_output string, per_cached string")
+    prices = prices.select("model", F.col("since").cast("date").alias("since"), *[F.col(c).cast("decimal(10,2)").alias(c) for c in ("per_input", "per_output", "per_cached")])
+    n = F.length(F.coalesce("text", F.lit("")))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 400).cast("int"))
+    calls = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("model"), day.alias("day"), n.alias("tokens"), (n % 90).alias("cached"), (F.col("turn") * 7 + 3).alias("output"))
+    found = costing.call_costs(calls, prices, ["model"], "day", ["conv_id", "turn", "tokens"])
+    return found.select("conv_id", "turn", "model", (F.col("cost") * 1_000_000).cast("long").alias("micros"))

@@ -20,3 +20,17 @@ def test_nearest_ranks(spark):
 def test_percentiles_hold_no_group_in_an_array(spark, sf_dir):
     plan = catalog.QUERIES["nearest_rank_percentiles"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_tax_without_a_rate_is_an_error(spark):
+    import pytest
+
+    from girder.operators import costing
+
+    rates = spark.sql("SELECT 'a' AS k, DATE '2020-01-01' AS since, CAST(7 AS DECIMAL(6,3)) AS percent")
+    totals = spark.sql("SELECT * FROM VALUES (1, 'a', DATE '2020-01-01', 10.05), (2, 'a', DATE '2021-05-01', 0.50) AS t(id, k, day, total)")
+    got = costing.with_tax(totals, rates, ["k"], "day", "total", ["id"]).orderBy("id").collect()
+    assert [(str(r.tax), str(r.inclusive)) for r in got] == [("0.70", "10.75"), ("0.04", "0.54")]
+    early = totals.unionAll(spark.sql("SELECT 3, 'a', DATE '2019-12-31', 1.00"))
+    with pytest.raises(Exception, match="no tax rate"):
+        costing.with_tax(early, rates, ["k"], "day", "total", ["id"]).collect()
