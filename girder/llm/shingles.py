@@ -12,12 +12,14 @@ from girder.llm.flat import BYTE_VALUES, LOWER, NOT_SPACE, SEQ_BASE, U64, mix, r
 #: A band is ROWS minima of the set; two sets of Jaccard similarity s share one of the bands with a chance of
 #: 1 - (1 - s**ROWS)**BANDS, which is 0.99993 at 0.8.
 BANDS, ROWS = 24, 5
+#: Bytes of texts that are hashed at once.
+SLICE = 1 << 20
 
 
 def shingles(batch: pa.RecordBatch, text: str, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each slice of a batch the hashes of all shingles (A-Z in lower case; a shorter text is one), and each text's
     bounds in them."""
-    for _, _, data, offsets in text_slices(batch, text):
+    for _, _, data, offsets in text_slices(batch, text, SLICE):
         data = LOWER[data]
         starts, ends, bound = words(data, offsets, NOT_SPACE)
         hashes = span_hashes(BYTE_VALUES[data], starts, ends)

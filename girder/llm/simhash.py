@@ -76,7 +76,7 @@ CROWD = 4096
 SHINGLE, SIMILARITY = 5, 0.8
 FAR = 20
 #: Bytes of sets of shingles that a task holds of a bucket, and texts from which on a bucket is dealt to several tasks.
-HELD_BYTES, TEXTS = 64 << 20, 1024
+HELD_BYTES, TEXTS = 16 << 20, 1024
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -322,8 +322,9 @@ class Bucket:
         self.refs = np.zeros(0, U64)
         self.nodes: list[int] = []
         self.sets: list[np.ndarray] = []
-        self.above: list[int] = []
+        #: of each held text its fingerprint, distances to references, component and number of shingles
         self.fp, self.coords = np.zeros(16, U64), np.zeros((16, PIVOTS), np.int8)
+        self.component, self.size = np.zeros(16, np.int64), np.zeros(16, np.int64)
         self.bytes = 0
         #: a held text of each component that is known from elsewhere
         self.of: dict[int, int] = {}
@@ -331,10 +332,7 @@ class Bucket:
         self.met = self.left = self.read = 0
 
     def root(self, i: int) -> int:
-        while self.above[i] != i:
-            self.above[i] = self.above[self.above[i]]
-            i = self.above[i]
-        return i
+        return int(self.component[i])
 
     def near(self, node: int, fp: int, grams: np.ndarray, known: int | None = None) -> tuple[list[int], bool]:
         """Held texts near to this one, one of each component that it isn't known to be in; and whether it is held now."""
@@ -348,38 +346,45 @@ class Bucket:
         self.met, self.left = self.met + n, self.left + len(live)
         apart = np.bitwise_count(self.fp[live] ^ fp)
         live, apart = live[apart <= self.far], apart[apart <= self.far]
+        live = live[np.argsort(apart, kind="stable")]
+        # sizes too far apart can't be near, nor need a component be found that it is in
+        size = self.size[live]
+        live = live[np.minimum(size, len(grams)) >= self.similarity * np.maximum(size, len(grams))]
         joined = {self.root(self.of[known])} if known in self.of else set()
+        for r in joined:
+            live = live[self.component[live] != r]
         found: dict[int, int] = {}
-        for i in live[np.argsort(apart, kind="stable")].tolist():
-            if (r := self.root(i)) in found or r in joined:
-                continue
-            other = self.sets[i]
-            least, most = sorted((len(grams), len(other)))
-            if least < self.similarity * most:
-                continue
+        while len(live):
+            i = int(live[0])
             self.read += 1
-            both = len(np.intersect1d(grams, other, assume_unique=True))
-            if both >= self.similarity * (least + most - both) - 1e-9:
-                found[r] = i
+            both = len(np.intersect1d(grams, self.sets[i], assume_unique=True))
+            if both >= self.similarity * (len(grams) + len(self.sets[i]) - both) - 1e-9:
+                found[self.root(i)] = i
+                live = live[self.component[live] != self.component[i]]
+            else:
+                live = live[1:]
         room = self.bytes < self.held_bytes
         own = next(iter([*joined, *found]), None)
         if room:
             if n == len(self.fp):
-                self.fp, self.coords = np.concatenate([self.fp, self.fp]), np.concatenate([self.coords, self.coords])
-            self.fp[n], self.coords[n, :used] = fp, coords
+                self.fp, self.coords, self.component, self.size = (np.concatenate([x, x]) for x in (self.fp, self.coords, self.component, self.size))
+            self.fp[n], self.coords[n, :used], self.component[n], self.size[n] = fp, coords, n, len(grams)
             if not found and used < PIVOTS:
                 self.refs = np.append(self.refs, fp)
                 self.coords[: n + 1, used] = np.bitwise_count(self.fp[: n + 1] ^ fp)
             self.nodes.append(node)
             self.sets.append(grams)
-            self.above.append(n)
             self.bytes += grams.nbytes
-            own = n
+            own = n if own is None else own
         if own is not None:
+            held = self.component[: len(self.nodes)]
+            if room:
+                held[n] = own
             for r in (*found, *joined):
-                self.above[r] = self.root(own)
+                if r != own:
+                    held[held == r] = own
             if known is not None:
-                self.of[known] = own
+                self.of[known] = n if room else next(i for i in (*found.values(), self.of.get(known)) if i is not None)
         return [self.nodes[i] for i in found.values()], room
 
 
@@ -429,7 +434,7 @@ def near_components(rows: DataFrame, shingle: int = SHINGLE, similarity: float =
     several = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
     several = several.groupBy("n", "members").agg(F.min("key").alias("key")).select("key")
     left = checkpointed(keyed.join(several, "key").select("key", "node", F.lit(None).cast("long").alias("known"), F.lit(False).alias("follows")))
-    edges = None
+    edges = roots = None
     while True:
         # their sets, from one text of each
         asked = nodes.join(left.select("node").distinct(), "node", "left_semi").select("place")
@@ -439,18 +444,19 @@ def near_components(rows: DataFrame, shingle: int = SHINGLE, similarity: float =
         dealt = dealt.sortWithinPartitions("key", "part", F.desc("picked"), "follows", F.asc_nulls_last("first_id"), "node").select("key", "part", "picked", "node", "fp", "known", "grams")
         met = checkpointed(dealt.mapInArrow(_link_buckets(similarity, held_bytes), "a long, b long, again boolean"))
         links_ = met.filter("NOT again").select("a", "b").distinct()
-        edges = links_ if edges is None else checkpointed(edges.union(links_))
+        edges, roots = links_ if edges is None else checkpointed(edges.union(links_)), None
         again = met.filter("again").select(F.col("a").alias("node"), F.col("b").alias("key")).distinct()
         if not again.limit(1).count():
             break
         # buckets with one component left have nothing to find; of others the largest component comes last
-        again = again.join(components(edges), "node", "left").select("key", "node", F.coalesce("root", "node").alias("known"))
+        roots = components(edges)
+        again = again.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("known"))
         per = again.groupBy("key", "known").agg(F.count("*").alias("n"))
         per = per.groupBy("key").agg(F.max_by("known", F.struct("n", "known")).alias("largest"), F.count("*").alias("n")).filter("n > 1")
         left = checkpointed(again.join(per, "key").select("key", "node", "known", (F.col("known") == F.col("largest")).alias("follows")))
         if not left.limit(1).count():
             break
-    return found.select("doc_id", "place", "node").join(_labels(nodes, components(edges), "node"), "node").drop("node")
+    return found.select("doc_id", "place", "node").join(_labels(nodes, components(edges) if roots is None else roots, "node"), "node").drop("node")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, **bounds: int) -> DataFrame:
