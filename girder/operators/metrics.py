@@ -87,6 +87,47 @@ def isotonic(points: list[tuple[float, float, float]]) -> list[tuple[float, floa
     return [(s, value) for scores, value, _ in blocks for s in scores]
 
 
+def fitted_by(scores: DataFrame, family: str, score: str, correct: str, places: int = 3) -> DataFrame:
+    """(family, score, fitted): an isotonic fit of each family at every score between 0 and 1 of so many places, linear
+    between the scores that occur and flat beyond them.
+
+    Scores are counted by family and rounded score first, so a family is one group of 10**places + 1 rows at most, however
+    many outcomes it has, and no fit goes through the driver.
+    """
+    import numpy as np
+    import pandas as pd
+
+    steps = 10**places
+
+    def fit(own: pd.DataFrame) -> pd.DataFrame:
+        points = isotonic(list(zip(own["score"], own["accuracy"], own["weight"])))
+        grid = np.arange(steps + 1) / steps
+        values = np.interp(grid, [p[0] for p in points], [p[1] for p in points])
+        return pd.DataFrame({family: own[family].iloc[0], "score": grid, "fitted": values})
+
+    counted = scores.groupBy(family, F.round(score, places).alias("score")).agg(F.count("*").alias("weight"), F.avg(F.col(correct).cast("double")).alias("accuracy"))
+    kind = scores.schema[family].dataType.simpleString()
+    return counted.filter("score IS NOT NULL").groupBy(family).applyInPandas(fit, f"`{family}` {kind}, score double, fitted double")
+
+
+def holdout_report(outcomes: DataFrame, family: str, score: str, correct: str, held_out: str, places: int = 3, bins: int = 10) -> DataFrame:
+    """(family, train, holdout, accuracy, raw_error, error): calibration errors of held-out outcomes, as scored and after a
+    fit to the others of their family; null without any held out, and the scored ones' alone without a fit."""
+    fit = fitted_by(outcomes.filter(~F.col(held_out)), family, score, correct, places)
+    key = F.round(F.col("score") * 10**places).cast("long").alias("__key")
+    tests = outcomes.filter(held_out).select(family, F.col(score).alias("raw"), F.col(correct).cast("double").alias("right"), F.round(F.col(score) * 10**places).cast("long").alias("__key"))
+    tests = tests.join(fit.select(family, key, F.round("fitted", 6).alias("said")), [family, "__key"], "left")
+    edges = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    place = lambda c: F.size(F.filter(edges, lambda e: F.col(c) >= e))
+
+    def error(c: str, name: str) -> DataFrame:
+        per = tests.filter(F.col(c).isNotNull()).groupBy(family, place(c).alias("bin")).agg(F.count("*").alias("n"), F.avg(c).alias("said"), F.avg("right").alias("was"))
+        return per.groupBy(family).agg((F.sum(F.col("n") * F.abs(F.col("said") - F.col("was"))) / F.sum("n")).alias(name))
+
+    sizes = outcomes.groupBy(family).agg(F.count_if(~F.col(held_out)).alias("train"), F.count_if(F.col(held_out)).alias("holdout"), F.avg(F.when(F.col(held_out), F.col(correct).cast("double"))).alias("accuracy"))
+    return sizes.join(error("raw", "raw_error"), family, "left").join(error("said", "error"), family, "left")
+
+
 def interpolated(value: Column, fit: list[tuple[float, float]]) -> Column:
     """The fitted value at a score: linear between its points, flat beyond them, null without any."""
     if not fit:

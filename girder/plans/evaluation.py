@@ -81,6 +81,30 @@ def calibrated_scores(spark, sf_dir) -> DataFrame:
     return o.withColumn("calibrated", metrics.interpolated(F.col("confidence"), fit))
 
 
+_FAMILIES = """o AS (SELECT l_returnflag AS family, CAST(CAST(l_quantity AS INT) * 2 AS BIGINT) AS percent, CAST(l_quantity AS INT) * 2 / 100.0::DOUBLE AS raw,
+CAST((CAST(floor(l_extendedprice) AS BIGINT) % 100 < CAST(l_quantity AS INT) * 3 // 2 + 10) AS INT) AS correct, l_orderkey % 3 = 0 AS held FROM lineitem),
+w AS (SELECT family, percent, count(*) AS n, sum(correct) AS k FROM o WHERE NOT held GROUP BY ALL),
+s AS (SELECT *, sum(n) OVER (PARTITION BY family ORDER BY percent) AS cn, sum(k) OVER (PARTITION BY family ORDER BY percent) AS ck FROM w),
+ab AS (SELECT a.family, a.percent AS a, b.percent AS b, (b.ck - a.ck + a.k) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS mean FROM s a JOIN s b ON a.family = b.family AND b.percent >= a.percent),
+least AS (SELECT family, a, b, min(mean) OVER (PARTITION BY family, a ORDER BY b DESC) AS low FROM ab),
+fit AS (SELECT family, b AS percent, round(max(low), 6) AS fitted FROM least GROUP BY ALL)"""
+_HELD_BIN = " + ".join(f"({{0}} >= {i / 10}::DOUBLE)::INT" for i in range(1, 10))
+_HELD_ERROR = "(SELECT family, sum(n * abs(c - a)) / sum(n) AS e FROM (SELECT family, {1} AS bin, count(*) AS n, avg({0}) AS c, avg(correct) AS a FROM t GROUP BY ALL) GROUP BY family)"
+
+
+@query(f"""WITH {_FAMILIES}, t AS (SELECT o.*, fitted FROM o LEFT JOIN fit USING (family, percent) WHERE held)
+SELECT family, CAST(count(*) FILTER (NOT held) AS BIGINT) AS train, CAST(count(*) FILTER (held) AS BIGINT) AS holdout, round(avg(correct) FILTER (held), 6) AS accuracy, round(min(r.e), 6) AS raw_error, round(min(f.e), 6) AS error
+FROM o JOIN {_HELD_ERROR.format("raw", _HELD_BIN.format("raw"))} r USING (family) JOIN {_HELD_ERROR.format("fitted", _HELD_BIN.format("fitted"))} f USING (family) GROUP BY family""")
+def calibration_holdout(spark, sf_dir) -> DataFrame:
+    """How well scores are calibrated on held-out items, before and after an isotonic fit to the others of their family.
+    (The SQL states the fit as the largest of least means: over stretches that begin up to a score and end behind it.)"""
+    i, n = table(spark, sf_dir, "lineitem"), F.col("l_quantity").cast("int")
+    right = F.col("l_extendedprice").cast("long") % 100 < F.expr("CAST(l_quantity AS INT) * 3 div 2 + 10")
+    rows = i.select(F.col("l_returnflag").alias("family"), (n * 2 / F.lit(100.0)).alias("raw"), right.alias("correct"), (F.col("l_orderkey") % 3 == 0).alias("held"))
+    found = metrics.holdout_report(rows, "family", "raw", "correct", "held")
+    return found.select("family", "train", "holdout", *[F.round(c, 6).alias(c) for c in ("accuracy", "raw_error", "error")])
+
+
 @query()
 def sampling_plans(spark, sf_dir) -> DataFrame:
     """The least review sample of each lot size that finds a 5 % share of wrong items with 95 % confidence."""
