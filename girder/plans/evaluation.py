@@ -25,17 +25,20 @@ def counts(spark, sf_dir) -> DataFrame:
 
 @query(f"{_BOTH} SELECT t.sheet, t.kind, greatest(0.0, 1 - abs(coalesce(p.n, 0) - t.n) / t.n::DOUBLE) AS accuracy FROM t LEFT JOIN p USING (sheet, kind)")
 def count_accuracy(spark, sf_dir) -> DataFrame:
+    """Accuracy of counts by sheet and kind: two slices of the line items are truth and prediction."""
     return counts(spark, sf_dir).select("sheet", "kind", metrics.count_accuracy(F.col("t"), F.col("p")).alias("accuracy"))
 
 
 @query(f"{_BOTH} SELECT t.sheet, CASE WHEN t.kind <> 'N' THEN abs(coalesce(p.n, 0) - t.n) / t.n::DOUBLE END AS error, CASE WHEN t.kind = 'N' THEN 'not to scale' END AS reason, t.kind FROM t LEFT JOIN p USING (sheet, kind)")
 def length_errors(spark, sf_dir) -> DataFrame:
+    """Relative errors of lengths by sheet; those of kind N are not to scale and have none."""
     ok = F.col("kind") != "N"
     return counts(spark, sf_dir).select("sheet", metrics.length_error(F.col("t"), F.col("p"), ok).alias("error"), F.when(~ok, "not to scale").alias("reason"), "kind")
 
 
 @query(f"{_BOTH} SELECT t.kind, sum(greatest(t.n - coalesce(p.n, 0), 0)) / sum(t.n)::DOUBLE AS missed_rate, sum(greatest(coalesce(p.n, 0) - t.n, 0)) / nullif(sum(coalesce(p.n, 0)), 0)::DOUBLE AS false_rate FROM t LEFT JOIN p USING (sheet, kind) GROUP BY t.kind")
 def missed_and_false(spark, sf_dir) -> DataFrame:
+    """Rates of missed and of falsely found items by kind."""
     return metrics.miss_and_excess(counts(spark, sf_dir), "t", "p", "kind")
 
 
@@ -50,6 +53,7 @@ def suite_summary(spark, sf_dir) -> DataFrame:
 
 @query("""WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type) SELECT event_type, v[greatest(1, CAST(round_even(len(v) * 0.5::DOUBLE, 0) AS INTEGER))] AS p50, v[greatest(1, CAST(round_even(len(v) * 0.95::DOUBLE, 0) AS INTEGER))] AS p95 FROM s""")
 def nearest_rank_percentiles(spark, sf_dir) -> DataFrame:
+    """Median and 95th percentile of each event type's values, as values that occur."""
     return metrics.nearest_ranks(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}, checkpointed)
 
 
@@ -65,11 +69,13 @@ _BIN = "(confidence >= 0.1::DOUBLE)::INT + (confidence >= 0.2::DOUBLE)::INT + (c
 
 @query(f"WITH o AS ({_OUT}) SELECT {_BIN} AS bin, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 6) AS confidence, avg(correct::INT) AS accuracy FROM o GROUP BY ALL")
 def reliability_bins(spark, sf_dir) -> DataFrame:
+    """Mean confidence and accuracy in ten bins of confidence."""
     return metrics.reliability(outcomes(spark, sf_dir), "confidence", "correct").withColumn("confidence", F.round("confidence", 6))
 
 
 @query(f"WITH o AS ({_OUT}), b AS (SELECT {_BIN} AS bin, count(*) AS n, avg(confidence) AS c, avg(correct::INT) AS a FROM o GROUP BY ALL) SELECT round(sum(n * abs(c - a)) / sum(n), 6) AS calibration_error FROM b")
 def calibration_error(spark, sf_dir) -> DataFrame:
+    """Mean distance of confidence and accuracy over the bins, weighted by their counts."""
     return metrics.calibration_error(metrics.reliability(outcomes(spark, sf_dir), "confidence", "correct")).select(F.round("calibration_error", 6).alias("calibration_error"))
 
 
@@ -134,6 +140,7 @@ def latest_revisions(spark, sf_dir) -> DataFrame:
 SELECT b.metric, round(b.v, 6) AS was, round(r.v, 6) AS now, CASE WHEN r.v IS NULL THEN 'missing' ELSE 'worse' END AS reason FROM b LEFT JOIN r USING (metric)
 WHERE r.v IS NULL OR CASE WHEN b.metric = 'purchase' THEN b.v - r.v ELSE r.v - b.v END > 0.5""")
 def regression_gate(spark, sf_dir) -> DataFrame:
+    """Metrics that got worse than a base (means of event values before and after a day)."""
     e = table(spark, sf_dir, "events")
     mean = lambda keep: e.filter(keep).groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("v"))
     base = mean("ts < '2024-01-16'").withColumn("higher", F.col("metric") == "purchase")
@@ -151,6 +158,7 @@ def verified_coverage(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT toxic, count(*) FILTER (WHERE quality = 0) / nullif(count(*), 0)::DOUBLE AS false_rate, CAST(count(*) AS BIGINT) AS n FROM labels GROUP BY toxic""")
 def review_kpis(spark, sf_dir) -> DataFrame:
+    """Share of rejected items among reviewed ones, by kind (labels)."""
     labels = table(spark, sf_dir, "labels")
     return labels.groupBy("toxic").agg(F.try_divide(F.count_if(F.col("quality") == 0), F.count("*")).alias("false_rate"), F.count("*").alias("n"))
 

@@ -89,6 +89,7 @@ _RUNS = "SELECT o_orderkey AS id, o_orderpriority AS axis, o_custkey / 100.0::DO
 
 @query(f"WITH r AS ({_RUNS}) SELECT a.id AS a, b.id AS b, round(least(a.hi, b.hi) - greatest(a.lo, b.lo), 9) AS shared FROM r a JOIN r b ON a.axis = b.axis AND a.id < b.id AND abs(a.at - b.at) <= 0.025 AND least(a.hi, b.hi) - greatest(a.lo, b.lo) > 0.025")
 def overlapping_runs(spark, sf_dir) -> DataFrame:
+    """Pairs of runs on nearly one line that share some of their extents (orders as runs)."""
     o = table(spark, sf_dir, "orders")
     lo = (F.col("o_orderkey") % 1000) / F.lit(1000.0)
     runs = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("axis"), (F.col("o_custkey") / F.lit(100.0)).alias("at"), lo.alias("lo"), (lo + F.col("o_totalprice") / 5000000).alias("hi"))
@@ -234,6 +235,7 @@ def agreed_spacings(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT CAST(count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) AS BIGINT) AS nodes FROM lineitem""")
 def network_nodes(spark, sf_dir) -> DataFrame:
+    """How many nodes the network of parts and suppliers has."""
     e = edges(spark, sf_dir)
     return e.agg((F.countDistinct("a") + F.countDistinct("b")).alias("nodes"))
 

@@ -41,6 +41,7 @@ def cost_build_up(spark, sf_dir) -> DataFrame:
 @query("""WITH h AS (SELECT event_type AS item, event_id, ts, CAST(value AS DECIMAL(14,2)) AS price FROM events WHERE value > 0)
 SELECT item, CAST(count(*) AS BIGINT) AS n, CAST(min(price) AS DOUBLE) AS least, CAST(max(price) AS DOUBLE) AS most, round(median(price::DOUBLE), 4) AS median, CAST(max_by(price, (ts, event_id)) AS DOUBLE) AS latest FROM h GROUP BY item""")
 def price_history(spark, sf_dir) -> DataFrame:
+    """Number, extremes, exact median and latest of each item's prices (event values)."""
     h = table(spark, sf_dir, "events").select(F.col("event_type").alias("item"), "event_id", "ts", F.col("value").cast("decimal(14,2)").alias("price"))
     found = costing.price_statistics(h, ["item"], "price", "ts", "event_id")
     return found.select("item", "n", *[F.col(c).cast("double").alias(c) for c in ("least", "most", "median", "latest")])
@@ -51,6 +52,7 @@ j AS (SELECT m.ref, client, measured FROM m LEFT JOIN c USING (ref))
 SELECT ref, measured - client AS gap, sign(measured - client) * floor(abs(measured - client) * 1000.0::DOUBLE / client + 0.5) / 10 AS percent,
 CASE WHEN client IS NULL THEN measured > 0 ELSE floor(abs(measured - client) * 1000.0::DOUBLE / client + 0.5) / 10 > 5 END AS flagged FROM j""")
 def quantity_variance(spark, sf_dir) -> DataFrame:
+    """Differences of measured and client quantities by item, flagged beyond five percent (parts by brand)."""
     p = table(spark, sf_dir, "part")
     total = lambda keep, name: p.filter(keep).groupBy(F.col("p_brand").alias("ref")).agg(F.sum("p_size").alias(name))
     both = total("p_partkey % 2 = 1", "measured").join(total("p_partkey % 2 = 0 AND p_brand <> 'Brand#3'", "client"), "ref", "left")
@@ -63,6 +65,7 @@ f AS (SELECT s_suppkey, base + CAST(round(base * 2.5 / 100, 4) AS DECIMAL(18,4))
 SELECT s_suppkey, CAST(round(base + CAST(round(base * 3 / 100, 4) AS DECIMAL(18,4)) + CAST(round(base * 0.4 / 100, 4) AS DECIMAL(18,4)), 2) AS DOUBLE) AS landed FROM
 (SELECT s_suppkey, CAST(base AS DECIMAL(18,4)) AS base FROM f)""")
 def landed_cost(spark, sf_dir) -> DataFrame:
+    """Foreign prices in own money with buffer and import percentages (suppliers' balances)."""
     price, rate = F.abs("s_acctbal").cast("decimal(14,2)"), F.lit("1.3475").cast("decimal(8,4)")
     return table(spark, sf_dir, "supplier").select("s_suppkey", costing.landed_unit(price, rate, "2.5", ["3", "0.4"]).cast("double").alias("landed"))
 
@@ -89,6 +92,7 @@ def agreed_key_parts(spark, sf_dir) -> DataFrame:
 @query("""SELECT o_custkey, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS won, CAST(count(*) FILTER (WHERE o_orderstatus IN ('F', 'P')) AS BIGINT) AS decided,
 floor(1000.0::DOUBLE * count(*) FILTER (WHERE o_orderstatus = 'F') / nullif(count(*) FILTER (WHERE o_orderstatus IN ('F', 'P')), 0) + 0.5) / 10 AS win_rate FROM orders GROUP BY o_custkey""")
 def win_rate(spark, sf_dir) -> DataFrame:
+    """Bids won of those decided, by customer (order states)."""
     won, decided = F.count_if(F.col("o_orderstatus") == "F"), F.count_if(F.col("o_orderstatus").isin("F", "P"))
     out = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(won.alias("won"), decided.alias("decided"))
     return out.withColumn("win_rate", F.floor(F.try_divide(F.col("won") * 1000.0, F.col("decided")) + 0.5) / 10)
@@ -96,6 +100,7 @@ def win_rate(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) + 45 AS valid_until, CASE WHEN o_custkey % 4 = 0 THEN 'no validity' WHEN CAST(o_orderdate AS DATE) + 45 < DATE '1999-01-01' THEN 'expired' WHEN CAST(o_orderdate AS DATE) + 45 < DATE '2000-01-01' THEN 'ends before the tender' ELSE '' END AS flag FROM orders""")
 def validity_flags(spark, sf_dir) -> DataFrame:
+    """Whether quotations state a validity and it reaches the tender (45 days from the order's day)."""
     until = F.date_add(F.col("o_orderdate").cast("date"), 45)
     day = lambda d: F.lit(d).cast("date")
     flag = F.when(F.col("o_custkey") % 4 == 0, "no validity").when(until < day("1999-01-01"), "expired").when(until < day("2000-01-01"), "ends before the tender").otherwise("")

@@ -97,6 +97,7 @@ def file_revisions(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT n_nationkey, c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'plan' WHEN 1 THEN 'section' WHEN 2 THEN 'schematic' WHEN 3 THEN 'detail' END AS kind FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def view_kinds(spark, sf_dir) -> DataFrame:
+    """Kinds of views by a word of their titles (titles made of customers' keys)."""
     c = table(spark, sf_dir, "customer").withColumn("n_nationkey", F.col("c_nationkey"))
     k = F.col("c_custkey")
     title = wording(k, ("Level ", k, " LAYOUT"), ("Section ", F.char(65 + k % 26), "-A"), ("Riser diagram ", k), ("TYPICAL DETAIL ", k), ("Notes ", k))
@@ -172,6 +173,7 @@ def page_contents(spark, sf_dir) -> DataFrame:
 @query("""WITH o AS (SELECT p_partkey, p_size % 3 AS paths, p_size % 4 AS texts, p_size % 2 AS images, p_partkey % 10 / 10.0 AS cover FROM part)
 SELECT p_partkey, CASE WHEN paths + texts = 0 AND images = 0 THEN 'empty' WHEN images > 0 AND cover >= 0.5 THEN CASE WHEN paths + texts > 0 THEN 'mixed' ELSE 'raster' END WHEN paths + texts > 0 THEN 'vector' ELSE 'raster' END AS content FROM o""")
 def page_classes(spark, sf_dir) -> DataFrame:
+    """Classes of pages by objects first; page_contents has coverage first."""
     p, n = table(spark, sf_dir, "part"), F.col("p_size")
     return p.select("p_partkey", files.page_class(n % 3, n % 4, n % 2, F.col("p_partkey") % 10 / 10).alias("content"))
 
@@ -253,6 +255,7 @@ UNION ALL SELECT p_partkey, 1, unnest(['material', 'joining']), unnest(['black s
 UNION ALL SELECT p_partkey, 0, 'material', 'cpvc', NULL, NULL, 'below ground' FROM p WHERE k = 1
 UNION ALL SELECT p_partkey, 0, 'hanger spacing', CAST(n + 1000 AS VARCHAR), NULL, NULL, NULL FROM p WHERE k = 2""")
 def clause_attributes(spark, sf_dir) -> DataFrame:
+    """Attributes that clauses state, with their range of sizes and their place (see clauses)."""
     return documents.attributes(clauses(spark, sf_dir), "p_partkey", "text")
 
 
@@ -269,11 +272,13 @@ SELECT p_partkey, unnest([1, 1, 2])::INTEGER AS n, unnest(['testing', 'testing',
 UNION ALL SELECT p_partkey, unnest([0, 1])::INTEGER, unnest(['warranty', 'submittals']), unnest(['months', 'copies']), unnest([n, 3.0]) FROM p WHERE k = 3
 UNION ALL SELECT p_partkey, 0, 'testing', NULL, NULL FROM p WHERE k = 5""")
 def clause_obligations(spark, sf_dir) -> DataFrame:
+    """Duties that clauses put, with their figures (see clauses)."""
     return documents.obligations(clauses(spark, sf_dir), "p_partkey", "text")
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 1 THEN 'or equivalent' WHEN 2 THEN 'as required' ELSE 'to the satisfaction of' END AS phrase FROM part WHERE p_partkey % 6 IN (1, 2, 4)""")
 def vague_clauses(spark, sf_dir) -> DataFrame:
+    """Wordings of clauses that leave open what has to be done (see clauses)."""
     return documents.vague_phrases(clauses(spark, sf_dir), "p_partkey", "text")
 
 

@@ -25,6 +25,7 @@ def audit_filter(spark, sf_dir) -> DataFrame:
 
 @query("SELECT p_partkey, p_name, p_type FROM part WHERE p_type LIKE 'S%' AND p_brand IS DISTINCT FROM 'Brand#4' AND p_size NOT IN (1, 2, 3)")
 def prefix_and_distinct(spark, sf_dir) -> DataFrame:
+    """Rows by a prefix, a null-safe difference and a list of exclusions."""
     p = table(spark, sf_dir, "part")
     return p.filter(p.p_type.startswith("S") & ~p.p_brand.eqNullSafe(F.lit("Brand#4")) & ~p.p_size.isin(1, 2, 3)).select("p_partkey", "p_name", "p_type")
 
@@ -43,6 +44,7 @@ def keyset_page(spark, sf_dir) -> DataFrame:
 @query("""SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events
 WHERE CAST(props->>'k' AS BIGINT) IN (SELECT p_size FROM part WHERE p_brand = 'Brand#7')""")
 def json_semi_join(spark, sf_dir) -> DataFrame:
+    """Events whose JSON field is among the sizes of a brand."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     sizes = table(spark, sf_dir, "part").filter("p_brand = 'Brand#7'").select(F.col("p_size").cast("long").alias("k"))
     return e.join(sizes, "k", "left_semi").select("event_id", "k")
@@ -58,6 +60,7 @@ def member_rows(spark, sf_dir) -> DataFrame:
 
 @query("SELECT vec_id, label FROM embeddings WHERE label IN (1, 3, 5) AND embedding[1] BETWEEN -0.1 AND 0.1 AND embedding[2] BETWEEN -0.1 AND 0.2")
 def box_and_kind(spark, sf_dir) -> DataFrame:
+    """Vectors of some kinds whose first two coordinates are in a box."""
     v = table(spark, sf_dir, "embeddings")
     return v.filter(v.label.isin(1, 3, 5) & v.embedding[0].between(-0.1, 0.1) & v.embedding[1].between(-0.1, 0.2)).select("vec_id", "label")
 
@@ -136,6 +139,7 @@ def unsourced_lines(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
 def latest_versions(spark, sf_dir) -> DataFrame:
+    """The newest event of each user and type."""
     e = table(spark, sf_dir, "events")
     return lookup.latest(e, ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "event_id", "value")
 
@@ -149,6 +153,7 @@ def library_as_of(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT role, turn, CAST(count(*) AS BIGINT) AS runs, CAST(sum(length(text)) AS BIGINT) AS cost FROM conversations GROUP BY role, turn""")
 def run_statistics(spark, sf_dir) -> DataFrame:
+    """Runs and their cost by role and turn (lengths of conversation texts as cost)."""
     return table(spark, sf_dir, "conversations").groupBy("role", "turn").agg(F.count("*").alias("runs"), F.sum(F.length("text")).alias("cost"))
 
 
@@ -176,6 +181,7 @@ def retention(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT CAST(count(*) AS BIGINT) AS n, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(14,2))), 0) AS DOUBLE) AS spend, CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day FROM orders WHERE o_orderstatus = 'F'""")
 def spend(spark, sf_dir) -> DataFrame:
+    """Number, sum and first and last day of finished orders."""
     o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
     return o.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("o_totalprice").cast("decimal(14,2)")), F.lit(0)).cast("double").alias("spend"), F.min("o_orderdate").cast("date").alias("first_day"), F.max("o_orderdate").cast("date").alias("last_day"))
 
@@ -210,6 +216,7 @@ def set_operations(spark, sf_dir) -> DataFrame:
 SELECT a.o_custkey AS a, b.o_custkey AS b, len(list_intersect(a.p, b.p)) / len(list_distinct(list_concat(a.p, b.p)))::DOUBLE AS jaccard
 FROM s a JOIN s b ON b.o_custkey = a.o_custkey + 1""")
 def jaccard_neighbours(spark, sf_dir) -> DataFrame:
+    """Likeness of the priorities of customers next to each other by key."""
     sets = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p"))
     a, b = sets.select(F.col("o_custkey").alias("a"), F.col("p").alias("pa")), sets.select(F.col("o_custkey").alias("b"), F.col("p").alias("pb"))
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", (F.size(F.array_intersect("pa", "pb")) / F.size(F.array_union("pa", "pb"))).alias("jaccard"))

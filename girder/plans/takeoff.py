@@ -123,6 +123,7 @@ def symbol_counts(spark, sf_dir) -> DataFrame:
 @query("""WITH m AS (SELECT p_type AS kind, CAST(count(*) AS BIGINT) AS manual FROM part WHERE p_size % 10 <> 0 AND p_type <> 'PROMO' GROUP BY 1), a AS (SELECT p_type AS kind, CAST(count(*) AS BIGINT) AS found FROM part WHERE p_size % 9 <> 0 AND p_type <> 'LARGE' GROUP BY 1)
 SELECT coalesce(m.kind, a.kind) AS kind, coalesce(manual, 0) AS manual, coalesce(found, 0) AS found FROM m FULL JOIN a ON m.kind = a.kind""")
 def manual_against_found(spark, sf_dir) -> DataFrame:
+    """Counts by hand against counts found, by kind (two slices of parts)."""
     p = table(spark, sf_dir, "part")
     side = lambda keep, name: p.filter(keep).groupBy(F.col("p_type").alias("kind")).agg(F.count("*").alias(name))
     both = side("p_size % 10 <> 0 AND p_type <> 'PROMO'", "manual").join(side("p_size % 9 <> 0 AND p_type <> 'LARGE'", "found"), "kind", "full")
@@ -168,6 +169,7 @@ def scope_checklist(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT p_partkey, 'basement' AS risk FROM part WHERE p_name LIKE '%ring%' UNION ALL SELECT p_partkey, 'height' FROM part WHERE p_size > 45 UNION ALL SELECT p_partkey, 'high rise' FROM part WHERE p_partkey % 40 = 39""")
 def execution_risks(spark, sf_dir) -> DataFrame:
+    """Risks of items by rules on their names, sizes and keys (parts)."""
     rules = {"basement": F.col("p_name").contains("ring"), "height": F.col("p_size") > 45, "high rise": F.col("p_partkey") % 40 == 39}
     risk = F.explode(F.array_compact(F.array(*[F.when(fits, F.lit(name)) for name, fits in rules.items()])))
     return table(spark, sf_dir, "part").select("p_partkey", risk.alias("risk"))

@@ -12,6 +12,7 @@ from girder.sources.tables import table
 
 @query("""SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) || '|' || array_to_string(regexp_extract_all(p_brand, '\\d+(?:\\.\\d+)?'), 'x') || '|' || lower(p_type) AS key, lower(p_type) AS third FROM part""")
 def item_key_text(spark, sf_dir) -> DataFrame:
+    """Keys of items from normalised parts, and a part of them read back."""
     p = table(spark, sf_dir, "part")
     keyed = p.select("p_partkey", X.key(X.part(F.col("p_name")), X.size(F.col("p_brand")), X.part(F.col("p_type"))).alias("key"))
     return keyed.withColumn("third", X.key_part(F.col("key"), 3))
@@ -19,11 +20,13 @@ def item_key_text(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '[.;]\\s+\\p{Lu}')) + 1 AS INTEGER) AS n FROM documents""")
 def sentence_counts(spark, sf_dir) -> DataFrame:
+    """How many sentences each document has."""
     return table(spark, sf_dir, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("n"))
 
 
 @query("""SELECT o_orderkey, CAST(coalesce(list_sum([CASE WHEN isodow(CAST(o_orderdate AS DATE) + i::INT) < 6 AND CAST(o_orderdate AS DATE) + i::INT NOT IN (DATE '1998-12-25', DATE '1999-01-01') THEN 1 ELSE 0 END for i in range(1, 1 + o_custkey % 30)]), 0) AS INTEGER) AS days FROM orders""")
 def working_days(spark, sf_dir) -> DataFrame:
+    """Working days of up to a month from each order's day, without two holidays."""
     o = table(spark, sf_dir, "orders")
     start = F.col("o_orderdate").cast("date")
     return o.select("o_orderkey", X.working_days(start, F.date_add(start, (F.col("o_custkey") % 30).cast("int")), ["1998-12-25", "1999-01-01"]).alias("days"))
@@ -39,6 +42,7 @@ def rule_matches(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT p_partkey, p_name || CASE WHEN p_size % 2 = 0 THEN ', size ' || p_size ELSE '' END || CASE WHEN p_type = 'PROMO' THEN ', promo' ELSE '' END AS description FROM part""")
 def descriptions(spark, sf_dir) -> DataFrame:
+    """Descriptions from a template without its unknown parts (parts)."""
     size = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string"))
     kind = F.when(F.col("p_type") == "PROMO", F.lower("p_type"))
     return table(spark, sf_dir, "part").select("p_partkey", X.described([("%s", F.col("p_name")), ("size %s", size), ("%s", kind)]).alias("description"))
@@ -46,6 +50,7 @@ def descriptions(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT event_id, CAST(props->>'k' AS INTEGER) AS k, CASE WHEN CAST(props->>'k' AS INTEGER) >= 50 THEN 'high' ELSE 'low' END AS band FROM events WHERE event_type = 'signup'""")
 def json_fields(spark, sf_dir) -> DataFrame:
+    """A JSON field of signups, and its band."""
     k = F.get_json_object("props", "$.k").cast("int")
     return table(spark, sf_dir, "events").filter("event_type = 'signup'").select("event_id", k.alias("k"), F.when(k >= 50, "high").otherwise("low").alias("band"))
 
@@ -62,6 +67,7 @@ def obligations(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT doc_id FROM documents WHERE lang = 'en' AND NOT regexp_matches(lower(text), '\\b(?:the|was|with)\\b')""")
 def unread_clauses(spark, sf_dir) -> DataFrame:
+    """English documents without any of three common words, which stand for clauses that no rule reads."""
     return table(spark, sf_dir, "documents").filter("lang = 'en'").filter(~F.lower("text").rlike(r"\b(?:the|was|with)\b")).select("doc_id")
 
 
