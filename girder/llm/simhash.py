@@ -363,7 +363,8 @@ class Bucket:
                 live = live[self.component[live] != self.component[i]]
             else:
                 live = live[1:]
-        room = self.bytes < self.held_bytes
+        # one text at least, so that rounds come to an end
+        room = not self.nodes or self.bytes < self.held_bytes
         own = next(iter([*joined, *found]), None)
         if room:
             if n == len(self.fp):

@@ -111,14 +111,16 @@ def test_bucket_of_near_texts_discards_by_pivots():
     rnd = np.random.default_rng(2)
     base = [np.unique(rnd.integers(0, 1 << 63, 200).astype(np.uint64)) for _ in range(30)]
     texts = [x for b in base for x in (b, np.unique(np.concatenate([b[10:], rnd.integers(0, 1 << 63, 5).astype(np.uint64)])))]
-    for room in (1 << 30, 0):
-        bucket = simhash.Bucket(0.8, held_bytes=room)
-        for i, grams in enumerate(texts):
-            fp = simhash.majority(grams, np.array([0, len(grams)]))[0]
-            assert bucket.near(i, int(fp), grams) == ([i - 1] if i % 2 else [])
-        assert len(bucket.nodes) == (60 if room else 30)
-        # most pairs fall to the pivot table, and few sets are read in vain
-        assert 30 <= bucket.read < 60 and bucket.left < bucket.met / 2
+    prints = [int(simhash.majority(x, np.array([0, len(x)]))[0]) for x in texts]
+    bucket = simhash.Bucket(0.8, held_bytes=1 << 30)
+    for i, grams in enumerate(texts):
+        assert bucket.near(i, prints[i], grams) == ([i - 1] if i % 2 else [], True)
+    assert len(bucket.nodes) == 60
+    # most pairs fall to the pivot table, and few sets are read in vain
+    assert 30 <= bucket.read < 60 and bucket.left < bucket.met / 2
+    # without room one text is held, and all others are left for another round
+    tight = simhash.Bucket(0.8, held_bytes=0)
+    assert [tight.near(i, prints[i], x) for i, x in enumerate(texts)] == [([], True), ([0], False), *[([], False)] * 58]
 
 
 def test_one_very_long_text(spark, tmp_path):
