@@ -335,7 +335,8 @@ class Bucket:
         return int(self.component[i])
 
     def near(self, node: int, fp: int, grams: np.ndarray, known: int | None = None) -> tuple[list[int], bool]:
-        """Held texts near to this one, one of each component that it isn't known to be in; and whether it is held now."""
+        """The first text of each component that a held text near to this one is in, but for that which it is known to be in;
+        and whether it is held now.  Links to first texts are stars, which components are contracted from in few rounds."""
         n, fp = len(self.nodes), U64(fp)
         used = len(self.refs)
         coords = np.bitwise_count(self.refs ^ fp).astype(np.int8)
@@ -365,7 +366,7 @@ class Bucket:
                 live = live[1:]
         # one text at least, so that rounds come to an end
         room = not self.nodes or self.bytes < self.held_bytes
-        own = next(iter([*joined, *found]), None)
+        own = min([*joined, *found], default=None)
         if room:
             if n == len(self.fp):
                 self.fp, self.coords, self.component, self.size = (np.concatenate([x, x]) for x in (self.fp, self.coords, self.component, self.size))
@@ -386,7 +387,7 @@ class Bucket:
                     held[held == r] = own
             if known is not None:
                 self.of[known] = n if room else next(i for i in (*found.values(), self.of.get(known)) if i is not None)
-        return [self.nodes[i] for i in found.values()], room
+        return [self.nodes[r] for r in found], room
 
 
 def _link_buckets(similarity: float, held_bytes: int):
