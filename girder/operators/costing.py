@@ -11,6 +11,8 @@ from girder.operators.lookup import as_of
 
 MONEY = "decimal(14,2)"
 FINE = "decimal(18,4)"
+#: Totals over any number of lines.
+TOTAL = "decimal(38,2)"
 
 
 def money(c: Column) -> Column:
@@ -20,7 +22,7 @@ def money(c: Column) -> Column:
 
 def section_totals(lines: DataFrame, section: str, amount: str) -> DataFrame:
     """Total, priced and unpriced lines of each section and of all (section null), in one pass."""
-    sums = lines.rollup(section).agg(F.coalesce(F.sum(amount), F.lit(0)).cast(MONEY).alias("total"), F.count(amount).alias("priced"), F.count_if(F.col(amount).isNull()).alias("unpriced"), F.grouping(section).alias("is_total"))
+    sums = lines.rollup(section).agg(F.coalesce(F.sum(amount), F.lit(0)).cast(TOTAL).alias("total"), F.count(amount).alias("priced"), F.count_if(F.col(amount).isNull()).alias("unpriced"), F.grouping(section).alias("is_total"))
     return sums.withColumn("is_total", F.col("is_total") == 1)
 
 

@@ -3,8 +3,9 @@
 import contextlib
 import io
 import random
+from decimal import Decimal
 
-from girder.operators import drawing
+from girder.operators import costing, drawing
 from girder.operators.checkpoints import checkpointed
 
 
@@ -39,3 +40,9 @@ def test_nearest_segment_sorts_no_pairs(spark):
     assert {i: s for i, (s, _) in got.items()} == {i: s for i, (_, s) in want.items()}
     assert all(abs(got[i][1] - want[i][0]) < 1e-8 for i in want)
     assert not any("SortAggregate" in p for p in plans)
+
+
+def test_section_totals_beyond_one_line(spark):
+    rows = [("A", Decimal("999999999999.99")), ("A", Decimal("999999999999.99")), ("B", None), ("B", Decimal("0.02"))]
+    got = costing.section_totals(spark.createDataFrame(rows, "section string, amount decimal(14,2)"), "section", "amount").collect()
+    assert {r.section: (r.total, r.priced, r.unpriced) for r in got} == {"A": (Decimal("1999999999999.98"), 2, 0), "B": (Decimal("0.02"), 1, 1), None: (Decimal("2000000000000.00"), 3, 1)}
