@@ -144,13 +144,20 @@ def chance_of_passing(lot: int, wrong: int, sample: int, accept: int) -> Fractio
     """The exact chance that a sample of a lot shows at most `accept` of its wrong ones."""
     if not 0 <= sample <= lot or not 0 <= wrong <= lot:
         raise ValueError("a sample or a number of wrong ones is no part of the lot")
-    ways = sum(comb(wrong, k) * comb(lot - wrong, sample - k) for k in range(0, min(accept, wrong, sample) + 1))
+    # drawing the wrong ones among those sampled is the same chance, and the fewer are drawn the smaller the numbers
+    sample, wrong = min(sample, wrong), max(sample, wrong)
+    ways = sum(comb(wrong, k) * comb(lot - wrong, sample - k) for k in range(0, min(accept, sample) + 1))
     return Fraction(ways, comb(lot, sample))
 
 
 def smallest_sample(lot: int, wrong: int, accept: int, confidence: Fraction) -> int:
-    """The least sample that a lot with so many wrong ones passes with a chance of 1 - confidence at most."""
-    lo, hi = min(accept + 1, lot), lot
+    """The least sample that a lot with so many wrong ones passes with a chance of 1 - confidence at most.
+
+    Samples double until one is large enough, so the numbers are those of about the sample sought and not of half the lot.
+    """
+    lo = hi = min(accept + 1, lot)
+    while hi < lot and chance_of_passing(lot, wrong, hi, accept) > 1 - confidence:
+        lo, hi = hi + 1, min(2 * hi, lot)
     while lo < hi:
         mid = (lo + hi) // 2
         if chance_of_passing(lot, wrong, mid, accept) <= 1 - confidence:

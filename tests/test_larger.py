@@ -5,8 +5,9 @@ import io
 import math
 import random
 from decimal import Decimal
+from fractions import Fraction
 
-from girder.operators import costing, drawing, network, quantity
+from girder.operators import costing, documents, drawing, metrics, network, quantity
 from girder.operators.checkpoints import checkpointed
 
 
@@ -85,3 +86,16 @@ def test_references_where_lines_share_a_place(spark):
         return on[0] if on else "-".join([n for p, n in own if p < x][-1:] + [n for p, n in own if p > x][:1])
 
     assert {r.i: r.reference for r in got.collect()} == {i: expected(s, x) for i, s, x in points}
+
+
+def test_samples_of_large_lots():
+    # numbers as of half the lot would take hours here
+    lot = 10**9
+    n = metrics.smallest_sample(lot, lot // 20, 0, Fraction(95, 100))
+    assert metrics.chance_of_passing(lot, lot // 20, n, 0) <= Fraction(5, 100) < metrics.chance_of_passing(lot, lot // 20, n - 1, 0)
+    assert metrics.chance_of_passing(lot, 1, lot // 2, 0) == Fraction(1, 2)
+
+
+def test_attributes_use_all_cores(spark):
+    clauses = spark.createDataFrame([(i, "Pipes shall be galvanised.") for i in range(50)], "c int, text string").coalesce(1)
+    assert documents.attributes(clauses, "c", "text").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
