@@ -85,11 +85,18 @@ def duplicate_groups(spark, sf_dir) -> DataFrame:
     return p.join(groups, "shape").select("shape", "sheet", "first_sheet", "sheets")
 
 
+#: Rows of line items in one portion, so that a task's memory does not grow with the table.
+PORTION = 1_000_000
+
+
 @query("""SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem l WHERE EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag = 'R' AND r.l_partkey = l.l_partkey AND r.l_suppkey <> l.l_suppkey)""")
 def twins_of_rejections(spark, sf_dir) -> DataFrame:
     """Copies, on other sheets, of what was rejected.  A shape rejected on one sheet has twins on all others, one rejected
     on several has them everywhere: two sheets a shape say which."""
-    item = table(spark, sf_dir, "lineitem")
+    rows = table(spark, sf_dir, "lineitem")
+    # dealt once by shape, with more portions where there are more rows; what follows keeps to that
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + rows.count() // PORTION)
+    item = rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag").repartition(parts, "l_partkey")
     rejected = item.filter("l_returnflag = 'R'").groupBy("l_partkey").agg(F.min("l_suppkey").alias("lo"), F.max("l_suppkey").alias("hi"))
     twins = item.join(rejected, "l_partkey").filter((F.col("lo") != F.col("hi")) | (F.col("l_suppkey") != F.col("lo")))
     return twins.select("l_orderkey", "l_partkey", "l_suppkey").distinct()

@@ -9,6 +9,7 @@ from fractions import Fraction
 
 from girder.operators import costing, documents, drawing, metrics, network, quantity
 from girder.operators.checkpoints import checkpointed
+from girder.plans import takeoff
 
 
 def plan(df):
@@ -99,3 +100,11 @@ def test_samples_of_large_lots():
 def test_attributes_use_all_cores(spark):
     clauses = spark.createDataFrame([(i, "Pipes shall be galvanised.") for i in range(50)], "c int, text string").coalesce(1)
     assert documents.attributes(clauses, "c", "text").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_twins_take_more_portions_of_more_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(takeoff, "PORTION", 200)
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        takeoff.twins_of_rejections(spark, sf_dir).explain()
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert "hashpartitioning(l_partkey#" in out.getvalue() and f", {1 + rows // 200})" in out.getvalue()
