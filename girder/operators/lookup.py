@@ -10,6 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of one portion of a table, so that a task's memory does not grow with the table.
+PORTION = 1_000_000
+
+
+def portions(df: DataFrame, rows: int = 0) -> int:
+    """In how many portions a table is dealt: one for each million rows (or as many as given), the set number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + df.count() // (rows or PORTION))
+
+
 def latest(df: DataFrame, keys: list, *order) -> DataFrame:
     """The first row of each key in the given order, which must be total to be repeatable."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -7,9 +7,11 @@ import random
 from decimal import Decimal
 from fractions import Fraction
 
+from pyspark.sql import functions as F
+
 from girder.operators import costing, documents, drawing, metrics, network, quantity
 from girder.operators.checkpoints import checkpointed
-from girder.plans import takeoff
+from girder.plans import networks, takeoff
 
 
 def plan(df):
@@ -108,3 +110,50 @@ def test_twins_take_more_portions_of_more_rows(spark, sf_dir, monkeypatch):
         takeoff.twins_of_rejections(spark, sf_dir).explain()
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert "hashpartitioning(l_partkey#" in out.getvalue() and f", {1 + rows // 200})" in out.getvalue()
+
+
+def test_groups_of_sheets_in_parts(spark, monkeypatch):
+    """Chains on sheets that no task holds whole, and a run on two sheets, by the numbers of shuffles and by all sizes."""
+    rnd, rows = random.Random(5), []
+    for sheet in range(30):
+        for i in range(rnd.choice([1, 3, 40])):
+            # run 7 is on sheets 0 and 9 too, whose groups are one then
+            run = 7 if (sheet, i) in ((0, 0), (9, 0)) else 1000 * sheet + 10 + i
+            rows.append((run, sheet, i, i + 1, 0.0, 180.0, rnd.choice([25, 32, None, None, None, None]), 0.5 + i / 100))
+    runs = spark.createDataFrame(rows, "run long, sheet int, a long, b long, angle_a double, angle_b double, label int, confidence double")
+    kinds = F.lit("joint"), F.col("node") % 25 == 24
+    group, root = {}, {}
+    find = lambda r: r if root.setdefault(r, r) == r else find(root[r])
+    ends = {}
+    for run, sheet, a, b, *_ in rows:
+        find(run)
+        for node in (a, b):
+            if node % 25 != 24 and (other := ends.setdefault((sheet, node), run)) != run:
+                x, y = find(run), find(other)
+                root[max(x, y)] = min(x, y)
+    for run, *_, label, confidence in rows:
+        group.setdefault(find(run), []).append((label, confidence if label else None))
+    want = []
+    for run, sheet, *_, label, _c in rows:
+        own = {x for x, _ in group[find(run)]} - {None}
+        status = "conflict" if len(own) > 1 else "labelled" if label else "propagated" if own else "unknown"
+        want.append((run, sheet, find(run), own.pop() if len(own) == 1 else None, status, max((c for _, c in group[find(run)] if c), default=0.0)))
+    key = lambda r: str(r)
+    for held in (3, 50, 100_000):
+        monkeypatch.setattr(network, "HELD", held)
+        code = network.grouped_by_sheet
+        # workers import the module anew, so the number goes along with the function
+        def parts(batches, held=held):
+            network.HELD = held
+            return code(b for batch in batches for b in (batch.slice(k, 2) for k in range(0, len(batch), 2)))
+
+        monkeypatch.setattr(network, "grouped_by_sheet", parts)
+        got = network.run_sizes(runs, kinds, None, 10.0, checkpointed, 3)
+        monkeypatch.setattr(network, "grouped_by_sheet", code)
+        assert sorted((tuple(r) for r in got.select("run", "sheet", "group", "dn", "status", "label_confidence").collect()), key=key) == sorted(want, key=key), held
+
+
+def test_sizes_are_dealt_by_sheet_once(spark, sf_dir):
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        network.linked_legs(networks.runs(spark, sf_dir).repartition(5, "sheet"), (F.lit("joint"), F.lit(False)), 10.0).explain()
+    assert out.getvalue().count("Exchange") == 1
