@@ -172,7 +172,7 @@ def latest_by_order(candidates: DataFrame, group: str, ident: str, series: str,
     Where two can't be ordered there is none.
 
     Each series is first brought to its highest number and newest day, each group then to the newest day
-    of its series and the next one: no candidates meet in pairs.
+    of its series and the next one: no candidates meet in pairs.  Candidates dealt by group are not dealt again.
     """
     # a candidate without a series is ordered by day alone, as a series of its own
     own = candidates.withColumn("__series", F.when(F.col(series).isNotNull(), F.struct(F.col(series).cast("string"), F.lit(None).cast("string"))).otherwise(F.struct(F.lit(None).cast("string"), F.col(ident).cast("string"))))
@@ -181,12 +181,11 @@ def latest_by_order(candidates: DataFrame, group: str, ident: str, series: str,
         F.max(F.struct(F.col(number).alias("number"), F.col("__n").alias("n"), F.col("__ident").alias("ident"), F.col("__day").alias("own_day"))).alias("top"),
         F.sum("__n").alias("n"), F.sum("__days").alias("days"), F.max("__day").alias("newest"), F.count_if(F.col(number).isNull()).alias("unnumbered"),
     )
-    whole = per.groupBy(F.col(group).alias("__group")).agg(F.max("newest").alias("newest_all"), F.sum("n").alias("n_all"), F.sum("days").alias("days_all"))
-    per = per.join(whole, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+    whole = Window.partitionBy(group)
+    per = per.withColumns({"newest_all": F.max("newest").over(whole), "n_all": F.sum("n").over(whole), "days_all": F.sum("days").over(whole)})
     at_top = F.col("newest") == F.col("newest_all")
-    beside = per.groupBy(F.col(group).alias("__group")).agg(F.count_if(at_top).alias("at_top"), F.max(F.when(~at_top, F.col("newest"))).alias("second"))
-    per = per.join(beside, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
-    others = F.when(at_top & (F.col("at_top") == 1), F.col("second")).otherwise(F.col("newest_all"))
+    per = per.withColumns({"at_top": F.count_if(at_top).over(whole), "second": F.max(F.when(~at_top, F.col("newest"))).over(whole)})
+    others = F.when((F.col("newest") == F.col("newest_all")) & (F.col("at_top") == 1), F.col("second")).otherwise(F.col("newest_all"))
     first_of_series = (F.col("n") == 1) | ((F.col("top.n") == 1) & (F.col("unnumbered") == 0))
     alone = F.col("n") == F.col("n_all")
     days_known = F.col("n_all") - F.col("n") == F.col("days_all") - F.col("days")

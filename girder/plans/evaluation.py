@@ -129,10 +129,12 @@ w AS (SELECT a.sheet, a.id, bool_and(b.id IS NULL OR coalesce(CASE WHEN a.series
 SELECT s.sheet, w.id FROM (SELECT DISTINCT sheet FROM c) s LEFT JOIN w ON s.sheet = w.sheet AND wins""")
 def latest_revisions(spark, sf_dir) -> DataFrame:
     """The revision that is later than every other of its sheet, or none where that is undecided."""
-    from girder.operators.lookup import latest
+    from girder.operators.lookup import latest, portions
 
-    c = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sheet"), F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("series"), F.col("l_linenumber").alias("number"), F.col("l_shipdate").cast("date").alias("day"))
-    c = latest(c, ["sheet", "id"], "number", "series", "day")
+    items = table(spark, sf_dir, "lineitem")
+    c = items.select(F.col("l_partkey").alias("sheet"), F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("series"), F.col("l_linenumber").alias("number"), F.col("l_shipdate").cast("date").alias("day"))
+    # dealt once by sheet, with more portions where there are more rows; what follows keeps to that
+    c = latest(c.repartition(portions(items), "sheet"), ["sheet", "id"], "number", "series", "day")
     return metrics.latest_by_order(c, "sheet", "id", "series", "number", "day")
 
 

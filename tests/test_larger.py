@@ -9,9 +9,9 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from girder.operators import costing, documents, drawing, metrics, network, quantity
+from girder.operators import costing, documents, drawing, lookup, metrics, network, quantity
 from girder.operators.checkpoints import checkpointed
-from girder.plans import networks, takeoff
+from girder.plans import evaluation, networks, takeoff
 
 
 def plan(df):
@@ -157,3 +157,11 @@ def test_sizes_are_dealt_by_sheet_once(spark, sf_dir):
     with contextlib.redirect_stdout(io.StringIO()) as out:
         network.linked_legs(networks.runs(spark, sf_dir).repartition(5, "sheet"), (F.lit("joint"), F.lit(False)), 10.0).explain()
     assert out.getvalue().count("Exchange") == 1
+
+
+def test_latest_revisions_are_dealt_by_sheet_once(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lookup, "PORTION", 200)
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        evaluation.latest_revisions(spark, sf_dir).explain()
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert out.getvalue().count("Exchange") == 1 and f", {1 + rows // 200})" in out.getvalue() and "Join" not in out.getvalue()
