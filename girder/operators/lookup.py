@@ -121,6 +121,25 @@ def near_pairs(points: DataFrame, keys: list[str], x: str, y: str, row: str, rad
     return own.join(reach, [*keys, "cx", "cy"]).filter(near).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
+def near_between(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, row: str, radius: float) -> DataFrame:
+    """(keys, a, b, distance) of a left and a right point with equal keys that are radius apart at most.
+
+    Right points stand in their own square cell, left ones in those that their square reaches: each pair meets in one
+    cell, with both places at hand, so none is looked up afterwards.
+    """
+    size, reach_by = 2.5 * radius, radius * (1 + 1e-6)
+    cell = lambda c: F.floor(c / size)
+    own = right.select(*keys, F.col(row).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), cell(F.col(x)).alias("cx"), cell(F.col(y)).alias("cy"))
+    # a square not wider than a cell reaches two each way at most
+    ends = F.array(*[F.struct(cell(F.col(x) + i * reach_by).alias("cx"), cell(F.col(y) + j * reach_by).alias("cy"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 1) for j in (-1, 1)])
+    reach = left.select(*keys, F.col(row).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), F.explode(ends).alias("e"))
+    once = ((F.col("e.i") < 0) | (F.col("e.cx") != cell(F.col("ax") - reach_by))) & ((F.col("e.j") < 0) | (F.col("e.cy") != cell(F.col("ay") - reach_by)))
+    reach = reach.filter(once).select(*keys, "a", "ax", "ay", "e.cx", "e.cy")
+    distance = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
+    near = (F.abs(F.col("ax") - F.col("bx")) <= radius) & (F.abs(F.col("ay") - F.col("by")) <= radius)
+    return own.join(reach, [*keys, "cx", "cy"]).filter(near & (distance <= radius)).select(*keys, "a", "b", distance.alias("distance"))
+
+
 def overlapping_runs(runs: DataFrame, keys: list[str], row: str, offset: str, lo: str, hi: str, tolerance: float, more: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, shared) of runs on nearly the same line (offsets within tolerance) that share more than tolerance of their
     extents, a < b; columns in more come along as a_.. and b_...
@@ -186,7 +205,8 @@ def greedy_matches(candidates: DataFrame, group: str, checkpoint) -> DataFrame:
     group of any size spreads over tasks.
     """
     best = F.struct("distance", "a", "b")
-    left = checkpoint(candidates.select(group, "a", "b", "distance").distinct())
+    # equal candidates need not become one: they are the best together, and go together
+    left = checkpoint(candidates.select(group, "a", "b", "distance"))
     taken = []
     while left.limit(1).count():
         of_a, of_b = (left.groupBy(group, side).agg(F.min(best).alias(f"best_{side}")) for side in "ab")

@@ -100,12 +100,8 @@ def overlapping_runs(spark, sf_dir) -> DataFrame:
 def greedy_one_to_one(spark, sf_dir) -> DataFrame:
     """Symbols of two revisions within 0.05 of each other, matched one to one by ascending distance."""
     p = points(spark, sf_dir).withColumn("y", F.round("y", 6))
-    pairs = lookup.near_pairs(p, ["kind"], "x", "y", "id", 0.05).filter("a % 2 <> b % 2")
-    # the old revision's side is a
-    even = F.col("a") % 2 == 0
-    pairs = pairs.select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("b"))
-    side = lambda s: p.select(F.col("id").alias(s), F.col("kind").alias("sheet") if s == "a" else F.lit(0).alias("__b"), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).filter("distance <= 0.05")
+    # the old revision's side is a; the sides meet each other only, and pairs come with their distance
+    near = lookup.near_between(p.filter("id % 2 = 0"), p.filter("id % 2 <> 0"), ["kind"], "x", "y", "id", 0.05).withColumnRenamed("kind", "sheet")
     return lookup.greedy_matches(near.select("sheet", "a", "b", "distance"), "sheet", checkpointed)
 
 

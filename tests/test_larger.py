@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from girder.operators import costing, documents, drawing, lookup, metrics, network, quantity
 from girder.operators.checkpoints import checkpointed
-from girder.plans import evaluation, networks, takeoff
+from girder.plans import evaluation, lookups, networks, takeoff
 
 
 def plan(df):
@@ -165,3 +165,24 @@ def test_latest_revisions_are_dealt_by_sheet_once(spark, sf_dir, monkeypatch):
         evaluation.latest_revisions(spark, sf_dir).explain()
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert out.getvalue().count("Exchange") == 1 and f", {1 + rows // 200})" in out.getvalue() and "Join" not in out.getvalue()
+
+
+def test_sides_meet_once_with_their_distance(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice("ab"), rnd.randrange(-60, 60) / 100, rnd.randrange(-60, 60) / 100) for i in range(600)]
+    p = spark.createDataFrame(rows, "id int, k string, x double, y double")
+    near = lookup.near_between(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"), ["k"], "x", "y", "id", 0.05)
+    far = lambda a, b: math.hypot(a[2] - b[2], a[3] - b[3])
+    want = [(a[1], a[0], b[0]) for a in rows[::2] for b in rows[1::2] if a[1] == b[1] and max(abs(a[2] - b[2]), abs(a[3] - b[3]), far(a, b)) <= 0.05]
+    got = near.collect()
+    assert len(want) > 200 and sorted((r.k, r.a, r.b) for r in got) == sorted(want)
+    assert all(abs(r.distance - far(rows[r.a], rows[r.b])) < 1e-12 for r in got)
+
+
+def test_greedy_candidates_are_not_looked_up_again(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lookup, "greedy_matches", lambda df, *_: seen.append(df) or df)
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        lookups.greedy_one_to_one(spark, sf_dir).explain()
+    joins = sum("Join" in line for line in out.getvalue().splitlines())
+    assert len(seen) == 1 and joins == 1 and out.getvalue().count("FileScan") == 2
